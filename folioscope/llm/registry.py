@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folioscope.llm import language, media, quality_model, quality_rules
+from folioscope.llm import language, media, pii, quality_model, quality_rules
 
 QUERIES = {
     "op4_quality_attention": quality_model.op4_quality_attention,
     "op5_media": media.op5_media,
     "op6_line_rules": quality_rules.op6_line_rules,
     "op9_language_id": language.op9_language_id,
+    "op10_contextual_pii": pii.op10_contextual_pii,
 }
 
 ORACLE_SQL = {
