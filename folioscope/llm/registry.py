@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.llm import language, media, pii, quality_model, quality_rules
+from folioscope.llm import jaccard, language, media, pii, quality_model, quality_rules
 
 QUERIES = {
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op4_quality_attention": quality_model.op4_quality_attention,
     "op5_media": media.op5_media,
     "op6_line_rules": quality_rules.op6_line_rules,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_jaccard_join": jaccard.ORACLE,
     "op6_line_rules": quality_rules.ORACLE,
 }
