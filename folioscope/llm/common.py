@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = [x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        sizes = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if i > start and held + n > most:

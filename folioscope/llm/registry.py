@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.llm import jaccard, language, media, pii, quality_model, quality_rules
+from folioscope.llm import jaccard, language, media, packing, pii, quality_model, quality_rules
 
 QUERIES = {
     "op2_jaccard_join": jaccard.op2_jaccard_join,
+    "op3_pattern_packing": packing.op3_pattern_packing,
     "op4_quality_attention": quality_model.op4_quality_attention,
     "op5_media": media.op5_media,
     "op6_line_rules": quality_rules.op6_line_rules,
