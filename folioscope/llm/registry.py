@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import jaccard, language, media, mixing, packing, pii, quality_model, quality_rules, token_order
+from folioscope.llm import jaccard, language, media, mixing, ngram_model, packing, pii, quality_model, quality_rules, token_order
 
 QUERIES = {
     "op1_temperature_mix": mixing.op1_temperature_mix,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_media": media.op5_media,
     "op6_line_rules": quality_rules.op6_line_rules,
     "op7_training_order": token_order.op7_training_order,
+    "op8_ngram_trie": ngram_model.op8_ngram_trie,
     "op9_language_id": language.op9_language_id,
     "op10_contextual_pii": pii.op10_contextual_pii,
 }
