@@ -40,6 +40,8 @@ BLOCK_SHINGLES = 64_000
 SLICE = 8 << 20
 #: Input bytes (as Spark estimates them) for each hash range of the count.
 RANGE_BYTES = 2 << 20
+#: Rows to drop are broadcast up to so many (of two numbers each), else joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: The boundary is sought among powers of two up to this many 2-subsets of a set.
 MOST_SUBSETS = 120
 
@@ -254,7 +256,7 @@ def link_sets(sets: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def classes(df: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, digest, component, component_id) for every row: component names the class, component_id is the least id in it."""
+    """(id, key: xxhash64 of the text, n_shingles, digest, component, component_id) for every row: component names the class, component_id is the least id in it."""
     spark = df.sparkSession
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     n_ranges = int(min(1 << 20, max(64, estimate // RANGE_BYTES)))
@@ -286,7 +288,27 @@ def classes(df: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     lookup = stored(spark, groups.join(least, "component").select("digest", "component", "component_id"), "jaccard-lookup")
     out = docs.join(lookup, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "digest", F.coalesce("component", "digest").alias("component"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "key", F.col("n").cast("long").alias("n_shingles"), "digest", F.coalesce("component", "digest").alias("component"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(df: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each class: that of the least id, then of the least text hash. Rows without words all stay."""
+    spark = df.sparkSession
+    named = classes(df, sim, id_col, text_col).where("component IS NOT NULL").select(F.col(id_col).alias("_id"), F.col("key").alias("_key"), "component")
+    rows = stored(spark, named.groupBy("component", "_id", "_key").agg(F.count("*").alias("_n")), "dedup-rows")
+    first = rows.groupBy("component").agg(F.min(F.struct("_id", "_key")).alias("first"), F.sum("_n").alias("many"))
+    first = stored(spark, first.where("many > 1").select("component", F.col("first._id").alias("_first_id"), F.col("first._key").alias("_first_key")), "dedup-first")
+    judged = rows.join(first, "component")
+    wins = F.col("_id").eqNullSafe(F.col("_first_id")) & (F.col("_key") == F.col("_first_key"))
+    # rows to drop, and winners that stand in the table more than once
+    gone = stored(spark, judged.where(~wins | (F.col("_n") > 1)).select("_id", "_key", wins.alias("_again")), "dedup-gone")
+    few = F.broadcast if gone.count() <= BROADCAST_ROWS else (lambda x: x)
+    keyed = df.withColumn("_text_key", F.xxhash64(F.col(text_col).cast("string")))
+    same = lambda x: keyed[id_col].eqNullSafe(x["_id"]) & (keyed["_text_key"] == x["_key"])
+    again = gone.where("_again")
+    kept = keyed.join(few(gone), same(gone), "left_anti").select(*df.columns)
+    once = keyed.join(few(again), same(again), "left_semi").dropDuplicates([id_col, "_text_key"]).select(*df.columns)
+    return kept.union(once)
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

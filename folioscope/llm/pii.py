@@ -199,16 +199,18 @@ def scan(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFra
     """_0, _1, ... (id and carried columns) with what the scan of each text finds."""
     kept = {name: df.schema[name].dataType.simpleString() for name in [id_col, *carry]}
     names = [f"_{i}" for i in range(len(kept))]
+    text = names[[*kept].index(text_col)] if kept.get(text_col) == "string" else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        for b in slices(batches, "_text"):
-            out = [(f"{part}-{n + i}", *scan_text(x)) for i, x in enumerate(b.column("_text").to_pylist())]
+        for b in slices(batches, text):
+            out = [(f"{part}-{n + i}", *scan_text(x)) for i, x in enumerate(b.column(text).to_pylist())]
             n += b.num_rows
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), *(pa.array([r[i] for r in out], k) for i, k in enumerate(_ARROW))], [*names, "uid", "seeds", "candidates", "edges"])
 
     arrow_limits(df.sparkSession)
-    rows = df.select(*(F.col(name).alias(x) for x, name in zip(names, kept, strict=True)), F.col(text_col).cast("string").alias("_text"))
+    more = [F.col(text_col).cast("string").alias("_text")] if text == "_text" else []
+    rows = df.select(*(F.col(name).alias(x) for x, name in zip(names, kept, strict=True)), *more)
     return rows.mapInArrow(run, ", ".join([*(f"{x} {k}" for x, k in zip(names, kept.values(), strict=True)), SCAN]))
 
 
@@ -267,7 +269,8 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Boo
 
     touched = F.concat("seeds", "found")
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns)
-    assert field.dataType.simpleString() == "string"
+    if field.dataType.simpleString() != "string":
+        raise TypeError(f"{text_col} must be a string column")
     return found.select(*df.columns, touched.alias("_spans")).mapInArrow(run, schema)
 
 

@@ -172,15 +172,18 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 def score(df: DataFrame, net: Attention, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(id, score) of every row, with the columns named in carry between them."""
     kept = {name: df.schema[name].dataType.simpleString() for name in [id_col, *(carry or [])]}
+    names = [f"_{i}" for i in range(len(kept))]
+    text = names[[*kept].index(text_col)] if kept.get(text_col) == "string" else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
-            p = net.score([t or b"" for t in b.column("_text").cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(f"_{i}") for i in range(len(kept))), pa.array(np.round(p, 9), pa.float64())], [*(f"_{i}" for i in range(len(kept))), "_score"])
+        for b in slices(batches, text):
+            p = net.score([t or b"" for t in b.column(text).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(np.round(p, 9), pa.float64())], [*names, "_score"])
 
     arrow_limits(df.sparkSession)
-    rows = df.select(*(F.col(name).alias(f"_{i}") for i, name in enumerate(kept)), F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join([*(f"_{i} {k}" for i, k in enumerate(kept.values())), "_score double"])
+    more = [F.col(text_col).cast("string").alias("_text")] if text == "_text" else []
+    rows = df.select(*(F.col(name).alias(x) for x, name in zip(names, kept, strict=True)), *more)
+    schema = ", ".join([*(f"{x} {k}" for x, k in zip(names, kept.values(), strict=True)), "_score double"])
     return rows.mapInArrow(run, schema).toDF(*kept, "score")
 
 
