@@ -306,8 +306,8 @@ def deduplicated(df: DataFrame, sim: Similarity = Similarity(), id_col: str = "d
     keyed = df.withColumn("_text_key", F.xxhash64(F.col(text_col).cast("string")))
     same = lambda x: keyed[id_col].eqNullSafe(x["_id"]) & (keyed["_text_key"] == x["_key"])
     again = gone.where("_again")
-    kept = keyed.join(few(gone), same(gone), "left_anti").select(*df.columns)
-    once = keyed.join(few(again), same(again), "left_semi").dropDuplicates([id_col, "_text_key"]).select(*df.columns)
+    kept = keyed.join(few(gone), same(gone), "left_anti").select(*(f"`{c}`" for c in df.columns))
+    once = keyed.join(few(again), same(again), "left_semi").dropDuplicates([id_col, "_text_key"]).select(*(f"`{c}`" for c in df.columns))
     return kept.union(once)
 
 

@@ -94,32 +94,32 @@ def mix(df: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "
     spark = df.sparkSession
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = df.withColumns({"_source": source, "_n_tokens": F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long"), "_block": F.substring(F.md5(ident.cast("binary")), 1, target.digits)})
-    blocks = stored(spark, rows.groupBy("_source", "_block").agg(F.sum("_n_tokens").alias("_tokens")), "mixing-blocks")
-    sizes = [(r[0], r[1]) for r in blocks.groupBy("_source").agg(F.sum("_tokens").alias("n")).orderBy("_source").limit(MOST_SOURCES + 1).collect()]
+    rows = df.withColumns({"__source": source, "_n_tokens": F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long"), "__block": F.substring(F.md5(ident.cast("binary")), 1, target.digits)})
+    blocks = stored(spark, rows.groupBy("__source", "__block").agg(F.sum("_n_tokens").alias("__tokens")), "mixing-blocks")
+    sizes = [(r[0], r[1]) for r in blocks.groupBy("__source").agg(F.sum("__tokens").alias("n")).orderBy("__source").limit(MOST_SOURCES + 1).collect()]
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     total = [n for _, n in sizes]
     spent = budgets(total, target if target.budget != -1 else Target(target.entropy, target.repetition, sum(total), target.digits, target.seed))
     parts = [(s, b // n if n else 0, b % n if n else 0) for (s, n), b in zip(sizes, spent, strict=True)]
     # a plain join: Spark sees the size of these rows and broadcasts them where they are few
-    epochs = spark.createDataFrame(parts, "_source string, _full long, _rest long").withColumn("_epoch", F.explode(F.expr("sequence(0, greatest(0, cast(_full as int) - if(_rest = 0 AND _full > 0, 1, 0)))")))
-    deal = blocks.join(epochs, "_source")
-    key = F.md5(F.concat_ws(":", F.lit(target.seed), "_epoch", "_source", "_block").cast("binary"))
-    order = Window.partitionBy("_source", "_epoch").orderBy(key, "_block")
-    before = F.coalesce(F.sum("_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    deal = deal.withColumns({"_position": F.row_number().over(order), "_room": F.col("_rest") - before})
-    whole = (F.col("_epoch") < F.col("_full")) | (F.col("_room") >= F.col("_tokens"))
-    deal = deal.withColumn("_whole", whole).where("_whole OR _room > 0").select("_source", "_block", "_epoch", "_position", "_room", "_whole")
+    epochs = spark.createDataFrame(parts, "__source string, __full long, __rest long").withColumn("_epoch", F.explode(F.expr("sequence(0, greatest(0, cast(__full as int) - if(__rest = 0 AND __full > 0, 1, 0)))")))
+    deal = blocks.join(epochs, "__source")
+    key = F.md5(F.concat_ws(":", F.lit(target.seed), "_epoch", "__source", "__block").cast("binary"))
+    order = Window.partitionBy("__source", "_epoch").orderBy(key, "__block")
+    before = F.coalesce(F.sum("__tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    deal = deal.withColumns({"_position": F.row_number().over(order), "__room": F.col("__rest") - before})
+    whole = (F.col("_epoch") < F.col("__full")) | (F.col("__room") >= F.col("__tokens"))
+    deal = deal.withColumn("__whole", whole).where("__whole OR __room > 0").select("__source", "__block", "_epoch", "_position", "__room", "__whole")
     deal = stored(spark, deal, "mixing-plan")
-    n_whole, n_cut = (deal.where(f"_whole = {x}").count() for x in ("true", "false"))
+    n_whole, n_cut = (deal.where(f"__whole = {x}").count() for x in ("true", "false"))
     few = (lambda x: F.broadcast(x)) if n_whole <= BROADCAST_ROWS and n_cut <= BROADCAST_ROWS else (lambda x: x)
-    taken = rows.join(few(deal.where("_whole")), ["_source", "_block"])
+    taken = rows.join(few(deal.where("__whole")), ["__source", "__block"])
     # of cut blocks (one a source at most) rows are taken while the room isn't filled: the last one may go beyond it
-    cut = rows.join(few(deal.where("NOT _whole")), ["_source", "_block"])
-    ranked = Window.partitionBy("_source", "_block", "_epoch").orderBy(F.md5(F.concat_ws(":", F.lit(target.seed), "_epoch", ident).cast("binary")), "_n_tokens", F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("_before", F.coalesce(F.sum("_n_tokens").over(ranked), F.lit(0))).where("_before < _room")
-    names = [*df.columns, "_n_tokens", "_epoch", "_position"]
+    cut = rows.join(few(deal.where("NOT __whole")), ["__source", "__block"])
+    ranked = Window.partitionBy("__source", "__block", "_epoch").orderBy(F.md5(F.concat_ws(":", F.lit(target.seed), "_epoch", ident).cast("binary")), "_n_tokens", F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("__before", F.coalesce(F.sum("_n_tokens").over(ranked), F.lit(0))).where("__before < __room")
+    names = [*(f"`{c}`" for c in df.columns), "_n_tokens", "_epoch", "_position"]
     return taken.select(*names).union(cut.select(*names))
 
 

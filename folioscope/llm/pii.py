@@ -210,13 +210,18 @@ def scan(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFra
 
     arrow_limits(df.sparkSession)
     more = [F.col(text_col).cast("string").alias("_text")] if text == "_text" else []
-    rows = df.select(*(F.col(name).alias(x) for x, name in zip(names, kept, strict=True)), *more)
+    rows = df.select(*(F.col(f"`{name}`").alias(x) for x, name in zip(names, kept, strict=True)), *more)
     return rows.mapInArrow(run, ", ".join([*(f"{x} {k}" for x, k in zip(names, kept.values(), strict=True)), SCAN]))
 
 
-def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, how: Bootstrap = Bootstrap()) -> DataFrame:
-    """Each row's id and carried columns, with seeds (the strict spans) and found (new ones): arrays of (s, e, kind)."""
-    spark, carry = df.sparkSession, list(carry or [])
+def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame:
+    """Each row's id with seeds (the strict spans) and found (new ones): arrays of (s, e, kind)."""
+    return _extracted(df, id_col, text_col, [], how).select(F.col("_0").alias(id_col), "seeds", "found")
+
+
+def _extracted(df: DataFrame, id_col: str, text_col: str, carry: list[str], how: Bootstrap) -> DataFrame:
+    """_0, _1, ... (id and carried columns), seeds and found of each row."""
+    spark = df.sparkSession
     scanned = stored(spark, scan(df, id_col, text_col, carry), "pii-scan")
     edges = scanned.select(F.explode("edges").alias("x")).select("x.*")
     good = score_patterns(edges, how).where((F.col("confidence") >= how.confidence) & (F.col("support") >= how.support)).select("kind", "context")
@@ -224,7 +229,7 @@ def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     hits = loose.join(good, ["kind", "context"]).select("uid", F.struct("s", "e", "kind").alias("span"))
     # written first: its true size then decides between broadcast and shuffle below
     found = stored(spark, hits.groupBy("uid").agg(F.array_sort(F.collect_set("span")).alias("found")), "pii-found")
-    names = [F.col(f"_{i}").alias(name) for i, name in enumerate([id_col, *carry])]
+    names = [f"_{i}" for i in range(len(carry) + 1)]
     none = F.array().cast("array<struct<s:int,e:int,kind:string>>")
     return scanned.join(found, "uid", "left").select(*names, "seeds", F.coalesce("found", none).alias("found"))
 
@@ -255,23 +260,22 @@ def masked_text(text: str | None, spans: list) -> str | None:
 
 def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame:
     """df with every found span masked in its text; all rows and columns stay."""
-    others = [c for c in df.columns if c != id_col]
-    found = extract(df, id_col, text_col, others, how)
-    field = df.schema[text_col]
+    if df.schema[text_col].dataType.simpleString() != "string":
+        raise TypeError(f"{text_col} must be a string column")
+    columns = [id_col, *(c for c in df.columns if c != id_col)]
+    names = [f"_{i}" for i in range(len(columns))]
+    found = _extracted(df, id_col, text_col, columns[1:], how)
+    place = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i = b.schema.get_field_index(text_col)
-            spans = b.column("_spans").to_pylist()
-            texts = b.column(text_col).to_pylist()
-            new = [masked_text(t, [(x["s"], x["e"], x["kind"]) for x in v or []]) for t, v in zip(texts, spans, strict=True)]
-            yield b.set_column(i, text_col, pa.array(new, pa.string())).drop_columns(["_spans"])
-
-    touched = F.concat("seeds", "found")
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns)
-    if field.dataType.simpleString() != "string":
-        raise TypeError(f"{text_col} must be a string column")
-    return found.select(*df.columns, touched.alias("_spans")).mapInArrow(run, schema)
+            spans = b.column("spans").to_pylist()
+            new = [masked_text(t, [(x["s"], x["e"], x["kind"]) for x in v or []]) for t, v in zip(b.column(place).to_pylist(), spans, strict=True)]
+            yield b.set_column(place, names[place], pa.array(new, pa.string())).drop_columns(["spans"])
+
+    schema = ", ".join(f"{x} {df.schema[c].dataType.simpleString()}" for x, c in zip(names, columns, strict=True))
+    out = found.select(*names, F.concat("seeds", "found").alias("spans")).mapInArrow(run, schema).toDF(*columns)
+    return out.select(*(f"`{c}`" for c in df.columns))
 
 
 def op10_contextual_pii(spark, sf_dir: str) -> DataFrame:

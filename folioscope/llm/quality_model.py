@@ -182,7 +182,7 @@ def score(df: DataFrame, net: Attention, id_col: str = "doc_id", text_col: str =
 
     arrow_limits(df.sparkSession)
     more = [F.col(text_col).cast("string").alias("_text")] if text == "_text" else []
-    rows = df.select(*(F.col(name).alias(x) for x, name in zip(names, kept, strict=True)), *more)
+    rows = df.select(*(F.col(f"`{name}`").alias(x) for x, name in zip(names, kept, strict=True)), *more)
     schema = ", ".join([*(f"{x} {k}" for x, k in zip(names, kept.values(), strict=True)), "_score double"])
     return rows.mapInArrow(run, schema).toDF(*kept, "score")
 
