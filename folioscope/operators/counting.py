@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.operators.longform import as_list, list_column, long, ranked
 
 #: Tokens of text: two word characters or more, in small letters.
-TOKEN = r"\b\w\w+\b"
+TOKEN = r"(?U)\b\w\w+\b"
 
 
 def tokens(column: str, pattern: str = TOKEN):

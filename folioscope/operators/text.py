@@ -52,7 +52,7 @@ def query_column(query: str | tuple, text: Column) -> Column:
     """The query as one column expression; null texts match nothing."""
     tree = parse_query(query) if isinstance(query, str) else query
     if tree[0] == "term":
-        return F.coalesce(text.rlike(f"(?i){tree[1]}"), F.lit(False))
+        return F.coalesce(text.rlike(f"(?iU){tree[1]}"), F.lit(False))
     parts = [query_column(t, text) for t in tree[1:]]
     out = parts[0]
     for p in parts[1:]:

@@ -91,8 +91,13 @@ def _goals(s, d):
     return text.goals(table(s, d, "documents").select("doc_id", "text"), "text", GOALS, VIEWS)
 
 
-_G = r"""WITH g0 AS (SELECT doc_id, (regexp_matches(text, '(?i)\bthe\b') AND (regexp_matches(text, '(?i)\bwas\b') OR regexp_matches(text, '(?i)\bis\b')))::INT::BIGINT AS goal_1, (regexp_matches(text, '(?i)\bof\s+the\b') OR regexp_matches(text, '(?i)\bing\w*\b'))::INT::BIGINT AS goal_2,
-(regexp_matches(text, '(?i)\band\b') AND regexp_matches(text, '(?i)\bNOTAWORD\b'))::INT::BIGINT AS goal_3, (regexp_matches(text, '(?i)\bde\b') OR regexp_matches(text, '(?i)\bder\b'))::INT::BIGINT AS goal_4 FROM documents), g AS (SELECT *, greatest(goal_1, goal_2, goal_3) AS perspective_english, goal_4 AS perspective_other, greatest(goal_1, goal_2, goal_3, goal_4) AS any_goal FROM g0)"""
+def _word(pattern: str) -> str:
+    """A whole word in SQL, with letters of all scripts as word characters."""
+    return rf"regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_]){pattern}($|[^\p{{L}}\p{{N}}_])')"
+
+
+_G = rf"""WITH g0 AS (SELECT doc_id, ({_word("the")} AND ({_word("was")} OR {_word("is")}))::INT::BIGINT AS goal_1, ({_word(r"of\s+the")} OR {_word(r"ing[\p{L}\p{N}_]*")})::INT::BIGINT AS goal_2,
+({_word("and")} AND {_word("NOTAWORD")})::INT::BIGINT AS goal_3, ({_word("de")} OR {_word("der")})::INT::BIGINT AS goal_4 FROM documents), g AS (SELECT *, greatest(goal_1, goal_2, goal_3) AS perspective_english, goal_4 AS perspective_other, greatest(goal_1, goal_2, goal_3, goal_4) AS any_goal FROM g0)"""
 query("goal_flags", lambda s, d: _goals(s, d).drop("text"), _G + " SELECT * FROM g")
 query("goal_cooccurrence", lambda s, d: _goals(s, d).select(F.explode(F.expr("filter(flatten(transform(array('goal_1','goal_2','goal_3','goal_4'), x -> transform(array('goal_1','goal_2','goal_3','goal_4'), y -> if(x < y AND element_at(map('goal_1', goal_1, 'goal_2', goal_2, 'goal_3', goal_3, 'goal_4', goal_4), x) = 1 AND element_at(map('goal_1', goal_1, 'goal_2', goal_2, 'goal_3', goal_3, 'goal_4', goal_4), y) = 1, struct(x AS a, y AS b), NULL)))), z -> z IS NOT NULL)")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")), _G + ", u AS (SELECT doc_id, name, v FROM g UNPIVOT (v FOR name IN (goal_1, goal_2, goal_3, goal_4)) WHERE v = 1) SELECT x.name AS a, y.name AS b, count(*)::BIGINT AS n FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.name < y.name GROUP BY ALL")
 query("bridge_scores", lambda s, d: _goals(s, d).select("doc_id", text.bridge_score(list(GOALS), VIEWS).alias("score")), _G + ", p AS (SELECT *, goal_1 + goal_2 + goal_3 + goal_4 AS n, list_filter([CASE WHEN goal_1 = 1 THEN 0 END, CASE WHEN goal_2 = 1 THEN 1 END, CASE WHEN goal_3 = 1 THEN 2 END, CASE WHEN goal_4 = 1 THEN 3 END], lambda x: x IS NOT NULL) AS l FROM g) SELECT doc_id, 0.3 * least(n / 5.0::DOUBLE, 1) + 0.4 * (perspective_english + perspective_other) / 2 + 0.3 * CASE WHEN n > 1 THEN (list_max(l) - list_min(l)) / 3.0::DOUBLE ELSE 0 END AS score FROM p", "score")
