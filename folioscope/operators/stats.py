@@ -249,3 +249,25 @@ def team_sizes(df: DataFrame) -> DataFrame:
 def percentile_ranks(df: DataFrame, value: str, within: list[str]) -> DataFrame:
     """Mean-rank percentiles of a value within groups."""
     return df.withColumn("percentile", average_rank(value, within) / F.count("*").over(Window.partitionBy(*within)) * 100)
+
+
+def ks_normal(df: DataFrame, value: str) -> DataFrame:
+    """One row: n, mean, sd and the Kolmogorov-Smirnov distance to the normal distribution of that mean and deviation, over a histogram of the distinct values.
+    The normal distribution function is Abramowitz and Stegun's approximation 7.1.26 (error below 1.5e-7)."""
+    x = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    hist = x.groupBy("x").agg(F.count("*").alias("k"))
+    run = F.sum("k").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    one = x.agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    n, m, s = (one.select(c).scalar() for c in ("n", "m", "s"))
+    t = hist.select(((F.col("x") - m) / s / math.sqrt(2)).alias("z"), (run / n).alias("high"), ((run - F.col("k")) / n).alias("low"), n.alias("n"), m.alias("mean"), s.alias("sd"))
+    a = F.abs("z")
+    u = 1 / (1 + 0.3275911 * a)
+    erf = 1 - ((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * F.exp(-a * a)
+    cdf = 0.5 * (1 + F.signum("z") * erf)
+    return t.agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("sd").alias("sd"), F.max(F.greatest(F.abs(F.col("high") - cdf), F.abs(F.col("low") - cdf))).alias("distance"))
+
+
+def jarque_bera(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """(by, n, statistic): n / 6 * (skewness^2 + kurtosis^2 / 4)."""
+    d = descriptives(df, value, by)
+    return d.select(*([by] if by else []), "n", (F.col("n") / 6 * (F.col("skewness") * F.col("skewness") + F.col("kurtosis") * F.col("kurtosis") / 4)).alias("statistic"))

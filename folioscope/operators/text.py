@@ -198,3 +198,28 @@ def sentiment(df: DataFrame, text: str, positive: list[str] = POSITIVE, negative
     t = df.select("doc_id", F.size(w).alias("words"), n(positive).alias("p"), n(negative).alias("n"), n(hedges).alias("h"))
     polarity = F.when(F.col("p") + F.col("n") > 0, (F.col("p") - F.col("n")) / (F.col("p") + F.col("n"))).otherwise(0.0)
     return t.select("doc_id", polarity.alias("polarity"), F.when(F.col("words") > 0, F.col("h") / F.col("words")).otherwise(0.0).alias("hedging"), F.when(polarity > 0.1, "positive").when(polarity < -0.1, "negative").otherwise("neutral").alias("tone"))
+
+#: Patterns of sentences and entities; callers may pass their own.
+CLAIMS = r"\b(?:we|our results?|this (?:paper|study)) (?:show|demonstrate|find|found|propose|prove|suggest|confirm)\w*\b"
+QUESTIONS = r"\b(?:research question|we (?:ask|investigate|examine)|aims? (?:of|to)|objective|hypothes[ie]s)\b"
+ENTITIES = {"year": r"\b(?:19|20)\d{2}\b", "percent": r"\b\d+(?:\.\d+)?\s?%", "p_value": r"\bp\s*[<=>]\s*0?\.\d+", "acronym": r"\b[A-Z]{2,6}\b", "email": r"[\w.+-]+@[\w-]+\.[\w.]+"}
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text: split after a full stop, question or exclamation mark and white space."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def matching_sentences(df: DataFrame, text: str, pattern: str = CLAIMS) -> DataFrame:
+    """(doc_id, place, sentence) of sentences that match, in any case."""
+    return df.select("doc_id", F.posexplode(sentences(F.col(text))).alias("place", "sentence")).where(F.col("sentence").rlike(f"(?i){pattern}"))
+
+
+def entities(df: DataFrame, text: str, patterns: dict[str, str] = ENTITIES) -> DataFrame:
+    """(doc_id, kind, value, n) of what the patterns find."""
+    found = F.flatten(F.array(*(_tagged(text, k, p) for k, p in patterns.items())))
+    return df.where(F.col(text).isNotNull()).select("doc_id", F.explode(found).alias("x")).groupBy("doc_id", "x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+def _tagged(text: str, kind: str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))

@@ -230,3 +230,32 @@ def test_lookup(spark):
 def test_long(spark):
     df = spark.createDataFrame([(1, "a; b; a")], "doc_id int, s string")
     assert [r["item"] for r in rows(long(df, "s"))] == ["a", "b"] and len(rows(long(df, "s", distinct=False))) == 3
+
+
+def test_communities(spark):
+    from folioscope.operators import communities
+
+    edges = [(a, b, 1.0) for g in (0, 10, 20) for a in range(g, g + 5) for b in range(a + 1, g + 5)] + [(0, 10, 1.0), (10, 20, 1.0)]
+    c = communities.louvain(edges)
+    assert len(set(c.values())) == 3 and all(len({c[i] for i in range(g, g + 5)}) == 1 for g in (0, 10, 20))
+    assert communities.louvain([]) == {}
+    old = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "b"), (8, "x")], "node int, community string")
+    new = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (6, "A"), (7, "A"), (4, "B"), (5, "B"), (9, "N")], "node int, community string")
+    got = {(r["old"], r["new"]): r["event"] for r in rows(communities.evolution(old, new))}
+    assert got == {("a", "A"): "growth", ("b", "B"): "stable", ("x", None): "death", (None, "N"): "birth"}
+    w = spark.createDataFrame([("a", "b", 4.0), ("b", "d", 4.0), ("a", "c", 1.0), ("d", "e", 3.0)], "src string, dst string, spc double")
+    assert rows(communities.key_routes(w))[0]["route"] == ["a", "b", "d", "e"]
+
+
+def test_evaluation(spark):
+    from folioscope.operators import evaluation
+
+    cells = spark.createDataFrame([("r1", "c1", 10), ("r1", "c2", 1), ("r2", "c1", 1), ("r2", "c2", 10), ("r3", "c1", 5), ("r3", "c2", 6)], "a string, b string, n int")
+    ca = {r["item"]: r["coordinates"][0] for r in rows(evaluation.correspondence(cells, "a", "b"))}
+    assert ca["r1"] * ca["r2"] < 0 and ca["r1"] * ca["c1"] > 0 and abs(ca["r3"]) < abs(ca["r1"])
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["good", "fine"] if i % 2 else ["poor", "sad"]) for _ in range(8)), i % 2) for i in range(120)], "doc_id int, t string, y int")
+    cv = rows(evaluation.cross_validate(docs, "t", "y", 3, 50))
+    assert sum(r["n"] for r in cv) == 120 and all(r["accuracy"] > 0.95 for r in cv)
+    x = spark.createDataFrame([(float(v),) for v in range(200)], "v double")
+    assert 0.04 < rows(stats.ks_normal(x, "v"))[0]["distance"] < 0.08
