@@ -1,13 +1,16 @@
-"""Scoring texts with a smoothed bigram model kept in Elias-Fano tries.
+"""Scoring texts with a smoothed trigram model kept in Elias-Fano tries.
 
-Tokens are words (A-Z in small letters) and one end for each text. p(w | u) = (c(u, w) + mu p(w)) / (c(u) + mu) with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)):
-the first summand, c(u, w) / (c(u) + mu), is quantised in the second level of a trie, mu / (c(u) + mu) in its first.
+Tokens are words (A-Z in small letters) and one end for each text. With counts c of the training texts:
+    p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),  p(w | u) = (c(u, w) + mu p(w)) / (c(u) + mu),  p(w | t, u) = (c(t, u, w) + nu p(w | u)) / (c(t, u) + nu),
+the last only where c(t, u) is at least LEAST, else p(w | u). Each context is a node of a trie: its weight left to the shorter context, mu / (c(u) + mu), and the
+first summands of its successors are quantised there.
 
-The corpus is read in slices of about SLICE bytes of text. Three passes:
+The corpus is read in slices of about SLICE bytes of text. Four passes:
 1. Each slice sends the hashes and training counts of its distinct words to hash ranges, which add them up and answer each slice.
 2. Each slice sends its distinct bigrams (32-bit prints) to shards by context; very frequent contexts are spread over several shards by successor.
    A shard builds its trie from the training counts of all slices, writes it to the shared folder, maps it into memory and looks up the bigrams of every slice.
-3. Each slice puts the answers together into sums for its documents.
+3. The same for trigrams, their contexts being the bigrams.
+4. Each slice puts the answers together into sums for its documents.
 Answers are files in the shared folder, one for each slice; a task that runs again writes the same bytes. All passes must deal the same rows to the same
 tasks in the same order, as scans of files do; a slice whose answer doesn't fit stops with an error.
 
@@ -34,7 +37,9 @@ from folioscope.llm.common import arrow_limits, crc_mod, shared_dir, slices, tab
 from folioscope.llm.elias_fano import Trie, quantised, restored
 from folioscope.llm.shingles import mixed, words
 
-SLICE = 8 << 20
+SLICE = 6 << 20
+#: Bigrams met less often in training are no contexts of trigrams.
+LEAST = 2
 #: Input bytes (as Spark estimates them) for each hash range or shard.
 RANGE_BYTES = 2 << 20
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\n end"))
@@ -43,11 +48,12 @@ BEGIN_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\n begin"))
 
 @dataclass(frozen=True)
 class Plan:
-    """What all tasks know: the folder, the number of ranges, the prior's mass mu and, after the first pass, N and V."""
+    """What all tasks know: the folder, the number of ranges, the priors' masses and, after the first pass, N and V."""
 
     folder: str
     ranges: int
     mu: float = 1000.0
+    nu: float = 30.0
     total: int = 0
     kinds: int = 0
 
@@ -135,23 +141,46 @@ class Slice:
         out[self.end + 1] = out[self.end]
         return out
 
-    def bigrams(self, plan: Plan, counts: np.ndarray) -> dict[str, np.ndarray]:
-        """Distinct bigrams sorted by shard and prints; which of them each token is."""
-        keys, inverse = np.unique(self.before * (self.end + 2) + self.codes, return_inverse=True)
-        context, word = np.divmod(keys, self.end + 2)
-        spread = plan.spread(counts)
+    def grouped(self, plan: Plan, context: np.ndarray, word: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> Grams:
+        """Distinct (context, word) of the tokens given, sorted by shard and prints. context: numbers into hashes and counts; word: codes."""
+        keys, inverse = np.unique(context * (self.end + 2) + word, return_inverse=True)
+        own, successor = np.divmod(keys, self.end + 2)
+        spread = plan.spread(counts)[own]
         with np.errstate(over="ignore"):
-            home = mixed(self.hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+            home = mixed(hashes[own] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
             prints = mixed(home)
-            part = self.hashes[word] % spread[context].astype(np.uint64)
-            shard = plan.range_of(mixed(home[context] + part * np.uint64(0x9E3779B97F4A7C15)))
-        context_print = prints[context] & np.uint64(0xFFFFFFFF)
-        word_print = self.hashes[word] & np.uint64(0xFFFFFFFF)
-        pair = context_print << np.uint64(32) | word_print
+            part = self.hashes[successor] % spread.astype(np.uint64)
+            shard = plan.range_of(mixed(home + part * np.uint64(0x9E3779B97F4A7C15)))
+        pair = (prints & np.uint64(0xFFFFFFFF)) << np.uint64(32) | (self.hashes[successor] & np.uint64(0xFFFFFFFF))
         order = np.lexsort((pair, shard))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return {"shard": shard[order], "pair": pair[order], "context": context[order], "word": word[order], "spread": spread, "token": place[inverse.ravel()]}
+        return Grams(shard[order], pair[order], own[order], successor[order], (spread > 1)[order], place[inverse.ravel()])
+
+    def bigrams(self, plan: Plan, counts: np.ndarray) -> Grams:
+        """Every token with the one before."""
+        return self.grouped(plan, self.before, self.codes, self.hashes, counts)
+
+    def trigrams(self, plan: Plan, two: Grams, counts: np.ndarray) -> tuple[Grams, np.ndarray]:
+        """Tokens whose two tokens before are a context, with that bigram (counts: of bigrams); and which tokens they are."""
+        context = np.zeros_like(two.token)
+        context[1:] = two.token[:-1]
+        chosen = np.flatnonzero((self.before != self.end + 1) & (counts[context] >= LEAST))
+        with np.errstate(over="ignore"):
+            hashes = mixed(mixed(self.hashes[two.context]) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[two.word])
+        return self.grouped(plan, context[chosen], self.codes[chosen], hashes, counts), chosen
+
+
+@dataclass
+class Grams:
+    """Distinct n-grams in order of shard and prints: numbers of their contexts, codes of their words, whether the context is spread; token: the place of each token's."""
+
+    shard: np.ndarray
+    pair: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    wide: np.ndarray
+    token: np.ndarray
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
@@ -166,15 +195,17 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
         yield Slice(f"{part}-{number}", held)
 
 
-def _write_answer(folder: str, kind: str, item: str) -> Callable[[pa.Table], pa.Table]:
-    """For one slice: its ranges' answers in order, as one file."""
+def _write_answer(folder: str, kinds: dict[str, tuple[str, str]]) -> Callable[[pa.Table], pa.Table]:
+    """For one slice: its ranges' answers in order, as a file for each column: {column: (file's kind, item)}."""
 
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by("range")
-        whole = np.concatenate([_unpack(x, item) for x in part.column("answer").to_pylist()])
-        name = part.column("slice")[0].as_py()
-        put_file(folder, f"{kind}-{name}", _pack(whole))
-        return pa.table({"slice": [name], "n": pa.array([len(whole)], pa.int64())})
+        name, n = part.column("slice")[0].as_py(), 0
+        for column, (kind, item) in kinds.items():
+            whole = np.concatenate([_unpack(x, item) for x in part.column(column).to_pylist()])
+            put_file(folder, f"{kind}-{name}", _pack(whole))
+            n = len(whole)
+        return pa.table({"slice": [name], "n": pa.array([n], pa.int64())})
 
     return run
 
@@ -207,27 +238,59 @@ def _word_range(part: pa.Table) -> pa.Table:
     return pa.table({"slice": part.column("slice"), "range": part.column("range"), "answer": pa.array([_pack(answer[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "total": pa.array(sums, pa.int64()), "kinds": pa.array(kinds, pa.int64())})
 
 
+GRAMS = "slice string, range int, contexts binary, sizes binary, words binary, counts binary, known binary"
+
+
+def _sent(plan: Plan, name: str, g: Grams, met: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each shard: its n-grams, their training counts here (met), and the whole counts of contexts that are spread."""
+    context, word = (g.pair >> np.uint64(32)).astype(np.uint32), g.pair.astype(np.uint32)
+    cuts = np.searchsorted(g.shard, np.arange(plan.ranges + 1))
+    rows = []
+    for r in range(plan.ranges):
+        a, b = cuts[r], cuts[r + 1]
+        if a == b:
+            continue
+        first = np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
+        size = np.diff(np.concatenate([first, [b - a]])).astype(np.uint32)
+        wide = first[g.wide[a:b][first]]
+        # a context that is spread brings its whole count, others are added up in their shard
+        known = np.stack([context[a:b][wide].astype(np.int64), counts[g.context[a:b][wide]]])
+        rows.append((r, context[a:b][first].tobytes(), _pack(size), word[a:b].tobytes(), _pack(met[a:b]), known.tobytes()))
+    columns = [pa.array([name] * len(rows), pa.string()), pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 6))]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in GRAMS.split(", ")])
+
+
+def _fitting(a: np.ndarray, n: int) -> np.ndarray:
+    if len(a) != n:
+        raise RuntimeError("the passes were dealt different rows")
+    return a
+
+
+def _counted(plan: Plan, s: Slice) -> tuple[np.ndarray, Grams]:
+    counts = s.counts_from(_unpack(get_file(plan.folder, f"words-{s.name}"), "<u8"))
+    return counts, s.bigrams(plan, counts)
+
+
+def _pair_counts(plan: Plan, s: Slice, two: Grams) -> np.ndarray:
+    return _fitting(_unpack(get_file(plan.folder, f"counts-{s.name}"), "<u4"), len(two.pair)).astype(np.int64)
+
+
 def _bigram_pass(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches):
-            counts = s.counts_from(_unpack(get_file(plan.folder, f"words-{s.name}"), "<u8"))
-            g = s.bigrams(plan, counts)
-            met = np.bincount(g["token"][s.trains], minlength=len(g["pair"])).astype(np.uint32)
-            context, word = (g["pair"] >> np.uint64(32)).astype(np.uint32), g["pair"].astype(np.uint32)
-            cuts = np.searchsorted(g["shard"], np.arange(plan.ranges + 1))
-            rows = []
-            for r in range(plan.ranges):
-                a, b = cuts[r], cuts[r + 1]
-                if a == b:
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
-                size = np.diff(np.concatenate([first, [b - a]])).astype(np.uint32)
-                own = g["context"][a:b][first]
-                wide = np.flatnonzero(g["spread"][own] > 1)
-                # a context that is spread brings its whole count, others are added up in their shard
-                known = np.stack([context[a:b][first][wide].astype(np.int64), counts[own[wide]]])
-                rows.append((r, context[a:b][first].tobytes(), _pack(size), word[a:b].tobytes(), _pack(met[a:b]), known.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([s.name] * len(rows), pa.string()), pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 6))], ["slice", "range", "contexts", "sizes", "words", "counts", "known"])
+            counts, two = _counted(plan, s)
+            yield _sent(plan, s.name, two, np.bincount(two.token[s.trains], minlength=len(two.pair)).astype(np.uint32), counts)
+
+    return run
+
+
+def _trigram_pass(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _slices(batches):
+            _, two = _counted(plan, s)
+            counts = _pair_counts(plan, s, two)
+            three, chosen = s.trigrams(plan, two, counts)
+            yield _sent(plan, s.name, three, np.bincount(three.token[s.trains[chosen]], minlength=len(three.pair)).astype(np.uint32), counts)
 
     return run
 
@@ -246,7 +309,13 @@ def build_trie(pairs: np.ndarray, counts: np.ndarray, known: np.ndarray, mu: flo
     return Trie.of(context, word, log, np.log10(mu / (own + mu)))
 
 
-def _shard(plan: Plan):
+ANSWERS = "slice string, range int, codes binary, counts binary"
+
+
+def _shard(plan: Plan, order: int):
+    """Builds a shard's trie of bigrams or trigrams and answers every slice: codes and corpus counts of its n-grams."""
+    prior = plan.mu if order == 2 else plan.nu
+
     def run(part: pa.Table) -> pa.Table:
         r = part.column("range")[0].as_py()
         pairs = []
@@ -257,11 +326,15 @@ def _shard(plan: Plan):
         distinct, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
         total = np.bincount(inverse, counts)
         seen = total > 0
-        put_file(plan.folder, f"trie-{r:08d}", build_trie(distinct[seen], total[seen], known, plan.mu).to_bytes())
-        trie = Trie.open(mapped(plan.folder, f"trie-{r:08d}"))
+        name = f"trie{order}-{r:08d}"
+        put_file(plan.folder, name, build_trie(distinct[seen], total[seen], known, prior).to_bytes())
+        trie = Trie.open(mapped(plan.folder, name))
         codes = trie.find(distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF))[0][inverse]
+        every = total[inverse].astype(np.uint32)
         cuts = np.cumsum([0, *map(len, pairs)])
-        return pa.table({"slice": part.column("slice"), "range": part.column("range"), "answer": pa.array([_pack(codes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        packed = [pa.array([_pack(x[a:b]) for a, b in spans], pa.binary()) for x in (codes, every)]
+        return pa.table([part.column("slice"), part.column("range"), *packed], names=["slice", "range", "codes", "counts"])
 
     return run
 
@@ -270,50 +343,56 @@ SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 
 def _score_pass(plan: Plan):
+    def weight(prior: float, counts: np.ndarray) -> np.ndarray:
+        """What a context leaves to the shorter one, quantised as the trie keeps it."""
+        return restored(quantised(np.log10(prior / (counts + prior))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches):
-            counts = s.counts_from(_unpack(get_file(plan.folder, f"words-{s.name}"), "<u8"))
-            g = s.bigrams(plan, counts)
-            codes = _unpack(get_file(plan.folder, f"bigrams-{s.name}"), "u1")
-            if len(codes) != len(g["pair"]):
-                raise RuntimeError("the passes were dealt different rows")
+            counts, two = _counted(plan, s)
             p = plan.unigram(counts)
-            # the weight left to the unigrams, quantised as the trie keeps it
-            left = restored(quantised(np.log10(plan.mu / (counts + plan.mu))))
-            log = np.log10(restored(codes) + left[g["context"]] * p[g["word"]])
+            codes = _fitting(_unpack(get_file(plan.folder, f"bigrams-{s.name}"), "u1"), len(two.pair))
+            model = (restored(codes) + weight(plan.mu, counts)[two.context] * p[two.word])[two.token]
+            pairs = _pair_counts(plan, s, two)
+            three, chosen = s.trigrams(plan, two, pairs)
+            if len(chosen):
+                codes = _fitting(_unpack(get_file(plan.folder, f"trigrams-{s.name}"), "u1"), len(three.pair))
+                model[chosen] = restored(codes)[three.token] + weight(plan.nu, pairs)[three.context][three.token] * model[chosen]
             n = len(s.ids)
             sums = lambda x: np.bincount(s.document, x, n)  # noqa: B023, E731
             own = counts[s.codes]
-            columns = [pa.array(np.bincount(s.document, minlength=n), pa.int64()), pa.array(sums(own > 0).astype(np.int64), pa.int64()), pa.array(sums(np.log10(p)[s.codes]), pa.float64()), pa.array(sums(log[g["token"]]), pa.float64())]
+            columns = [pa.array(np.bincount(s.document, minlength=n), pa.int64()), pa.array(sums(own > 0).astype(np.int64), pa.int64()), pa.array(sums(np.log10(p)[s.codes]), pa.float64()), pa.array(sums(np.log10(model)), pa.float64())]
             yield pa.RecordBatch.from_arrays([s.ids, s.held, *columns], ["id", "held", *(x.split()[0] for x in SCORES.split(", "))])
 
     return run
 
 
-def score(df: DataFrame, train, held, id_col: str = "doc_id", text_col: str = "text", mu: float = 1000.0) -> DataFrame:
+def score(df: DataFrame, train, held, id_col: str = "doc_id", text_col: str = "text", mu: float = 1000.0, nu: float = 30.0) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; train and held: boolean columns."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     arrow_limits(spark)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(held, F.lit(False)).alias("held"))
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    plan = Plan(f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}", int(min(1 << 20, max(64, estimate // RANGE_BYTES))), mu)
+    plan = Plan(f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}", int(min(1 << 20, max(64, estimate // RANGE_BYTES))), mu, nu)
 
     ranges = rows.mapInArrow(_word_pass(plan), "slice string, range int, hashes binary, counts binary").groupBy("range").applyInArrow(_word_range, "slice string, range int, answer binary, total long, kinds long")
     # totals come along with the answers, so that the counts are made once
     answers = ranges.groupBy("slice").applyInArrow(_word_answers(plan.folder), "slice string, total long, kinds long")
     total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    plan = Plan(plan.folder, plan.ranges, mu, total, kinds)
+    plan = Plan(plan.folder, plan.ranges, mu, nu, total, kinds)
 
-    shards = rows.mapInArrow(_bigram_pass(plan), "slice string, range int, contexts binary, sizes binary, words binary, counts binary, known binary").groupBy("range").applyInArrow(_shard(plan), "slice string, range int, answer binary")
-    shards.groupBy("slice").applyInArrow(_write_answer(plan.folder, "bigrams", "u1"), "slice string, n long").agg(F.sum("n")).collect()
+    for order, sent, name, more in ((2, _bigram_pass, "bigrams", {"counts": ("counts", "<u4")}), (3, _trigram_pass, "trigrams", {})):
+        answers = rows.mapInArrow(sent(plan), GRAMS).groupBy("range").applyInArrow(_shard(plan, order), ANSWERS)
+        written = answers.select("slice", "range", "codes", *more).groupBy("slice").applyInArrow(_write_answer(plan.folder, {"codes": (name, "u1"), **more}), "slice string, n long")
+        written.agg(F.sum("n")).collect()
 
     out = rows.mapInArrow(_score_pass(plan), f"id {kind}, held boolean, {SCORES}")
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _word_answers(folder: str) -> Callable[[pa.Table], pa.Table]:
-    write = _write_answer(folder, "words", "<u8")
+    write = _write_answer(folder, {"answer": ("words", "<u8")})
 
     def run(part: pa.Table) -> pa.Table:
         done = write(part)

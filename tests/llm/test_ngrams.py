@@ -41,39 +41,45 @@ def test_trie(tmp_path):
     assert not empty.find(c, w)[0].any()
 
 
-def plain(rows, train, mu):
+def plain(rows, train, mu, nu):
     toks = {i: (t or "").encode().lower().split() + [b"\n end"] for i, t in rows}
-    c, b, ctx = Counter(), Counter(), Counter()
+    c, b, ctx, t = Counter(), Counter(), Counter(), Counter()
     for i, w in toks.items():
         if i in train:
             c.update(w)
             b.update(zip([b"\n begin", *w[:-1]], w, strict=True))
             ctx.update([b"\n begin", *w[:-1]])
+            t.update(zip([b"\n begin", *w], w, w[1:], strict=False))
     n, v = sum(c.values()), len(c)
     p = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
     out = {}
     for i, w in toks.items():
         base = sum(math.log10(p(x)) for x in w)
-        model = sum(math.log10((b[u, x] + mu * p(x)) / (ctx[u] + mu)) for u, x in zip([b"\n begin", *w[:-1]], w, strict=True))
+        model, seen = 0.0, [b"\n begin", *w]
+        for k, x in enumerate(w):
+            q = (b[seen[k], x] + mu * p(x)) / (ctx[seen[k]] + mu)
+            if k and b[seen[k - 1], seen[k]] >= 2:
+                q = (t[seen[k - 1], seen[k], x] + nu * q) / (b[seen[k - 1], seen[k]] + nu)
+            model += math.log10(q)
         out[i] = (len(w), sum(c[x] > 0 for x in w), n, base, model)
     return out
 
 
-@pytest.mark.parametrize("mu", [3.0, 1000.0])
-def test_against_plain(spark, monkeypatch, mu):
+@pytest.mark.parametrize("mu,nu", [(3.0, 2.0), (1000.0, 30.0)])
+def test_against_plain(spark, monkeypatch, mu, nu):
     monkeypatch.setattr(ngram_model, "SLICE", 20_000)
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(0, 120)) if i % 17 else [None, "", "The THE the"][i % 3]) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
     df.count()
-    out = ngram_model.score(df, F.col("doc_id") % 5 != 1, F.col("doc_id") % 5 == 1, mu=mu).collect()
-    want = plain(rows, {i for i, _ in rows if i % 5 != 1}, mu)
+    out = ngram_model.score(df, F.col("doc_id") % 5 != 1, F.col("doc_id") % 5 == 1, mu=mu, nu=nu).collect()
+    want = plain(rows, {i for i, _ in rows if i % 5 != 1}, mu, nu)
     assert len(out) == len(rows)
     for r in out:
         n, known, total, base, model = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, total, r["doc_id"] % 5 == 1)
         assert abs(r["base_score"] - base) < 1e-6
-        assert abs(r["score"] - model) <= n * (12 / 254 / 2 + 1e-6)
+        assert abs(r["score"] - model) <= n * (2 * 12 / 254 / 2 + 1e-6)
 
 
 def test_odd_rows(odd, empty):
