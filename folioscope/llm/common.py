@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker holds at a time (a single longer text is held alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows in an Arrow batch between the JVM and a Python worker.
 BATCH_ROWS = 500
 
