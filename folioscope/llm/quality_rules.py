@@ -19,8 +19,8 @@ from folioscope.llm.common import arrow_limits, slices, table
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-#: A line of prose ends with one of these, perhaps before white space.
-TERMINAL = r"""[.!?…"'”’»)\]][\t\v\f\r ]*$"""
+#: A line of prose ends with one of these, perhaps before white space, or has a sentence's end inside (the last line of a cut text).
+TERMINAL = r"""[.!?…"'”’»)\]][\t\v\f\r ]*$|[.!?…] """
 NAVIGATION = "|>»•·"
 #: Lower-case phrases of legal, consent and page-furniture lines.
 BOILERPLATE = (
@@ -31,11 +31,11 @@ BOILERPLATE = (
 
 @dataclass(frozen=True)
 class Rules:
-    """A line fails where: it doesn't end like prose; it has NAVIGATION marks for a quarter of its words and two at least; it has a boilerplate phrase;
+    """A line fails where: it neither ends like prose nor has a sentence's end inside; it has NAVIGATION marks for a quarter of its words and two at least; it has 30 words at most and a boilerplate phrase;
     it has more than half as many symbols as words; of three words or more, capitals outnumber small letters (A-Z, a-z).
     A document fails where more than max_lost_percent of its word characters stand in failing lines."""
 
-    max_lost_percent: int = 50
+    max_lost_percent: int = 35
     min_words: int = 50
     max_repeat_percent: int = 50
     boilerplate: tuple[str, ...] = BOILERPLATE
@@ -52,7 +52,7 @@ def line_fault(line: str, n_words: int, rules: Rules) -> str | None:
         return "punctuation"
     if len(marks := _NAVIGATION.findall(line)) >= 2 and 4 * len(marks) >= n_words:
         return "navigation"
-    if any(x in line.lower() for x in rules.boilerplate):
+    if n_words <= 30 and any(x in line.lower() for x in rules.boilerplate):
         return "boilerplate"
     if 2 * len(_SYMBOLS.findall(line)) > n_words:
         return "symbols"
@@ -141,9 +141,9 @@ again AS (SELECT r, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest([0, 1,
 lines AS (SELECT r, pos, line, len(regexp_extract_all(line, '{_W}')) AS n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars
   FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)),
 judged AS (SELECT r, chars, row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS dup,
-  (NOT regexp_matches(line, '[.!?…"''”’»)\]][\x09\x0B\x0C\x0D ]*$')
+  (NOT regexp_matches(line, '[.!?…"''”’»)\]][\x09\x0B\x0C\x0D ]*$|[.!?…] ')
    OR (len(regexp_extract_all(line, '[|>»•·]')) >= 2 AND 4 * len(regexp_extract_all(line, '[|>»•·]')) >= n)
-   OR {_PHRASES}
+   OR n <= 30 AND ({_PHRASES})
    OR 2 * len(regexp_extract_all(line, '[#*$%&|<>]')) > n
    OR (n >= 3 AND len(regexp_extract_all(line, '[A-Z]')) > len(regexp_extract_all(line, '[a-z]')))) AS fault
   FROM lines WHERE n > 0),
@@ -152,5 +152,5 @@ base AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\
   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_chars
   FROM w LEFT JOIN sums USING (r) LEFT JOIN again USING (r))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 50 * word_chars AS kept FROM base
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 35 * word_chars AS kept FROM base
 """
