@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import arrow_limits, crc_mod, shared_dir, slices, table
+from folioscope.llm.common import arrow_limits, crc_mod, shared_dir, shuffles_dropped, slices, table
 from folioscope.llm.elias_fano import Trie, quantised, restored
 from folioscope.llm.shingles import mixed, words
 
@@ -379,13 +379,15 @@ def score(df: DataFrame, train, held, id_col: str = "doc_id", text_col: str = "t
     ranges = rows.mapInArrow(_word_pass(plan), "slice string, range int, hashes binary, counts binary").groupBy("range").applyInArrow(_word_range, "slice string, range int, answer binary, total long, kinds long")
     # totals come along with the answers, so that the counts are made once
     answers = ranges.groupBy("slice").applyInArrow(_word_answers(plan.folder), "slice string, total long, kinds long")
-    total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    with shuffles_dropped(spark):
+        total, kinds = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     plan = Plan(plan.folder, plan.ranges, mu, nu, total, kinds)
 
     for order, sent, name, more in ((2, _bigram_pass, "bigrams", {"counts": ("counts", "<u4")}), (3, _trigram_pass, "trigrams", {})):
         answers = rows.mapInArrow(sent(plan), GRAMS).groupBy("range").applyInArrow(_shard(plan, order), ANSWERS)
         written = answers.select("slice", "range", "codes", *more).groupBy("slice").applyInArrow(_write_answer(plan.folder, {"codes": (name, "u1"), **more}), "slice string, n long")
-        written.agg(F.sum("n")).collect()
+        with shuffles_dropped(spark):
+            written.agg(F.sum("n")).collect()
 
     out = rows.mapInArrow(_score_pass(plan), f"id {kind}, held boolean, {SCORES}")
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
