@@ -23,11 +23,11 @@ CASE WHEN (SELECT count(*) FROM c) > 1 THEN ((SELECT count(*) FROM c) - row_numb
 
 for _c in LISTS:
     query(
-        f"count_{_c}", lambda s, d, c=_c: counting.count_list(P(s, d), c),
+        f"count_{_c}", lambda s, d, c=_c: counting.count_list(P(s, d, c), c),
         _count_sql(f"SELECT item, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS share FROM {_c}", True), "fractional proportion percentage percent_rank",
     )
 for _name, _c in (("sources", "source"), ("document_types", "category"), ("ca_countries", "ca_country")):
-    query(f"count_{_name}", lambda s, d, c=_c: counting.count_single(P(s, d), c), _count_sql(f"SELECT {_c} AS item FROM pubs WHERE trim({_c}) <> ''", False), "proportion percentage percent_rank")
+    query(f"count_{_name}", lambda s, d, c=_c: counting.count_single(P(s, d, "base"), c), _count_sql(f"SELECT {_c} AS item FROM pubs WHERE trim({_c}) <> ''", False), "proportion percentage percent_rank")
 
 _DOC = "documents"
 _GRAMS = r"""g AS (SELECT r, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS item FROM (SELECT row_number() OVER () AS r, regexp_extract_all(lower(coalesce(p_name, '')), '\b\w\w+\b') AS w FROM part))"""
@@ -39,22 +39,22 @@ SELECT item, n_docs, n_total, row_number() OVER (ORDER BY n_docs DESC, item) AS
     "proportion percentage percent_rank",
 )
 query(
-    "entity_stats_authors", lambda s, d: counting.entity_stats(P(s, d), "authors"),
+    "entity_stats_authors", lambda s, d: counting.entity_stats(P(s, d, "authors"), "authors"),
     f"""WITH {PUBS}, t AS (SELECT item, cited_by, year, row_number() OVER (PARTITION BY item ORDER BY cited_by DESC) AS i FROM authors JOIN pubs USING (doc_id))
 SELECT item, count(*)::BIGINT AS n_docs, sum(cited_by)::BIGINT AS citations, avg(cited_by) AS mean_citations, min(year)::BIGINT AS first_year, max(year)::BIGINT AS last_year, sum((cited_by >= i)::INT)::BIGINT AS h FROM t GROUP BY item""",
     "mean_citations",
 )
 query(
-    "entity_stats_sources", lambda s, d: counting.entity_stats(P(s, d), "source", "single"),
+    "entity_stats_sources", lambda s, d: counting.entity_stats(P(s, d, "base"), "source", "single"),
     f"""WITH {PUBS}, t AS (SELECT source AS item, cited_by, year, row_number() OVER (PARTITION BY source ORDER BY cited_by DESC) AS i FROM pubs)
 SELECT item, count(*)::BIGINT AS n_docs, sum(cited_by)::BIGINT AS citations, avg(cited_by) AS mean_citations, min(year)::BIGINT AS first_year, max(year)::BIGINT AS last_year, sum((cited_by >= i)::INT)::BIGINT AS h FROM t GROUP BY item""",
     "mean_citations",
 )
-query("indicators_keywords", lambda s, d: counting.indicators(P(s, d).where("keywords IS NOT NULL"), "keywords", ["Brand#1", "Brand#2"]), f"""WITH {PUBS} SELECT doc_id, max((item = 'Brand#1')::INT)::BIGINT AS "Brand#1", max((item = 'Brand#2')::INT)::BIGINT AS "Brand#2" FROM keywords GROUP BY doc_id""")
-query("top_cited", lambda s, d: counting.top_cited(P(s, d), 10), f"WITH {PUBS} SELECT doc_id, year::BIGINT AS year, source, cited_by, cited_by / ((SELECT max(year) FROM pubs) - year + 1)::DOUBLE AS per_year FROM pubs ORDER BY cited_by DESC, doc_id LIMIT 10", "per_year")
-query("top_cited_per_year", lambda s, d: counting.top_cited(P(s, d), 10, True), f"WITH {PUBS} SELECT doc_id, year::BIGINT AS year, source, cited_by, cited_by / ((SELECT max(year) FROM pubs) - year + 1)::DOUBLE AS per_year FROM pubs ORDER BY per_year DESC, doc_id LIMIT 10", "per_year")
+query("indicators_keywords", lambda s, d: counting.indicators(P(s, d, "keywords").where("keywords IS NOT NULL"), "keywords", ["Brand#1", "Brand#2"]), f"""WITH {PUBS} SELECT doc_id, max((item = 'Brand#1')::INT)::BIGINT AS "Brand#1", max((item = 'Brand#2')::INT)::BIGINT AS "Brand#2" FROM keywords GROUP BY doc_id""")
+query("top_cited", lambda s, d: counting.top_cited(P(s, d, "base"), 10), f"WITH {PUBS} SELECT doc_id, year::BIGINT AS year, source, cited_by, cited_by / ((SELECT max(year) FROM pubs) - year + 1)::DOUBLE AS per_year FROM pubs ORDER BY cited_by DESC, doc_id LIMIT 10", "per_year")
+query("top_cited_per_year", lambda s, d: counting.top_cited(P(s, d, "base"), 10, True), f"WITH {PUBS} SELECT doc_id, year::BIGINT AS year, source, cited_by, cited_by / ((SELECT max(year) FROM pubs) - year + 1)::DOUBLE AS per_year FROM pubs ORDER BY per_year DESC, doc_id LIMIT 10", "per_year")
 query(
-    "production", lambda s, d: counting.production(P(s, d)),
+    "production", lambda s, d: counting.production(P(s, d, "base")),
     f"""WITH {PUBS}, y AS (SELECT year::BIGINT AS year, count(*)::BIGINT AS n_docs, sum(cited_by)::BIGINT AS citations FROM pubs GROUP BY year)
 SELECT year, n_docs, citations, n_docs / (SELECT count(*) FROM pubs)::DOUBLE AS share, (sum(n_docs) OVER (ORDER BY year))::BIGINT AS cumulative_docs, (sum(citations) OVER (ORDER BY year))::BIGINT AS cumulative_citations FROM y""",
     "share",
@@ -69,7 +69,7 @@ UNPIVOT o ON COLUMNS(*) INTO NAME indicator VALUE value""",
     "value",
 )
 query(
-    "term_years_keywords", lambda s, d: counting.term_years(P(s, d), "keywords", 10),
+    "term_years_keywords", lambda s, d: counting.term_years(P(s, d, "keywords"), "keywords", 10),
     f"""WITH {PUBS}, t AS (SELECT item FROM keywords GROUP BY item ORDER BY count(*) DESC, item LIMIT 10) SELECT year::BIGINT AS year, item, count(*)::BIGINT AS n_docs FROM keywords JOIN pubs USING (doc_id) WHERE item IN (SELECT item FROM t) GROUP BY ALL""",
 )
 
@@ -90,17 +90,17 @@ CASE WHEN total > 0 THEN (2 * wsum - (n + 1) * total) / (n * total) ELSE 0 END::
 
 
 def _author_rows(s, d):
-    return P(s, d).where("authors IS NOT NULL").select("doc_id", "year", "cited_by", F.size("authors").alias("n_authors"), F.explode("authors").alias("item"))
+    return P(s, d, "authors").where("authors IS NOT NULL").select("doc_id", "year", "cited_by", F.size("authors").alias("n_authors"), F.explode("authors").alias("item"))
 
 
 query("citation_indices_authors", lambda s, d: indices.citation_indices(_author_rows(s, d), "item", year="year", authors="n_authors", now=2002), _INDEX_SQL, "citations tapered_h m e hw ar h_frac hg a r h2 q2 pi v h_norm profit gini m_quotient")
-query("h_index_sources", lambda s, d: indices.h_indices(P(s, d), "source"), f"WITH {PUBS}, t AS (SELECT source, cited_by, row_number() OVER (PARTITION BY source ORDER BY cited_by DESC) AS i FROM pubs) SELECT source, sum((cited_by >= i)::INT)::BIGINT AS h FROM t GROUP BY source")
+query("h_index_sources", lambda s, d: indices.h_indices(P(s, d, "base"), "source"), f"WITH {PUBS}, t AS (SELECT source, cited_by, row_number() OVER (PARTITION BY source ORDER BY cited_by DESC) AS i FROM pubs) SELECT source, sum((cited_by >= i)::INT)::BIGINT AS h FROM t GROUP BY source")
 
 # laws ---------------------------------------------------------------------------------------------------------------
 
 
 def _authors(s, d):
-    return long(P(s, d), "authors").groupBy("item").agg(F.count("*").alias("n_docs"))
+    return long(P(s, d, "authors"), "authors").groupBy("item").agg(F.count("*").alias("n_docs"))
 
 
 _AC = f"WITH {PUBS}, c AS (SELECT item, count(*)::BIGINT AS n_docs FROM authors GROUP BY item)"
@@ -120,7 +120,7 @@ query("pareto", lambda s, d: laws.pareto(_authors(s, d)), _ACR + ", u AS (SELECT
 
 
 def _members(s, d):
-    return groups.membership(P(s, d), "countries")
+    return groups.membership(P(s, d, "countries"), "countries")
 
 
 _M = f"WITH {PUBS}, m AS (SELECT doc_id, item AS g FROM countries)"
@@ -129,14 +129,14 @@ query("group_matrix", lambda s, d: groups.indicator_matrix(_members(s, d), ["NAT
 query("group_intersections", lambda s, d: groups.intersections(_members(s, d)), _M + " SELECT x.g AS a, y.g AS b, count(*)::BIGINT AS n FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.g <= y.g GROUP BY ALL")
 query("group_similarity", lambda s, d: groups.similarity(_members(s, d)), _M + ", k AS (SELECT g, count(*) AS k FROM m GROUP BY g), p AS (SELECT x.g AS a, y.g AS b, count(*)::BIGINT AS n FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.g < y.g GROUP BY ALL) SELECT a, b, n, n / (ka.k + kb.k - n)::DOUBLE AS jaccard, n / least(ka.k, kb.k)::DOUBLE AS overlap FROM p JOIN k ka ON ka.g = a JOIN k kb ON kb.g = b", "jaccard overlap")
 _GC = _M + ", c AS (SELECT g AS group_name, k.item, count(*)::BIGINT AS n_docs FROM m JOIN keywords k USING (doc_id) GROUP BY ALL), z AS (SELECT g AS group_name, count(*) AS size FROM m GROUP BY g)"
-query("group_count_keywords", lambda s, d: groups.count_items(P(s, d), _members(s, d), "keywords"), _GC + " SELECT group_name, item, n_docs, n_docs / size::DOUBLE AS share, row_number() OVER (PARTITION BY group_name ORDER BY n_docs DESC, item) AS rank FROM c JOIN z USING (group_name)", "share")
-query("group_count_keywords_shared", lambda s, d: groups.count_items(P(s, d), _members(s, d), "keywords", "shared"), _GC + ", k AS (SELECT item FROM c GROUP BY item HAVING count(*) = (SELECT count(DISTINCT g) FROM m)) SELECT group_name, item, n_docs, n_docs / size::DOUBLE AS share, row_number() OVER (PARTITION BY group_name ORDER BY n_docs DESC, item) AS rank FROM c JOIN z USING (group_name) WHERE item IN (SELECT item FROM k)", "share")
-query("group_combined_keywords", lambda s, d: groups.combined_counts(P(s, d), _members(s, d), "keywords"), _GC + " SELECT item, sum(n_docs)::BIGINT AS total, count(*)::BIGINT AS groups, row_number() OVER (ORDER BY sum(n_docs) DESC, item) AS rank FROM c GROUP BY item")
-query("group_production", lambda s, d: groups.production(P(s, d), _members(s, d)), _M + ", t AS (SELECT g AS group_name, year::BIGINT AS year, count(*)::BIGINT AS n_docs FROM m JOIN pubs USING (doc_id) GROUP BY ALL) SELECT *, (sum(n_docs) OVER (PARTITION BY group_name ORDER BY year))::BIGINT AS cumulative FROM t")
-query("group_top_cited", lambda s, d: groups.top_cited(P(s, d), _members(s, d), 3), _M + ", t AS (SELECT doc_id, year::BIGINT AS year, cited_by, g AS group_name, row_number() OVER (PARTITION BY g ORDER BY cited_by DESC, doc_id) AS rank FROM m JOIN pubs USING (doc_id)) SELECT * FROM t WHERE rank <= 3")
-query("group_compare_continuous", lambda s, d: groups.compare_continuous(P(s, d), _members(s, d), "price"), _M + ", t AS (SELECT g AS group_name, price AS x FROM m JOIN pubs USING (doc_id)), n AS (SELECT count(*) AS n, sum(price) AS s FROM pubs) SELECT group_name, count(*)::BIGINT AS n, avg(x) AS mean, stddev_samp(x) AS std, quantile_cont(x, 0.5) AS median, (any_value(n.n) - count(*))::BIGINT AS rest_n, (any_value(n.s) - sum(x)) / (any_value(n.n) - count(*)) AS rest_mean FROM t, n GROUP BY group_name", "mean std median rest_mean")
+query("group_count_keywords", lambda s, d: groups.count_items(P(s, d, "keywords"), _members(s, d), "keywords"), _GC + " SELECT group_name, item, n_docs, n_docs / size::DOUBLE AS share, row_number() OVER (PARTITION BY group_name ORDER BY n_docs DESC, item) AS rank FROM c JOIN z USING (group_name)", "share")
+query("group_count_keywords_shared", lambda s, d: groups.count_items(P(s, d, "keywords"), _members(s, d), "keywords", "shared"), _GC + ", k AS (SELECT item FROM c GROUP BY item HAVING count(*) = (SELECT count(DISTINCT g) FROM m)) SELECT group_name, item, n_docs, n_docs / size::DOUBLE AS share, row_number() OVER (PARTITION BY group_name ORDER BY n_docs DESC, item) AS rank FROM c JOIN z USING (group_name) WHERE item IN (SELECT item FROM k)", "share")
+query("group_combined_keywords", lambda s, d: groups.combined_counts(P(s, d, "keywords"), _members(s, d), "keywords"), _GC + " SELECT item, sum(n_docs)::BIGINT AS total, count(*)::BIGINT AS groups, row_number() OVER (ORDER BY sum(n_docs) DESC, item) AS rank FROM c GROUP BY item")
+query("group_production", lambda s, d: groups.production(P(s, d, "base"), _members(s, d)), _M + ", t AS (SELECT g AS group_name, year::BIGINT AS year, count(*)::BIGINT AS n_docs FROM m JOIN pubs USING (doc_id) GROUP BY ALL) SELECT *, (sum(n_docs) OVER (PARTITION BY group_name ORDER BY year))::BIGINT AS cumulative FROM t")
+query("group_top_cited", lambda s, d: groups.top_cited(P(s, d, "base"), _members(s, d), 3), _M + ", t AS (SELECT doc_id, year::BIGINT AS year, cited_by, g AS group_name, row_number() OVER (PARTITION BY g ORDER BY cited_by DESC, doc_id) AS rank FROM m JOIN pubs USING (doc_id)) SELECT * FROM t WHERE rank <= 3")
+query("group_compare_continuous", lambda s, d: groups.compare_continuous(P(s, d, "base"), _members(s, d), "price"), _M + ", t AS (SELECT g AS group_name, price AS x FROM m JOIN pubs USING (doc_id)), n AS (SELECT count(*) AS n, sum(price) AS s FROM pubs) SELECT group_name, count(*)::BIGINT AS n, avg(x) AS mean, stddev_samp(x) AS std, quantile_cont(x, 0.5) AS median, (any_value(n.n) - count(*))::BIGINT AS rest_n, (any_value(n.s) - sum(x)) / (any_value(n.n) - count(*)) AS rest_mean FROM t, n GROUP BY group_name", "mean std median rest_mean")
 query(
-    "group_profile", lambda s, d: groups.profile(P(s, d), groups.membership(P(s, d), "category")),
+    "group_profile", lambda s, d: groups.profile(P(s, d), groups.membership(P(s, d, "base"), "category")),
     f"""WITH {PUBS}, m AS (SELECT doc_id, category AS g FROM pubs), na AS (SELECT doc_id, count(*) AS k FROM authors GROUP BY doc_id), nc AS (SELECT doc_id, count(*) AS k FROM countries GROUP BY doc_id),
 t AS (SELECT g, p.*, coalesce(na.k, 0) AS na, coalesce(nc.k, 0) AS nc, row_number() OVER (PARTITION BY g ORDER BY cited_by DESC) AS i FROM m JOIN pubs p USING (doc_id) LEFT JOIN na USING (doc_id) LEFT JOIN nc USING (doc_id)),
 a AS (SELECT g, count(DISTINCT item)::BIGINT AS authors FROM m JOIN authors USING (doc_id) GROUP BY g), y AS (SELECT g, year, count(*) AS k FROM m JOIN pubs USING (doc_id) GROUP BY ALL), gr AS (SELECT g, regr_slope(k, year) / avg(k) AS growth FROM y GROUP BY g)
@@ -145,7 +145,7 @@ FROM t JOIN a USING (g) JOIN gr USING (g) GROUP BY g""",
     "mean_citations authors_per_document international_share growth",
 )
 query(
-    "group_associations", lambda s, d: groups.associations(P(s, d), groups.membership(P(s, d), "category"), "keywords", 10),
+    "group_associations", lambda s, d: groups.associations(P(s, d, "keywords"), groups.membership(P(s, d, "base"), "category"), "keywords", 10),
     f"""WITH {PUBS}, t AS (SELECT item FROM keywords GROUP BY item ORDER BY count(*) DESC, item LIMIT 10), c AS (SELECT category AS group_name, item, count(*)::BIGINT AS n FROM keywords JOIN pubs USING (doc_id) WHERE item IN (SELECT item FROM t) GROUP BY ALL),
 e AS (SELECT *, sum(n) OVER (PARTITION BY group_name) * sum(n) OVER (PARTITION BY item) / (SELECT sum(n) FROM c)::DOUBLE AS expected FROM c) SELECT *, (n - expected) / sqrt(expected) AS residual, log2(n / expected) AS log_ratio FROM e""",
     "expected residual log_ratio",
@@ -169,13 +169,13 @@ greatest(0, least(1, (2 * sum(i * n) - (count(*) + 1) * sum(n)) / (count(*) * su
 
 
 _DIV = "total shannon evenness simpson inverse_simpson hhi gini gini_biased dominant_share"
-query("diversity_keywords", lambda s, d: diversity.entity_diversity(P(s, d), "keywords"), _div_sql("", f"WITH {PUBS}, k AS (SELECT item, count(*) AS n FROM keywords GROUP BY item)"), _DIV)
-query("diversity_by_year", lambda s, d: diversity.temporal_diversity(P(s, d), "authors"), _div_sql("year", f"WITH {PUBS}, k AS (SELECT year::BIGINT AS year, item, count(*) AS n FROM authors JOIN pubs USING (doc_id) WHERE year IN (SELECT year FROM pubs GROUP BY year HAVING count(*) >= 5) GROUP BY ALL)"), _DIV)
-query("diversity_by_group", lambda s, d: diversity.entity_diversity(P(s, d), "countries", ["category"]), _div_sql("category", f"WITH {PUBS}, k AS (SELECT category, item, count(*) AS n FROM countries JOIN pubs USING (doc_id) GROUP BY ALL)"), _DIV)
+query("diversity_keywords", lambda s, d: diversity.entity_diversity(P(s, d, "keywords"), "keywords"), _div_sql("", f"WITH {PUBS}, k AS (SELECT item, count(*) AS n FROM keywords GROUP BY item)"), _DIV)
+query("diversity_by_year", lambda s, d: diversity.temporal_diversity(P(s, d, "authors"), "authors"), _div_sql("year", f"WITH {PUBS}, k AS (SELECT year::BIGINT AS year, item, count(*) AS n FROM authors JOIN pubs USING (doc_id) WHERE year IN (SELECT year FROM pubs GROUP BY year HAVING count(*) >= 5) GROUP BY ALL)"), _DIV)
+query("diversity_by_group", lambda s, d: diversity.entity_diversity(P(s, d, "countries"), "countries", ["category"]), _div_sql("category", f"WITH {PUBS}, k AS (SELECT category, item, count(*) AS n FROM countries JOIN pubs USING (doc_id) GROUP BY ALL)"), _DIV)
 
 
 def _rao(s, d):
-    counts = long(P(s, d), "types", ["doc_id", "source"]).groupBy("source", "item").agg(F.count("*").alias("n"))
+    counts = long(P(s, d, "types"), "types", ["doc_id", "source"]).groupBy("source", "item").agg(F.count("*").alias("n"))
     names = counts.select("item").distinct()
     distances = names.select(F.col("item").alias("a")).join(names.select(F.col("item").alias("b")), F.col("a") < F.col("b")).withColumn("d", F.lit(1.0))
     return diversity.rao_stirling(counts, distances, ["source"])
@@ -187,49 +187,49 @@ query("rao_stirling", _rao, f"WITH {PUBS}, k AS (SELECT source, item, count(*) A
 
 _MOM = "(SELECT avg(price) AS m FROM pubs) AS mm"
 query(
-    "descriptives", lambda s, d: stats.descriptives(P(s, d), "price", "category"),
+    "descriptives", lambda s, d: stats.descriptives(P(s, d, "base"), "price", "category"),
     f"""WITH {PUBS}, t AS (SELECT category, price AS x, price - avg(price) OVER (PARTITION BY category) AS d FROM pubs) SELECT category, count(*)::BIGINT AS n, avg(x) AS mean, stddev_samp(x) AS sd, stddev_samp(x) / sqrt(count(*)) AS se, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, min(x) AS min, max(x) AS max,
 avg(d * d * d) / pow(avg(d * d), 1.5) AS skewness, avg(d * d * d * d) / (avg(d * d) * avg(d * d)) - 3 AS kurtosis FROM t GROUP BY category""",
     "mean sd se median q1 q3 min max skewness kurtosis",
 )
 _X = f"""WITH {PUBS}, c AS (SELECT category AS "row", source AS "col", count(*)::BIGINT AS n FROM pubs GROUP BY ALL), e AS (SELECT *, sum(n) OVER (PARTITION BY "row") AS r, sum(n) OVER (PARTITION BY "col") AS k, (SELECT sum(n) FROM c)::DOUBLE AS t FROM c)"""
-query("crosstab", lambda s, d: stats.crosstab(P(s, d), "category", "source"), _X + """ SELECT "row", "col", n, r * k / t AS expected, (n - r * k / t) / sqrt(r * k / t) AS residual, n / r::DOUBLE AS row_share, n / k::DOUBLE AS col_share, n / t AS total_share FROM e""", "expected residual row_share col_share total_share")
-query("crosstab_margins", lambda s, d: stats.crosstab_margins(P(s, d), "category", "source"), f"""WITH {PUBS} SELECT coalesce(category, 'Total') AS "row", coalesce(source, 'Total') AS "col", count(*)::BIGINT AS n FROM pubs GROUP BY CUBE (category, source)""")
-query("chi_square", lambda s, d: stats.chi_square(P(s, d), "category", "source"), _X + """, q AS (SELECT sum(n)::BIGINT AS n, sum(n * n / (r * k / t)) - sum(n) AS chi2, count(DISTINCT "row") AS nr, count(DISTINCT "col") AS nk FROM e) SELECT n, chi2, ((nr - 1) * (nk - 1))::BIGINT AS dof, sqrt(chi2 / (n * (least(nr, nk) - 1))) AS cramers_v, sqrt(chi2 / (chi2 + n)) AS contingency FROM q""", "chi2 cramers_v contingency")
-query("correlation_pearson", lambda s, d: stats.correlations(P(s, d), ["price", "cited_by", "year"]), f"WITH {PUBS} SELECT 'price' AS a, 'cited_by' AS b, corr(price, cited_by) AS r, count(*)::BIGINT AS n FROM pubs UNION ALL SELECT 'price', 'year', corr(price, year), count(*) FROM pubs UNION ALL SELECT 'cited_by', 'year', corr(cited_by, year), count(*) FROM pubs", "r")
-query("correlation_spearman", lambda s, d: stats.correlations(P(s, d), ["price", "cited_by"], "spearman"), f"WITH {PUBS}, t AS (SELECT rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY cited_by) + (count(*) OVER (PARTITION BY cited_by) - 1) / 2.0::DOUBLE AS y FROM pubs) SELECT 'price' AS a, 'cited_by' AS b, corr(x, y) AS r, count(*)::BIGINT AS n FROM t", "r")
-query("kendall_tau", lambda s, d: stats.kendall(P(s, d).select("year", F.size(F.coalesce("authors", F.array())).alias("k")), "year", "k"), f"""WITH {PUBS}, a AS (SELECT doc_id, count(*) AS k FROM authors GROUP BY doc_id), t AS (SELECT year AS x, coalesce(a.k, 0) AS y, count(*)::DOUBLE AS k FROM pubs LEFT JOIN a USING (doc_id) GROUP BY ALL),
+query("crosstab", lambda s, d: stats.crosstab(P(s, d, "base"), "category", "source"), _X + """ SELECT "row", "col", n, r * k / t AS expected, (n - r * k / t) / sqrt(r * k / t) AS residual, n / r::DOUBLE AS row_share, n / k::DOUBLE AS col_share, n / t AS total_share FROM e""", "expected residual row_share col_share total_share")
+query("crosstab_margins", lambda s, d: stats.crosstab_margins(P(s, d, "base"), "category", "source"), f"""WITH {PUBS} SELECT coalesce(category, 'Total') AS "row", coalesce(source, 'Total') AS "col", count(*)::BIGINT AS n FROM pubs GROUP BY CUBE (category, source)""")
+query("chi_square", lambda s, d: stats.chi_square(P(s, d, "base"), "category", "source"), _X + """, q AS (SELECT sum(n)::BIGINT AS n, sum(n * n / (r * k / t)) - sum(n) AS chi2, count(DISTINCT "row") AS nr, count(DISTINCT "col") AS nk FROM e) SELECT n, chi2, ((nr - 1) * (nk - 1))::BIGINT AS dof, sqrt(chi2 / (n * (least(nr, nk) - 1))) AS cramers_v, sqrt(chi2 / (chi2 + n)) AS contingency FROM q""", "chi2 cramers_v contingency")
+query("correlation_pearson", lambda s, d: stats.correlations(P(s, d, "base"), ["price", "cited_by", "year"]), f"WITH {PUBS} SELECT 'price' AS a, 'cited_by' AS b, corr(price, cited_by) AS r, count(*)::BIGINT AS n FROM pubs UNION ALL SELECT 'price', 'year', corr(price, year), count(*) FROM pubs UNION ALL SELECT 'cited_by', 'year', corr(cited_by, year), count(*) FROM pubs", "r")
+query("correlation_spearman", lambda s, d: stats.correlations(P(s, d, "base"), ["price", "cited_by"], "spearman"), f"WITH {PUBS}, t AS (SELECT rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY cited_by) + (count(*) OVER (PARTITION BY cited_by) - 1) / 2.0::DOUBLE AS y FROM pubs) SELECT 'price' AS a, 'cited_by' AS b, corr(x, y) AS r, count(*)::BIGINT AS n FROM t", "r")
+query("kendall_tau", lambda s, d: stats.kendall(P(s, d, "authors").select("year", F.size(F.coalesce("authors", F.array())).alias("k")), "year", "k"), f"""WITH {PUBS}, a AS (SELECT doc_id, count(*) AS k FROM authors GROUP BY doc_id), t AS (SELECT year AS x, coalesce(a.k, 0) AS y, count(*)::DOUBLE AS k FROM pubs LEFT JOIN a USING (doc_id) GROUP BY ALL),
 s AS (SELECT sum(sign(q.y - p.y) * p.k * q.k) AS s FROM t p JOIN t q ON p.x < q.x), n AS (SELECT sum(k) AS n FROM t), tx AS (SELECT sum(v * (v - 1) / 2) AS u FROM (SELECT sum(k) AS v FROM t GROUP BY x)), ty AS (SELECT sum(v * (v - 1) / 2) AS u FROM (SELECT sum(k) AS v FROM t GROUP BY y))
 SELECT s / sqrt((n * (n - 1) / 2 - tx.u) * (n * (n - 1) / 2 - ty.u)) AS tau_b, n::BIGINT AS n FROM s, n, tx, ty""", "tau_b")
 _AN = "a AS (SELECT count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM t GROUP BY g), b AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS b, sum((n - 1) * v) AS w FROM a) SELECT (b / (k - 1)) / (w / (n - k)) AS f, (k - 1)::BIGINT AS df_between, (n - k)::BIGINT AS df_within, b / (b + w) AS eta_squared FROM b"
-query("anova", lambda s, d: stats.anova(P(s, d), "price", "category"), f"WITH {PUBS}, t AS (SELECT category AS g, price AS x FROM pubs), {_AN}", "f eta_squared")
-query("levene", lambda s, d: stats.levene(P(s, d), "price", "category"), f"WITH {PUBS}, md AS (SELECT category AS g, quantile_cont(price, 0.5) AS m FROM pubs GROUP BY category), t AS (SELECT g, abs(price - m) AS x FROM pubs JOIN md ON g = category), {_AN}", "f eta_squared")
-query("kruskal_wallis", lambda s, d: stats.kruskal(P(s, d), "cited_by", "category"), f"WITH {PUBS}, t AS (SELECT category AS g, cited_by AS x, rank() OVER (ORDER BY cited_by) + (count(*) OVER (PARTITION BY cited_by) - 1) / 2.0::DOUBLE AS r FROM pubs), u AS (SELECT sum(pow(k, 3) - k) AS t FROM (SELECT count(*)::DOUBLE AS k FROM t GROUP BY x)), s AS (SELECT count(*)::DOUBLE AS k, sum(r) AS s FROM t GROUP BY g), n AS (SELECT count(*)::DOUBLE AS n FROM t), h AS (SELECT (12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / k) - 3 * (any_value(n) + 1)) / (1 - any_value(u.t) / (pow(any_value(n), 3) - any_value(n))) AS h, count(*) AS k, any_value(n) AS n FROM s, n, u) SELECT h, k::BIGINT AS k, n::BIGINT AS n, greatest(0, (h - k + 1) / (n - k)) AS epsilon_squared FROM h", "h epsilon_squared")
-query("mann_whitney", lambda s, d: stats.mann_whitney(P(s, d), "cited_by", "source", "BUILDING", "MACHINERY"), f"""WITH {PUBS}, t AS (SELECT source AS g, cited_by AS x, rank() OVER (ORDER BY cited_by) + (count(*) OVER (PARTITION BY cited_by) - 1) / 2.0::DOUBLE AS r FROM pubs WHERE source IN ('BUILDING', 'MACHINERY')), u AS (SELECT sum(pow(k, 3) - k) AS t FROM (SELECT count(*)::DOUBLE AS k FROM t GROUP BY x)),
+query("anova", lambda s, d: stats.anova(P(s, d, "base"), "price", "category"), f"WITH {PUBS}, t AS (SELECT category AS g, price AS x FROM pubs), {_AN}", "f eta_squared")
+query("levene", lambda s, d: stats.levene(P(s, d, "base"), "price", "category"), f"WITH {PUBS}, md AS (SELECT category AS g, quantile_cont(price, 0.5) AS m FROM pubs GROUP BY category), t AS (SELECT g, abs(price - m) AS x FROM pubs JOIN md ON g = category), {_AN}", "f eta_squared")
+query("kruskal_wallis", lambda s, d: stats.kruskal(P(s, d, "base"), "cited_by", "category"), f"WITH {PUBS}, t AS (SELECT category AS g, cited_by AS x, rank() OVER (ORDER BY cited_by) + (count(*) OVER (PARTITION BY cited_by) - 1) / 2.0::DOUBLE AS r FROM pubs), u AS (SELECT sum(pow(k, 3) - k) AS t FROM (SELECT count(*)::DOUBLE AS k FROM t GROUP BY x)), s AS (SELECT count(*)::DOUBLE AS k, sum(r) AS s FROM t GROUP BY g), n AS (SELECT count(*)::DOUBLE AS n FROM t), h AS (SELECT (12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / k) - 3 * (any_value(n) + 1)) / (1 - any_value(u.t) / (pow(any_value(n), 3) - any_value(n))) AS h, count(*) AS k, any_value(n) AS n FROM s, n, u) SELECT h, k::BIGINT AS k, n::BIGINT AS n, greatest(0, (h - k + 1) / (n - k)) AS epsilon_squared FROM h", "h epsilon_squared")
+query("mann_whitney", lambda s, d: stats.mann_whitney(P(s, d, "base"), "cited_by", "source", "BUILDING", "MACHINERY"), f"""WITH {PUBS}, t AS (SELECT source AS g, cited_by AS x, rank() OVER (ORDER BY cited_by) + (count(*) OVER (PARTITION BY cited_by) - 1) / 2.0::DOUBLE AS r FROM pubs WHERE source IN ('BUILDING', 'MACHINERY')), u AS (SELECT sum(pow(k, 3) - k) AS t FROM (SELECT count(*)::DOUBLE AS k FROM t GROUP BY x)),
 q AS (SELECT sum((g = 'BUILDING')::INT)::DOUBLE AS n1, sum((g = 'MACHINERY')::INT)::DOUBLE AS n2, sum(CASE WHEN g = 'BUILDING' THEN r END) AS s FROM t), w AS (SELECT *, s - n1 * (n1 + 1) / 2 AS u0, n1 + n2 AS n FROM q)
 SELECT n1, n2, u0 AS u, (u0 - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n + 1 - u.t / (n * (n - 1)))) AS z, abs(1 - 2 * u0 / (n1 * n2)) AS rank_biserial FROM w, u""", "n1 n2 u z rank_biserial")
 _PT = f"WITH {PUBS}, g AS (SELECT category AS g, count(*) AS n, avg(price) AS m, var_samp(price) AS v FROM pubs GROUP BY category), p AS (SELECT a.g AS a, b.g AS b, a.m - b.m AS d, a.n AS n1, b.n AS n2, a.v AS v1, b.v AS v2, ((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) AS sp FROM g a JOIN g b ON a.g < b.g)"
-query("pairwise_t", lambda s, d: stats.pairwise_t(P(s, d), "price", "category"), _PT + " SELECT a, b, d / sqrt(sp * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS t, (n1 + n2 - 2)::DOUBLE AS dof, abs(d) / sqrt(sp) AS cohens_d FROM p", "t dof cohens_d")
-query("pairwise_welch", lambda s, d: stats.pairwise_t(P(s, d), "price", "category", False), _PT + " SELECT a, b, d / sqrt(v1 / n1 + v2 / n2) AS t, pow(v1 / n1 + v2 / n2, 2) / (v1 * v1 / (n1 * n1 * (n1 - 1)::DOUBLE) + v2 * v2 / (n2 * n2 * (n2 - 1)::DOUBLE)) AS dof, abs(d) / sqrt(sp) AS cohens_d FROM p", "t dof cohens_d")
+query("pairwise_t", lambda s, d: stats.pairwise_t(P(s, d, "base"), "price", "category"), _PT + " SELECT a, b, d / sqrt(sp * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS t, (n1 + n2 - 2)::DOUBLE AS dof, abs(d) / sqrt(sp) AS cohens_d FROM p", "t dof cohens_d")
+query("pairwise_welch", lambda s, d: stats.pairwise_t(P(s, d, "base"), "price", "category", False), _PT + " SELECT a, b, d / sqrt(v1 / n1 + v2 / n2) AS t, pow(v1 / n1 + v2 / n2, 2) / (v1 * v1 / (n1 * n1 * (n1 - 1)::DOUBLE) + v2 * v2 / (n2 * n2 * (n2 - 1)::DOUBLE)) AS dof, abs(d) / sqrt(sp) AS cohens_d FROM p", "t dof cohens_d")
 
 
 def _year_counts(s, d, ok):
-    return P(s, d).where(ok).groupBy(F.col("ca_country").alias("category")).agg(F.count("*").alias("n"))
+    return P(s, d, "base").where(ok).groupBy(F.col("ca_country").alias("category")).agg(F.count("*").alias("n"))
 
 
 _REP = f"WITH {PUBS}, t AS (SELECT o.category, o.n AS o, r.n AS r FROM (SELECT ca_country AS category, count(*) AS n FROM pubs WHERE year >= 1999 GROUP BY 1) o JOIN (SELECT ca_country AS category, count(*) AS n FROM pubs WHERE year < 1999 GROUP BY 1) r USING (category))"
 query("representation", lambda s, d: stats.representation(_year_counts(s, d, "year >= 1999"), _year_counts(s, d, "year < 1999")), _REP + ", u AS (SELECT category, o AS n, 100 * o / (SELECT sum(o) FROM t)::DOUBLE AS share, 100 * r / (SELECT sum(r) FROM t)::DOUBLE AS reference_share FROM t) SELECT *, share - reference_share AS difference, (share - reference_share) / reference_share * 100 AS relative, CASE WHEN share - reference_share > 1 THEN 'over' WHEN share - reference_share < -1 THEN 'under' ELSE 'proportional' END AS \"class\" FROM u", "share reference_share difference relative")
 query("goodness_of_fit", lambda s, d: stats.goodness_of_fit(_year_counts(s, d, "year >= 1999"), _year_counts(s, d, "year < 1999")), _REP + ", u AS (SELECT o, r * (SELECT sum(o) FROM t) / (SELECT sum(r) FROM t)::DOUBLE AS e FROM t) SELECT sum((o - e) * (o - e) / e) AS chi2, (count(*) - 1)::BIGINT AS dof, avg((e < 5)::INT) AS small_share FROM u", "chi2 small_share")
-query("collaboration", lambda s, d: stats.collaboration(P(s, d)), f"WITH {PUBS}, a AS (SELECT doc_id, count(*) AS k FROM authors GROUP BY doc_id) SELECT count(*)::BIGINT AS documents, avg(k) AS index, avg((k > 1)::INT) AS degree, 1 - avg(1.0::DOUBLE / k) AS coefficient FROM a", "index degree coefficient")
-query("team_sizes", lambda s, d: stats.team_sizes(P(s, d)), f"WITH {PUBS}, a AS (SELECT doc_id, count(*) AS k FROM authors GROUP BY doc_id) SELECT k::BIGINT AS authors, count(*)::BIGINT AS documents, count(*) / (SELECT count(*) FROM a)::DOUBLE AS share FROM a GROUP BY k", "share")
+query("collaboration", lambda s, d: stats.collaboration(P(s, d, "authors")), f"WITH {PUBS}, a AS (SELECT doc_id, count(*) AS k FROM authors GROUP BY doc_id) SELECT count(*)::BIGINT AS documents, avg(k) AS index, avg((k > 1)::INT) AS degree, 1 - avg(1.0::DOUBLE / k) AS coefficient FROM a", "index degree coefficient")
+query("team_sizes", lambda s, d: stats.team_sizes(P(s, d, "authors")), f"WITH {PUBS}, a AS (SELECT doc_id, count(*) AS k FROM authors GROUP BY doc_id) SELECT k::BIGINT AS authors, count(*)::BIGINT AS documents, count(*) / (SELECT count(*) FROM a)::DOUBLE AS share FROM a GROUP BY k", "share")
 query(
-    "fit_distributions", lambda s, d: stats.fit_distributions(P(s, d), "cited_by").drop("parameters"),
+    "fit_distributions", lambda s, d: stats.fit_distributions(P(s, d, "base"), "cited_by").drop("parameters"),
     f"""WITH {PUBS}, x AS (SELECT cited_by::DOUBLE AS x FROM pubs WHERE cited_by > 0), s AS (SELECT count(*) AS n, sum(x) AS s, sum(ln(x)) AS l, var_pop(ln(x)) AS vl, avg(x) AS m, min(x) AS lo FROM x),
 f AS (SELECT 'lognormal' AS family, -l - n / 2.0::DOUBLE * (ln(2 * pi() * vl) + 1) AS ll, 2 AS k, n FROM s UNION ALL SELECT 'exponential', -n * ln(m) - n, 1, n FROM s UNION ALL SELECT 'power', n * ln(n / (l - n * ln(lo)) / lo) - (1 + n / (l - n * ln(lo))) * (l - n * ln(lo)), 1, n FROM s UNION ALL SELECT 'geometric', n * ln(1 / m) + (s - n) * ln(1 - 1 / m), 1, n FROM s)
 SELECT family, ll AS log_likelihood, 2 * k - 2 * ll AS aic, k * ln(n) - 2 * ll AS bic FROM f""",
     "log_likelihood aic bic",
 )
-query("bootstrap_mean", lambda s, d: stats.bootstrap(P(s, d), "price", 200))
+query("bootstrap_mean", lambda s, d: stats.bootstrap(P(s, d, "base"), "price", 200))
 
 # quality ------------------------------------------------------------------------------------------------------------
 
@@ -237,9 +237,9 @@ query("duplicates_by_text", lambda s, d: quality.duplicate_groups(table(s, d, "d
 query("flag_duplicates", lambda s, d: quality.flag_duplicates(table(s, d, "documents").select("doc_id", "text"), F.md5(F.lower("text"))).select("doc_id", "n_same", "is_duplicate"), "SELECT doc_id, (count(*) OVER (PARTITION BY md5(lower(text))))::BIGINT AS n_same, doc_id > min(doc_id) OVER (PARTITION BY md5(lower(text))) AS is_duplicate FROM documents")
 query("remove_duplicates", lambda s, d: quality.remove_duplicates(table(s, d, "documents"), F.md5(F.lower("text"))).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(lower(text))")
 query("missing_values", lambda s, d: quality.missing(table(s, d, "part").select("p_name", "p_brand", "p_size")).drop("distinct"), "SELECT 'p_name' AS \"column\", sum((p_name IS NULL)::INT)::BIGINT AS missing, sum((trim(p_name) = '')::INT)::BIGINT AS empty, sum((p_name IS NULL OR trim(p_name) = '')::INT) / count(*)::DOUBLE AS share FROM part UNION ALL SELECT 'p_brand', sum((p_brand IS NULL)::INT), sum((trim(p_brand) = '')::INT), sum((p_brand IS NULL OR trim(p_brand) = '')::INT) / count(*)::DOUBLE FROM part UNION ALL SELECT 'p_size', sum((p_size IS NULL)::INT), 0, sum((p_size IS NULL)::INT) / count(*)::DOUBLE FROM part", "share")
-query("validate", lambda s, d: quality.validate(P(s, d)), f"WITH {PUBS} SELECT count(*)::BIGINT AS documents, (count(doc_id) - count(DISTINCT doc_id))::BIGINT AS duplicate_ids, sum((year IS NULL)::INT)::BIGINT AS missing_years, sum((NOT year BETWEEN 1900 AND 2100)::INT)::BIGINT AS odd_years, sum((cited_by < 0)::INT)::BIGINT AS negative_citations, count(*) > 0 AND count(doc_id) = count(DISTINCT doc_id) AS valid FROM pubs")
+query("validate", lambda s, d: quality.validate(P(s, d, "base")), f"WITH {PUBS} SELECT count(*)::BIGINT AS documents, (count(doc_id) - count(DISTINCT doc_id))::BIGINT AS duplicate_ids, sum((year IS NULL)::INT)::BIGINT AS missing_years, sum((NOT year BETWEEN 1900 AND 2100)::INT)::BIGINT AS odd_years, sum((cited_by < 0)::INT)::BIGINT AS negative_citations, count(*) > 0 AND count(doc_id) = count(DISTINCT doc_id) AS valid FROM pubs")
 query("quality_score", lambda s, d: quality.quality_score(P(s, d), {"doc_id": 2.0, "source": 1.0, "authors": 1.0}), f"WITH {PUBS} SELECT 100 * (2.0::DOUBLE + 1.0 + (SELECT count(DISTINCT doc_id) FROM authors) / count(*)::DOUBLE) / 4 AS score FROM pubs", "score")
-query("country_profile", lambda s, d: models.country_profile(P(s, d)), f"WITH {PUBS}, k AS (SELECT doc_id, count(*) AS k FROM countries GROUP BY doc_id), t AS (SELECT item, cited_by, (k > 1)::INT AS i, row_number() OVER (PARTITION BY item ORDER BY cited_by DESC) AS r FROM countries JOIN pubs USING (doc_id) JOIN k USING (doc_id)) SELECT item, count(*)::BIGINT AS papers, sum(cited_by)::BIGINT AS citations, avg(cited_by) AS mean_citations, avg(i) AS international, sum((cited_by >= r)::INT)::BIGINT AS h FROM t GROUP BY item", "mean_citations international")
-query("experts", lambda s, d: models.experts(P(s, d), ["Brand#1", "Brand#2"], 2001), f"WITH {PUBS}, hit AS (SELECT DISTINCT doc_id FROM keywords WHERE item IN ('Brand#1', 'Brand#2')), t AS (SELECT item, cited_by, year, (doc_id IN (SELECT doc_id FROM hit))::INT AS m FROM authors JOIN pubs USING (doc_id)) SELECT item, sum(m)::BIGINT AS matches, count(*)::BIGINT AS documents, sum(cited_by)::BIGINT AS citations, sum((year > 1998)::INT)::BIGINT AS recent FROM t GROUP BY item HAVING sum(m) > 0 AND count(*) >= 2")
-query("venues", lambda s, d: models.venues(P(s, d), ["Brand#1"]), f"WITH {PUBS}, hit AS (SELECT DISTINCT doc_id FROM keywords WHERE item = 'Brand#1'), t AS (SELECT source, avg((doc_id IN (SELECT doc_id FROM hit))::INT) AS match, avg(cited_by) AS mean_citations FROM pubs GROUP BY source HAVING count(*) >= 3) SELECT source, match, mean_citations, 0.6 * match + 0.4 * mean_citations / (SELECT max(mean_citations) FROM t) AS score FROM t", "match mean_citations score")
-query("similar_authors", lambda s, d: models.similar_authors(P(s, d).where("authors IS NOT NULL AND keywords IS NOT NULL"), 5, False).select("a", "b", "cosine", "rank"), f"""WITH {PUBS}, k0 AS (SELECT a.item AS a, k.item AS k, count(*)::DOUBLE AS n FROM authors a JOIN keywords k USING (doc_id) GROUP BY ALL), k1 AS (SELECT a, k, n / sqrt(sum(n * n) OVER (PARTITION BY a)) AS n FROM k0), p AS (SELECT x.a AS a, y.a AS b, sum(x.n * y.n) AS cosine FROM k1 x JOIN k1 y ON x.k = y.k AND x.a <> y.a GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS rank FROM p) SELECT * FROM r WHERE rank <= 5""", "cosine")
+query("country_profile", lambda s, d: models.country_profile(P(s, d, "countries")), f"WITH {PUBS}, k AS (SELECT doc_id, count(*) AS k FROM countries GROUP BY doc_id), t AS (SELECT item, cited_by, (k > 1)::INT AS i, row_number() OVER (PARTITION BY item ORDER BY cited_by DESC) AS r FROM countries JOIN pubs USING (doc_id) JOIN k USING (doc_id)) SELECT item, count(*)::BIGINT AS papers, sum(cited_by)::BIGINT AS citations, avg(cited_by) AS mean_citations, avg(i) AS international, sum((cited_by >= r)::INT)::BIGINT AS h FROM t GROUP BY item", "mean_citations international")
+query("experts", lambda s, d: models.experts(P(s, d, "authors", "keywords"), ["Brand#1", "Brand#2"], 2001), f"WITH {PUBS}, hit AS (SELECT DISTINCT doc_id FROM keywords WHERE item IN ('Brand#1', 'Brand#2')), t AS (SELECT item, cited_by, year, (doc_id IN (SELECT doc_id FROM hit))::INT AS m FROM authors JOIN pubs USING (doc_id)) SELECT item, sum(m)::BIGINT AS matches, count(*)::BIGINT AS documents, sum(cited_by)::BIGINT AS citations, sum((year > 1998)::INT)::BIGINT AS recent FROM t GROUP BY item HAVING sum(m) > 0 AND count(*) >= 2")
+query("venues", lambda s, d: models.venues(P(s, d, "keywords"), ["Brand#1"]), f"WITH {PUBS}, hit AS (SELECT DISTINCT doc_id FROM keywords WHERE item = 'Brand#1'), t AS (SELECT source, avg((doc_id IN (SELECT doc_id FROM hit))::INT) AS match, avg(cited_by) AS mean_citations FROM pubs GROUP BY source HAVING count(*) >= 3) SELECT source, match, mean_citations, 0.6 * match + 0.4 * mean_citations / (SELECT max(mean_citations) FROM t) AS score FROM t", "match mean_citations score")
+query("similar_authors", lambda s, d: models.similar_authors(P(s, d, "authors", "keywords").where("authors IS NOT NULL AND keywords IS NOT NULL"), 5, False).select("a", "b", "cosine", "rank"), f"""WITH {PUBS}, k0 AS (SELECT a.item AS a, k.item AS k, count(*)::DOUBLE AS n FROM authors a JOIN keywords k USING (doc_id) GROUP BY ALL), k1 AS (SELECT a, k, n / sqrt(sum(n * n) OVER (PARTITION BY a)) AS n FROM k0), p AS (SELECT x.a AS a, y.a AS b, sum(x.n * y.n) AS cosine FROM k1 x JOIN k1 y ON x.k = y.k AND x.a <> y.a GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS rank FROM p) SELECT * FROM r WHERE rank <= 5""", "cosine")

@@ -23,13 +23,13 @@ f AS (SELECT doc_id, year::BIGINT AS year, source, cited_by, round(x, 2) AS expe
 
 
 def _fnci(s, d):
-    return impact.field_normalized(P(s, d), "source")
+    return impact.field_normalized(P(s, d, "base"), "source")
 
 
 query("field_normalized_citations", _fnci, _F + " SELECT * FROM f", "expected fnci percentile")
 query("citation_classes", lambda s, d: _fnci(s, d).select("doc_id", impact.citation_class().alias("label")), _F + " SELECT doc_id, CASE WHEN percentile >= 99 THEN 'Top 1%' WHEN percentile >= 90 THEN 'Top 10%' WHEN percentile >= 75 THEN 'Top 25%' WHEN fnci >= 1 THEN 'Above average' WHEN fnci >= 0.5 THEN 'Average' ELSE 'Below average' END AS label FROM f")
-query("citation_summary", lambda s, d: impact.citation_summary(P(s, d)), f"WITH {PUBS}, r AS (SELECT cited_by, row_number() OVER (ORDER BY cited_by DESC) AS i FROM pubs) SELECT count(*)::BIGINT AS documents, sum(cited_by)::BIGINT AS citations, avg(cited_by) AS mean, quantile_cont(cited_by::DOUBLE, 0.5) AS median, max(cited_by)::BIGINT AS max, avg((cited_by = 0)::INT) AS uncited_share, sum((cited_by >= i)::INT)::BIGINT AS h FROM r", "mean median uncited_share")
-query("citation_velocity", lambda s, d: impact.velocity(P(s, d), 2002), f"WITH {PUBS}, t AS (SELECT doc_id, year::BIGINT AS year, cited_by, greatest(1, 2002 - year)::BIGINT AS age FROM pubs) SELECT *, round(cited_by / age::DOUBLE, 4) AS velocity, CASE WHEN cited_by / age::DOUBLE >= CASE WHEN age <= 2 THEN 5 WHEN age <= 5 THEN 10 ELSE 15 END THEN 'Fast' WHEN cited_by / age::DOUBLE >= CASE WHEN age <= 2 THEN 1 WHEN age <= 5 THEN 2 ELSE 3 END THEN 'Normal' ELSE 'Slow' END AS label FROM t", "velocity")
+query("citation_summary", lambda s, d: impact.citation_summary(P(s, d, "base")), f"WITH {PUBS}, r AS (SELECT cited_by, row_number() OVER (ORDER BY cited_by DESC) AS i FROM pubs) SELECT count(*)::BIGINT AS documents, sum(cited_by)::BIGINT AS citations, avg(cited_by) AS mean, quantile_cont(cited_by::DOUBLE, 0.5) AS median, max(cited_by)::BIGINT AS max, avg((cited_by = 0)::INT) AS uncited_share, sum((cited_by >= i)::INT)::BIGINT AS h FROM r", "mean median uncited_share")
+query("citation_velocity", lambda s, d: impact.velocity(P(s, d, "base"), 2002), f"WITH {PUBS}, t AS (SELECT doc_id, year::BIGINT AS year, cited_by, greatest(1, 2002 - year)::BIGINT AS age FROM pubs) SELECT *, round(cited_by / age::DOUBLE, 4) AS velocity, CASE WHEN cited_by / age::DOUBLE >= CASE WHEN age <= 2 THEN 5 WHEN age <= 5 THEN 10 ELSE 15 END THEN 'Fast' WHEN cited_by / age::DOUBLE >= CASE WHEN age <= 2 THEN 1 WHEN age <= 5 THEN 2 ELSE 3 END THEN 'Normal' ELSE 'Slow' END AS label FROM t", "velocity")
 
 
 def _history(s, d):
@@ -55,31 +55,31 @@ tr AS (SELECT year, count, (sum(count) OVER w)::BIGINT AS cumulative, CASE WHEN
 
 
 def _trend(s, d):
-    return ts.trend(P(s, d))
+    return ts.trend(P(s, d, "base"))
 
 
 query("publication_trend", _trend, _T + " SELECT * FROM tr", "growth")
-query("citation_evolution", lambda s, d: ts.citation_evolution(P(s, d)), f"WITH {PUBS} SELECT year::BIGINT AS year, count(*)::BIGINT AS n_docs, sum(cited_by)::BIGINT AS citations, avg(cited_by) AS mean, quantile_cont(cited_by::DOUBLE, 0.5) AS median, max(cited_by)::BIGINT AS max FROM pubs GROUP BY year", "mean median")
+query("citation_evolution", lambda s, d: ts.citation_evolution(P(s, d, "base")), f"WITH {PUBS} SELECT year::BIGINT AS year, count(*)::BIGINT AS n_docs, sum(cited_by)::BIGINT AS citations, avg(cited_by) AS mean, quantile_cont(cited_by::DOUBLE, 0.5) AS median, max(cited_by)::BIGINT AS max FROM pubs GROUP BY year", "mean median")
 query("growth_rates", lambda s, d: ts.growth_rates(_trend(s, d)), _T + ", g AS (SELECT year, count, (count - lag(count) OVER w) / greatest(lag(count) OVER w, 1)::DOUBLE * 100 AS yoy, CASE WHEN row_number() OVER w >= 3 THEN avg(count) OVER (ORDER BY year ROWS 2 PRECEDING) END AS mean3 FROM tr WINDOW w AS (ORDER BY year)) SELECT *, CASE WHEN lag(mean3) OVER (ORDER BY year) > 0 THEN (mean3 - lag(mean3) OVER (ORDER BY year)) / lag(mean3) OVER (ORDER BY year) * 100 END AS mean3_growth FROM g", "yoy mean3 mean3_growth")
 query("cagr", lambda s, d: ts.cagr(_trend(s, d)), _T + " SELECT min(year) AS a, max(year) AS b, (pow(arg_max(count, year) / arg_min(count, year)::DOUBLE, 1.0::DOUBLE / (max(year) - min(year))) - 1) * 100 AS cagr FROM tr", "cagr")
 query("forecast_linear", lambda s, d: ts.forecast(_trend(s, d), 5), _T + ", f AS (SELECT regr_slope(count, year) AS b, regr_intercept(count, year) AS a, sqrt(greatest(0, (regr_syy(count, year) - regr_slope(count, year) * regr_sxy(count, year)) / count(*))) AS sd, max(year) AS l FROM tr), o AS (SELECT a, b, sd, unnest(range(l + 1, l + 6)) AS year FROM f) SELECT year::BIGINT AS year, greatest(0, a + b * year) AS predicted, greatest(0, a + b * year - 1.96 * sd) AS low, greatest(0, a + b * year + 1.96 * sd) AS high FROM o", "predicted low high")
 query("doubling_time", lambda s, d: ts.doubling_time(_trend(s, d)), _T + ", u AS (SELECT year, cumulative, lag(cumulative) OVER w AS p, lag(year) OVER w AS py, first(cumulative) OVER w AS f, first(year) OVER w AS y0 FROM tr WINDOW w AS (ORDER BY year)) SELECT arg_min(py + (2 * f - p) / (cumulative - p)::DOUBLE * (year - py) - y0, year) AS doubling_time FROM u WHERE cumulative >= 2 * f AND p IS NOT NULL", "doubling_time")
-query("half_life", lambda s, d: ts.half_life(P(s, d), 2002), f"WITH {PUBS}, b AS (SELECT 2002 - year AS age, sum(cited_by) AS c FROM pubs GROUP BY 1), r AS (SELECT age, sum(c) OVER (ORDER BY age) AS run FROM b) SELECT min(age)::BIGINT AS half_life FROM r WHERE run * 2 >= (SELECT sum(c) FROM b)")
+query("half_life", lambda s, d: ts.half_life(P(s, d, "base"), 2002), f"WITH {PUBS}, b AS (SELECT 2002 - year AS age, sum(cited_by) AS c FROM pubs GROUP BY 1), r AS (SELECT age, sum(c) OVER (ORDER BY age) AS run FROM b) SELECT min(age)::BIGINT AS half_life FROM r WHERE run * 2 >= (SELECT sum(c) FROM b)")
 query("trend_changes", lambda s, d: ts.changes(_trend(s, d), 1.0), _T + ", ch AS (SELECT year, count - lag(count) OVER (ORDER BY year) AS change FROM tr), z AS (SELECT year, change::BIGINT AS change, (change - (SELECT avg(change) FROM ch)) / (SELECT stddev_pop(change) FROM ch) AS z FROM ch WHERE change IS NOT NULL) SELECT *, CASE WHEN z > 0 THEN 'increase' ELSE 'decrease' END AS direction FROM z WHERE abs(z) > 1.0", "z")
-query("windows_fixed", lambda s, d: ts.windows(P(s, d), 3).groupBy("start", "stop").agg(F.count("*").alias("n_docs"), F.sum("cited_by").alias("citations")), f"WITH {PUBS}, t AS (SELECT *, (SELECT min(year) FROM pubs) AS lo, (SELECT max(year) FROM pubs) AS hi FROM pubs) SELECT (lo + (year - lo) // 3 * 3)::BIGINT AS start, least(lo + (year - lo) // 3 * 3 + 2, hi)::BIGINT AS stop, count(*)::BIGINT AS n_docs, sum(cited_by)::BIGINT AS citations FROM t GROUP BY 1, 2")
-query("windows_sliding", lambda s, d: ts.windows(P(s, d), 3, "sliding").groupBy("start", "stop").agg(F.count("*").alias("n_docs")), f"WITH {PUBS}, w AS (SELECT unnest(range((SELECT min(year) FROM pubs), (SELECT max(year) FROM pubs) - 1)) AS start) SELECT start::BIGINT AS start, (start + 2)::BIGINT AS stop, count(*)::BIGINT AS n_docs FROM w JOIN pubs ON year BETWEEN start AND start + 2 GROUP BY start")
+query("windows_fixed", lambda s, d: ts.windows(P(s, d, "base"), 3).groupBy("start", "stop").agg(F.count("*").alias("n_docs"), F.sum("cited_by").alias("citations")), f"WITH {PUBS}, t AS (SELECT *, (SELECT min(year) FROM pubs) AS lo, (SELECT max(year) FROM pubs) AS hi FROM pubs) SELECT (lo + (year - lo) // 3 * 3)::BIGINT AS start, least(lo + (year - lo) // 3 * 3 + 2, hi)::BIGINT AS stop, count(*)::BIGINT AS n_docs, sum(cited_by)::BIGINT AS citations FROM t GROUP BY 1, 2")
+query("windows_sliding", lambda s, d: ts.windows(P(s, d, "base"), 3, "sliding").groupBy("start", "stop").agg(F.count("*").alias("n_docs")), f"WITH {PUBS}, w AS (SELECT unnest(range((SELECT min(year) FROM pubs), (SELECT max(year) FROM pubs) - 1)) AS start) SELECT start::BIGINT AS start, (start + 2)::BIGINT AS stop, count(*)::BIGINT AS n_docs FROM w JOIN pubs ON year BETWEEN start AND start + 2 GROUP BY start")
 
 
 def _yearly(s, d):
-    return P(s, d).groupBy("year").agg(F.avg("cited_by").alias("value"))
+    return P(s, d, "base").groupBy("year").agg(F.avg("cited_by").alias("value"))
 
 
 query("mann_kendall", lambda s, d: ts.mann_kendall(_yearly(s, d)), f"WITH {PUBS}, y AS (SELECT year, avg(cited_by) AS v FROM pubs GROUP BY year), p AS (SELECT sum(sign(b.v - a.v)) AS s, quantile_cont((b.v - a.v) / (b.year - a.year), 0.5) AS slope FROM y a JOIN y b ON a.year < b.year), n AS (SELECT count(*)::DOUBLE AS n FROM y), t AS (SELECT sum(k * (k - 1) * (2 * k + 5)) AS t FROM (SELECT count(*) AS k FROM y GROUP BY v)), q AS (SELECT s, slope, n, (n * (n - 1) * (2 * n + 5) - t) / 18 AS variance FROM p, n, t) SELECT s::DOUBLE AS s, variance, CASE WHEN s > 0 THEN (s - 1) / sqrt(variance) WHEN s < 0 THEN (s + 1) / sqrt(variance) ELSE 0 END AS z, s / (n * (n - 1) / 2) AS tau, slope FROM q", "s variance z tau slope")
-query("hot_topics", lambda s, d: ts.item_slopes(P(s, d), "keywords", 5, 2001), f"WITH {PUBS}, k AS (SELECT item, year, count(*) AS k FROM keywords JOIN pubs USING (doc_id) WHERE year BETWEEN 1997 AND 2001 GROUP BY ALL), a AS (SELECT item, sum(k)::BIGINT AS total, sum((year - 1997) * k) AS sxy, coalesce(sum(CASE WHEN year = 2001 THEN k END), 0)::BIGINT AS recent FROM k GROUP BY item) SELECT item, total, total / 5.0::DOUBLE AS mean, (5 * sxy - 10 * total) / 50.0::DOUBLE AS slope, recent, (5 * sxy - 10 * total) / 50.0::DOUBLE / (total / 5.0::DOUBLE + 1) AS score FROM a", "mean slope score")
+query("hot_topics", lambda s, d: ts.item_slopes(P(s, d, "keywords"), "keywords", 5, 2001), f"WITH {PUBS}, k AS (SELECT item, year, count(*) AS k FROM keywords JOIN pubs USING (doc_id) WHERE year BETWEEN 1997 AND 2001 GROUP BY ALL), a AS (SELECT item, sum(k)::BIGINT AS total, sum((year - 1997) * k) AS sxy, coalesce(sum(CASE WHEN year = 2001 THEN k END), 0)::BIGINT AS recent FROM k GROUP BY item) SELECT item, total, total / 5.0::DOUBLE AS mean, (5 * sxy - 10 * total) / 50.0::DOUBLE AS slope, recent, (5 * sxy - 10 * total) / 50.0::DOUBLE / (total / 5.0::DOUBLE + 1) AS score FROM a", "mean slope score")
 query("spectrogram", lambda s, d: ts.spectrogram(table(s, d, "lineitem").select(F.year("l_shipdate").alias("year"))), "WITH c AS (SELECT year(l_shipdate) AS year, count(*) AS n FROM lineitem GROUP BY 1), y AS (SELECT unnest(range((SELECT min(year) FROM c), (SELECT max(year) FROM c) + 1)) AS year), t AS (SELECT y.year::BIGINT AS year, coalesce(n, 0)::BIGINT AS n FROM y LEFT JOIN c USING (year)) SELECT year, n, n - quantile_cont(n::DOUBLE, 0.5) OVER (ORDER BY year ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS deviation FROM t", "deviation")
 query("growth_models", lambda s, d: ts.growth_models(_trend(s, d)).select("model", "r2", "best"))
 query("life_cycle", lambda s, d: ts.life_cycle(_trend(s, d)))
-query("bursts", lambda s, d: ts.bursts(P(s, d), "refs", 2.0, 0.2))
+query("bursts", lambda s, d: ts.bursts(P(s, d, "refs"), "refs", 2.0, 0.2))
 
 # text ---------------------------------------------------------------------------------------------------------------
 
@@ -137,7 +137,7 @@ query("count_ngrams_conversations", lambda s, d: count_text(table(s, d, "convers
 query("repository_links", lambda s, d: table(s, d, "pages").select("page_id", F.size(strings.repository_links(F.col("html"))).alias("n_links")), r"SELECT page_id, len(list_distinct(list_transform(regexp_extract_all(html, '((?:https?://)?(?:www\.)?(?:github\.com|gitlab\.com|bitbucket\.org|zenodo\.org|figshare\.com|datadryad\.org|osf\.io|dataverse\.[a-z.]+|huggingface\.co|kaggle\.com)/[^\s)\]>" + '"' + r"'']+)', 1), lambda x: regexp_replace(x, '[.,;]+$', ''))))::BIGINT AS n_links FROM pages")
 query("normal_titles", lambda s, d: table(s, d, "part").select("p_partkey", strings.normal_title(F.concat(F.col("p_name"), F.lit(", "), F.col("p_type"))).alias("title")), r"SELECT p_partkey, CASE WHEN length(trim(regexp_replace(regexp_replace(lower(p_name || ', ' || p_type), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))) >= 10 THEN trim(regexp_replace(regexp_replace(lower(p_name || ', ' || p_type), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) END AS title FROM part")
 query("split_lists", lambda s, d: table(s, d, "part").select("p_partkey", F.size(as_list(F.concat_ws("; ", "p_name", "p_brand", "p_type"))).alias("n")), "SELECT p_partkey, len(list_filter(list_transform(string_split(concat_ws('; ', p_name, p_brand, p_type), ';'), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS n FROM part")
-query("h_index_by_year", lambda s, d: h_indices(P(s, d), "year"), f"WITH {PUBS}, t AS (SELECT year, cited_by, row_number() OVER (PARTITION BY year ORDER BY cited_by DESC) AS i FROM pubs) SELECT year::BIGINT AS year, sum((cited_by >= i)::INT)::BIGINT AS h FROM t GROUP BY year")
+query("h_index_by_year", lambda s, d: h_indices(P(s, d, "base"), "year"), f"WITH {PUBS}, t AS (SELECT year, cited_by, row_number() OVER (PARTITION BY year ORDER BY cited_by DESC) AS i FROM pubs) SELECT year::BIGINT AS year, sum((cited_by >= i)::INT)::BIGINT AS h FROM t GROUP BY year")
 
 # models -------------------------------------------------------------------------------------------------------------
 
@@ -146,4 +146,4 @@ query("cluster_texts", lambda s, d: models.cluster_texts(table(s, d, "documents"
 query("cluster_vectors", lambda s, d: models.cluster_vectors(table(s, d, "embeddings"), "embedding", [4, 8]))
 query("principal_components", lambda s, d: models.components_of(table(s, d, "embeddings"), "embedding").select("vec_id", F.size("coordinates").alias("k")), "SELECT vec_id, 2::BIGINT AS k FROM embeddings")
 query("classify_texts", lambda s, d: models.classify_texts(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left"), "text", "quality", 1000))
-query("predict_citations", lambda s, d: models.predict_citations(P(s, d).withColumn("n_authors", F.size(F.coalesce("authors", F.array()))), ["year", "n_authors", "price"]))
+query("predict_citations", lambda s, d: models.predict_citations(P(s, d, "authors").withColumn("n_authors", F.size(F.coalesce("authors", F.array()))), ["year", "n_authors", "price"]))

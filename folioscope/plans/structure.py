@@ -18,18 +18,18 @@ def _pairs_sql(items: str) -> str:
 
 
 for _name, _c in (("keyword_cooccurrence", "keywords"), ("coauthorship", "authors"), ("country_collaboration", "countries"), ("type_cooccurrence", "types")):
-    query(_name, lambda s, d, c=_c: co.cooccurrence(P(s, d), c), f"WITH {PUBS}, {_pairs_sql(_c)} SELECT * FROM p")
-query("cocitation", lambda s, d: co.cooccurrence(P(s, d), "refs", min_count=2), f"WITH {PUBS}, {_pairs_sql('refs')} SELECT * FROM p WHERE n >= 2")
-query("keyword_cooccurrence_top", lambda s, d: co.cooccurrence(P(s, d), "keywords", top_n=10), f"WITH {PUBS}, t AS (SELECT item FROM keywords GROUP BY item ORDER BY count(*) DESC, item LIMIT 10), k AS (SELECT * FROM keywords WHERE item IN (SELECT item FROM t)), {_pairs_sql('k')} SELECT * FROM p")
-query("normalised_cooccurrence", lambda s, d: co.normalised(co.cooccurrence(P(s, d), "keywords"), co.margins(P(s, d), "keywords")), f"WITH {PUBS}, {_pairs_sql('keywords')}, m AS (SELECT item, count(*) AS k FROM keywords GROUP BY item) SELECT a, b, n, n / sqrt(x.k * y.k) AS association, n / least(x.k, y.k)::DOUBLE AS inclusion, n / (x.k + y.k - n)::DOUBLE AS jaccard, n * n / (x.k * y.k)::DOUBLE AS equivalence FROM p JOIN m x ON x.item = a JOIN m y ON y.item = b", "association inclusion jaccard equivalence")
-query("country_links", lambda s, d: co.country_links(P(s, d)), f"WITH {PUBS}, {_pairs_sql('countries')}, m AS (SELECT item, count(*) AS k FROM countries GROUP BY item) SELECT a, b, n, n / (x.k + y.k - n)::DOUBLE AS jaccard FROM p JOIN m x ON x.item = a JOIN m y ON y.item = b", "jaccard")
-query("bibliographic_coupling", lambda s, d: co.coupling(P(s, d), "refs", 2), f"WITH {PUBS} SELECT x.doc_id AS a, y.doc_id AS b, count(*)::BIGINT AS n FROM refs x JOIN refs y ON x.item = y.item AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 2")
-query("relate_concepts", lambda s, d: co.between(P(s, d).where("keywords IS NOT NULL"), "keywords", "types"), f"WITH {PUBS} SELECT x.item AS a, y.item AS b, count(*)::BIGINT AS n FROM keywords x JOIN types y USING (doc_id) GROUP BY ALL")
-query("research_gaps", lambda s, d: co.expected_gaps(P(s, d), "refs", 20, 0.5, 5, 100), f"WITH {PUBS}, m AS (SELECT item, count(*) AS k FROM refs GROUP BY item HAVING count(*) >= 20 ORDER BY k DESC, item LIMIT 100), {_pairs_sql('refs')}, e AS (SELECT x.item AS a, y.item AS b, coalesce(n, 0)::BIGINT AS n, x.k * y.k / (SELECT count(*) FROM pubs)::DOUBLE AS expected FROM m x JOIN m y ON x.item < y.item LEFT JOIN p ON p.a = x.item AND p.b = y.item) SELECT *, (expected - n) / expected AS gap FROM e WHERE expected > 1 AND (expected - n) / expected > 0.5 AND n < 5", "expected gap")
+    query(_name, lambda s, d, c=_c: co.cooccurrence(P(s, d, c), c), f"WITH {PUBS}, {_pairs_sql(_c)} SELECT * FROM p")
+query("cocitation", lambda s, d: co.cooccurrence(P(s, d, "refs"), "refs", min_count=2), f"WITH {PUBS}, {_pairs_sql('refs')} SELECT * FROM p WHERE n >= 2")
+query("keyword_cooccurrence_top", lambda s, d: co.cooccurrence(P(s, d, "keywords"), "keywords", top_n=10), f"WITH {PUBS}, t AS (SELECT item FROM keywords GROUP BY item ORDER BY count(*) DESC, item LIMIT 10), k AS (SELECT * FROM keywords WHERE item IN (SELECT item FROM t)), {_pairs_sql('k')} SELECT * FROM p")
+query("normalised_cooccurrence", lambda s, d: co.normalised(co.cooccurrence(P(s, d, "keywords"), "keywords"), co.margins(P(s, d, "keywords"), "keywords")), f"WITH {PUBS}, {_pairs_sql('keywords')}, m AS (SELECT item, count(*) AS k FROM keywords GROUP BY item) SELECT a, b, n, n / sqrt(x.k * y.k) AS association, n / least(x.k, y.k)::DOUBLE AS inclusion, n / (x.k + y.k - n)::DOUBLE AS jaccard, n * n / (x.k * y.k)::DOUBLE AS equivalence FROM p JOIN m x ON x.item = a JOIN m y ON y.item = b", "association inclusion jaccard equivalence")
+query("country_links", lambda s, d: co.country_links(P(s, d, "countries")), f"WITH {PUBS}, {_pairs_sql('countries')}, m AS (SELECT item, count(*) AS k FROM countries GROUP BY item) SELECT a, b, n, n / (x.k + y.k - n)::DOUBLE AS jaccard FROM p JOIN m x ON x.item = a JOIN m y ON y.item = b", "jaccard")
+query("bibliographic_coupling", lambda s, d: co.coupling(P(s, d, "refs"), "refs", 2), f"WITH {PUBS} SELECT x.doc_id AS a, y.doc_id AS b, count(*)::BIGINT AS n FROM refs x JOIN refs y ON x.item = y.item AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 2")
+query("relate_concepts", lambda s, d: co.between(P(s, d, "keywords", "types").where("keywords IS NOT NULL"), "keywords", "types"), f"WITH {PUBS} SELECT x.item AS a, y.item AS b, count(*)::BIGINT AS n FROM keywords x JOIN types y USING (doc_id) GROUP BY ALL")
+query("research_gaps", lambda s, d: co.expected_gaps(P(s, d, "refs"), "refs", 20, 0.5, 5, 100), f"WITH {PUBS}, m AS (SELECT item, count(*) AS k FROM refs GROUP BY item HAVING count(*) >= 20 ORDER BY k DESC, item LIMIT 100), {_pairs_sql('refs')}, e AS (SELECT x.item AS a, y.item AS b, coalesce(n, 0)::BIGINT AS n, x.k * y.k / (SELECT count(*) FROM pubs)::DOUBLE AS expected FROM m x JOIN m y ON x.item < y.item LEFT JOIN p ON p.a = x.item AND p.b = y.item) SELECT *, (expected - n) / expected AS gap FROM e WHERE expected > 1 AND (expected - n) / expected > 0.5 AND n < 5", "expected gap")
 
 
 def _edges(s, d):
-    return co.cooccurrence(P(s, d), "keywords")
+    return co.cooccurrence(P(s, d, "keywords"), "keywords")
 
 
 _E = f"WITH {PUBS}, {_pairs_sql('keywords')}, u AS (SELECT a, b, n FROM p UNION ALL SELECT b, a, n FROM p), dg AS (SELECT a AS node, count(*)::BIGINT AS degree, sum(n)::BIGINT AS strength FROM u GROUP BY a)"
@@ -39,7 +39,7 @@ query("graph_stats", lambda s, d: graph.graph_stats(_edges(s, d)), _E + " SELECT
 
 def _strong(s, d):
     """Authors who often write together: a sparse graph."""
-    return co.cooccurrence(P(s, d), "authors", min_count=5)
+    return co.cooccurrence(P(s, d, "authors"), "authors", min_count=5)
 
 
 _S = f"WITH RECURSIVE {PUBS}, {_pairs_sql('authors')}, s AS (SELECT * FROM p WHERE n >= 5), u AS (SELECT a, b FROM s UNION SELECT b, a FROM s)"
@@ -50,32 +50,32 @@ query("modularity", lambda s, d: graph.modularity(_strong(s, d), graph.component
 query("thematic_map", lambda s, d: models.thematic_map(_strong(s, d), graph.label_propagation(_strong(s, d))))
 query("pagerank", lambda s, d: graph.pagerank(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")), 5))
 query("local_citations", lambda s, d: impact.local_citations(cites(s, d)), f"WITH {CITES} SELECT cited AS doc_id, count(*)::BIGINT AS local FROM cites GROUP BY cited")
-query("self_citations", lambda s, d: impact.self_citations(P(s, d), cites(s, d)), f"WITH {PUBS}, {CITES}, sh AS (SELECT DISTINCT citing, cited FROM cites JOIN authors x ON x.doc_id = citing JOIN authors y ON y.doc_id = cited AND x.item = y.item) SELECT citing AS doc_id, count(*)::BIGINT AS n_cites, count(sh.citing)::BIGINT AS n_self FROM cites LEFT JOIN sh USING (citing, cited) GROUP BY citing")
-query("storytellers", lambda s, d: impact.storytellers(cites(s, d), P(s, d).where("cited_by >= 150"), 1), f"WITH {PUBS}, {CITES} SELECT citing AS doc_id, count(*)::BIGINT AS n FROM cites WHERE cited IN (SELECT doc_id FROM pubs WHERE cited_by >= 150) GROUP BY citing")
+query("self_citations", lambda s, d: impact.self_citations(P(s, d, "authors"), cites(s, d)), f"WITH {PUBS}, {CITES}, sh AS (SELECT DISTINCT citing, cited FROM cites JOIN authors x ON x.doc_id = citing JOIN authors y ON y.doc_id = cited AND x.item = y.item) SELECT citing AS doc_id, count(*)::BIGINT AS n_cites, count(sh.citing)::BIGINT AS n_self FROM cites LEFT JOIN sh USING (citing, cited) GROUP BY citing")
+query("storytellers", lambda s, d: impact.storytellers(cites(s, d), P(s, d, "base").where("cited_by >= 150"), 1), f"WITH {PUBS}, {CITES} SELECT citing AS doc_id, count(*)::BIGINT AS n FROM cites WHERE cited IN (SELECT doc_id FROM pubs WHERE cited_by >= 150) GROUP BY citing")
 _D = f"""{CITES}, e AS (SELECT DISTINCT citing, cited FROM cites), di AS (SELECT cited AS f, citing AS o FROM e), th AS (SELECT DISTINCT r.citing AS f, e.citing AS o FROM e r JOIN e ON r.cited = e.cited WHERE r.citing <> e.citing),
 x AS (SELECT coalesce(di.f, th.f) AS f, di.o IS NOT NULL AS d, th.o IS NOT NULL AS t FROM di FULL JOIN th ON di.f = th.f AND di.o = th.o), n AS (SELECT f AS doc_id, sum((d AND NOT t)::INT)::BIGINT AS n_i, sum((d AND t)::INT)::BIGINT AS n_j, sum((t AND NOT d)::INT)::BIGINT AS n_k FROM x GROUP BY f),
 dr AS (SELECT *, CASE WHEN n_i + n_j > 0 THEN (n_i - n_j) / (n_i + n_j + n_k)::DOUBLE END AS cd, CASE WHEN n_i + n_j > 0 THEN (n_i - n_j) / (n_i + n_j)::DOUBLE END AS di FROM n)"""
 query("disruption", lambda s, d: impact.disruption(cites(s, d)), f"WITH {_D} SELECT *, CASE WHEN cd > 0.25 THEN 'disruptive' WHEN cd < -0.25 THEN 'consolidating' WHEN n_i + n_j > 0 THEN 'neutral' END AS label FROM dr", "cd di")
 for _name, _c in (("authors", "authors"), ("countries", "countries")):
-    query(f"disruption_by_{_name}", lambda s, d, c=_c: impact.by_entity(impact.disruption(cites(s, d)), P(s, d), c), f"WITH {PUBS}, {_D} SELECT item, count(*)::BIGINT AS n_docs, avg(cd) AS mean, quantile_cont(cd, 0.5) AS median, stddev_samp(cd) AS std, min(cd) AS min, max(cd) AS max FROM {_c} JOIN dr USING (doc_id) WHERE cd IS NOT NULL GROUP BY item", "mean median std min max")
+    query(f"disruption_by_{_name}", lambda s, d, c=_c: impact.by_entity(impact.disruption(cites(s, d)), P(s, d, c, "base"), c), f"WITH {PUBS}, {_D} SELECT item, count(*)::BIGINT AS n_docs, avg(cd) AS mean, quantile_cont(cd, 0.5) AS median, stddev_samp(cd) AS std, min(cd) AS min, max(cd) AS max FROM {_c} JOIN dr USING (doc_id) WHERE cd IS NOT NULL GROUP BY item", "mean median std min max")
 for _name, _c in (("sources", "source"), ("years", "year")):
-    query(f"disruption_by_{_name}", lambda s, d, c=_c: impact.by_entity(impact.disruption(cites(s, d)), P(s, d), c), f"WITH {PUBS}, {_D} SELECT {_c}{'::BIGINT' if _c == 'year' else ''} AS item, count(*)::BIGINT AS n_docs, avg(cd) AS mean, quantile_cont(cd, 0.5) AS median, stddev_samp(cd) AS std, min(cd) AS min, max(cd) AS max FROM pubs JOIN dr USING (doc_id) WHERE cd IS NOT NULL GROUP BY 1", "mean median std min max")
-query("pair_novelty", lambda s, d: impact.pair_novelty(P(s, d), "keywords"), f"WITH {PUBS}, {_pairs_sql('keywords')}, m AS (SELECT item, count(*) AS k FROM keywords GROUP BY item), sc AS (SELECT a, b, -ln(n / (x.k * y.k / (SELECT count(*) FROM pubs)::DOUBLE + 1) + 0.01) AS s FROM p JOIN m x ON x.item = a JOIN m y ON y.item = b), e AS (SELECT x.doc_id, s FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN sc ON sc.a = x.item AND sc.b = y.item) SELECT doc_id, quantile_cont(s, 0.9) AS p90, avg(s) AS mean, quantile_cont(s, 0.1) AS p10 FROM e GROUP BY doc_id", "p90 mean p10")
-query("keyword_novelty", lambda s, d: impact.keyword_novelty(P(s, d), "keywords"), f"WITH {PUBS}, {_pairs_sql('keywords')} SELECT x.doc_id, avg(1.0::DOUBLE / n) AS novelty FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN p ON p.a = x.item AND p.b = y.item GROUP BY x.doc_id", "novelty")
-query("temporal_network", lambda s, d: ts.windows(P(s, d), 3).where("keywords IS NOT NULL").transform(lambda t: co.pairs(t, "keywords", ["start"])).groupBy("start", "a", "b").agg(F.count("*").alias("n")), f"WITH {PUBS} SELECT (lo + (year - lo) // 3 * 3)::BIGINT AS start, x.item AS a, y.item AS b, count(*)::BIGINT AS n FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN pubs ON pubs.doc_id = x.doc_id, (SELECT min(year) AS lo FROM pubs) GROUP BY ALL")
+    query(f"disruption_by_{_name}", lambda s, d, c=_c: impact.by_entity(impact.disruption(cites(s, d)), P(s, d, c, "base"), c), f"WITH {PUBS}, {_D} SELECT {_c}{'::BIGINT' if _c == 'year' else ''} AS item, count(*)::BIGINT AS n_docs, avg(cd) AS mean, quantile_cont(cd, 0.5) AS median, stddev_samp(cd) AS std, min(cd) AS min, max(cd) AS max FROM pubs JOIN dr USING (doc_id) WHERE cd IS NOT NULL GROUP BY 1", "mean median std min max")
+query("pair_novelty", lambda s, d: impact.pair_novelty(P(s, d, "keywords"), "keywords"), f"WITH {PUBS}, {_pairs_sql('keywords')}, m AS (SELECT item, count(*) AS k FROM keywords GROUP BY item), sc AS (SELECT a, b, -ln(n / (x.k * y.k / (SELECT count(*) FROM pubs)::DOUBLE + 1) + 0.01) AS s FROM p JOIN m x ON x.item = a JOIN m y ON y.item = b), e AS (SELECT x.doc_id, s FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN sc ON sc.a = x.item AND sc.b = y.item) SELECT doc_id, quantile_cont(s, 0.9) AS p90, avg(s) AS mean, quantile_cont(s, 0.1) AS p10 FROM e GROUP BY doc_id", "p90 mean p10")
+query("keyword_novelty", lambda s, d: impact.keyword_novelty(P(s, d, "keywords"), "keywords"), f"WITH {PUBS}, {_pairs_sql('keywords')} SELECT x.doc_id, avg(1.0::DOUBLE / n) AS novelty FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN p ON p.a = x.item AND p.b = y.item GROUP BY x.doc_id", "novelty")
+query("temporal_network", lambda s, d: ts.windows(P(s, d, "keywords"), 3).where("keywords IS NOT NULL").transform(lambda t: co.pairs(t, "keywords", ["start"])).groupBy("start", "a", "b").agg(F.count("*").alias("n")), f"WITH {PUBS} SELECT (lo + (year - lo) // 3 * 3)::BIGINT AS start, x.item AS a, y.item AS b, count(*)::BIGINT AS n FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN pubs ON pubs.doc_id = x.doc_id, (SELECT min(year) AS lo FROM pubs) GROUP BY ALL")
 query("traversal_weights", lambda s, d: graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst"))))
 query("main_path", lambda s, d: graph.main_path(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))))
 
 
 def _windows(s, d):
-    return ts.windows(P(s, d), 3).where("keywords IS NOT NULL").transform(lambda t: co.pairs(t, "keywords", ["start"])).groupBy("start", "a", "b").agg(F.count("*").alias("n")).where("n > 40")
+    return ts.windows(P(s, d, "keywords"), 3).where("keywords IS NOT NULL").transform(lambda t: co.pairs(t, "keywords", ["start"])).groupBy("start", "a", "b").agg(F.count("*").alias("n")).where("n > 40")
 
 
 _WN = f"WITH {PUBS}, w AS (SELECT (lo + (year - lo) // 3 * 3)::BIGINT AS start, x.item AS a, y.item AS b, count(*)::BIGINT AS n FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN pubs ON pubs.doc_id = x.doc_id, (SELECT min(year) AS lo FROM pubs) GROUP BY ALL HAVING count(*) > 40), d AS (SELECT start, node, count(*)::BIGINT AS k FROM (SELECT start, a AS node FROM w UNION ALL SELECT start, b FROM w) GROUP BY ALL)"
 query("window_metrics", lambda s, d: communities.window_metrics(_windows(s, d)), _WN + " SELECT start, count(*)::BIGINT AS nodes, (sum(k) / 2)::BIGINT AS edges, CASE WHEN count(*) > 1 THEN sum(k) / (count(*) * (count(*) - 1))::DOUBLE ELSE 0 END AS density, avg(k) AS mean_degree, max(k)::BIGINT AS max_degree FROM d GROUP BY start", "density mean_degree")
 query("edge_persistence", lambda s, d: communities.edge_persistence(_windows(s, d)), _WN + ' SELECT a, b, min(start) AS "first", max(start) AS "last", count(DISTINCT start)::BIGINT AS windows, sum(n)::BIGINT AS weight FROM w GROUP BY a, b')
 query("node_activity", lambda s, d: communities.node_activity(_windows(s, d)), _WN + ' SELECT node, min(start) AS "first", max(start) AS "last", count(*)::BIGINT AS windows, sum(k)::BIGINT AS degree FROM d GROUP BY node')
-query("louvain", lambda s, d: communities.louvain_frame(co.cooccurrence(P(s, d), "authors", min_count=5)))
+query("louvain", lambda s, d: communities.louvain_frame(co.cooccurrence(P(s, d, "authors"), "authors", min_count=5)))
 query("community_evolution", lambda s, d: communities.evolution(*(graph.components(_windows(s, d).where(F.col("start") == y).select("a", "b", "n")).withColumnRenamed("component", "community") for y in (1995, 1998))))
 query("key_routes", lambda s, d: communities.key_routes(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))))
 
@@ -86,10 +86,10 @@ def _codes(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_type").alias("field"), F.col("p_brand").alias("area"))
 
 
-query("classified", lambda s, d: lookup.classified(P(s, d).where("refs IS NOT NULL"), "refs", _codes(s, d)).select("doc_id", F.size("fields").alias("fields"), F.size("areas").alias("areas")), f"WITH {PUBS}, t AS (SELECT doc_id, count(*)::BIGINT AS fields FROM types GROUP BY doc_id), k AS (SELECT doc_id, count(*)::BIGINT AS areas FROM keywords GROUP BY doc_id) SELECT * FROM t JOIN k USING (doc_id)")
-query("per_reference", lambda s, d: lookup.per_reference(P(s, d).groupBy(F.col("ca_country").alias("country")).agg(F.count("*").alias("n")), table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("country")).agg(F.count("*").alias("people")), "country", "people"), f"WITH {PUBS}, c AS (SELECT ca_country AS country, count(*)::BIGINT AS n FROM pubs GROUP BY 1), r AS (SELECT n_name AS country, count(*) AS p FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT country, n, n / p::DOUBLE * 1e6 AS rate FROM c LEFT JOIN r USING (country)", "rate")
+query("classified", lambda s, d: lookup.classified(P(s, d, "refs").where("refs IS NOT NULL"), "refs", _codes(s, d)).select("doc_id", F.size("fields").alias("fields"), F.size("areas").alias("areas")), f"WITH {PUBS}, t AS (SELECT doc_id, count(*)::BIGINT AS fields FROM types GROUP BY doc_id), k AS (SELECT doc_id, count(*)::BIGINT AS areas FROM keywords GROUP BY doc_id) SELECT * FROM t JOIN k USING (doc_id)")
+query("per_reference", lambda s, d: lookup.per_reference(P(s, d, "base").groupBy(F.col("ca_country").alias("country")).agg(F.count("*").alias("n")), table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("country")).agg(F.count("*").alias("people")), "country", "people"), f"WITH {PUBS}, c AS (SELECT ca_country AS country, count(*)::BIGINT AS n FROM pubs GROUP BY 1), r AS (SELECT n_name AS country, count(*) AS p FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT country, n, n / p::DOUBLE * 1e6 AS rate FROM c LEFT JOIN r USING (country)", "rate")
 query("share_gaps", lambda s, d: lookup.share_gaps(P(s, d).where("types IS NOT NULL"), "countries", "keywords", 20, 0.05), f"WITH {PUBS}, z AS (SELECT item AS group_name, count(*) AS size FROM countries GROUP BY item HAVING count(*) >= 20), o AS (SELECT item, count(*) / (SELECT count(DISTINCT doc_id) FROM types)::DOUBLE AS overall FROM keywords GROUP BY item), c AS (SELECT x.item AS group_name, k.item, count(*)::BIGINT AS n FROM countries x JOIN keywords k USING (doc_id) GROUP BY ALL), t AS (SELECT group_name, item, n, n / size::DOUBLE AS share, overall, n / size::DOUBLE / overall - 1 AS deviation FROM c JOIN z USING (group_name) JOIN o USING (item)) SELECT * FROM t WHERE abs(deviation) > 0.05", "share overall deviation")
-query("declines", lambda s, d: lookup.declines(P(s, d), "refs", 2001, 2, 0.3), f"WITH {PUBS}, k AS (SELECT item, year, count(*) AS k FROM refs JOIN pubs USING (doc_id) GROUP BY ALL), p AS (SELECT item, arg_max(year, k * 10000 - year) AS py FROM k GROUP BY item), t AS (SELECT item, py::BIGINT AS peak_year, sum(CASE WHEN abs(year - py) <= 1 THEN k END) / sum(CASE WHEN abs(year - py) <= 1 THEN 1 END)::DOUBLE AS peak, coalesce(sum(CASE WHEN year > 1999 THEN k END), 0) / 2.0::DOUBLE AS recent FROM k JOIN p USING (item) GROUP BY item, py) SELECT *, 1 - recent / peak AS decline FROM t WHERE 1 - recent / peak >= 0.3 AND peak_year <= 1999", "peak recent decline")
+query("declines", lambda s, d: lookup.declines(P(s, d, "refs"), "refs", 2001, 2, 0.3), f"WITH {PUBS}, k AS (SELECT item, year, count(*) AS k FROM refs JOIN pubs USING (doc_id) GROUP BY ALL), p AS (SELECT item, arg_max(year, k * 10000 - year) AS py FROM k GROUP BY item), t AS (SELECT item, py::BIGINT AS peak_year, sum(CASE WHEN abs(year - py) <= 1 THEN k END) / sum(CASE WHEN abs(year - py) <= 1 THEN 1 END)::DOUBLE AS peak, coalesce(sum(CASE WHEN year > 1999 THEN k END), 0) / 2.0::DOUBLE AS recent FROM k JOIN p USING (item) GROUP BY item, py) SELECT *, 1 - recent / peak AS decline FROM t WHERE 1 - recent / peak >= 0.3 AND peak_year <= 1999", "peak recent decline")
 
 
 def _details(s, d):
@@ -97,15 +97,15 @@ def _details(s, d):
 
 
 _EN = lambda c: f"(SELECT doc_id, count(*)::BIGINT AS {c}s, CASE WHEN count(*) > 1 THEN -sum(p * ln(p)) / ln(count(*)) ELSE 0 END AS {c}_entropy FROM (SELECT doc_id, {c}, count(*) / sum(count(*)) OVER (PARTITION BY doc_id)::DOUBLE AS p FROM r GROUP BY doc_id, {c}) GROUP BY doc_id)"
-query("reference_diversity", lambda s, d: lookup.reference_diversity(P(s, d), "refs", _details(s, d), 2001), f"WITH {PUBS}, r AS (SELECT doc_id, p_brand AS source, p_type AS field, 1950 + p_size AS year FROM refs JOIN part ON item = p_partkey) SELECT * FROM (SELECT doc_id, count(*)::BIGINT AS \"references\", avg(2001 - year) AS mean_age, quantile_cont((2001 - year)::DOUBLE, 0.5) AS median_age FROM r GROUP BY doc_id) JOIN {_EN('source')} USING (doc_id) JOIN {_EN('field')} USING (doc_id)", "mean_age median_age source_entropy field_entropy")
+query("reference_diversity", lambda s, d: lookup.reference_diversity(P(s, d, "refs"), "refs", _details(s, d), 2001), f"WITH {PUBS}, r AS (SELECT doc_id, p_brand AS source, p_type AS field, 1950 + p_size AS year FROM refs JOIN part ON item = p_partkey) SELECT * FROM (SELECT doc_id, count(*)::BIGINT AS \"references\", avg(2001 - year) AS mean_age, quantile_cont((2001 - year)::DOUBLE, 0.5) AS median_age FROM r GROUP BY doc_id) JOIN {_EN('source')} USING (doc_id) JOIN {_EN('field')} USING (doc_id)", "mean_age median_age source_entropy field_entropy")
 query("attention", lambda s, d: lookup.attention(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sum("l_quantity").alias("mentions"), F.count("*").alias("news")), {"mentions": 0.5, "news": 3.0}), "WITH t AS (SELECT l_orderkey AS doc_id, sum(l_quantity) * 0.5::DOUBLE + count(*) * 3 AS score FROM lineitem GROUP BY 1) SELECT doc_id, score, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE) / (SELECT count(*) FROM t) * 100 AS percentile FROM t", "score percentile")
-query("compare_entities", lambda s, d: evaluation.compare_entities(P(s, d).groupBy("category").agg(F.count("*").alias("documents"), F.avg("cited_by").alias("mean")), "category", ["documents", "mean"]), f"WITH {PUBS}, t AS (SELECT category, count(*)::BIGINT AS documents, avg(cited_by) AS mean FROM pubs GROUP BY category) SELECT category, documents, mean, (documents - (SELECT min(documents) FROM t)) / ((SELECT max(documents) FROM t) - (SELECT min(documents) FROM t))::DOUBLE AS documents_scaled, rank() OVER (ORDER BY documents DESC) AS documents_rank, (mean - (SELECT min(mean) FROM t)) / ((SELECT max(mean) FROM t) - (SELECT min(mean) FROM t)) AS mean_scaled, rank() OVER (ORDER BY mean DESC) AS mean_rank FROM t", "mean documents_scaled mean_scaled")
+query("compare_entities", lambda s, d: evaluation.compare_entities(P(s, d, "base").groupBy("category").agg(F.count("*").alias("documents"), F.avg("cited_by").alias("mean")), "category", ["documents", "mean"]), f"WITH {PUBS}, t AS (SELECT category, count(*)::BIGINT AS documents, avg(cited_by) AS mean FROM pubs GROUP BY category) SELECT category, documents, mean, (documents - (SELECT min(documents) FROM t)) / ((SELECT max(documents) FROM t) - (SELECT min(documents) FROM t))::DOUBLE AS documents_scaled, rank() OVER (ORDER BY documents DESC) AS documents_rank, (mean - (SELECT min(mean) FROM t)) / ((SELECT max(mean) FROM t) - (SELECT min(mean) FROM t)) AS mean_scaled, rank() OVER (ORDER BY mean DESC) AS mean_rank FROM t", "mean documents_scaled mean_scaled")
 query("citation_features", lambda s, d: evaluation.citation_features(P(s, d)), f"WITH {PUBS}, s AS (SELECT doc_id, year, source, cited_by, avg(cited_by) OVER (PARTITION BY source ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source_before FROM pubs), n(doc_id) AS (SELECT doc_id FROM pubs), a AS (SELECT doc_id, avg(b) AS authors_before FROM (SELECT doc_id, avg(cited_by) OVER (PARTITION BY item ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM authors JOIN pubs USING (doc_id)) GROUP BY doc_id), " + ", ".join(f"n{c} AS (SELECT doc_id, count(*) AS k FROM {c} GROUP BY doc_id)" for c in ("authors", "keywords", "refs", "countries")) + " SELECT s.doc_id, s.year::BIGINT AS year, s.source, s.cited_by, " + ", ".join(f"coalesce(n{c}.k, 0)::DOUBLE AS n_{c}" for c in ("authors", "keywords", "refs", "countries")) + ", source_before, authors_before FROM s LEFT JOIN a USING (doc_id) " + " ".join(f"LEFT JOIN n{c} USING (doc_id)" for c in ("authors", "keywords", "refs", "countries")), "n_authors n_keywords n_refs n_countries source_before authors_before")
-query("jarque_bera", lambda s, d: stats.jarque_bera(P(s, d), "price", "category"), f"WITH {PUBS}, t AS (SELECT category, price - avg(price) OVER (PARTITION BY category) AS d FROM pubs) SELECT category, count(*)::BIGINT AS n, count(*) / 6.0::DOUBLE * (pow(avg(d * d * d) / pow(avg(d * d), 1.5), 2) + pow(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 2) / 4) AS statistic FROM t GROUP BY category", "statistic")
-query("ks_normal", lambda s, d: stats.ks_normal(P(s, d), "cited_by"))
+query("jarque_bera", lambda s, d: stats.jarque_bera(P(s, d, "base"), "price", "category"), f"WITH {PUBS}, t AS (SELECT category, price - avg(price) OVER (PARTITION BY category) AS d FROM pubs) SELECT category, count(*)::BIGINT AS n, count(*) / 6.0::DOUBLE * (pow(avg(d * d * d) / pow(avg(d * d), 1.5), 2) + pow(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 2) / 4) AS statistic FROM t GROUP BY category", "statistic")
+query("ks_normal", lambda s, d: stats.ks_normal(P(s, d, "base"), "cited_by"))
 query("matching_sentences", lambda s, d: text.matching_sentences(table(s, d, "documents"), "text", "idiot|moron|clown").select("doc_id", "place"))
 query("text_entities", lambda s, d: text.entities(table(s, d, "documents"), "text", {"year": r"\b(?:19|20)[0-9]{2}\b", "capitals": r"\b[A-Z]{2,6}\b"}))
-query("correspondence", lambda s, d: evaluation.correspondence(co.between(P(s, d).where("keywords IS NOT NULL"), "keywords", "types"), "a", "b").select("kind", "item"))
+query("correspondence", lambda s, d: evaluation.correspondence(co.between(P(s, d, "keywords", "types").where("keywords IS NOT NULL"), "keywords", "types"), "a", "b").select("kind", "item"))
 query("term_effects", lambda s, d: evaluation.term_effects(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id"), "text", "toxic", 5).select("term", "coefficient"))
 query("cross_validation", lambda s, d: evaluation.cross_validate(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id"), "text", "quality", 3, 500))
 query("topic_coherence", lambda s, d: evaluation.topic_coherence(models.topics(table(s, d, "documents"), "text", 3, 500, 3)[0], table(s, d, "documents"), "text"))

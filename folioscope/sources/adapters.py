@@ -10,30 +10,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, year, source, category, ca_country, cited_by and the lists authors, keywords, types, refs, countries (distinct, sorted).
+#: List columns of publications: the line's column, and the tables that have it.
+LISTS = {"authors": ("s_name", ("supplier",)), "countries": ("country", ("supplier", "nation")), "keywords": ("p_brand", ("part",)), "types": ("p_type", ("part",)), "refs": ("l_partkey", ())}
 
-    One shuffle of the lines by order; the dimension tables are small and joined before it, so only the columns needed move.
+
+def publications(spark: SparkSession, sf_dir: str, *lists: str) -> DataFrame:
+    """doc_id, year, source, category, ca_country, price, cited_by and the lists named (distinct, sorted); all lists if none is named, none for "base".
+
+    One shuffle of the lines by order; only the tables that the lists need are joined, before it, so only the columns needed move.
     """
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-        .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("country")), F.col("s_nationkey") == F.col("k"))
-        .join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    )
-    sets = {"authors": "s_name", "keywords": "p_brand", "types": "p_type", "refs": "l_partkey", "countries": "country"}
-    lists = lines.groupBy("l_orderkey").agg(
-        F.sum("l_quantity").cast("long").alias("quantity"), *(F.array_sort(F.collect_set(c)).alias(name) for name, c in sets.items())
-    )
+    names = [n for n in lists if n in LISTS] if lists else list(LISTS)
+    needs = {t for n in names for t in LISTS[n][1]}
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    if "supplier" in needs:
+        lines = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    if "nation" in needs:
+        lines = lines.join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("country")), F.col("s_nationkey") == F.col("k"))
+    if "part" in needs:
+        lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    found = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("quantity"), *(F.array_sort(F.collect_set(LISTS[n][0])).alias(n) for n in names))
     docs = (
         table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("ca_country")), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("year"), F.col("c_mktsegment").alias("source"), F.col("o_orderpriority").alias("category"), "ca_country", "o_totalprice")
     )
-    return docs.join(lists, docs["doc_id"] == lists["l_orderkey"], "left").select(
-        "doc_id", "year", "source", "category", "ca_country", F.col("o_totalprice").alias("price"), F.coalesce("quantity", F.lit(0)).alias("cited_by"), *sets
+    return docs.join(found, docs["doc_id"] == found["l_orderkey"], "left").select(
+        "doc_id", "year", "source", "category", "ca_country", F.col("o_totalprice").alias("price"), F.coalesce("quantity", F.lit(0)).alias("cited_by"), *names
     )
 
 
