@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(f"{tempfile.gettempdir()}/folioscope-checkpoints")
+        sc.setCheckpointDir(path or f"{tempfile.gettempdir()}/folioscope-checkpoints")
     return df.checkpoint()
 
 
