@@ -130,9 +130,27 @@ query("context_profile", lambda s, d: _profiles(s, d)[0], _PR + " SELECT term, n
 query("conceptual_drift", lambda s, d: text.drift(*_profiles(s, d)), _PR + " SELECT sqrt(greatest(0, sum(CASE WHEN o > 0 THEN o * log2(o / ((o + n) / 2)) ELSE 0 END + CASE WHEN n > 0 THEN n * log2(n / ((o + n) / 2)) ELSE 0 END) / 2)) AS jensen_shannon, 1 - sum(o * n) / sqrt(sum(o * o) * sum(n * n)) AS cosine, 1 - sum((o > 0 AND n > 0)::INT) / count(*)::DOUBLE AS jaccard FROM j", "jensen_shannon cosine jaccard")
 query("emerging_terms", lambda s, d: text.emerging(*_profiles(s, d)), _PR + ", e AS (SELECT term, o AS old_share, n AS new_share, CASE WHEN o > 0 THEN n / o END AS ratio, CASE WHEN o = 0 THEN 'new' WHEN n = 0 THEN 'gone' WHEN n / o >= 2 THEN 'emerging' WHEN n / o <= 0.5 THEN 'fading' END AS status FROM j) SELECT * FROM e WHERE status IS NOT NULL", "old_share new_share ratio")
 query("readability", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text.readability(F.col("text")).alias("r")).select("conv_id", "turn", "r.words", "r.syllables", "r.complex_share"), r"WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations), s AS (SELECT conv_id, turn, list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+')))) AS s FROM w) SELECT conv_id, turn, len(s)::BIGINT AS words, coalesce(list_sum(s), 0)::BIGINT AS syllables, CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: x >= 3)) / len(s)::DOUBLE END AS complex_share FROM s", "complex_share")
-query("methodology", lambda s, d: text.methodology(table(s, d, "documents"), "text").select("doc_id", "paradigm", F.size("designs").alias("designs"), F.size("software").alias("software"), F.size("sample_sizes").alias("sizes")))
+
+
+def _hits(words: list[str]) -> str:
+    return "len(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(lower(coalesce(text, '')), w)))::BIGINT"
+
+
+_METHOD = rf"""WITH t AS (SELECT doc_id, {_hits(text.PARADIGMS["quantitative"])} AS a, {_hits(text.PARADIGMS["qualitative"])} AS b, {_hits(text.PARADIGMS["mixed"])} AS c, {_hits(text.DESIGNS)} AS designs, {_hits(text.SOFTWARE)} AS software,
+len(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(text, '(?i)\bn\s*=\s*(\d[\d,]*)', 1), regexp_extract_all(text, '(?i)\b(\d[\d,]*)\s+(?:participants|patients|respondents|subjects|students|samples|interviews)', 1)), lambda x: TRY_CAST(replace(x, ',', '') AS BIGINT)), lambda n: n BETWEEN 1 AND 1000000)))::BIGINT AS sizes FROM documents)
+SELECT doc_id, CASE WHEN c > 0 THEN 'mixed' WHEN a > b THEN 'quantitative' WHEN b > a THEN 'qualitative' WHEN a > 0 THEN 'mixed' ELSE 'unclear' END AS paradigm, designs, software, sizes FROM t"""
+query("methodology", lambda s, d: text.methodology(table(s, d, "documents"), "text").select("doc_id", "paradigm", F.size("designs").alias("designs"), F.size("software").alias("software"), F.size("sample_sizes").alias("sizes")), _METHOD)
 query("open_science", lambda s, d: text.open_science(table(s, d, "documents"), "text"), "SELECT doc_id, " + ", ".join(f"regexp_matches(text, '(?i){p}')::INT::BIGINT AS {k}" for k, p in text.OPEN_SCIENCE.items()) + ", (" + " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for k, p in text.OPEN_SCIENCE.items() if k != "on_request") + ") / 4.0::DOUBLE AS score FROM documents", "score")
-query("sentiment", lambda s, d: text.sentiment(table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text")), "text"))
+
+
+def _among(words: list[str]) -> str:
+    return "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{w}'" for w in words) + ")))"
+
+
+_SENTIMENT = rf"""WITH w AS (SELECT conv_id || '-' || turn AS doc_id, regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b') AS w FROM conversations), k AS (SELECT doc_id, len(w) AS n, {_among(text.POSITIVE)} AS p, {_among(text.NEGATIVE)} AS m, {_among(text.HEDGES)} AS h FROM w),
+s AS (SELECT doc_id, CASE WHEN p + m > 0 THEN (p - m) / (p + m)::DOUBLE ELSE 0.0 END AS polarity, CASE WHEN n > 0 THEN h / n::DOUBLE ELSE 0.0 END AS hedging FROM k)
+SELECT *, CASE WHEN polarity > 0.1 THEN 'positive' WHEN polarity < -0.1 THEN 'negative' ELSE 'neutral' END AS tone FROM s"""
+query("sentiment", lambda s, d: text.sentiment(table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text")), "text"), _SENTIMENT, "polarity hedging")
 query("count_ngrams_conversations", lambda s, d: count_text(table(s, d, "conversations").select(F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text")), "text", 1, 1).select("item", "n_docs", "n_total"), r"WITH w AS (SELECT row_number() OVER () AS r, unnest(regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b')) AS item FROM conversations) SELECT item, count(DISTINCT r)::BIGINT AS n_docs, count(*)::BIGINT AS n_total FROM w GROUP BY item")
 query("repository_links", lambda s, d: table(s, d, "pages").select("page_id", F.size(strings.repository_links(F.col("html"))).alias("n_links")), r"SELECT page_id, len(list_distinct(list_transform(regexp_extract_all(html, '((?:https?://)?(?:www\.)?(?:github\.com|gitlab\.com|bitbucket\.org|zenodo\.org|figshare\.com|datadryad\.org|osf\.io|dataverse\.[a-z.]+|huggingface\.co|kaggle\.com)/[^\s)\]>" + '"' + r"'']+)', 1), lambda x: regexp_replace(x, '[.,;]+$', ''))))::BIGINT AS n_links FROM pages")
 query("normal_titles", lambda s, d: table(s, d, "part").select("p_partkey", strings.normal_title(F.concat(F.col("p_name"), F.lit(", "), F.col("p_type"))).alias("title")), r"SELECT p_partkey, CASE WHEN length(trim(regexp_replace(regexp_replace(lower(p_name || ', ' || p_type), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))) >= 10 THEN trim(regexp_replace(regexp_replace(lower(p_name || ', ' || p_type), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) END AS title FROM part")
