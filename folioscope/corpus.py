@@ -162,6 +162,21 @@ class Corpus:
         place = F.row_number().over(Window.partitionBy(column).orderBy(F.desc("year"), "doc_id"))
         return self.df.withColumn("_i", place).where("_i = 1").drop("_i")
 
+    def run_all(self, skip_errors: bool = True) -> tuple[dict[str, DataFrame], dict[str, str]]:
+        """The usual tables by name, lazily, and what could not be planned because a column is missing."""
+        lists = [c for c in ("authors", "keywords", "refs", "countries") if c in self.df.columns]
+        plans = {"main_info": self.main_info, "production": self.production, "trend": self.trend, "top_cited": self.top_cited, "normalised_citations": self.normalised_citations, "collaboration": self.collaboration, "labels": self.labels}
+        plans |= {f"count_{c}": (lambda c=c: self.count(c)) for c in [*lists, "source"]} | {f"stats_{c}": (lambda c=c: self.stats(c)) for c in lists} | {f"cooccurrence_{c}": (lambda c=c: self.cooccurrence(c)) for c in lists} | {f"diversity_{c}": (lambda c=c: self.diversity(c)) for c in lists}
+        tables, errors = {}, {}
+        for name, plan in plans.items():
+            try:
+                tables[name] = plan()
+            except Exception as e:
+                if not skip_errors:
+                    raise
+                errors[name] = str(e).split("\n")[0]
+        return tables, errors
+
     def run(self, name: str, **options):
         """A registered analysis."""
         if name not in _ANALYSES:

@@ -186,3 +186,20 @@ def betweenness(edges: list[tuple]) -> dict:
     n = len(near)
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     return {v: {"betweenness": between[v] * scale, "closeness": close[v]} for v in near}
+
+
+def greedy_path(weights: DataFrame, forward: bool = True, most_steps: int = 500) -> DataFrame:
+    """(place, node): from the heaviest edge out of a source always along the heaviest edge on (backward: from the heaviest edge into a sink, back).
+    Ties go to the greater node. One lookup a step; the path is as long as the longest chain at most."""
+    near, far = ("src", "dst") if forward else ("dst", "src")
+    e = _cut(weights.select(F.col(near).alias("near"), F.col(far).alias("far"), "spc"))
+    ends = e.join(e.select(F.col("far").alias("near")).distinct(), "near", "left_anti")
+    step = ends.orderBy(F.desc("spc"), F.desc("near"), F.desc("far")).limit(1).first()
+    path = [] if step is None else [step["near"], step["far"]]
+    best = _cut(e.groupBy("near").agg(F.max(F.struct("spc", "far")).alias("x")).select("near", "x.far"))
+    while step is not None and len(path) < most_steps:
+        step = best.where(F.col("near") == path[-1]).first()
+        if step is not None:
+            path.append(step["far"])
+    kind = e.schema["near"].dataType.simpleString()
+    return weights.sparkSession.createDataFrame(list(enumerate(path if forward else path[::-1], 1)), f"place int, node {kind}")

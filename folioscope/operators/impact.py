@@ -157,3 +157,19 @@ def keyword_novelty(df: DataFrame, column: str) -> DataFrame:
     p = pairs(df, column)
     seen = p.groupBy("a", "b").agg(F.count("*").alias("k"))
     return p.join(seen, ["a", "b"]).groupBy("doc_id").agg(F.avg(1 / F.col("k")).alias("novelty"))
+
+
+def match_references(df: DataFrame, doi: str = "doi", refs: str = "references") -> DataFrame:
+    """(citing, cited) edges: DOIs found in the reference texts that are another document's DOI; of documents with the same DOI the greatest id is meant."""
+    from folioscope.functions.strings import normal_doi, reference_dois
+
+    known = df.select(normal_doi(F.col(doi)).alias("d"), "doc_id").where("d IS NOT NULL").groupBy("d").agg(F.max("doc_id").alias("cited"))
+    text = F.array_join(refs, "; ") if df.schema[refs].dataType.simpleString().startswith("array") else F.col(refs)
+    rows = df.select(F.col("doc_id").alias("citing"), F.explode(reference_dois(text)).alias("d"))
+    return rows.join(known, "d").where("citing <> cited").select("citing", "cited").distinct()
+
+
+def internal_rate(df: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: documents, edges, documents that cite or are cited, and edges a document."""
+    touched = edges.select(F.explode(F.array("citing", "cited")).alias("x")).select(F.countDistinct("x")).scalar()
+    return df.agg(F.count("*").alias("documents"), F.max(edges.select(F.count("*")).scalar()).alias("edges"), F.max(touched).alias("linked")).withColumn("rate", F.col("edges") / F.col("documents"))

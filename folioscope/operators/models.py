@@ -111,3 +111,39 @@ def thematic_map(edges: DataFrame, communities: DataFrame) -> DataFrame:
     out = e.where("ca <> cb").select(F.explode(F.array("ca", "cb")).alias("community"), "n").groupBy("community").agg(F.sum("n").alias("centrality"))
     size = c.groupBy("community").agg(F.count("*").alias("size"))
     return size.join(inside, "community", "left").join(out, "community", "left").select("community", "size", F.coalesce("centrality", F.lit(0)).alias("centrality"), (100.0 * F.coalesce("w", F.lit(0)) / F.col("size")).alias("density"))
+
+
+def sequential_topics(df: DataFrame, text: str, k: int = 5, size: int = 5, vocabulary: int = 2000, rounds: int = 10, seed: int = 1) -> DataFrame:
+    """(start, topic, term, weight) of topics fitted in each window of years; one vocabulary for all windows, so topics can be compared."""
+    from folioscope.operators.timeseries import windows
+
+    t = windows(df.select("doc_id", "year", text), size).select("doc_id", "start", tokens(text, r"\b[a-z]{3,}\b").alias("words")).where(F.size("words") > 0)
+    counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2.0).fit(t)
+    names = F.array(*map(F.lit, counter.vocabulary))
+    out = None
+    for start in sorted(r["start"] for r in t.select("start").distinct().collect()):  # a model for each window
+        model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(counter.transform(t.where(F.col("start") == start)))
+        d = model.describeTopics(20).select(F.lit(start).alias("start"), (F.col("topic") + 1).alias("topic"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("x"))
+        one = d.select("start", "topic", F.element_at(names, F.col("x.termIndices") + 1).alias("term"), F.col("x.termWeights").alias("weight"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def aligned_topics(topics_: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(start, topic, next, next_topic, cosine): each topic's most similar one in the next window, at least threshold. topics_: (start, topic, term, weight)."""
+    t = topics_.withColumn("weight", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("start", "topic"))))
+    starts = t.select("start").distinct().withColumn("next", F.lead("start").over(Window.orderBy("start")))  # a row for each window
+    a = t.join(starts, "start")
+    b = t.select(F.col("start").alias("next"), F.col("topic").alias("next_topic"), "term", F.col("weight").alias("w"))
+    c = a.join(b, ["next", "term"]).groupBy("start", "topic", "next", "next_topic").agg(F.sum(F.col("weight") * F.col("w")).alias("cosine"))
+    place = F.row_number().over(Window.partitionBy("start", "topic").orderBy(F.desc("cosine"), "next_topic"))
+    return c.withColumn("i", place).where((F.col("i") == 1) & (F.col("cosine") >= threshold)).drop("i")
+
+
+def semantic_dispersion(weights: DataFrame, members: DataFrame) -> DataFrame:
+    """(group_name, n, dispersion): one minus the mean cosine of a group's documents to their mean. weights: (doc_id, term, weight) of length 1."""
+    t = weights.join(members, "doc_id")
+    n = members.groupBy("group_name").agg(F.count("*").alias("n"))
+    # for rows of length 1 the mean cosine to the mean vector m is |m|
+    mean = t.groupBy("group_name", "term").agg(F.sum("weight").alias("s")).join(n, "group_name").groupBy("group_name", "n").agg(F.sqrt(F.sum(F.pow(F.col("s") / F.col("n"), F.lit(2)))).alias("m"))
+    return mean.select("group_name", "n", (1 - F.col("m")).alias("dispersion"))

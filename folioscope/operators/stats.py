@@ -271,3 +271,43 @@ def jarque_bera(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """(by, n, statistic): n / 6 * (skewness^2 + kurtosis^2 / 4)."""
     d = descriptives(df, value, by)
     return d.select(*([by] if by else []), "n", (F.col("n") / 6 * (F.col("skewness") * F.col("skewness") + F.col("kurtosis") * F.col("kurtosis") / 4)).alias("statistic"))
+
+
+def _digamma(x: float) -> float:
+    out = 0.0
+    while x < 6:
+        out -= 1 / x
+        x += 1
+    f = 1 / (x * x)
+    return out + math.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f / 252))
+
+
+def fit_shapes(df: DataFrame, value: str, rounds: int = 60) -> DataFrame:
+    """(family, parameters, log_likelihood, aic) of gamma, Weibull and negative binomial over positive values. The likelihoods need sums only: a histogram of the
+    values is made once, and each round of the Weibull search is an aggregate over it."""
+    x = F.col(value).cast("double")
+    hist = df.where(x > 0).groupBy(x.alias("x")).agg(F.count("*").cast("double").alias("k")).persist()
+    s = hist.agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("x")) / F.sum("k")).alias("m"), (F.sum(F.col("k") * F.log("x")) / F.sum("k")).alias("l"), (F.sum(F.col("k") * F.col("x") * F.col("x")) / F.sum("k")).alias("q")).first()
+    n, m, log_mean, var = s["n"], s["m"], s["l"], s["q"] - s["m"] ** 2
+    lo, hi = 1e-3, 1e3
+    for _ in range(rounds):  # log a - digamma(a) falls in a
+        a = math.sqrt(lo * hi)
+        lo, hi = (a, hi) if math.log(a) - _digamma(a) > math.log(m) - log_mean else (lo, a)
+    gamma = n * ((a - 1) * log_mean - a - a * math.log(m / a) - math.lgamma(a))
+    lo, hi = 1e-2, 50.0
+    for _ in range(25):
+        c = math.sqrt(lo * hi)
+        p = F.col("k") * F.pow(F.col("x") / m, F.lit(c))
+        r = hist.agg(F.sum(p).alias("a"), F.sum(p * F.log(F.col("x"))).alias("b")).first()
+        lo, hi = (c, hi) if r["b"] / r["a"] - 1 / c - log_mean < 0 else (lo, c)
+    scale = m * (r["a"] / n) ** (1 / c)
+    weibull = n * (math.log(c) - c * math.log(scale) + (c - 1) * log_mean) - r["a"] * (m / scale) ** c
+    rows = [("gamma", [a, m / a], gamma, 2), ("weibull", [c, scale], weibull, 2)]
+    if var > m:
+        size = m * m / (var - m)
+        # ln C(x + r - 1, x) by Stirling's series in the engine
+        lg = lambda z: (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z)
+        ll = hist.agg(F.sum(F.col("k") * (lg(F.col("x") + size) - lg(F.col("x") + 1) + F.col("x") * math.log(m / (m + size))))).first()[0] + n * (size * math.log(size / (m + size)) - math.lgamma(size))
+        rows.append(("negative binomial", [size, size / (m + size)], ll, 2))
+    hist.unpersist()
+    return df.sparkSession.createDataFrame([(f, [float(v) for v in p], float(ll), 2.0 * k - 2 * float(ll)) for f, p, ll, k in rows], "family string, parameters array<double>, log_likelihood double, aic double")

@@ -110,3 +110,15 @@ query("term_effects", lambda s, d: evaluation.term_effects(table(s, d, "document
 query("cross_validation", lambda s, d: evaluation.cross_validate(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id"), "text", "quality", 3, 500))
 query("topic_coherence", lambda s, d: evaluation.topic_coherence(models.topics(table(s, d, "documents"), "text", 3, 500, 3)[0], table(s, d, "documents"), "text"))
 query("sentiment_by_entity", lambda s, d: evaluation.sentiment_by_entity(text.sentiment(table(s, d, "documents"), "text"), table(s, d, "documents"), "source"))
+query("forward_path", lambda s, d: graph.greedy_path(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))))
+query("fit_shapes", lambda s, d: stats.fit_shapes(P(s, d, "base"), "cited_by").select("family", "aic"))
+
+
+def _conversation_years(s, d):
+    """Conversations in ten made-up years."""
+    return table(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), (2000 + F.col("conv_id") % 10).cast("int").alias("year"), F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text"), "role")
+
+
+query("sequential_topics", lambda s, d: models.aligned_topics(models.sequential_topics(_conversation_years(s, d), "text", 3, 5, 500, 3)))
+query("semantic_dispersion", lambda s, d: models.semantic_dispersion(text.tfidf(_conversation_years(s, d), "text", 5), _conversation_years(s, d).select("doc_id", F.col("role").alias("group_name"))), r"""WITH w AS (SELECT conv_id * 100 + turn AS doc_id, role, unnest(regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b')) AS term FROM conversations), k AS (SELECT doc_id, role, term, count(*) AS k FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM k GROUP BY term HAVING count(*) >= 5),
+x AS (SELECT doc_id, role, term, k * (ln((1 + (SELECT count(*) FROM conversations)) / (1 + df)::DOUBLE) + 1) AS w FROM k JOIN f USING (term)), t AS (SELECT role, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM x), n AS (SELECT role, count(*)::BIGINT AS n FROM conversations GROUP BY role), m AS (SELECT role, term, sum(weight) AS s FROM t GROUP BY ALL) SELECT role AS group_name, n, 1 - sqrt(sum(pow(s / n, 2))) AS dispersion FROM m JOIN n USING (role) GROUP BY role, n""", "dispersion")

@@ -198,6 +198,14 @@ def zotero_rdf(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("`dc:title`").alias("title"), F.regexp_extract(F.col("`dc:date`"), r"(\d{4})", 1).alias("year"), F.col("`dcterms:abstract`").alias("abstract"), F.array_join(people, "; ").alias("authors"))
 
 
+def pubmed_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Numbered citations '1: Authors. Title. Journal. Year ...', a blank line between, with PMID and DOI where they stand in the text."""
+    text = spark.read.text(path, lineSep="\n\n").select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("r")).where(F.col("r").rlike(r"^\d+[.:] "))
+    part = lambda p, g=1: F.nullif(F.trim(F.regexp_extract("r", p, g)), F.lit(""))
+    head = r"^\d+[.:] +(.+?)\. +(.+?[.?!]) +(.+?)\. +(\d{4})"
+    return text.select(F.regexp_replace(part(head, 1), ", ", "; ").alias("authors"), F.regexp_replace(part(head, 2), r"\.$", "").alias("title"), part(head, 3).alias("source"), part(head, 4).alias("year"), part(r"PMID: *(\d+)").alias("pmid"), part(r"doi: *(10\.\S+?)\.?(?: |$)").alias("doi"))
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """One identifier a line."""
     return spark.read.text(path).select(F.trim("value").alias("pmid")).where("pmid <> ''")
@@ -219,6 +227,7 @@ READERS: dict[tuple[str, str], Callable] = {
     ("pubmed", "txt"): medline,
     ("pubmed", "nbib"): medline,
     ("pubmed", "ids"): id_list,
+    ("pubmed", "summary"): pubmed_summary,
     ("crossref", "json"): crossref,
     ("orcid", "json"): orcid,
     ("endnote", "xml"): endnote_xml,

@@ -259,3 +259,46 @@ def test_evaluation(spark):
     assert sum(r["n"] for r in cv) == 120 and all(r["accuracy"] > 0.95 for r in cv)
     x = spark.createDataFrame([(float(v),) for v in range(200)], "v double")
     assert 0.04 < rows(stats.ks_normal(x, "v"))[0]["distance"] < 0.08
+
+
+def test_match_references(spark):
+    df = spark.createDataFrame([(1, "10.1000/A", "x doi:10.1000/b; y 10.9999/none"), (2, "https://doi.org/10.1000/b", "10.1000/a, 10.1000/b"), (3, None, None)], "doc_id int, doi string, references string")
+    e = impact.match_references(df)
+    assert {tuple(r) for r in e.collect()} == {(1, 2), (2, 1)}
+    assert rows(impact.internal_rate(df, e)) == [{"documents": 3, "edges": 2, "linked": 2, "rate": pytest.approx(2 / 3)}]
+
+
+def test_paths_and_splits(spark):
+    from folioscope.operators import communities
+
+    w = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 3.0), ("b", "d", 9.0), ("c", "e", 1.0), ("d", "f", 4.0)], "src string, dst string, spc double")
+    assert [r["node"] for r in rows(graph.greedy_path(w))] == ["a", "c", "e"]
+    assert [r["node"] for r in rows(graph.greedy_path(w, forward=False))] == ["a", "b", "d", "f"]
+    old = spark.createDataFrame([(i, "a") for i in range(6)], "node int, community string")
+    new = spark.createDataFrame([(i, "x" if i < 3 else "y") for i in range(6)], "node int, community string")
+    assert rows(communities.splits(old, new)) == [{"old": "a", "parts": ["x", "y"]}]
+
+
+def test_shapes(spark):
+    rng = random.Random(9)
+    g = spark.createDataFrame([(rng.gammavariate(3.0, 2.0),) for _ in range(4000)], "v double")
+    p = {r["family"]: r for r in rows(stats.fit_shapes(g, "v"))}
+    assert p["gamma"]["parameters"][0] == pytest.approx(3, rel=0.1) and p["gamma"]["parameters"][1] == pytest.approx(2, rel=0.1) and p["gamma"]["aic"] < p["weibull"]["aic"]
+    w = spark.createDataFrame([(rng.weibullvariate(5.0, 0.8),) for _ in range(4000)], "v double")
+    p = {r["family"]: r for r in rows(stats.fit_shapes(w, "v"))}
+    assert p["weibull"]["parameters"][0] == pytest.approx(0.8, rel=0.1) and p["weibull"]["parameters"][1] == pytest.approx(5, rel=0.1)
+
+
+def test_topics_over_time(spark):
+    from folioscope.operators import models
+
+    rng = random.Random(2)
+    themes = [["alpha", "beta", "gamma"], ["river", "stone", "water"]]
+    df = spark.createDataFrame([(i, 2000 + i % 4, " ".join(rng.choice(themes[i % 2 if i % 3 else 0]) for _ in range(20))) for i in range(120)], "doc_id int, year int, t string")
+    t = models.sequential_topics(df, "t", 2, 2, 50, 10)
+    assert {r["start"] for r in t.select("start").distinct().collect()} == {2000, 2002}
+    a = rows(models.aligned_topics(t))
+    assert a and all(r["next"] == 2002 and 0.3 <= r["cosine"] <= 1.0001 for r in a)
+    m = df.select("doc_id", F.lit("g").alias("group_name"))
+    one = models.semantic_dispersion(text.tfidf(df.where("doc_id = 0"), "t"), m.where("doc_id = 0"))
+    assert rows(one)[0]["dispersion"] == pytest.approx(0, abs=1e-9)

@@ -201,3 +201,19 @@ def test_corpus(spark, sf):
     g = c.groups("countries")
     assert g.intersections().where("a = b").agg(F.sum("n")).first()[0] == g.members.count()
     assert c.labels().count() == c.df.count() and c.compare_means("price", "category")["test"] in ("anova", "kruskal")
+
+
+def test_pubmed_summary(spark, put):
+    text = "1: Doe J, Roe R. A title of\nthings. J Test. 2001 May;3(2):1-9. doi: 10.1000/x1. PMID: 77.\n\n2: Poe P. Other title? J Two. 1999.\n"
+    got = sorted(rows(files.read(spark, put("s.txt", text), "pubmed", "summary")), key=lambda r: r["year"])
+    assert got[1] == {"authors": "Doe J; Roe R", "title": "A title of things", "source": "J Test", "year": "2001", "pmid": "77", "doi": "10.1000/x1"}
+    assert got[0]["title"] == "Other title?" and got[0]["pmid"] is None
+
+
+def test_run_all(spark, sf):
+    from folioscope.sources.adapters import publications
+
+    tables, errors = Corpus(publications(spark, sf, "authors", "countries")).run_all()
+    assert "count_authors" in tables and "main_info" in tables and not errors
+    tables, errors = Corpus(publications(spark, sf, "keywords")).run_all()
+    assert "collaboration" in errors and tables["count_keywords"].count() > 0
