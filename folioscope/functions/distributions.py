@@ -82,3 +82,32 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     p = lambda x: math.exp(log(r) - log(x) - log(r - x) + log(n - r) - log(k - x) - log(n - r - k + x) - log(n) + log(k) + log(n - k))
     seen = p(a)
     return min(1.0, sum(q for x in range(max(0, r + k - n), min(r, k) + 1) if (q := p(x)) <= seen * (1 + 1e-7)))
+
+
+def shapiro_wilk(values: list[float]) -> tuple[float, float]:
+    """W and its p-value for 4 to 5000 values, by Royston's approximation (AS R94, whose coefficients these are)."""
+    from statistics import NormalDist
+
+    x = sorted(values)
+    n = len(x)
+    if not 4 <= n <= 5000 or x[0] == x[-1]:
+        raise ValueError("needs 4 to 5000 values that aren't all equal")
+    poly = lambda c, v: sum(k * v**i for i, k in enumerate(c))
+    m = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    total, u = sum(v * v for v in m), n**-0.5
+    last = m[-1] / total**0.5 + poly((0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), u)
+    if n > 5:
+        second = m[-2] / total**0.5 + poly((0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u)
+        phi = (total - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+        a = [-last, -second, *(v / phi**0.5 for v in m[2:-2]), second, last]
+    else:
+        phi = (total - 2 * m[-1] ** 2) / (1 - 2 * last**2)
+        a = [-last, *(v / phi**0.5 for v in m[1:-1]), last]
+    mean = math.fsum(x) / n
+    w = min(1.0, math.fsum(p * q for p, q in zip(a, x, strict=True)) ** 2 / math.fsum((v - mean) ** 2 for v in x))
+    y = math.log(max(1 - w, 1e-300))
+    if n <= 11:
+        y, mu, sigma = -math.log(0.459 * n - 2.273 - y), poly((0.5440, -0.39978, 0.025054, -0.0006714), n), math.exp(poly((1.3822, -0.77857, 0.062767, -0.0020322), n))
+    else:
+        mu, sigma = poly((-1.5861, -0.31082, -0.083751, 0.0038915), math.log(n)), math.exp(poly((-0.4803, -0.082676, 0.0030302), math.log(n)))
+    return w, 0.5 * math.erfc((y - mu) / sigma / math.sqrt(2))

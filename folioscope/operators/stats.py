@@ -311,3 +311,29 @@ def fit_shapes(df: DataFrame, value: str, rounds: int = 60) -> DataFrame:
         rows.append(("negative binomial", [size, size / (m + size)], ll, 2))
     hist.unpersist()
     return df.sparkSession.createDataFrame([(f, [float(v) for v in p], float(ll), 2.0 * k - 2 * float(ll)) for f, p, ll, k in rows], "family string, parameters array<double>, log_likelihood double, aic double")
+
+
+def normality(df: DataFrame, value: str) -> dict:
+    """Shapiro-Wilk for up to 5000 values, else the Kolmogorov-Smirnov distance with its asymptotic p-value."""
+    x = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    some = [r[0] for r in x.limit(5001).collect()]
+    if len(some) <= 5000:
+        w, p = dist.shapiro_wilk(some)
+        return {"test": "shapiro-wilk", "statistic": w, "p": p, "n": len(some)}
+    r = ks_normal(df, value).first()
+    z = r["distance"] * math.sqrt(r["n"])
+    p = min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * z) ** 2) for k in range(1, 101))))
+    return {"test": "kolmogorov-smirnov", "statistic": r["distance"], "p": p, "n": r["n"]}
+
+
+def alexander_govern(df: DataFrame, value: str, by: str) -> DataFrame:
+    """One row: the Alexander-Govern statistic (equal means, unequal variances), chi-square with groups - 1 degrees of freedom. Groups of one row are left out."""
+    g = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("m"), (F.var_samp(value) / F.count("*")).alias("v")).where("n > 1 AND v > 0")
+    total = g.select(F.sum(1 / F.col("v"))).scalar()
+    mean = g.select(F.sum(F.col("m") / F.col("v"))).scalar() / total
+    t, nu = (F.col("m") - mean) / F.sqrt("v"), F.col("n") - 1
+    a = nu - 0.5
+    b, c = 48 * a * a, F.sqrt(a * F.log(1 + t * t / nu))
+    c3, c5, c7 = (F.pow(c, F.lit(k)) for k in (3, 5, 7))
+    z = c + (c3 + 3 * c) / b - (4 * c7 + 33 * c5 + 240 * c3 + 855 * c) / (10 * b * b + 8 * b * F.pow(c, F.lit(4)) + 1000 * b)
+    return g.agg(F.sum(z * z).alias("statistic"), (F.count("*") - 1).alias("dof"))

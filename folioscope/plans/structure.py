@@ -122,3 +122,6 @@ def _conversation_years(s, d):
 query("sequential_topics", lambda s, d: models.aligned_topics(models.sequential_topics(_conversation_years(s, d), "text", 3, 5, 500, 3)))
 query("semantic_dispersion", lambda s, d: models.semantic_dispersion(text.tfidf(_conversation_years(s, d), "text", 5), _conversation_years(s, d).select("doc_id", F.col("role").alias("group_name"))), r"""WITH w AS (SELECT conv_id * 100 + turn AS doc_id, role, unnest(regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b')) AS term FROM conversations), k AS (SELECT doc_id, role, term, count(*) AS k FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM k GROUP BY term HAVING count(*) >= 5),
 x AS (SELECT doc_id, role, term, k * (ln((1 + (SELECT count(*) FROM conversations)) / (1 + df)::DOUBLE) + 1) AS w FROM k JOIN f USING (term)), t AS (SELECT role, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM x), n AS (SELECT role, count(*)::BIGINT AS n FROM conversations GROUP BY role), m AS (SELECT role, term, sum(weight) AS s FROM t GROUP BY ALL) SELECT role AS group_name, n, 1 - sqrt(sum(pow(s / n, 2))) AS dispersion FROM m JOIN n USING (role) GROUP BY role, n""", "dispersion")
+query("alexander_govern", lambda s, d: stats.alexander_govern(P(s, d, "base"), "price", "category"), f"""WITH {PUBS}, g AS (SELECT count(*) AS n, avg(price) AS m, var_samp(price) / count(*) AS v FROM pubs GROUP BY category), w AS (SELECT sum(m / v) / sum(1 / v) AS mean FROM g),
+t AS (SELECT n - 1 AS nu, n - 1.5::DOUBLE AS a, (m - mean) / sqrt(v) AS t FROM g, w), c AS (SELECT 48 * a * a AS b, sqrt(a * ln(1 + t * t / nu)) AS c FROM t), z AS (SELECT c + (pow(c, 3) + 3 * c) / b - (4 * pow(c, 7) + 33 * pow(c, 5) + 240 * pow(c, 3) + 855 * c) / (10 * b * b + 8 * b * pow(c, 4) + 1000 * b) AS z FROM c)
+SELECT sum(z * z) AS statistic, (count(*) - 1)::BIGINT AS dof FROM z""", "statistic")

@@ -302,3 +302,16 @@ def test_topics_over_time(spark):
     m = df.select("doc_id", F.lit("g").alias("group_name"))
     one = models.semantic_dispersion(text.tfidf(df.where("doc_id = 0"), "t"), m.where("doc_id = 0"))
     assert rows(one)[0]["dispersion"] == pytest.approx(0, abs=1e-9)
+
+
+def test_normality(spark):
+    w, p = dist.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.0006)
+    rng = random.Random(3)
+    good = spark.createDataFrame([(rng.gauss(0, 1),) for _ in range(500)], "v double")
+    bad = spark.createDataFrame([(rng.expovariate(1),) for _ in range(500)], "v double")
+    assert stats.normality(good, "v")["p"] > 0.01 and stats.normality(bad, "v")["p"] < 1e-6
+    many = spark.range(6000).select(F.col("id").cast("double").alias("v"))
+    assert stats.normality(many, "v")["test"] == "kolmogorov-smirnov" and stats.normality(many, "v")["p"] < 1e-6
+    with pytest.raises(ValueError):
+        dist.shapiro_wilk([1.0, 1.0, 1.0, 1.0])
