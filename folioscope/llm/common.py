@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,14 @@ def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def trim() -> None:
+    """Gives freed memory of a Python worker back to the machine: workers live on for later tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes of the column, or of one row."""
     for batch in batches:
@@ -73,6 +82,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+    trim()
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -37,7 +37,7 @@ LIGHT = 64
 #: Shingles of the sets in a block, about.
 BLOCK_SHINGLES = 64_000
 #: Text bytes whose remainders make one blob for each range.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Input bytes (as Spark estimates them) for each hash range of the count.
 RANGE_BYTES = 2 << 20
 #: Rows to drop are broadcast up to so many (of two numbers each), else joined by shuffle.
