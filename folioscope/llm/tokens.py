@@ -1,7 +1,7 @@
 """Token ids of a byte-level BPE given as a tokenizer JSON file.
 
 The vocabulary and its merge order are read from the JSON; encoding uses the faster library, whose ids are the same for the same vocabulary (tested).
-Strings of special tokens in a text are ordinary text.
+Texts that it refuses (runs of about a million white-space characters) are encoded by `tokenizers`. Strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -30,6 +30,16 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(maxsize=2)
+def library(path: str):
+    """The file as the slower library reads it, with strings of special tokens as ordinary text."""
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
     """text -> array of ids (uint32)."""
@@ -41,7 +51,14 @@ def encoder(path: str):
     special = {x["content"] for x in spec.get("added_tokens", [])}
     ranks = {bytes(letters[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
     coder = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: coder.encode_to_numpy(text, disallowed_special=())
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return coder.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the pattern's stack is full
+            return np.array(library(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def document_ids(text: str | None, path: str, end: int = END) -> np.ndarray:

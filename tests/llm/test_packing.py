@@ -39,6 +39,12 @@ def test_same_ids_of_table(library, sf):
         assert tokens.document_ids(t, PATH)[:-1].tolist() == e.ids
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\u00a0"])
+def test_long_white_space(library, space):
+    text = "a" + space * 1_000_000 + "b <|endoftext|>"
+    assert tokens.document_ids(text, PATH)[:-1].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed,n,size", [(0, 0, 64), (1, 1, 64), (2, 50, 64), (3, 5000, 256), (4, 20000, 1024)])
 def test_plan(seed, n, size):
     rng = np.random.default_rng(seed)
