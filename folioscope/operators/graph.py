@@ -37,19 +37,18 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return d.agg(n.alias("nodes"), m.cast("long").alias("edges"), F.when(n > 1, 2 * m / (n * (n - 1))).otherwise(0.0).alias("density"), F.avg("degree").alias("mean_degree"), F.max("degree").alias("max_degree"))
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable."""
     both = _cut(undirected(edges).select("a", "b").distinct())
     label = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         low = label.join(near, "node").select("node", "component", F.least("component", "m").alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("component").alias("over"))
         new = _cut(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("over", "low")).alias("new"), "component"))
         label = new.select("node", F.col("new").alias("component"))
         if new.where("new <> component").isEmpty():
-            break
-    return label
+            return label
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
@@ -108,22 +107,29 @@ def triangles(edges: DataFrame) -> DataFrame:
     return d.join(per, "node", "left").select("node", F.coalesce("triangles", F.lit(0)).alias("triangles"), F.when(k > 1, 2 * F.coalesce("triangles", F.lit(0)) / (k * (k - 1))).otherwise(0.0).alias("clustering"))
 
 
-def path_counts(edges: DataFrame, source: bool = True, most_rounds: int = 200) -> DataFrame:
+def in_order(edges: DataFrame, first, sent, merged) -> DataFrame:
+    """(node, value) of an acyclic graph (src, dst and more), a round for each level: a node's value is final, and sent on, when all nodes before it have sent theirs.
+    first: the value of sources; sent: aggregate of `value` and the edge's columns by dst; merged: of `value` (null at first) and `got`. Raises on a cycle."""
+    e = _cut(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    need = nodes.join(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")), "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need"))
+    state = _cut(need.select("node", "need", F.when(F.col("need") == 0, first).alias("value"), (F.col("need") == 0).alias("fresh")))
+    while not state.where("fresh").isEmpty():
+        new = e.join(state.where("fresh").select(F.col("node").alias("src"), "value"), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"), sent.alias("got"))
+        left = F.col("need") - F.coalesce("k", F.lit(0))
+        value = F.when(F.col("k").isNull(), F.col("value")).otherwise(merged)
+        state = _cut(state.join(new, "node", "left").select("node", left.alias("need"), value.alias("value"), ((F.col("need") > 0) & (left == 0)).alias("fresh")))
+    if not state.where("need > 0").isEmpty():
+        raise ValueError("the graph has a cycle")
+    return state.select("node", "value")
+
+
+def path_counts(edges: DataFrame, source: bool = True) -> DataFrame:
     """(node, paths): paths from the sources of an acyclic graph (src, dst) to each node, or from each node to the sinks."""
     e = edges.select("src", "dst").distinct()
     if not source:
         e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    e = _cut(e)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    start = nodes.join(e.select(F.col("dst").alias("node")), "node", "left_anti")
-    level = _cut(start.withColumn("paths", F.lit(1).cast("double")))
-    total = level
-    for _ in range(most_rounds):
-        level = _cut(e.join(level.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("paths").alias("paths")))
-        if level.isEmpty():
-            break
-        total = _cut(total.union(level).groupBy("node").agg(F.sum("paths").alias("paths")))
-    return total
+    return in_order(e, F.lit(1.0), F.sum("value"), F.coalesce("value", F.lit(0.0)) + F.col("got")).withColumnRenamed("value", "paths")
 
 
 def traversal_weights(edges: DataFrame) -> DataFrame:
@@ -133,17 +139,12 @@ def traversal_weights(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().join(into, "src").join(out, "dst").select("src", "dst", (F.col("p") * F.col("q")).alias("spc"))
 
 
-def main_path(weights: DataFrame, most_rounds: int = 200) -> DataFrame:
+def main_path(weights: DataFrame) -> DataFrame:
     """(place, node) of the path of the greatest summed weight in an acyclic graph (src, dst, spc); ties go to the greater nodes."""
-    e = _cut(weights.select("src", "dst", "spc"))
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    best = _cut(nodes.select("node", F.lit(0.0).alias("score"), F.lit(None).cast(e.schema["src"].dataType).alias("prev")))
-    for _ in range(most_rounds):
-        step = e.join(best.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.struct((F.col("score") + F.col("spc")).alias("score"), F.col("src").alias("prev"))).alias("x"))
-        new = _cut(best.select("node", F.col("score").alias("old")).join(step, "node", "left").select("node", F.coalesce("x.score", F.lit(0.0)).alias("score"), "x.prev", "old"))
-        best = new.select("node", "score", "prev")
-        if new.where("score <> old").isEmpty():
-            break
+    e = weights.select("src", "dst", "spc")
+    start = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast(e.schema["src"].dataType).alias("prev"))
+    step = F.max(F.struct((F.col("value.score") + F.col("spc")).alias("score"), F.col("src").alias("prev")))
+    best = in_order(e, start, step, F.greatest("value", "got")).select("node", "value.score", "value.prev")
     # the path is at most as long as the longest chain; it is followed backwards on the driver, one lookup a step
     last = best.orderBy(F.desc("score"), F.desc("node")).limit(1).first()
     path = []
@@ -188,18 +189,22 @@ def betweenness(edges: list[tuple]) -> dict:
     return {v: {"betweenness": between[v] * scale, "closeness": close[v]} for v in near}
 
 
-def greedy_path(weights: DataFrame, forward: bool = True, most_steps: int = 500) -> DataFrame:
+def greedy_path(weights: DataFrame, forward: bool = True) -> DataFrame:
     """(place, node): from the heaviest edge out of a source always along the heaviest edge on (backward: from the heaviest edge into a sink, back).
-    Ties go to the greater node. One lookup a step; the path is as long as the longest chain at most."""
+    Ties go to the greater node. One lookup a step; the path is as long as the longest chain at most. Raises on a cycle."""
     near, far = ("src", "dst") if forward else ("dst", "src")
     e = _cut(weights.select(F.col(near).alias("near"), F.col(far).alias("far"), "spc"))
     ends = e.join(e.select(F.col("far").alias("near")).distinct(), "near", "left_anti")
     step = ends.orderBy(F.desc("spc"), F.desc("near"), F.desc("far")).limit(1).first()
     path = [] if step is None else [step["near"], step["far"]]
     best = _cut(e.groupBy("near").agg(F.max(F.struct("spc", "far")).alias("x")).select("near", "x.far"))
-    while step is not None and len(path) < most_steps:
+    met = set(path)
+    while step is not None:
         step = best.where(F.col("near") == path[-1]).first()
         if step is not None:
+            if step["far"] in met:
+                raise ValueError("the graph has a cycle")
             path.append(step["far"])
+            met.add(step["far"])
     kind = e.schema["near"].dataType.simpleString()
     return weights.sparkSession.createDataFrame(list(enumerate(path if forward else path[::-1], 1)), f"place int, node {kind}")

@@ -315,3 +315,23 @@ def test_normality(spark):
     assert stats.normality(many, "v")["test"] == "kolmogorov-smirnov" and stats.normality(many, "v")["p"] < 1e-6
     with pytest.raises(ValueError):
         dist.shapiro_wilk([1.0, 1.0, 1.0, 1.0])
+
+
+def test_long_chains(spark):
+    from folioscope.operators import communities
+
+    n = 202
+    d = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(0, 2)], "src long, dst long").coalesce(1).cache()
+    assert {r["node"]: r["paths"] for r in rows(graph.path_counts(d))} == {i: 1.0 if i < 2 else 2.0 for i in range(n + 1)}
+    assert [r["route"] for r in rows(communities.key_routes(d.withColumn("spc", F.lit(1.0))))] == [list(range(n + 1)), [0, *range(2, n + 1)]]
+    long = spark.createDataFrame([(i, i + 1, 1.0) for i in range(502)], "src long, dst long, spc double").coalesce(1)
+    assert [r["node"] for r in rows(graph.greedy_path(long))] == list(range(503))
+
+
+def test_cycles(spark):
+    from folioscope.operators import communities
+
+    loop = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 3, 0.5)], "src long, dst long, spc double").coalesce(1)
+    for f in (graph.path_counts, graph.main_path, graph.greedy_path, communities.key_routes):
+        with pytest.raises(ValueError, match="cycle"):
+            f(loop)
