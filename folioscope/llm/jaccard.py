@@ -2,7 +2,7 @@
 
 1. Equal sets become one (by a 128-bit digest).
 2. A set with more shingles of its own than its prefix is long can have no partner; shingles met once are found by a partitioned count over all documents
-   (blobs of 32-bit remainders by hash range; a clash of remainders only keeps a set for the later steps).
+   (blobs of 32-bit remainders by hash range, with the places of their documents as steps; a clash of remainders only keeps a set for the later steps).
 3. For the others all shingles are counted. A set's prefix are its rarest shingles: similar sets share one shingle of prefixes of length n - ceil(t n) + 1,
    and two of prefixes longer by one. Small sets enumerate the 2-subsets of the longer prefix; large sets go to the inverted lists of single shingles.
    The boundary is the size for which lists and subsets together have the fewest comparisons; sets just below it do both.
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,10 +37,11 @@ from folioscope.llm.shingles import shingle_sets
 LIGHT = 64
 #: Shingles of the sets in a block, about.
 BLOCK_SHINGLES = 64_000
-#: Text bytes whose remainders make one blob for each range.
+#: Text bytes whose remainders make one blob for each range: from SLICE on few ranges to MOST_SLICE on many.
 SLICE = 4 << 20
+MOST_SLICE = 16 << 20
 #: Input bytes (as Spark estimates them) for each hash range of the count.
-RANGE_BYTES = 2 << 20
+RANGE_BYTES = 8 << 20
 #: Rows to drop are broadcast up to so many (of two numbers each), else joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: The boundary is sought among powers of two up to this many 2-subsets of a set.
@@ -59,70 +61,106 @@ class Similarity:
         return F.floor(n.cast("long") * (self.den - self.num) / self.den).cast("int")
 
 
+def _squeezed(a: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs, compressed where that can pay; the first byte tells which."""
+    top = int(a.max()) if len(a) else 0
+    item = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    body = a.astype(f"<u{item}").tobytes()
+    return bytes([16 + item]) + zstandard.compress(body, 1) if len(body) > 64 else bytes([item]) + body
+
+
+def _restored(b: bytes) -> np.ndarray:
+    body = zstandard.decompress(b[1:]) if b[0] > 16 else b[1:]
+    return np.frombuffer(body, f"<u{b[0] & 15}").astype(np.uint32)
+
+
+def _cuts(ascending: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin, with the end last."""
+    return np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1], [True]])) if len(ascending) else np.zeros(1, np.int64)
+
+
+def slice_bytes(n_ranges: int) -> int:
+    """Text bytes whose remainders make one blob for each range: about 1 KB of text a blob, between SLICE and MOST_SLICE."""
+    return min(MOST_SLICE, max(SLICE, n_ranges << 10))
+
+
 def scan_sets(df: DataFrame, sim: Similarity, n_ranges: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two sorts: one for each document (slice, place, id, key: the text's hash, n, digest) and one for each slice and hash range (slice, range, sizes and remainders of its documents)."""
+    """Rows of two sorts: one for each document (slice, place, id, key: the text's hash, n, digest) and one for each slice and hash range that it meets (slice, range,
+    the remainders there and, as steps, the places of the documents that they are of): a few bytes a shingle, however many ranges there are."""
     kind = df.schema[id_col].dataType.simpleString()
-    names = ["slice", "place", "id", "key", "n", "digest", "range", "sizes", "remainders"]
+    names = ["slice", "place", "id", "key", "n", "digest", "range", "owners", "remainders"]
     id_type = to_arrow_type(df.schema[id_col].dataType)
+    most = slice_bytes(n_ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number = TaskContext.get().partitionId() << 32, 0
         held: list[np.ndarray] = []
 
         def blobs() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            sizes = np.array([len(x) for x in held])
             every = np.concatenate(held)
-            owner = np.repeat(np.arange(len(held)), sizes)
-            which = (every >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
-            order = np.argsort(which.astype(np.uint32), kind="stable")
+            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
+            which = ((every >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(which, kind="stable")
             which, owner, rest = which[order], owner[order], every[order].astype(np.uint32)
-            cuts = np.searchsorted(which, np.arange(n_ranges + 1))
-            ranges = [r for r in range(n_ranges) if cuts[r + 1] > cuts[r]]
-            counts = [np.bincount(owner[cuts[r] : cuts[r + 1]], minlength=len(held)).astype(np.uint32).tobytes() for r in ranges]
-            values = [rest[cuts[r] : cuts[r + 1]].tobytes() for r in ranges]
-            n = len(ranges)
-            none = lambda t: pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"] * n, pa.string()), none(pa.int32()), none(id_type), none(pa.int64()), none(pa.int32()), none(pa.binary()), pa.array(ranges, pa.int32()), pa.array(counts, pa.binary()), pa.array(values, pa.binary())], names)
-
-        nonlocal_bytes = 0
+            cuts = _cuts(which)
+            steps = np.diff(owner, prepend=np.uint32(0))
+            steps[cuts[:-1]] = owner[cuts[:-1]]
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            for i in range(0, len(spans), 4096):
+                some = spans[i : i + 4096]
+                none = lambda t: pa.nulls(len(some), t)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part + number] * len(some), pa.int64()), none(pa.int32()), none(id_type), none(pa.int64()), none(pa.int32()), none(pa.binary()), pa.array(which[[a for a, _ in some]], pa.int32()),
+                     pa.array([_squeezed(steps[a:b]) for a, b in some], pa.binary()), pa.array([rest[a:b].tobytes() for a, b in some], pa.binary())],
+                    names,
+                )
+
+        n_bytes = 0
         for b in slices(batches):
             sets = shingle_sets(b.column("text"), sim.k)
             m = len(sets)
             digests = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
             none = lambda t: pa.nulls(m, t)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"] * m, pa.string()), pa.array(range(len(held), len(held) + m), pa.int32()), b.column("id"), b.column("key"), pa.array([len(x) for x in sets], pa.int32()), pa.array(digests, pa.binary()), none(pa.int32()), none(pa.binary()), none(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([part + number] * m, pa.int64()), pa.array(range(len(held), len(held) + m), pa.int32()), b.column("id"), b.column("key"), pa.array([len(x) for x in sets], pa.int32()), pa.array(digests, pa.binary()), none(pa.int32()), none(pa.binary()), none(pa.binary())], names)
             held += sets
-            nonlocal_bytes += b.column("text").nbytes
-            if nonlocal_bytes >= SLICE:
+            n_bytes += b.column("text").nbytes
+            if n_bytes >= most:
                 yield from blobs()
-                held, nonlocal_bytes, number = [], 0, number + 1
+                held, n_bytes, number = [], 0, number + 1
         yield from blobs()
 
     arrow_limits(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    return rows.mapInArrow(run, f"slice string, place int, id {kind}, key bigint, n int, digest binary, range int, sizes binary, remainders binary")
+    return rows.mapInArrow(run, f"slice long, place int, id {kind}, key bigint, n int, digest binary, range int, owners binary, remainders binary")
 
 
 def _once(part: pa.Table) -> pa.Table:
-    """For one hash range: how many remainders of each document are met once in all its blobs."""
-    sizes = [np.frombuffer(x, np.uint32) for x in part.column("sizes").to_pylist()]
+    """For one hash range: the documents, by slice, with remainders met once in all its blobs, and how many of them."""
+    owners = [np.cumsum(_restored(x), dtype=np.uint32) for x in part.column("owners").to_pylist()]
     values = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("remainders").to_pylist()])
     order = np.argsort(values)
     ranked = values[order]
     same = ranked[1:] == ranked[:-1]
-    single = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-    owner = np.repeat(np.arange(sum(map(len, sizes))), np.concatenate(sizes))
-    met = np.bincount(owner[order[single]], minlength=sum(map(len, sizes))).astype(np.uint32)
-    cuts = np.cumsum([0, *map(len, sizes)])
-    return pa.table({"slice": part.column("slice"), "own": pa.array([met[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+    single = np.zeros(len(values), bool)
+    single[order] = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    out, at = [], 0
+    for name, own in zip(part.column("slice").to_pylist(), owners, strict=True):
+        places = own[single[at : at + len(own)]]  # ascending
+        at += len(own)
+        cuts = _cuts(places)
+        if len(places):
+            out.append((name, _squeezed(np.diff(places[cuts[:-1]], prepend=np.uint32(0))), _squeezed(np.diff(cuts).astype(np.uint32))))
+    return pa.table({"slice": pa.array([r[0] for r in out], pa.int64()), "places": pa.array([r[1] for r in out], pa.binary()), "counts": pa.array([r[2] for r in out], pa.binary())})
 
 
 def _summed(part: pa.Table) -> pa.Table:
-    """For one slice: each document's number of shingles met once."""
-    total = np.sum([np.frombuffer(x, np.uint32) for x in part.column("own").to_pylist()], axis=0, dtype=np.int64)
-    return pa.table({"slice": pa.array([part.column("slice")[0].as_py()] * len(total), pa.string()), "place": pa.array(np.arange(len(total)), pa.int32()), "own": pa.array(total, pa.int64())})
+    """For one slice: each document's number of shingles met once, where there are any."""
+    places = np.concatenate([np.cumsum(_restored(x), dtype=np.uint32) for x in part.column("places").to_pylist()])
+    total = np.bincount(places, np.concatenate([_restored(x) for x in part.column("counts").to_pylist()])).astype(np.int64)
+    some = np.flatnonzero(total)
+    return pa.table({"slice": pa.array([part.column("slice")[0].as_py()] * len(some), pa.int64()), "place": pa.array(some, pa.int32()), "own": pa.array(total[some], pa.int64())})
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -259,14 +297,14 @@ def classes(df: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id
     """(id, key: xxhash64 of the text, n_shingles, digest, component, component_id) for every row: component names the class, component_id is the least id in it."""
     spark = df.sparkSession
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n_ranges = int(min(1 << 20, max(64, estimate // RANGE_BYTES)))
+    n_ranges = int(max(64, estimate // RANGE_BYTES))
     scanned = stored(spark, scan_sets(df, sim, n_ranges, id_col, text_col), "jaccard-scan")
     docs = scanned.where("range IS NULL").select("slice", "place", "id", "key", "n", "digest")
-    once = scanned.where("range IS NOT NULL").select("slice", "range", "sizes", "remainders").groupBy("range").applyInArrow(_once, "slice string, own binary")
-    own = once.groupBy("slice").applyInArrow(_summed, "slice string, place int, own bigint")
+    once = scanned.where("range IS NOT NULL").select("slice", "range", "owners", "remainders").groupBy("range").applyInArrow(_once, "slice long, places binary, counts binary")
+    own = once.groupBy("slice").applyInArrow(_summed, "slice long, place int, own bigint")
     reach = sim.reach(F.col("n"))
     # one text stands for all that have its set
-    full = docs.where("n > 0").join(own, ["slice", "place"]).where(F.col("own") <= reach)
+    full = docs.where("n > 0").join(own, ["slice", "place"], "left").where(F.coalesce("own", F.lit(0)) <= reach)
     wanted = stored(spark, full.groupBy("digest").agg(F.min("key").alias("key")).select("key"), "jaccard-wanted")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +341,15 @@ def deduplicated(df: DataFrame, sim: Similarity = Similarity(), id_col: str = "d
     # rows to drop, and winners that stand in the table more than once
     gone = stored(spark, judged.where(~wins | (F.col("_n") > 1)).select("_id", "_key", wins.alias("_again")), "dedup-gone")
     few = F.broadcast if gone.count() <= BROADCAST_ROWS else (lambda x: x)
-    keyed = df.withColumn("_text_key", F.xxhash64(F.col(text_col).cast("string")))
-    same = lambda x: keyed[id_col].eqNullSafe(x["_id"]) & (keyed["_text_key"] == x["_key"])
+    # the input's columns go by place, so that none can clash with those made here
+    places = [f"_{i}" for i in range(len(df.columns))]
+    own, text = places[df.columns.index(id_col)], places[df.columns.index(text_col)]
+    keyed = df.toDF(*places).withColumn("_text_key", F.xxhash64(F.col(text).cast("string")))
+    same = lambda x: keyed[own].eqNullSafe(x["_id"]) & (keyed["_text_key"] == x["_key"])
     again = gone.where("_again")
-    kept = keyed.join(few(gone), same(gone), "left_anti").select(*(f"`{c}`" for c in df.columns))
-    once = keyed.join(few(again), same(again), "left_semi").dropDuplicates([id_col, "_text_key"]).select(*(f"`{c}`" for c in df.columns))
-    return kept.union(once)
+    kept = keyed.join(few(gone), same(gone), "left_anti").select(*places)
+    once = keyed.join(few(again), same(again), "left_semi").dropDuplicates([own, "_text_key"]).select(*places)
+    return kept.union(once).toDF(*df.columns)
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -111,3 +111,13 @@ def test_chain_of_links(spark):
     texts = [" ".join(base[i * 6 : i * 6 + 150]) for i in range(30)]
     sim = Similarity(3, 90, 100)
     assert {c for c, _ in classes_of(spark, texts, sim).values()} == {0}
+
+
+def test_scan_is_linear(spark, sf):
+    """The met-once count sends a few bytes a shingle, however many ranges there are."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    sizes = {}
+    for n in (64, 6400):
+        rows = jaccard.scan_sets(docs, Similarity(), n, "doc_id", "text").where("range IS NOT NULL").selectExpr("sum(length(owners) + length(remainders) + 16) AS n", "sum(length(remainders)) / 4 AS shingles").first()
+        sizes[n] = rows["n"] / rows["shingles"]
+    assert sizes[64] < 6 and sizes[6400] < 8, sizes
