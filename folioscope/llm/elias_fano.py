@@ -15,11 +15,17 @@ import numpy as np
 #: Codes 1 to 255 cover log10 values from -DEPTH to 0; 0 means absent.
 DEPTH = 12.0
 STEP = DEPTH / 254
+#: Place of the k-th set bit of a byte.
+_SELECT = np.zeros((256, 8), np.int64)
+for _b in range(256):
+    _ones = [i for i in range(8) if _b >> i & 1]
+    _SELECT[_b, : len(_ones)] = _ones
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
-    """Bytes for logarithms of at most 0."""
-    return (255 - np.clip(np.rint(-np.asarray(log10) / STEP), 0, 254)).astype(np.uint8)
+    """Bytes for logarithms of at most 0; 0, as for what is absent, for that of 0."""
+    log10 = np.asarray(log10, np.float64)
+    return np.where(np.isneginf(log10), 0, 255 - np.clip(np.rint(-log10 / STEP), 0, 254)).astype(np.uint8)
 
 
 def restored(codes: np.ndarray) -> np.ndarray:
@@ -58,12 +64,41 @@ class EliasFano:
         at += 32
         return cls(n, width, data[at : at + low], data[at + low : at + low + high]), at + low + high
 
-    def directory(self) -> np.ndarray:
-        """High part of each number: the select index, made when a sequence is opened."""
-        if not hasattr(self, "_high"):
-            ones = np.flatnonzero(np.unpackbits(np.asarray(self.high), bitorder="little"))[: self.n]
-            self._high = ones - np.arange(len(ones))
-        return self._high
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """The high bits as 64-bit words and the ones before each: the only thing made when a sequence is opened, about two bits a number."""
+        if not hasattr(self, "_index"):
+            words = np.zeros(max(1, -(-len(self.high) // 8)), np.uint64)
+            words.view(np.uint8)[: len(self.high)] = self.high
+            ones = np.bitwise_count(words).astype(np.int64)
+            self._index = words, np.cumsum(ones) - ones
+        return self._index
+
+    def select(self, k: np.ndarray, zeros: bool = False) -> np.ndarray:
+        """Place of the k-th (from 0) one, or zero, among the high bits; there are zeros without end behind them."""
+        words, before = self.index()
+        if zeros:
+            before = 64 * np.arange(len(words)) - before
+        k = np.asarray(k, np.int64)
+        w = np.searchsorted(before, k, "right") - 1
+        left = k - before[w]
+        parts = (~words[w] if zeros else words[w])[:, None].view(np.uint8)
+        upto = np.cumsum(np.bitwise_count(parts), 1, dtype=np.uint8)
+        byte = (upto <= left[:, None]).sum(1)
+        inside = byte < 8
+        out = np.empty(len(k), np.int64)
+        row, at = np.flatnonzero(inside), byte[inside]
+        skipped = np.where(at > 0, upto[row, at - 1], 0)
+        out[row] = 64 * w[row] + 8 * at + _SELECT[parts[row, at], left[row] - skipped]
+        far = np.flatnonzero(~inside)
+        out[far] = 64 * (w[far] + 1) + left[far] - upto[far, 7]
+        return out
+
+    def below(self, high: np.ndarray) -> np.ndarray:
+        """How many numbers have a smaller high part: what stands before its bucket."""
+        out = np.zeros(len(high), np.int64)
+        some = np.flatnonzero(high > 0)
+        out[some] = np.minimum(self.select(high[some] - 1, zeros=True) - (high[some] - 1), self.n)
+        return out
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         bit = np.asarray(i, np.int64) * self.width
@@ -75,13 +110,16 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places."""
-        return (self.directory()[i].astype(np.uint64) << np.uint64(self.width)) | self.lows(i)
+        i = np.asarray(i, np.int64)
+        return ((self.select(i) - i).astype(np.uint64) << np.uint64(self.width)) | self.lows(i)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """For each x the first place whose number is x or more (n if there is none): the bucket of its high part, then a search of its low bits."""
         x = np.asarray(x).astype(np.uint64)
         high, want = (x >> np.uint64(self.width)).astype(np.int64), x & np.uint64((1 << self.width) - 1)
-        lo, hi = np.searchsorted(self.directory(), high, "left"), np.searchsorted(self.directory(), high, "right")
+        if not self.n:
+            return np.zeros(len(x), np.int64)
+        lo, hi = self.below(high), self.below(high + 1)
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):

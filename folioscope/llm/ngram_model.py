@@ -2,8 +2,8 @@
 
 Tokens are words (A-Z in small letters) and one end for each text. With counts c of the training texts:
     p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),  p(w | u) = (c(u, w) + mu p(w)) / (c(u) + mu),  p(w | t, u) = (c(t, u, w) + nu p(w | u)) / (c(t, u) + nu),
-the last only where c(t, u) is at least LEAST, else p(w | u). Each context is a node of a trie: its weight left to the shorter context, mu / (c(u) + mu), and the
-first summands of its successors are quantised there.
+where a context that training lacks leaves all to the shorter one. Each context is a node of a trie: its weight left to the shorter context, mu / (c(u) + mu), and
+the first summands of its successors are quantised there; scores are put together from what the tries give.
 
 The corpus is read in slices of about SLICE bytes of text. Four passes:
 1. Each slice sends the hashes and training counts of its distinct words to hash ranges, which add them up and answer each slice.
@@ -34,12 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import arrow_limits, crc_mod, shared_dir, shuffles_dropped, slices, table
-from folioscope.llm.elias_fano import Trie, quantised, restored
+from folioscope.llm.elias_fano import Trie, restored
 from folioscope.llm.shingles import mixed, words
 
 SLICE = 6 << 20
-#: Bigrams met less often in training are no contexts of trigrams.
-LEAST = 2
 #: Input bytes (as Spark estimates them) for each hash range or shard.
 RANGE_BYTES = 2 << 20
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\n end"))
@@ -162,10 +160,10 @@ class Slice:
         return self.grouped(plan, self.before, self.codes, self.hashes, counts)
 
     def trigrams(self, plan: Plan, two: Grams, counts: np.ndarray) -> tuple[Grams, np.ndarray]:
-        """Tokens whose two tokens before are a context, with that bigram (counts: of bigrams); and which tokens they are."""
+        """Tokens whose two tokens before are met in training, with that bigram (counts: of bigrams); and which tokens they are. The others have the weight 1."""
         context = np.zeros_like(two.token)
         context[1:] = two.token[:-1]
-        chosen = np.flatnonzero((self.before != self.end + 1) & (counts[context] >= LEAST))
+        chosen = np.flatnonzero((self.before != self.end + 1) & (counts[context] > 0))
         with np.errstate(over="ignore"):
             hashes = mixed(mixed(self.hashes[two.context]) * np.uint64(0x9E3779B97F4A7C15) + self.hashes[two.word])
         return self.grouped(plan, context[chosen], self.codes[chosen], hashes, counts), chosen
@@ -182,6 +180,13 @@ class Grams:
     wide: np.ndarray
     token: np.ndarray
 
+    def runs(self) -> np.ndarray:
+        """The number, in order, of each n-gram's context within its shard: the tries answer a weight for each."""
+        if not len(self.pair):
+            return np.zeros(0, np.int64)
+        context = self.pair >> np.uint64(32)
+        return np.concatenate([[0], np.cumsum((self.shard[1:] != self.shard[:-1]) | (context[1:] != context[:-1]))])
+
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
     part, number, held, n = TaskContext.get().partitionId(), 0, [], 0
@@ -296,7 +301,7 @@ def _trigram_pass(plan: Plan):
 
 
 def build_trie(pairs: np.ndarray, counts: np.ndarray, known: np.ndarray, mu: float) -> Trie:
-    """From distinct pairs (context print << 32 | word print, ascending) with counts above 0; known: rows (context, whole count)."""
+    """From distinct pairs (context print << 32 | word print, ascending) with counts (0 only where a pair brings in its context); known: rows (context, whole count)."""
     context, word = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
     _, code = np.unique(context, return_inverse=True)
     own = np.bincount(code, counts)
@@ -305,36 +310,41 @@ def build_trie(pairs: np.ndarray, counts: np.ndarray, known: np.ndarray, mu: flo
         each, first = np.unique(context, return_index=True)
         _, i, j = np.intersect1d(each.astype(np.int64), names, assume_unique=True, return_indices=True)
         own[i] = known[1][at][j]
-    log = np.log10(counts / (own[code] + mu)) if len(counts) else np.zeros(0)
+    with np.errstate(divide="ignore"):
+        log = np.log10(counts / (own[code] + mu)) if len(counts) else np.zeros(0)
     return Trie.of(context, word, log, np.log10(mu / (own + mu)))
 
 
-ANSWERS = "slice string, range int, codes binary, counts binary"
+ANSWERS = "slice string, range int, codes binary, counts binary, weights binary"
 
 
 def _shard(plan: Plan, order: int):
-    """Builds a shard's trie of bigrams or trigrams and answers every slice: codes and corpus counts of its n-grams."""
+    """Builds a shard's trie of bigrams or trigrams and answers every slice: codes and corpus counts of its n-grams, weights of its contexts."""
     prior = plan.mu if order == 2 else plan.nu
 
     def run(part: pa.Table) -> pa.Table:
         r = part.column("range")[0].as_py()
-        pairs = []
+        pairs, starts = [], []
         for contexts, sizes, found in zip(*(part.column(x).to_pylist() for x in ("contexts", "sizes", "words")), strict=True):
-            pairs.append(np.repeat(np.frombuffer(contexts, np.uint32), _unpack(sizes, "<u4")).astype(np.uint64) << np.uint64(32) | np.frombuffer(found, np.uint32).astype(np.uint64))
+            sizes = _unpack(sizes, "<u4")
+            starts.append(np.cumsum(sizes) - sizes)
+            pairs.append(np.repeat(np.frombuffer(contexts, np.uint32), sizes).astype(np.uint64) << np.uint64(32) | np.frombuffer(found, np.uint32).astype(np.uint64))
         counts = np.concatenate([_unpack(x, "<u4") for x in part.column("counts").to_pylist()])
         known = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in part.column("known").to_pylist()], 1)
         distinct, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
         total = np.bincount(inverse, counts)
-        seen = total > 0
+        # a context that is spread may have no trained successor here, but has its weight
+        seen = (total > 0) | np.isin(distinct >> np.uint64(32), known[0].astype(np.uint64))
         name = f"trie{order}-{r:08d}"
         put_file(plan.folder, name, build_trie(distinct[seen], total[seen], known, prior).to_bytes())
         trie = Trie.open(mapped(plan.folder, name))
-        codes = trie.find(distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF))[0][inverse]
+        codes, weights = (x[inverse] for x in trie.find(distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF)))
         every = total[inverse].astype(np.uint32)
         cuts = np.cumsum([0, *map(len, pairs)])
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
         packed = [pa.array([_pack(x[a:b]) for a, b in spans], pa.binary()) for x in (codes, every)]
-        return pa.table([part.column("slice"), part.column("range"), *packed], names=["slice", "range", "codes", "counts"])
+        packed.append(pa.array([_pack(weights[a:b][first]) for (a, b), first in zip(spans, starts, strict=True)], pa.binary()))
+        return pa.table([part.column("slice"), part.column("range"), *packed], names=["slice", "range", "codes", "counts", "weights"])
 
     return run
 
@@ -343,25 +353,28 @@ SCORES = "n_tokens long, n_known long, base_score double, score double"
 
 
 def _score_pass(plan: Plan):
-    def weight(prior: float, counts: np.ndarray) -> np.ndarray:
-        """What a context leaves to the shorter one, quantised as the trie keeps it."""
-        return restored(quantised(np.log10(prior / (counts + prior))))
+    def answer(s: Slice, g: Grams, order: str) -> tuple[np.ndarray, np.ndarray]:
+        """The tries' answers for n-grams: their own summand and what their context leaves (1 where no trie has it)."""
+        own = restored(_fitting(_unpack(get_file(plan.folder, f"{order}-{s.name}"), "u1"), len(g.pair)))
+        runs = g.runs()
+        weights = _fitting(_unpack(get_file(plan.folder, f"{order}-weights-{s.name}"), "u1"), int(runs[-1]) + 1 if len(runs) else 0)
+        return own, np.where(weights == 0, 1.0, restored(weights))[runs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches):
             counts, two = _counted(plan, s)
             p = plan.unigram(counts)
-            codes = _fitting(_unpack(get_file(plan.folder, f"bigrams-{s.name}"), "u1"), len(two.pair))
-            model = (restored(codes) + weight(plan.mu, counts)[two.context] * p[two.word])[two.token]
+            own, left = answer(s, two, "bigrams")
+            model = (own + left * p[two.word])[two.token]
             pairs = _pair_counts(plan, s, two)
             three, chosen = s.trigrams(plan, two, pairs)
             if len(chosen):
-                codes = _fitting(_unpack(get_file(plan.folder, f"trigrams-{s.name}"), "u1"), len(three.pair))
-                model[chosen] = restored(codes)[three.token] + weight(plan.nu, pairs)[three.context][three.token] * model[chosen]
+                own, left = answer(s, three, "trigrams")
+                model[chosen] = own[three.token] + left[three.token] * model[chosen]
             n = len(s.ids)
             sums = lambda x: np.bincount(s.document, x, n)  # noqa: B023, E731
-            own = counts[s.codes]
-            columns = [pa.array(np.bincount(s.document, minlength=n), pa.int64()), pa.array(sums(own > 0).astype(np.int64), pa.int64()), pa.array(sums(np.log10(p)[s.codes]), pa.float64()), pa.array(sums(np.log10(model)), pa.float64())]
+            met = counts[s.codes]
+            columns = [pa.array(np.bincount(s.document, minlength=n), pa.int64()), pa.array(sums(met > 0).astype(np.int64), pa.int64()), pa.array(sums(np.log10(p)[s.codes]), pa.float64()), pa.array(sums(np.log10(model)), pa.float64())]
             yield pa.RecordBatch.from_arrays([s.ids, s.held, *columns], ["id", "held", *(x.split()[0] for x in SCORES.split(", "))])
 
     return run
@@ -385,7 +398,8 @@ def score(df: DataFrame, train, held, id_col: str = "doc_id", text_col: str = "t
 
     for order, sent, name, more in ((2, _bigram_pass, "bigrams", {"counts": ("counts", "<u4")}), (3, _trigram_pass, "trigrams", {})):
         answers = rows.mapInArrow(sent(plan), GRAMS).groupBy("range").applyInArrow(_shard(plan, order), ANSWERS)
-        written = answers.select("slice", "range", "codes", *more).groupBy("slice").applyInArrow(_write_answer(plan.folder, {"codes": (name, "u1"), **more}), "slice string, n long")
+        kinds = {"codes": (name, "u1"), "weights": (f"{name}-weights", "u1"), **more}
+        written = answers.select("slice", "range", *kinds).groupBy("slice").applyInArrow(_write_answer(plan.folder, kinds), "slice string, n long")
         with shuffles_dropped(spark):
             written.agg(F.sum("n")).collect()
 

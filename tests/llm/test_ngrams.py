@@ -19,6 +19,8 @@ def test_elias_fano(n, top):
     assert (ef.get(np.arange(n)) == v).all()
     x = np.concatenate([rng.integers(0, top + 2, 500).astype(np.uint64), v, v + np.uint64(1)])
     assert (ef.successor(x) == np.searchsorted(v, x)).all()
+    assert (ef.below(np.arange(1, 50)) == np.searchsorted(v >> np.uint64(ef.width), np.arange(1, 50))).all()
+    assert sum(x.nbytes for x in ef.index()) <= 2 * len(ef.high) + 16  # no expanded level
     if n > 400:
         assert len(b"".join(EliasFano.of(v).parts())) * 8 < n * (4 + max(1, math.log2(top / n))) + 800
 
@@ -58,7 +60,7 @@ def plain(rows, train, mu, nu):
         model, seen = 0.0, [b"\n begin", *w]
         for k, x in enumerate(w):
             q = (b[seen[k], x] + mu * p(x)) / (ctx[seen[k]] + mu)
-            if k and b[seen[k - 1], seen[k]] >= 2:
+            if k and b[seen[k - 1], seen[k]]:
                 q = (t[seen[k - 1], seen[k], x] + nu * q) / (b[seen[k - 1], seen[k]] + nu)
             model += math.log10(q)
         out[i] = (len(w), sum(c[x] > 0 for x in w), n, base, model)
