@@ -98,3 +98,16 @@ def held_out(column: str, n: int, remainder: int) -> Column:
 def sample_ids(df: DataFrame, id_col: str, most: int) -> DataFrame:
     """At most `most` ids, those with the least hash: a uniform sample that any partitioning gives alike."""
     return df.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
+
+
+def whole_rows(df: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
+    """The first rows of a training sample (a number and the order's columns of each come to the driver) whose sizes sum up to `most` at most."""
+    total, last = 0, None
+    for r in df.select(*order, size).orderBy(*order).collect():
+        total += r[size]
+        if total > most:
+            break
+        last = r
+    if last is None:
+        return df.limit(0)
+    return df.where(F.struct(*order) <= F.struct(*(F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order)))

@@ -9,21 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import arrow_limits, crc_mod, held_out, sample_ids, slices, table
+from folioscope.llm.common import arrow_limits, crc_mod, held_out, slices, stored, table, whole_rows
 
 WINDOW = 256
 PAD = 256
+#: Bytes of a text that are held as windows at a time.
+PIECE = 256 * WINDOW
 WIDTHS = (2, 3, 4, 5)
-#: Rows that are collected to train on, over all languages: at most so many.
+#: Rows to train on, over all languages: at most so many, and as many as have so many bytes together (texts are taken whole or not at all).
 TRAIN_ROWS = 6000
-#: Languages learned: the most frequent ones, if there are more.
-MOST_LANGUAGES = 256
+TRAIN_BYTES = 48 << 20
 UNKNOWN = "und"
 
 
@@ -80,15 +82,13 @@ class ByteNet:
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not held or not self.labels:
             return labels, scores
-        # windows are scored in runs of bounded size, whole texts or not
+        # long texts go in pieces, so that memory is bounded
         total = np.zeros((len(held), len(self.labels)))
-        weight = np.zeros(len(held))
-        x, owner, size = windows(held)
-        for i in range(0, len(x), 4096):
-            p = self.probabilities(x[i : i + 4096])
-            np.add.at(total, owner[i : i + 4096], p * size[i : i + 4096, None])
-            np.add.at(weight, owner[i : i + 4096], size[i : i + 4096])
-        total /= weight[:, None]
+        pieces = [(k, t[i : i + PIECE]) for k, t in enumerate(held) for i in range(0, len(t), PIECE)]
+        for some in batched(pieces, 64):
+            x, owner, size = windows([t for _, t in some])
+            np.add.at(total, np.array([k for k, _ in some])[owner], self.probabilities(x) * size[:, None])
+        total /= np.array([len(t) for t in held])[:, None]
         best = total.argmax(1)
         for k, j in enumerate(i for i, ok in enumerate(letters) if ok):
             labels[j], scores[j] = self.labels[best[k]], float(min(1.0, total[k, best[k]]))
@@ -96,7 +96,7 @@ class ByteNet:
 
 
 def train(texts: list[str], labels: list[str], dims: int = 8, per_width: int = 8, steps: int = 1500, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> ByteNet:
-    """Fits the network with Adam on windows drawn evenly from the labels, then from their texts' windows."""
+    """Fits the network with Adam on windows drawn evenly from the labels, then from the label's texts, then from the whole text."""
     names = sorted(set(labels))
     rng = np.random.default_rng(seed)
     widest, n_filters = max(WIDTHS), per_width * len(WIDTHS)
@@ -105,17 +105,18 @@ def train(texts: list[str], labels: list[str], dims: int = 8, per_width: int = 8
     if not names:
         return net
     net.embed[PAD] = 0
-    x, owner, size = windows([t.encode() for t in texts])
-    y = np.array([names.index(v) for v in labels])[owner]
-    usable = size >= min(32, size.max())
-    by_label = [np.flatnonzero(usable & (y == c)) for c in range(len(names))]
-    by_label = [v if len(v) else np.flatnonzero(y == c) for c, v in enumerate(by_label)]
+    bodies = [t.encode() for t in texts]
+    n_windows = np.array([max(1, -(-len(b) // WINDOW)) for b in bodies])
+    place = {name: c for c, name in enumerate(names)}
+    y = np.array([place[v] for v in labels])
+    by_label = [np.flatnonzero(y == c) for c in range(len(names))]
     arrays = [net.embed, net.filters, net.bias, net.out, net.out_bias]
     m, v = [np.zeros_like(a) for a in arrays], [np.zeros_like(a) for a in arrays]
     for step in range(1, steps + 1):
         classes = rng.integers(0, len(names), batch)
         rows = np.array([by_label[c][rng.integers(len(by_label[c]))] for c in classes])
-        xb = x[rows]
+        at = rng.integers(0, n_windows[rows]) * WINDOW
+        xb = windows([bodies[r][i : i + WINDOW] for r, i in zip(rows.tolist(), at.tolist(), strict=True)])[0]
         p, a = net.pooled(xb)
         at = a.argmax(1)
         h = np.take_along_axis(a, at[:, None], 1)[:, 0] + net.bias
@@ -141,22 +142,28 @@ def train(texts: list[str], labels: list[str], dims: int = 8, per_width: int = 8
     return net
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS) -> ByteNet:
-    """Trains on at most train_rows of the rows given, shared out evenly among the labels; rows without text or label count nothing."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL AND length(text) > 0")
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> ByteNet:
+    """Trains on whole texts of at most train_rows of the rows given, shared out evenly among all labels, in an order by a hash of the id and as long as they have
+    train_bytes together; rows without text or label count nothing. With more labels than train_rows, each label has one row."""
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("id IS NOT NULL AND label IS NOT NULL AND length(text) > 0")
+    counts = stored(spark, rows.groupBy("label").agg(F.count("*").alias("n")), "language-labels")
+    n_labels = counts.count()
+    if not n_labels:
         return train([], [])
-    # a label's share of its rows is drawn by a hash of the id, so each label comes to about the same number
-    each = max(1, train_rows // len(counts))
-    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
-    drawn = rows.where((F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 20)) / F.lit(1 << 20)) < F.coalesce(F.try_element_at(shares, F.col("label")), F.lit(0.0)))
-    ids = sample_ids(drawn, "id", train_rows)
-    # long texts give one stretch of at most 8192 characters, its place drawn by a hash; this bounds what the driver collects
-    place = F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - 8191, F.lit(1))).cast("int") + 1
-    got = rows.join(F.broadcast(ids), "id", "left_semi").select("id", F.substring("text", place, F.lit(8192)).alias("text"), "label").dropDuplicates(["id"]).collect()
-    got.sort(key=lambda r: str(r[0]))
-    return train([r[1] for r in got], [str(r[2]) for r in got])
+    each = max(1, train_rows // n_labels)
+    # about twice as many as needed of each label are drawn by a hash of the id; their places within the label then decide
+    hashed = F.xxhash64("id", F.lit("language"))
+    wanted = rows.select("id", "label").join(counts, "label").where(F.pmod(hashed, F.lit(1 << 40)) / F.lit(1 << 40) < F.lit(2.0 * each + 40) / F.col("n"))
+    ranked = wanted.select("id", "label", hashed.alias("h")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("h", "id")))
+    chosen = stored(spark, ranked.where(F.col("place") <= each).select("id", "label", "place", "h"), "language-ids")
+    n_chosen = chosen.count()
+    few = F.broadcast if n_chosen <= 10 * train_rows else (lambda x: x)
+    texts = rows.join(few(chosen), ["id", "label"]).groupBy("label", "place", "h", "id").agg(F.min("text").alias("text"))
+    texts = stored(spark, texts.withColumn("n", F.octet_length("text")), "language-texts")
+    got = whole_rows(texts, ["place", "h", "label"], "n", train_bytes).select("id", "label", "text").collect()
+    got.sort(key=lambda r: (str(r[0]), r[1]))
+    return train([r[2] for r in got], [r[1] for r in got])
 
 
 def identify(df: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import arrow_limits, crc_mod, held_out, sample_ids, slices, table
+from folioscope.llm.common import SLICE_BYTES, arrow_limits, crc_mod, held_out, sample_ids, slices, stored, table, whole_rows
 
 PASSAGE = 512
-#: Labelled rows to train on, at most, and passages of each (drawn over its whole text).
+#: Labelled rows to train on, at most, and passages of all of them together (texts are taken whole or not at all).
 TRAIN_ROWS = 6000
-TRAIN_PASSAGES = 32
+TRAIN_PASSAGES = 100_000
+DECAY = 1e-4
 PAIRS = 64
 OCCUPANCY = 1024
 THRESHOLD = 0.7
@@ -36,37 +37,45 @@ CLASS_OF[128:] = CLASSES - 1
 N_FEATURES = CLASSES + PAIRS + 4
 
 
-def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage (rows) and the text that each is of; every text has one at least."""
+def passages(texts: list[bytes], whole: list[int] | None = None, after: bytes = bytes(4)) -> tuple[np.ndarray, np.ndarray]:
+    """Features of every passage (rows) and the text that each is of; every text has one at least. A passage's features depend on its own text alone.
+    For pieces of texts, whole has the whole texts' sizes and after the four bytes that follow a piece."""
     sizes = np.array([len(x) for x in texts], np.int64)
+    of = sizes if whole is None else np.array(whole, np.int64)
     counts = np.maximum(1, -(-sizes // PASSAGE))
     owner = np.repeat(np.arange(len(texts)), counts)
     n = len(owner)
-    body = np.frombuffer(b"".join(texts) + bytes(4), np.uint8)
+    body = np.frombuffer(b"".join(x + after for x in texts), np.uint8).astype(np.int64)
+    at = np.arange(int(sizes.sum())) + np.repeat(4 * np.arange(len(texts)), sizes)
     first_passage = np.cumsum(counts) - counts
     within = np.arange(n) - first_passage[owner]
     length = np.clip(sizes[owner] - within * PASSAGE, 0, PASSAGE)
     passage = np.repeat(np.arange(n), length)
-    total = len(body) - 4
-    b = body[:total].astype(np.int64)
+    b, after_1 = body[at], body[at + 1]
     out = np.zeros((n, N_FEATURES), np.float32)
     scale = 1 / np.maximum(length, 1)[:, None]
     out[:, :CLASSES] = np.bincount(passage * CLASSES + CLASS_OF[b], minlength=n * CLASSES).reshape(n, -1) * scale
-    after = body[1 : total + 1].astype(np.int64)
-    pair = (b * 37 + after * 101 + (b ^ after)) % PAIRS
+    pair = (b * 37 + after_1 * 101 + (b ^ after_1)) % PAIRS
     out[:, CLASSES : CLASSES + PAIRS] = np.bincount(passage * PAIRS + pair, minlength=n * PAIRS).reshape(n, -1) * scale
     # how many different runs of four bytes a passage has: few where words repeat
-    four = b + (after << 8) + (body[2 : total + 2].astype(np.int64) << 16) + (body[3 : total + 3].astype(np.int64) << 24)
+    four = b + (after_1 << 8) + (body[at + 2] << 16) + (body[at + 3] << 24)
     met = np.zeros(n * OCCUPANCY, bool)
     met[passage * OCCUPANCY + ((four * 2654435761) >> 16) % OCCUPANCY] = True
     k = CLASSES + PAIRS
     out[:, k] = met.reshape(n, -1).sum(1) / np.maximum(length, 1)
     out[:, k + 1] = length / PASSAGE
-    out[:, k + 2] = np.log1p(sizes[owner]) / 10
-    out[:, k + 3] = sizes[owner] == 0
+    out[:, k + 2] = np.log1p(of[owner]) / 10
+    out[:, k + 3] = of[owner] == 0
     return out, owner
 
 
+def pieces(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """The passages' features of one text in pieces of about size bytes: the same rows as in one go, in bounded memory."""
+    size = -(-size // PASSAGE) * PASSAGE
+    for i in range(0, max(1, len(text)), size):
+        yield passages([text[i : i + size]], [len(text)], (text[i + size : i + size + 4] + bytes(4))[:4])[0]
+
+
 @dataclass
 class Attention:
     """mean, spread: to standardise features; encode, attend (V), gate (U), weigh (w): the attention; last: the logistic unit."""
@@ -85,24 +94,65 @@ class Attention:
     def arrays(self) -> list[np.ndarray]:
         return [self.encode, self.encode_bias, self.attend, self.gate, self.weigh, self.last, self.last_bias]
 
-    def forward(self, x: np.ndarray, owner: np.ndarray, n: int) -> dict:
+    def encoded(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Standardised features, encoding, the two factors of the gate and the attention before normalisation of every passage."""
         x = (x - self.mean) / self.spread
         h = np.tanh(x @ self.encode + self.encode_bias)
         t, s = np.tanh(h @ self.attend), 1 / (1 + np.exp(-(h @ self.gate)))
-        e = (t * s) @ self.weigh
+        return x, h, t, s, (t * s) @ self.weigh
+
+    def logistic(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z @ self.last + self.last_bias[0], -30, 30)))
+
+    def forward(self, x: np.ndarray, owner: np.ndarray, n: int) -> dict:
+        x, h, t, s, e = self.encoded(x)
         top = np.full(n, -np.inf, e.dtype)
         np.maximum.at(top, owner, e)
         a = np.exp(e - top[owner])
         a /= np.bincount(owner, a, n)[owner]
         z = np.zeros((n, h.shape[1]))
         np.add.at(z, owner, a[:, None] * h)
-        return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "p": 1 / (1 + np.exp(-np.clip(z @ self.last + self.last_bias[0], -30, 30)))}
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
+        return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "p": self.logistic(z)}
+
+    def gradients(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross entropy of bags and DECAY / 2 times the squares of encode and last, for each of arrays()."""
+        n = len(y)
+        f = self.forward(x, owner, n)
+        d = (f["p"] - y) / n
+        dz = d[:, None] * self.last
+        dh = f["a"][:, None] * dz[owner]
+        da = (f["h"] * dz[owner]).sum(1)
+        de = f["a"] * (da - np.bincount(owner, f["a"] * da, n)[owner])
+        dt = de[:, None] * self.weigh * f["s"] * (1 - f["t"] ** 2)
+        ds = de[:, None] * self.weigh * f["t"] * f["s"] * (1 - f["s"])
+        dh += dt @ self.attend.T + ds @ self.gate.T
+        du = dh * (1 - f["h"] ** 2)
+        return [f["x"].T @ du + DECAY * self.encode, du.sum(0), f["h"].T @ dt, f["h"].T @ ds, (f["t"] * f["s"]).T @ de, f["z"].T @ d + DECAY * self.last, np.array([d.sum()])]
+
+    def score_long(self, text: bytes, size: int) -> float:
+        """The score of one text, read in pieces: the attention's sums are kept relative to the greatest weight so far."""
+        top, mass, z = -np.inf, 0.0, np.zeros(self.encode.shape[1])
+        for x in pieces(text, size):
+            _, h, _, _, e = self.encoded(x)
+            new = max(top, float(e.max()))
+            a = np.exp(e - new)
+            keep = np.exp(top - new)
+            mass, z, top = mass * keep + a.sum(), z * keep + a @ h, new
+        return float(self.logistic(z / mass))
+
+    def score(self, texts: list[bytes], size: int = SLICE_BYTES) -> np.ndarray:
+        """Scores of texts; those beyond size bytes are read in pieces."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        x, owner = passages(texts)
-        return self.forward(x, owner, len(texts))["p"]
+        out = np.empty(len(texts))
+        short = [k for k, x in enumerate(texts) if len(x) <= size]
+        if short:
+            x, owner = passages([texts[k] for k in short])
+            out[short] = self.forward(x, owner, len(short))["p"]
+        for k, x in enumerate(texts):
+            if len(x) > size:
+                out[k] = self.score_long(x, size)
+        return out
 
 
 def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 32, gated: int = 16, epochs: int = 30, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> Attention:
@@ -123,18 +173,7 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 32, gat
         for i in range(0, len(y), batch):
             bags = order[i : i + batch]
             rows = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in bags])
-            own = np.repeat(np.arange(len(bags)), starts[bags + 1] - starts[bags])
-            f = net.forward(x[rows], own, len(bags))
-            d = (f["p"] - y[bags]) / len(bags)
-            dz = d[:, None] * net.last
-            dh = f["a"][:, None] * dz[own]
-            da = (f["h"] * dz[own]).sum(1)
-            de = f["a"] * (da - np.bincount(own, f["a"] * da, len(bags))[own])
-            dt = de[:, None] * net.weigh * f["s"] * (1 - f["t"] ** 2)
-            ds = de[:, None] * net.weigh * f["t"] * f["s"] * (1 - f["s"])
-            dh += dt @ net.attend.T + ds @ net.gate.T
-            du = dh * (1 - f["h"] ** 2)
-            grads = [f["x"].T @ du + 1e-4 * net.encode, du.sum(0), f["h"].T @ dt, f["h"].T @ ds, (f["t"] * f["s"]).T @ de, f["z"].T @ d + 1e-4 * net.last, np.array([d.sum()])]
+            grads = net.gradients(x[rows], np.repeat(np.arange(len(bags)), starts[bags + 1] - starts[bags]), y[bags])
             step += 1
             pace = rate * (1 - step / (steps + 1))
             for k, (a, g) in enumerate(zip(w, grads, strict=True)):
@@ -144,36 +183,36 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 32, gat
     return net
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Attention:
-    """Trains on at most train_rows labelled rows of df (drawn by a hash of the id) and TRAIN_PASSAGES passages of each; of several labels of an id the least counts."""
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, train_passages: int = TRAIN_PASSAGES) -> Attention:
+    """Trains on whole texts of labelled rows of df: the first of them by a hash of the id, at most train_rows and as many as have train_passages passages together.
+    Of several labels of an id the least counts."""
+    spark = df.sparkSession
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     ids = sample_ids(df.select(F.col(id_col).alias("id")).join(marked, "id", "left_semi"), "id", train_rows)
     chosen = ids.join(marked, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x, owner = passages([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
-            out = []
-            for k in range(b.num_rows):
-                rows = x[owner == k]
-                out.append(rows[np.linspace(0, len(rows) - 1, min(len(rows), TRAIN_PASSAGES)).astype(int)].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(out, pa.binary())], ["id", "label", "bag"])
+            bags = [np.concatenate(list(pieces(t or b"", SLICE_BYTES))) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([len(x) for x in bags], pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary())], ["id", "label", "n", "bag"])
 
-    arrow_limits(df.sparkSession)
+    arrow_limits(spark)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    got = rows.mapInArrow(run, f"id {kind}, label int, bag binary").dropDuplicates(["id"]).collect()
+    # an id that stands for several rows is learned once, from the text whose features come first
+    bags = stored(spark, rows.mapInArrow(run, f"id {kind}, label int, n long, bag binary").groupBy("id").agg(F.min_by(F.struct("label", "n", "bag"), "bag").alias("x")).select("id", "x.*"), "quality-bags")
+    got = whole_rows(bags.withColumn("h", F.xxhash64("id")), ["h", "id"], "n", train_passages).select("id", "label", "bag").collect()
     got.sort(key=lambda r: str(r[0]))
-    bags = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in got]
-    x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)
-    return train(x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array([float(r[1] > 0) for r in got]))
+    found = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in got]
+    x = np.concatenate(found) if found else np.zeros((0, N_FEATURES), np.float32)
+    return train(x, np.repeat(np.arange(len(found)), [len(b) for b in found]), np.array([float(r[1] > 0) for r in got]))
 
 
-def score(df: DataFrame, net: Attention, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(id, score) of every row, with the columns named in carry between them."""
-    kept = {name: df.schema[name].dataType.simpleString() for name in [id_col, *(carry or [])]}
-    names = [f"_{i}" for i in range(len(kept))]
-    text = names[[*kept].index(text_col)] if kept.get(text_col) == "string" else "_text"
+def _scored(df: DataFrame, net: Attention, text_col: str) -> DataFrame:
+    """All columns of df by place, _0, _1, ..., with _score: no name can clash."""
+    names = [f"_{i}" for i in range(len(df.columns))]
+    at = df.columns.index(text_col)
+    text = names[at] if df.schema[at].dataType.simpleString() == "string" else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
@@ -181,10 +220,19 @@ def score(df: DataFrame, net: Attention, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(np.round(p, 9), pa.float64())], [*names, "_score"])
 
     arrow_limits(df.sparkSession)
-    more = [F.col(text_col).cast("string").alias("_text")] if text == "_text" else []
-    rows = df.select(*(F.col(f"`{name}`").alias(x) for x, name in zip(names, kept, strict=True)), *more)
-    schema = ", ".join([*(f"{x} {k}" for x, k in zip(names, kept.values(), strict=True)), "_score double"])
-    return rows.mapInArrow(run, schema).toDF(*kept, "score")
+    rows = df.toDF(*names)
+    rows = rows if text != "_text" else rows.withColumn("_text", F.col(names[at]).cast("string"))
+    return rows.mapInArrow(run, ", ".join([*(f"{x} {f.dataType.simpleString()}" for x, f in zip(names, df.schema, strict=True)), "_score double"]))
+
+
+def score(df: DataFrame, net: Attention, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every row."""
+    return _scored(df.select(id_col, text_col), net, text_col).select(F.col("_0").alias(id_col), F.col("_score").alias("score"))
+
+
+def accepted(df: DataFrame, net: Attention, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of df whose score is threshold or more, with their columns as they are."""
+    return _scored(df, net, text_col).where(F.col("_score") >= threshold).drop("_score").toDF(*df.columns)
 
 
 def op4_quality_attention(spark, sf_dir: str) -> DataFrame:

@@ -11,16 +11,20 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import arrow_limits, slices, table
+from folioscope.llm.shingles import words as words_of
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
+#: Characters from which on windows are counted in arrays, with the same result.
+LONG_TEXT = 1 << 20
 #: A line of prose ends with one of these, perhaps before white space, or has a sentence's end inside (the last line of a cut text).
-TERMINAL = r"""[.!?…"'”’»)\]][\t\v\f\r ]*$|[.!?…] """
+TERMINAL = r"""[.!?…。！？।؟۔"'”’»)\]」』）][\t\v\f\r ]*$|[.!?…।؟۔] |[。！？]"""
 NAVIGATION = "|>»•·"
 #: Lower-case phrases of legal, consent and page-furniture lines.
 BOILERPLATE = (
@@ -31,13 +35,14 @@ BOILERPLATE = (
 
 @dataclass(frozen=True)
 class Rules:
-    """A line fails where: it neither ends like prose nor has a sentence's end inside; it has NAVIGATION marks for a quarter of its words and two at least; it has 30 words at most and a boilerplate phrase;
+    """A line fails where: it neither ends like prose nor has a sentence's end inside; it has NAVIGATION marks for a quarter of its words and two at least; it has boilerplate_words words at most and a boilerplate phrase;
     it has more than half as many symbols as words; of three words or more, capitals outnumber small letters (A-Z, a-z).
     A document fails where more than max_lost_percent of its word characters stand in failing lines."""
 
     max_lost_percent: int = 35
     min_words: int = 50
     max_repeat_percent: int = 50
+    boilerplate_words: int = 30
     boilerplate: tuple[str, ...] = BOILERPLATE
 
 
@@ -52,7 +57,7 @@ def line_fault(line: str, n_words: int, rules: Rules) -> str | None:
         return "punctuation"
     if len(marks := _NAVIGATION.findall(line)) >= 2 and 4 * len(marks) >= n_words:
         return "navigation"
-    if n_words <= 30 and any(x in line.lower() for x in rules.boilerplate):
+    if n_words <= rules.boilerplate_words and any(x in line.lower() for x in rules.boilerplate):
         return "boilerplate"
     if 2 * len(_SYMBOLS.findall(line)) > n_words:
         return "symbols"
@@ -75,10 +80,29 @@ def repeat_words(words: list[bytes]) -> int:
     return n
 
 
+def long_counts(text: str) -> tuple[int, int]:
+    """Words and repeat_words of a long text, in arrays: some 50 bytes a word instead of several hundred."""
+    coded, _ = words_of(pa.array([text], pa.large_string()), lower=False)
+    codes = np.asarray(coded.indices).astype(np.int64)
+    if len(codes) < 3:
+        return len(codes), 0
+    _, pairs = np.unique(codes[:-1] * (int(codes.max()) + 1) + codes[1:], return_inverse=True)
+    _, which, counts = np.unique(pairs[:-1] * (int(codes.max()) + 1) + codes[2:], return_inverse=True, return_counts=True)
+    inside = np.zeros(len(codes), bool)
+    twice = counts[which] > 1
+    for k in range(3):
+        inside[k : len(codes) - 2 + k] |= twice
+    return len(codes), int(inside.sum())
+
+
 def judge(text: str | None, rules: Rules) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_chars, failing lines by rule, cleaned text."""
     text = text or ""
-    words = text.encode().split()
+    if len(text) > LONG_TEXT:
+        n_words, n_repeat = long_counts(text)
+    else:
+        words = text.encode().split()
+        n_words, n_repeat = len(words), repeat_words(words)
     n_chars = len(text) - sum(map(text.count, SPACES))
     n_symbols = sum(map(text.count, SYMBOLS))
     seen: set[str] = set()
@@ -95,10 +119,9 @@ def judge(text: str | None, rules: Rules) -> tuple:
             lost += len(line) - sum(map(line.count, SPACES))
         else:
             cleaned.append(line)
-    n_repeat = repeat_words(words)
-    failed = len(words) < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * len(words)
+    failed = n_words < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * n_words
     kept = not failed and 100 * lost <= rules.max_lost_percent * n_chars
-    return len(words), n_chars, n_symbols, n_dup, n_repeat, failed, kept, lost, dict(faults), "\n".join(cleaned)
+    return n_words, n_chars, n_symbols, n_dup, n_repeat, failed, kept, lost, dict(faults), "\n".join(cleaned)
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_chars long, line_faults map<string,int>, cleaned string"
@@ -141,7 +164,7 @@ again AS (SELECT r, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest([0, 1,
 lines AS (SELECT r, pos, line, len(regexp_extract_all(line, '{_W}')) AS n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars
   FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)),
 judged AS (SELECT r, chars, row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS dup,
-  (NOT regexp_matches(line, '[.!?…"''”’»)\]][\x09\x0B\x0C\x0D ]*$|[.!?…] ')
+  (NOT regexp_matches(line, '[.!?…。！？।؟۔"''”’»)\]」』）][\x09\x0B\x0C\x0D ]*$|[.!?…।؟۔] |[。！？]')
    OR (len(regexp_extract_all(line, '[|>»•·]')) >= 2 AND 4 * len(regexp_extract_all(line, '[|>»•·]')) >= n)
    OR n <= 30 AND ({_PHRASES})
    OR 2 * len(regexp_extract_all(line, '[#*$%&|<>]')) > n

@@ -18,10 +18,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """All words (runs without space, \\t, \\n, \\v, \\f, \\r; A-Z in small letters) of all texts, and where each text's begin (with the end last)."""
+def words(texts: pa.Array, lower: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words (runs without space, \\t, \\n, \\v, \\f, \\r; with lower A-Z in small letters) of all texts, and where each text's begin (with the end last)."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
     real = np.asarray(pc.greater(pc.binary_length(flat), 0))
     ends = np.asarray(lists.offsets).astype(np.int64)

@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, score int, n int, `key` int, digest string, component string, uid string, seeds string, kept int, slice int, file int, part int"
-EXTRA = ("x", 1, 2, 3, "d", "c", "u", "s", 4, 5, 6, 7)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, score int, n int, `key` int, digest string, component string, uid string, seeds string, kept int, slice int, file int, part int, _text_key long, _n_tokens int, _epoch int, _position int, _0 string, _score int, label string, held int"
+EXTRA = ("x", 1, 2, 3, "d", "c", "u", "s", 4, 5, 6, 7, 8, 9, 10, 11, "z", 12, "l", 13)
 
 
 def prose(rng, n, words=None):
