@@ -4,7 +4,9 @@
    The one and the two words before each are its lexical patterns.
 2. Spark scores the graph of patterns and instances in rounds. A pattern's confidence is the summed score of its distinct instances, divided by their
    number plus the ordinary words that follow the same words in the same documents; an instance that is no seed scores the mean of its patterns.
-3. Candidates after a pattern of high confidence and with enough seeds are new identifiers.
+   What an accepted pattern finds supports further patterns in the next round, worth a little less in each, so that drift dies out.
+3. Candidates after a pattern of high confidence and with enough support are new identifiers.
+Words and instances are taken whole, long ones by their hash.
 
 Seed spans are never dropped. Null and empty texts have no spans. Each input row gives one row, repeated ids and null ids too.
 Offsets count code points, ends are exclusive.
@@ -37,14 +39,12 @@ _DIGIT = re.compile(r"[0-9]")
 
 #: Looser shapes: an at sign or its spelling between words, four to eight groups with colons, a run of 7 to 19 digits with separators.
 _AT = re.compile(r"@|\(at\)|\[at\]")
-_BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]+ ?\Z")
 _AFTER_AT = re.compile(r" ?[A-Za-z0-9][A-Za-z0-9.-]*")
 _COLONS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:])")
 _RUN = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])")
+_WORD = re.compile(r"\S+")
+#: Longer words and instances go by their hash.
 _LONGEST_NAME = 64
-_SPACE = frozenset(" \t\n\v\f\r")
-#: Characters before a span that are looked at for its two words.
-_CONTEXT = 160
 
 
 def luhn(digits: str) -> bool:
@@ -97,10 +97,13 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     """Looser shapes that overlap no seed and none before them."""
     found = []
     for m in _AT.finditer(text):
-        left = _BEFORE_AT.search(text[max(0, m.start() - _LONGEST_NAME) : m.start()])
-        right = _AFTER_AT.match(text, m.end(), m.end() + _LONGEST_NAME)
-        if left and right:
-            found.append((m.start() - len(left[0]), right.end(), "email"))
+        end = m.start() - (m.start() > 0 and text[m.start() - 1] == " ")
+        start = end
+        while start and text[start - 1] in _LOCAL:
+            start -= 1
+        right = _AFTER_AT.match(text, m.end())
+        if start < end and right:
+            found.append((start, right.end(), "email"))
     if _DIGIT.search(text):
         found += [(*m.span(), "ip") for m in _COLONS.finditer(text)]
         for m in _RUN.finditer(text):
@@ -119,20 +122,63 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """The one and the two words before a place, in small letters, digits as 0."""
-    words = re.sub("[0-9]", "0", text[max(0, start - _CONTEXT) : start].lower()).split()[-2:]
-    return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+class Name:
+    """A word or an instance in small letters (with digits=True as it is, else with 0 for each digit), long ones as their hash; it can grow."""
+
+    def __init__(self, digits: bool = False):
+        self.digits, self.head, self.n, self.hash = digits, "", 0, hashlib.blake2b(digest_size=16)
+
+    def add(self, part: str) -> Name:
+        part = (part if self.digits else _DIGIT.sub("0", part)).lower()
+        self.n += len(part)
+        self.head += part[: _LONGEST_NAME + 1 - len(self.head)]
+        self.hash.update(part.encode())
+        return self
+
+    def __str__(self) -> str:
+        return self.head if self.n <= _LONGEST_NAME else "~" + self.hash.hexdigest()
+
+
+def contexts(text: str, places: list[int]) -> dict[int, list[str]]:
+    """For each place (ascending) the one and the two words before it; a word that goes on beyond the place is cut there. In one pass, linear in the text."""
+    out: dict[int, list[str]] = {}
+    whole: list[str] = []
+
+    def said(words: list[str]) -> list[str]:
+        return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+
+    before: list[tuple[int, int]] = []
+    i = 0
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        if i < len(places) and places[i] < e:
+            whole = [str(Name().add(text[a:b])) for a, b in before]
+            while i < len(places) and places[i] <= s:
+                out[places[i]] = said(whole)
+                i += 1
+            part, at = Name(), s
+            while i < len(places) and places[i] < e:
+                part.add(text[at : places[i]])
+                at = places[i]
+                out[at] = said([*whole, str(part)])
+                i += 1
+        if i == len(places):
+            return out
+        before = [*before[-1:], (s, e)]
+    whole = [str(Name().add(text[a:b])) for a, b in before]
+    return out | {p: said(whole) for p in places[i:]}
 
 
 def ordinary(text: str, wanted: Counter) -> Counter:
     """How often the contexts occur in a text beyond the times given."""
-    singles = {x for x in wanted if " " not in x}
-    pairs = {x for x in wanted if " " in x}
-    words = re.sub("[0-9]", "0", text.lower()).split()
-    seen = Counter(w for w in words if w in singles)
-    if pairs:
-        seen.update(p for p in map(" ".join, zip(words, words[1:], strict=False)) if p in pairs)
+    seen, last = Counter(), ""
+    for m in _WORD.finditer(_DIGIT.sub("0", text).lower()):
+        word = m[0] if m.end() - m.start() <= _LONGEST_NAME else str(Name().add(m[0]))
+        if word in wanted:
+            seen[word] += 1
+        if (both := f"{last} {word}") in wanted:
+            seen[both] += 1
+        last = word
     return Counter({x: max(0, seen[x] - n) for x, n in wanted.items()})
 
 
@@ -154,14 +200,15 @@ def scan_text(text: str | None) -> tuple[list, list, list]:
     loose = candidates(text, strict)
     if not strict and not loose:
         return [], [], []
-    around = {(s, e, k): contexts(text, s) for s, e, k in [*strict, *loose]}
+    near = contexts(text, sorted({s for s, _, _ in [*strict, *loose]}))
+    around = {(s, e, k): near[s] for s, e, k in [*strict, *loose]}
     rest = ordinary(text, Counter(c for x in around.values() for c in x))
     edges, told = [], set()
     for spans, seed in ((strict, True), (loose, False)):
         for s, e, k in spans:
             for c in around[s, e, k]:
                 # ordinary words count once for each context, kind and document
-                edges.append({"context": c, "kind": k, "instance": text[s:e].lower()[:200], "seed": seed, "other": 0 if (c, k) in told else rest[c]})
+                edges.append({"context": c, "kind": k, "instance": str(Name(True).add(text[s:e])), "seed": seed, "other": 0 if (c, k) in told else rest[c]})
                 told.add((c, k))
     return (
         [{"s": s, "e": e, "kind": k} for s, e, k in strict],
@@ -172,26 +219,34 @@ def scan_text(text: str | None) -> tuple[list, list, list]:
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """rounds of scoring; confidence and distinct seeds that a pattern must have to find new identifiers."""
+    """rounds of scoring; confidence and support that a pattern must have to find new identifiers; decay: what a found identifier is worth of the patterns that found it."""
 
-    rounds: int = 3
+    rounds: int = 4
     confidence: float = 0.8
     support: int = 3
+    decay: float = 0.95
 
 
 def score_patterns(edges: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
-    """(kind, context, confidence, support) of every pattern; edges: context, kind, instance, seed, other."""
-    graph = edges.groupBy("kind", "context", "instance").agg(F.max("seed").alias("seed"), F.sum("other").alias("other"))
+    """(kind, context, confidence, support, accepted) of every pattern; edges: context, kind, instance, seed, other.
+    In each round a pattern's confidence is the summed score of its distinct instances, divided by their number plus the ordinary words in its place; its support is how many
+    of these are seeds or were found. A pattern with enough of both is accepted and finds its instances: these then score decay times the greatest confidence of
+    such a pattern and support others. Instances that are neither score the mean confidence of their patterns."""
+    spark = edges.sparkSession
+    graph = stored(spark, edges.groupBy("kind", "context", "instance").agg(F.max("seed").alias("seed"), F.sum("other").alias("other")), "pii-graph")
     links = graph.select("kind", "context", "instance")
-    size = graph.groupBy("kind", "context").agg((F.count("*") + F.sum("other")).alias("size"), F.sum(F.col("seed").cast("int")).alias("support"))
-    instances = graph.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("score"))
+    size = graph.groupBy("kind", "context").agg((F.count("*") + F.sum("other")).alias("size"))
+    instances = graph.groupBy("kind", "instance").agg(F.max("seed").alias("seed")).select("kind", "instance", "seed", F.col("seed").cast("double").alias("score"), F.col("seed").alias("known"))
     patterns = None
     for left in range(how.rounds, 0, -1):
-        mass = links.join(instances, ["kind", "instance"]).groupBy("kind", "context").agg(F.sum("score").alias("mass"))
-        patterns = size.join(mass, ["kind", "context"]).select("kind", "context", "support", (F.col("mass") / F.col("size")).alias("confidence"))
+        mass = links.join(instances, ["kind", "instance"]).groupBy("kind", "context").agg(F.sum("score").alias("mass"), F.count_if("known").alias("support"))
+        confidence = F.col("mass") / F.col("size")
+        ok = (confidence >= how.confidence) & (F.col("support") >= how.support)
+        patterns = stored(spark, size.join(mass, ["kind", "context"]).select("kind", "context", "support", confidence.alias("confidence"), ok.alias("accepted")), "pii-patterns")
         if left > 1:
-            mean = links.join(patterns.select("kind", "context", "confidence"), ["kind", "context"]).groupBy("kind", "instance").agg(F.avg("confidence").alias("mean"))
-            instances = instances.join(mean, ["kind", "instance"]).select("kind", "instance", F.when(F.col("score") == 1, 1.0).otherwise(F.col("mean")).alias("score"))
+            means = links.join(patterns, ["kind", "context"]).groupBy("kind", "instance").agg(F.avg("confidence").alias("mean"), F.max("accepted").alias("found"), F.max(F.when(F.col("accepted"), F.col("confidence"))).alias("best"))
+            score = F.when(F.col("seed"), 1.0).when(F.col("found"), how.decay * F.col("best")).otherwise(F.col("mean"))
+            instances = stored(spark, instances.join(means, ["kind", "instance"]).select("kind", "instance", "seed", score.alias("score"), (F.col("seed") | F.col("found")).alias("known")), "pii-instances")
     return patterns
 
 
@@ -224,7 +279,7 @@ def _extracted(df: DataFrame, id_col: str, text_col: str, carry: list[str], how:
     spark = df.sparkSession
     scanned = stored(spark, scan(df, id_col, text_col, carry), "pii-scan")
     edges = scanned.select(F.explode("edges").alias("x")).select("x.*")
-    good = score_patterns(edges, how).where((F.col("confidence") >= how.confidence) & (F.col("support") >= how.support)).select("kind", "context")
+    good = score_patterns(edges, how).where("accepted").select("kind", "context")
     loose = scanned.select("uid", F.explode("candidates").alias("x")).select("uid", "x.s", "x.e", "x.kind", F.explode("x.contexts").alias("context"))
     hits = loose.join(good, ["kind", "context"]).select("uid", F.struct("s", "e", "kind").alias("span"))
     # written first: its true size then decides between broadcast and shuffle below

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +46,71 @@ def test_long_texts_are_fast():
         pii.scan_text(t)
 
 
+def plain_contexts(text, start):
+    words = [w if len(w) <= 64 else "~" + hashlib.blake2b(w.encode(), digest_size=16).hexdigest() for w in re.findall(r"\S+", re.sub("[0-9]", "0", text[:start]).lower())]
+    return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab0 \n,É"), max_size=30), st.integers(1, 40))
+def test_contexts(text, times):
+    text = " ".join([text, text * times])
+    places = sorted({0, len(text), *range(0, len(text) + 1, 3)})
+    assert pii.contexts(text, places) == {p: plain_contexts(text, p) for p in places}
+
+
+def plain_patterns(edges, how):
+    """The rounds with dictionaries: (kind, context) -> confidence, support, accepted."""
+    link, other, seed = {}, Counter(), set()
+    for context, kind, instance, is_seed, n in edges:
+        link.setdefault((kind, context), set()).add(instance)
+        other[kind, context] += n
+        if is_seed:
+            seed.add((kind, instance))
+    names = {(k, i) for (k, _), v in link.items() for i in v}
+    score, known = {x: float(x in seed) for x in names}, set(seed)
+    for left in range(how.rounds, 0, -1):
+        out = {}
+        for (k, c), v in link.items():
+            confidence = sum(score[k, i] for i in v) / (len(v) + other[k, c])
+            support = sum((k, i) in known for i in v)
+            out[k, c] = confidence, support, confidence >= how.confidence and support >= how.support
+        if left > 1:
+            score, known = {}, set(seed)
+            for k, i in names:
+                mine = [out[k2, c] for (k2, c), v in link.items() if k2 == k and i in v]
+                found = any(x[2] for x in mine)
+                score[k, i] = 1.0 if (k, i) in seed else how.decay * max(x[0] for x in mine if x[2]) if found else sum(x[0] for x in mine) / len(mine)
+                if found:
+                    known.add((k, i))
+    return out
+
+
+def test_score_patterns(spark):
+    rng = random.Random(12)
+    how = pii.Bootstrap()
+    edges = [(f"c{rng.randrange(12)}", rng.choice(["ip", "phone"]), f"i{rng.randrange(30)}", False, 0) for _ in range(300)]
+    edges = [(c, k, i, int(i[1:]) < 14 and int(c[1:]) < 8, rng.choice([0, 0, 0, 1])) for c, k, i, _, _ in edges]
+    edges += [("x", "ip", f"s{j}", True, 0) for j in range(9)] + [("x", "ip", "f0", False, 0), ("y", "ip", "f0", False, 0)]
+    got = {(r["kind"], r["context"]): (r["confidence"], r["support"], r["accepted"]) for r in pii.score_patterns(spark.createDataFrame(edges, "context string, kind string, instance string, seed boolean, other int"), how).collect()}
+    want = plain_patterns(edges, how)
+    assert got.keys() == want.keys() and any(x[2] for x in want.values())
+    for k, (confidence, support, accepted) in want.items():
+        assert abs(got[k][0] - confidence) < 1e-9 and got[k][1:] == (support, accepted), k
+
+
+def test_found_instances_support_patterns(spark):
+    """'phone no' has seeds; what it finds stands after 'ring me', too, which no seed does: that finds more in the next round."""
+    rows = [(100 + i, f"phone no +1 (20{i % 10}) 555-01{i:02d} end") for i in range(40)]
+    rows += [(30 + i, f"phone no 0664 123 45 6{i} today") for i in range(5)] + [(40 + i, f"please ring me 0664 123 45 6{i} now") for i in range(5)]
+    rows += [(50, "ring me 0699 888 77 66 or so"), (51, "plain 0699 111 22 33 here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spans(pii.extract(df).collect())
+    assert [x["kind"] for x in got[50][1]] == ["phone"] and got[51] == ([], [])
+    only = spans(pii.extract(df, how=pii.Bootstrap(rounds=1)).collect())
+    assert only[50] == ([], []) and only[32][1]
+
+
 def spans(rows):
     return {r["doc_id"]: (r["seeds"], r["found"]) for r in rows}
 
