@@ -38,8 +38,9 @@ TASKS = 1_000_000
 TASK_SEQUENCES = 1 << 36
 #: Text bytes that a task holds at a time.
 SLICE = 8 << 20
-#: Input bytes (as Spark estimates them) for a file.
+#: Input bytes (as Spark estimates them) for a file, at least, and files at most: 100 MB of input each at 100 TB, and a manifest that one task can add up.
 FILE_BYTES = 5 << 20
+MOST_FILES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -107,14 +108,17 @@ def write_order(df: DataFrame, folder: str, path: str, length: int = 1024, n_fil
     arrow_limits(spark, 2000)
     texts = df.select(F.col(text_col).cast("string").alias("text"))
     if n_files is None:
-        n_files = max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // FILE_BYTES)
+        n_files = min(MOST_FILES, max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // FILE_BYTES))
     order = Order(TASKS * TASK_SEQUENCES, key)
     per_file = -(-order.n // n_files)
     kind = "<u2" if bytes_each == 2 else "<u4"
     stride = length * bytes_each
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pack = TaskContext.get().partitionId() * TASK_SEQUENCES, zstandard.ZstdCompressor(level=3)
+        task = TaskContext.get().partitionId()
+        if task >= TASKS:
+            raise ValueError(f"more than {TASKS} tasks: their numbers would clash; read with larger partitions")
+        at, pack = task * TASK_SEQUENCES, zstandard.ZstdCompressor(level=3)
         for rows, valid in _sequences(batches, path, length):
             if bytes_each == 2 and rows.max() > 0xFFFF:
                 raise ValueError("ids don't fit in 2 bytes")

@@ -53,10 +53,13 @@ def test_nothing_lost(spark, odd, empty):
     df, rows = docs(spark)
     out = mixing.mix(df, Target(entropy=0.95, repetition=1.5)).collect()
     assert {r["doc_id"] for r in out} == {r[0] for r in rows} and max(Counter(r["doc_id"] for r in out).values()) <= 2
-    got = mixing.mix(odd, Target(entropy=0.9, repetition=3.0)).select(*odd.columns)
+    with pytest.raises(ValueError):
+        mixing.mix(odd, Target(entropy=0.9))
+    got = mixing.mix(odd, Target(entropy=0.9, repetition=3.0), marks=False)
+    assert got.columns == odd.columns
     count = lambda d: Counter(tuple(r) for r in d.collect())
     assert set(count(odd)) == set(count(got)) and all(count(got)[k] >= n for k, n in count(odd).items())
-    assert mixing.mix(empty, Target(entropy=0.9)).collect() == []
+    assert mixing.mix(empty, Target(entropy=0.9), marks=False).collect() == []
 
 
 def test_too_many_sources(spark, monkeypatch):
@@ -70,3 +73,11 @@ def test_shuffle_join_agrees(spark, monkeypatch):
     a = sorted(map(tuple, mixing.mix(df, Target(entropy=0.95)).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
     assert a == sorted(map(tuple, mixing.mix(df, Target(entropy=0.95)).collect()))
+
+
+def test_blocks_grow_with_the_input(spark):
+    assert [mixing.block_digits(n) for n in (0, 16 << 30, 17 << 30, 256 << 30, 100 << 40)] == [3, 3, 4, 4, 5]
+    # rows without an id, or with one and the same, don't share a block
+    df = spark.createDataFrame([(None, f"text {i}", "a") for i in range(500)] + [(7, f"other {i}", "b") for i in range(500)], "doc_id long, text string, source string")
+    out = mixing.mix(df, Target(budget=1000)).collect()
+    assert len({r["_position"] for r in out if r["source"] == "a"}) > 100 and len({r["_position"] for r in out if r["source"] == "b"}) > 100

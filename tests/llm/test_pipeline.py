@@ -48,7 +48,7 @@ def folder(spark, tmp_path_factory):
 
 def plain_quality(rows, labels):
     train = sorted((r for r in rows if crc(r[0]) % 4 != 2 and r[0] in labels), key=lambda r: str(r[0]))
-    bags = [quality_model.passages([(r[1] or "").encode()])[0][: quality_model.TRAIN_PASSAGES] for r in train]
+    bags = [quality_model.passages([(r[1] or "").encode()])[0] for r in train]
     net = quality_model.train(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array([float(labels[r[0]] > 0) for r in train]))
     return [r for r in rows if net.score([(r[1] or "").encode()])[0] >= 0.7]
 
@@ -71,6 +71,7 @@ def plain_mask(rows):
 
 def plain_mix(rows):
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    ident = lambda r: f"{r[0]}:{md5(r[1] or '')}"
     tokens = lambda r: len((r[1] or "").encode().split())
     by = defaultdict(list)
     for r in rows:
@@ -78,11 +79,11 @@ def plain_mix(rows):
     names = sorted(by)
     sizes = [sum(map(tokens, by[n])) for n in names]
     out = []
-    for name, size, budget in zip(names, sizes, mixing.budgets(sizes, Target(entropy=0.95, repetition=1.5)), strict=True):
+    for name, size, budget in zip(names, sizes, mixing.budgets(sizes, Target(entropy=0.95, repetition=4.0)), strict=True):
         epochs, rest = (budget // size, budget % size) if size else (0, 0)
         blocks = defaultdict(list)
         for r in by[name]:
-            blocks[md5(str(r[0]))[:3]].append(r)
+            blocks[md5(ident(r))[:3]].append(r)
         for e in range(max(1, epochs + (rest > 0))):
             room = rest
             for b in sorted(blocks, key=lambda b: (md5(f"mix:{e}:{name}:{b}"), b)):
@@ -91,7 +92,7 @@ def plain_mix(rows):
                     out += blocks[b]
                 elif room > 0:
                     left = room
-                    for r in sorted(blocks[b], key=lambda r: md5(f"mix:{e}:{r[0]}")):
+                    for r in sorted(blocks[b], key=lambda r: md5(f"mix:{e}:{ident(r)}")):
                         if left > 0:
                             out.append(r)
                         left -= tokens(r)
@@ -123,3 +124,12 @@ def test_stages(spark, folder, tmp_path):
 
 def test_order_of_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "personal_data", "mixing", "packing"]
+
+
+def test_stages_on_odd_rows(spark, odd, folder):
+    """Nulls, repeats, long texts and columns with the names that stages use inside: each stage gives the input's columns."""
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns and out.schema["score"].dataType == odd.schema["score"].dataType
+        rows = out.collect()
+        assert {r["_text_key"] for r in rows} <= {8, None} and {r["_n_tokens"] for r in rows} <= {9, None} and {r["score"] for r in rows} <= {1, None}
