@@ -18,8 +18,7 @@ from folioscope.llm.tokens import default_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from labels of documents whose crc32(doc_id) mod 4 isn't 2."""
     net = quality_model.fit(docs.where(crc_mod("doc_id", 4) != 2), table(spark, sf_dir, "labels"))
-    scored = quality_model.score(docs, net, carry=[c for c in docs.columns if c != "doc_id"])
-    return scored.where(F.col("score") >= quality_model.THRESHOLD).select(*docs.columns)
+    return quality_model.accepted(docs, net)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +33,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, those of small sources repeated up to 1.5 times towards 95 % of the greatest entropy."""
-    return mixing.mix(docs, mixing.Target(entropy=0.95, repetition=1.5)).select(*docs.columns)
+    """All documents, those of small sources repeated up to 4 times towards 95 % of the greatest entropy."""
+    return mixing.mix(docs, mixing.Target(entropy=0.95, repetition=4.0), marks=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
