@@ -50,7 +50,7 @@ class Plan:
 
     folder: str
     ranges: int
-    mu: float = 1000.0
+    mu: float = 3000.0
     nu: float = 30.0
     total: int = 0
     kinds: int = 0
@@ -380,7 +380,7 @@ def _score_pass(plan: Plan):
     return run
 
 
-def score(df: DataFrame, train, held, id_col: str = "doc_id", text_col: str = "text", mu: float = 1000.0, nu: float = 30.0) -> DataFrame:
+def score(df: DataFrame, train, held, id_col: str = "doc_id", text_col: str = "text", mu: float = 3000.0, nu: float = 30.0) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; train and held: boolean columns."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
