@@ -15,6 +15,8 @@ import numpy as np
 #: Codes 1 to 255 cover log10 values from -DEPTH to 0; 0 means absent.
 DEPTH = 12.0
 STEP = DEPTH / 254
+#: Numbers that a search decodes at a time.
+BLOCK = 8192
 #: Place of the k-th set bit of a byte.
 _SELECT = np.zeros((256, 8), np.int64)
 for _b in range(256):
@@ -48,7 +50,9 @@ class EliasFano:
         n = len(v)
         top = int(v[-1]) + 1 if n else 1
         width = max(0, (top // max(n, 1)).bit_length() - 1)
-        low = np.packbits((v[:, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") if width else np.zeros(0, np.uint8)
+        # blocks of numbers end at whole bytes
+        bits = np.arange(width, dtype=np.uint64)
+        low = np.concatenate([np.packbits((v[i : i + BLOCK, None] >> bits & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for i in range(0, n, BLOCK)]) if width and n else np.zeros(0, np.uint8)
         ones = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
@@ -73,32 +77,18 @@ class EliasFano:
             self._index = words, np.cumsum(ones) - ones
         return self._index
 
-    def select(self, k: np.ndarray, zeros: bool = False) -> np.ndarray:
-        """Place of the k-th (from 0) one, or zero, among the high bits; there are zeros without end behind them."""
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th (from 0) one among the high bits."""
         words, before = self.index()
-        if zeros:
-            before = 64 * np.arange(len(words)) - before
         k = np.asarray(k, np.int64)
         w = np.searchsorted(before, k, "right") - 1
-        left = k - before[w]
-        parts = (~words[w] if zeros else words[w])[:, None].view(np.uint8)
+        left = (k - before[w]).astype(np.uint8)
+        parts = words[w][:, None].view(np.uint8)
         upto = np.cumsum(np.bitwise_count(parts), 1, dtype=np.uint8)
         byte = (upto <= left[:, None]).sum(1)
-        inside = byte < 8
-        out = np.empty(len(k), np.int64)
-        row, at = np.flatnonzero(inside), byte[inside]
-        skipped = np.where(at > 0, upto[row, at - 1], 0)
-        out[row] = 64 * w[row] + 8 * at + _SELECT[parts[row, at], left[row] - skipped]
-        far = np.flatnonzero(~inside)
-        out[far] = 64 * (w[far] + 1) + left[far] - upto[far, 7]
-        return out
-
-    def below(self, high: np.ndarray) -> np.ndarray:
-        """How many numbers have a smaller high part: what stands before its bucket."""
-        out = np.zeros(len(high), np.int64)
-        some = np.flatnonzero(high > 0)
-        out[some] = np.minimum(self.select(high[some] - 1, zeros=True) - (high[some] - 1), self.n)
-        return out
+        row = np.arange(len(k))
+        skipped = np.where(byte > 0, upto[row, byte - 1], 0)
+        return 64 * w + 8 * byte + _SELECT[parts[row, byte], left - skipped]
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         bit = np.asarray(i, np.int64) * self.width
@@ -113,21 +103,38 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self.select(i) - i).astype(np.uint64) << np.uint64(self.width)) | self.lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """For each x the first place whose number is x or more (n if there is none): the bucket of its high part, then a search of its low bits."""
+    def decoded(self, a: int, b: int) -> np.ndarray:
+        """The numbers at places a to b - 1, a < b."""
+        first, last = self.select(np.array([a, b - 1])).tolist()
+        bits = np.unpackbits(np.asarray(self.high[first >> 3 : (last >> 3) + 1]), bitorder="little")
+        i = np.arange(a, b)
+        high = np.flatnonzero(bits[first & 7 :])[: b - a] + first - i
+        return (high.astype(np.uint64) << np.uint64(self.width)) | self.lows(i)
+
+    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each x the first place whose number is x or more (n if there is none), and whether it is x. Only blocks that are asked for are decoded, one at a time."""
         x = np.asarray(x).astype(np.uint64)
-        high, want = (x >> np.uint64(self.width)).astype(np.int64), x & np.uint64((1 << self.width) - 1)
-        if not self.n:
-            return np.zeros(len(x), np.int64)
-        lo, hi = self.below(high), self.below(high + 1)
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                return lo
-            mid = (lo[open_] + hi[open_]) // 2
-            less = self.lows(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
+        place, hit = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        if not self.n or not len(x):
+            return place, hit
+        order = None if (x[1:] >= x[:-1]).all() else np.argsort(x)
+        asked = x if order is None else x[order]
+        starts = self.get(np.arange(0, self.n, BLOCK))
+        block = np.maximum(np.searchsorted(starts, asked, "left") - 1, 0)  # the last block that begins below x
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            a = int(block[i]) * BLOCK
+            b = min(a + BLOCK + 1, self.n)  # with the next block's first
+            held = self.decoded(a, b)
+            at = np.searchsorted(held, asked[i:j], "left")
+            same = (at < len(held)) & (held[np.minimum(at, len(held) - 1)] == asked[i:j])
+            some = slice(i, j) if order is None else order[i:j]
+            place[some], hit[some] = a + at, same
+        return place, hit
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """For each x the first place whose number is x or more (n if there is none)."""
+        return self.search(x)[0]
 
 
 @dataclass
@@ -168,16 +175,18 @@ class Trie:
         codes, weights = np.zeros(len(context), np.uint8), np.zeros(len(context), np.uint8)
         if not self.contexts.n:
             return codes, weights
-        k = np.minimum(self.contexts.successor(context), self.contexts.n - 1)
-        met = np.flatnonzero(self.contexts.get(k) == context.astype(np.uint64))
-        k = k[met]
-        weights[met] = np.asarray(self.weights)[k]
-        begin, end = self.pointers.get(k).astype(np.int64), self.pointers.get(k + 1).astype(np.int64)
+        # neighbours with the same context share its lookup
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        node, known = self.contexts.search(context[first])
+        node = node[known]
+        begin, end = self.pointers.get(node), self.pointers.get(node + 1)
         # what the context's successors are relative to
-        base = np.where(begin > 0, self.successors.get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
-        x = base + successor[met].astype(np.uint64)
-        at = self.successors.successor(x)
-        inside = np.flatnonzero(at < end)
-        inside = inside[self.successors.get(at[inside]) == x[inside]]
+        base = np.where(begin > 0, self.successors.get(np.maximum(begin.astype(np.int64) - 1, 0)) + np.uint64(1), np.uint64(0))
+        size = np.diff(np.concatenate([first, [len(context)]]))
+        met = np.flatnonzero(np.repeat(known, size))
+        own = np.repeat(np.arange(len(node)), size[known])
+        weights[met] = np.asarray(self.weights)[node][own]
+        at, hit = self.successors.search(base[own] + successor[met].astype(np.uint64))
+        inside = np.flatnonzero(hit & (at < end.astype(np.int64)[own]))
         codes[met[inside]] = np.asarray(self.probabilities)[at[inside]]
         return codes, weights

@@ -150,7 +150,8 @@ class Slice:
             part = self.hashes[successor] % spread.astype(np.uint64)
             shard = plan.range_of(mixed(home + part * np.uint64(0x9E3779B97F4A7C15)))
         pair = (prints & np.uint64(0xFFFFFFFF)) << np.uint64(32) | (self.hashes[successor] & np.uint64(0xFFFFFFFF))
-        order = np.lexsort((pair, shard))
+        order = np.argsort(pair)
+        order = order[np.argsort(shard[order].astype(np.uint16 if plan.ranges <= 1 << 16 else np.int64), kind="stable")]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return Grams(shard[order], pair[order], own[order], successor[order], (spread > 1)[order], place[inverse.ravel()])
