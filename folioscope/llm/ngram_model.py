@@ -75,6 +75,16 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), kind)
 
 
+def _pack_ascending(a: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as steps, their bytes by place: the upper ones are nearly all alike."""
+    return zstandard.compress(np.diff(a, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack_ascending(b: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(_unpack(b, "u1").reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def put_file(folder: str, name: str, body: bytes) -> None:
     """Writes under another name, then renames."""
     system, base = fs.FileSystem.from_uri(folder)
@@ -261,7 +271,7 @@ def _sent(plan: Plan, name: str, g: Grams, met: np.ndarray, counts: np.ndarray)
         wide = first[g.wide[a:b][first]]
         # a context that is spread brings its whole count, others are added up in their shard
         known = np.stack([context[a:b][wide].astype(np.int64), counts[g.context[a:b][wide]]])
-        rows.append((r, context[a:b][first].tobytes(), _pack(size), word[a:b].tobytes(), _pack(met[a:b]), known.tobytes()))
+        rows.append((r, _pack_ascending(context[a:b][first]), _pack(size), word[a:b].tobytes(), _pack(met[a:b]), known.tobytes()))
     columns = [pa.array([name] * len(rows), pa.string()), pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 6))]
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in GRAMS.split(", ")])
 
@@ -329,7 +339,7 @@ def _shard(plan: Plan, order: int):
         for contexts, sizes, found in zip(*(part.column(x).to_pylist() for x in ("contexts", "sizes", "words")), strict=True):
             sizes = _unpack(sizes, "<u4")
             starts.append(np.cumsum(sizes) - sizes)
-            pairs.append(np.repeat(np.frombuffer(contexts, np.uint32), sizes).astype(np.uint64) << np.uint64(32) | np.frombuffer(found, np.uint32).astype(np.uint64))
+            pairs.append(np.repeat(_unpack_ascending(contexts), sizes).astype(np.uint64) << np.uint64(32) | np.frombuffer(found, np.uint32).astype(np.uint64))
         counts = np.concatenate([_unpack(x, "<u4") for x in part.column("counts").to_pylist()])
         known = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in part.column("known").to_pylist()], 1)
         distinct, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
