@@ -11,16 +11,15 @@ from folioscope.operators.longform import long
 def diversity(counts: DataFrame, by: list[str] | None = None, count: str = "n", item: str = "item") -> DataFrame:
     """(by..., richness, total, shannon, evenness, simpson, inverse_simpson, hhi, gini, gini_biased, dominant, dominant_share) of items with counts."""
     by = by or []
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    # items of the same count are one row of a histogram, which is all that the measures need
     n = F.col(count).cast("double")
-    t = counts.select(*by, F.col(item).alias("_item"), n.alias("_n"))
-    # the total comes by an aggregate, the order by a window within the group
-    up = (Window.partitionBy(*by) if by else part).orderBy("_n", "_item")
-    t = t.withColumns({"_all": F.sum("_n").over(part), "_i": F.row_number().over(up)})
-    p = F.col("_n") / F.col("_all")
+    hist = counts.where(F.col(count).isNotNull()).groupBy(*by, n.alias("_n")).agg(F.count("*").alias("_k"), F.max(item).alias("_item"))
+    up = Window.partitionBy(*by).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    t = hist.withColumns({"_below": F.coalesce(F.sum("_k").over(up), F.lit(0)), "_all": F.sum(F.col("_k") * F.col("_n")).over(Window.partitionBy(*by))})
+    k, p = F.col("_k"), F.col("_n") / F.col("_all")
     out = t.groupBy(*by).agg(
-        F.count("*").alias("richness"), F.sum("_n").alias("total"), (-F.sum(F.when(p > 0, p * F.log(p)).otherwise(0.0))).alias("shannon"), F.sum(p * p).alias("hhi"),
-        F.sum(F.col("_i") * F.col("_n")).alias("_w"), F.max(F.struct(F.col("_n"), F.col("_i"), F.col("_item"))).alias("_top"),
+        F.sum("_k").alias("richness"), F.sum(k * F.col("_n")).alias("total"), (-F.sum(F.when(p > 0, k * p * F.log(p)).otherwise(0.0))).alias("shannon"), F.sum(k * p * p).alias("hhi"),
+        F.sum((k * F.col("_below") + k * (k + 1) / 2) * F.col("_n")).alias("_w"), F.max(F.struct(F.col("_n"), F.col("_item"))).alias("_top"),
     )
     r, total = F.col("richness"), F.col("total")
     gini = (2 * F.col("_w") - (r + 1) * total) / (r * total)
@@ -35,8 +34,11 @@ def entity_diversity(df: DataFrame, column: str, by: list[str] | None = None, to
     by = by or []
     counts = long(df, column, ["doc_id", *by]).groupBy(*by, "item").agg(F.count("*").alias("n"))
     if top_n:
-        first = Window.partitionBy(*by).orderBy(F.desc("n"), "item") if by else Window.orderBy(F.desc("n"), "item")
-        counts = counts.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= top_n).drop("_r")
+        if by:
+            first = Window.partitionBy(*by).orderBy(F.desc("n"), "item")
+            counts = counts.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= top_n).drop("_r")
+        else:
+            counts = counts.orderBy(F.desc("n"), "item").limit(top_n)
     return diversity(counts, by)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.counting import tokens
+from folioscope.operators.longform import running
 
 
 def cross_validate(df: DataFrame, text: str, label: str, folds: int = 5, vocabulary: int = 1000) -> DataFrame:
@@ -78,12 +79,14 @@ def topic_coherence(terms: DataFrame, df: DataFrame, text: str, top: int = 5) ->
 
 def compare_entities(metrics: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """metrics with each column scaled to 0..1 and its descending rank (a row for each entity compared)."""
-    change = {}
+    change, t = {}, metrics
     for c in columns:
         lo, hi = metrics.select(F.min(c)).scalar(), metrics.select(F.max(c)).scalar()
         change[f"{c}_scaled"] = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
-        change[f"{c}_rank"] = F.rank().over(Window.orderBy(F.desc(c)))
-    return metrics.withColumns(change).select(key, *columns, *change)
+        # the rank of a value: one more than the entities with a greater one
+        hist = running(metrics.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_k")), [F.desc("_v")], {"_upto": "_k"})
+        t = t.join(hist.select("_v", (F.col("_upto") - F.col("_k") + 1).alias(f"{c}_rank")), F.col(c).eqNullSafe(F.col("_v"))).drop("_v")
+    return t.withColumns(change).select(key, *columns, *(x for c in columns for x in (f"{c}_scaled", f"{c}_rank")))
 
 
 def citation_features(df: DataFrame) -> DataFrame:

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or f"{tempfile.gettempdir()}/folioscope-checkpoints")
-    return df.checkpoint()
+from folioscope.operators.longform import cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -39,13 +29,13 @@ def graph_stats(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable."""
-    both = _cut(undirected(edges).select("a", "b").distinct())
-    label = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    both = cut(undirected(edges).select("a", "b").distinct())
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         low = label.join(near, "node").select("node", "component", F.least("component", "m").alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("component").alias("over"))
-        new = _cut(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("over", "low")).alias("new"), "component"))
+        new = cut(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("over", "low")).alias("new"), "component"))
         label = new.select("node", F.col("new").alias("component"))
         if new.where("new <> component").isEmpty():
             return label
@@ -53,8 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(node, rank) of directed edges (src, dst); ranks of nodes without links out are shared by all. Sums to 1."""
-    e = _cut(edges.select("src", "dst").distinct())
-    nodes = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    e = cut(edges.select("src", "dst").distinct())
+    nodes = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     n = nodes.count()
     out = e.groupBy("src").agg(F.count("*").alias("k"))
     rank = nodes.withColumn("rank", F.lit(1.0 / n)) if n else nodes.withColumn("rank", F.lit(0.0))
@@ -63,20 +53,20 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
         loose = rank.join(out.withColumnRenamed("src", "node"), "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first()["x"]
         rank = nodes.join(sent, "node", "left").select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank"))
         if i % 5 == 4:
-            rank = _cut(rank)
+            rank = cut(rank)
     return rank
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community): each node takes the label of the most weight among its neighbours, the least of ties. Deterministic, synchronous."""
-    both = _cut(undirected(edges))
-    label = _cut(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
+    both = cut(undirected(edges))
+    label = cut(both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
     for _ in range(rounds):
         votes = both.join(label.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("n").alias("w"))
         own = label.select("node", "community", F.lit(0.5).alias("w"))  # keeps pairs from swapping labels for ever
         votes = votes.union(own).groupBy("node", "community").agg(F.sum("w").alias("w"))
         first = Window.partitionBy("node").orderBy(F.desc("w"), "community")
-        new = _cut(votes.withColumn("i", F.row_number().over(first)).where("i = 1").select("node", "community"))
+        new = cut(votes.withColumn("i", F.row_number().over(first)).where("i = 1").select("node", "community"))
         changed = not new.join(label, ["node", "community"], "left_anti").isEmpty()
         label = new
         if not changed:
@@ -110,15 +100,15 @@ def triangles(edges: DataFrame) -> DataFrame:
 def in_order(edges: DataFrame, first, sent, merged) -> DataFrame:
     """(node, value) of an acyclic graph (src, dst and more), a round for each level: a node's value is final, and sent on, when all nodes before it have sent theirs.
     first: the value of sources; sent: aggregate of `value` and the edge's columns by dst; merged: of `value` (null at first) and `got`. Raises on a cycle."""
-    e = _cut(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
+    e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     need = nodes.join(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")), "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need"))
-    state = _cut(need.select("node", "need", F.when(F.col("need") == 0, first).alias("value"), (F.col("need") == 0).alias("fresh")))
+    state = cut(need.select("node", "need", F.when(F.col("need") == 0, first).alias("value"), (F.col("need") == 0).alias("fresh")))
     while not state.where("fresh").isEmpty():
         new = e.join(state.where("fresh").select(F.col("node").alias("src"), "value"), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"), sent.alias("got"))
         left = F.col("need") - F.coalesce("k", F.lit(0))
         value = F.when(F.col("k").isNull(), F.col("value")).otherwise(merged)
-        state = _cut(state.join(new, "node", "left").select("node", left.alias("need"), value.alias("value"), ((F.col("need") > 0) & (left == 0)).alias("fresh")))
+        state = cut(state.join(new, "node", "left").select("node", left.alias("need"), value.alias("value"), ((F.col("need") > 0) & (left == 0)).alias("fresh")))
     if not state.where("need > 0").isEmpty():
         raise ValueError("the graph has a cycle")
     return state.select("node", "value")
@@ -193,11 +183,11 @@ def greedy_path(weights: DataFrame, forward: bool = True) -> DataFrame:
     """(place, node): from the heaviest edge out of a source always along the heaviest edge on (backward: from the heaviest edge into a sink, back).
     Ties go to the greater node. One lookup a step; the path is as long as the longest chain at most. Raises on a cycle."""
     near, far = ("src", "dst") if forward else ("dst", "src")
-    e = _cut(weights.select(F.col(near).alias("near"), F.col(far).alias("far"), "spc"))
+    e = cut(weights.select(F.col(near).alias("near"), F.col(far).alias("far"), "spc"))
     ends = e.join(e.select(F.col("far").alias("near")).distinct(), "near", "left_anti")
     step = ends.orderBy(F.desc("spc"), F.desc("near"), F.desc("far")).limit(1).first()
     path = [] if step is None else [step["near"], step["far"]]
-    best = _cut(e.groupBy("near").agg(F.max(F.struct("spc", "far")).alias("x")).select("near", "x.far"))
+    best = cut(e.groupBy("near").agg(F.max(F.struct("spc", "far")).alias("x")).select("near", "x.far"))
     met = set(path)
     while step is not None:
         step = best.where(F.col("near") == path[-1]).first()

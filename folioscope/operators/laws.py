@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.longform import ranked
+from folioscope.operators.longform import ranked, standings
 
 
 def lotka(counts: DataFrame, count: str = "n_docs") -> DataFrame:
@@ -29,11 +29,17 @@ def lotka_fit(counts: DataFrame, count: str = "n_docs") -> DataFrame:
     return log_fit(lotka(counts, count), "documents", "authors")
 
 
+def _with_mass(counts: DataFrame, count: str, item: str) -> DataFrame:
+    """Items with rank and the mass up to and with them: what greater counts hold, and as much for each item of the same count up to this one."""
+    steps = standings(counts, count).withColumnRenamed("value", "_value")
+    out = ranked(counts.select(item, count), count, item).join(steps, F.col(count) == F.col("_value"))
+    return out.withColumn("mass", F.col("mass_before") + (F.col("rank") - F.col("before")) * F.col(count)).drop("_value", "k", "before", "mass_before")
+
+
 def bradford(counts: DataFrame, count: str = "n_docs", item: str = "item") -> DataFrame:
     """Items with their cumulative share of documents and zone 1 to 3 by thirds of it."""
     total = counts.select(F.sum(count)).scalar()
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    out = ranked(counts.select(item, count), count, item).withColumn("cumulative", F.sum(count).over(w) / total)
+    out = _with_mass(counts, count, item).withColumn("cumulative", F.col("mass") / total).drop("mass")
     return out.withColumn("zone", F.when(F.col("cumulative") <= 0.333, 1).when(F.col("cumulative") <= 0.667, 2).otherwise(3))
 
 
@@ -46,8 +52,7 @@ def bradford_by_sources(counts: DataFrame, count: str = "n_docs", item: str = "i
 def bradford_by_mass(counts: DataFrame, count: str = "n_docs", item: str = "item", zones: int = 3) -> DataFrame:
     """Zones of equal mass: a source is in the zone where the documents before it stand."""
     total = counts.select(F.sum(count)).scalar()
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    out = ranked(counts.select(item, count), count, item).withColumn("before", F.coalesce(F.sum(count).over(w), F.lit(0)))
+    out = _with_mass(counts, count, item).withColumn("before", F.col("mass") - F.col(count)).drop("mass")
     return out.withColumn("zone", F.least(F.lit(zones), F.floor(F.col("before") * zones / total) + 1).cast("int")).drop("before")
 
 
@@ -79,8 +84,7 @@ def price(counts: DataFrame, count: str = "n_docs", item: str = "item") -> DataF
 def pareto(counts: DataFrame, count: str = "n_docs", item: str = "item") -> DataFrame:
     """One row: items that make 80 % of the total, and the share of the top fifth of items."""
     n, total = counts.select(F.count("*")).scalar(), counts.select(F.sum(count)).scalar()
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    t = ranked(counts.select(item, count), count, item).withColumn("cumulative", F.sum(count).over(w) / total)
+    t = _with_mass(counts, count, item).withColumn("cumulative", F.col("mass") / total)
     return t.agg((F.sum((F.col("cumulative") <= 0.8).cast("long")) + 1).alias("items_for_80"), (F.sum(F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(n * 0.2)), F.col(count)).otherwise(0)) / F.max(total)).alias("top_fifth_share"))
 
 

@@ -1,7 +1,9 @@
-"""The primitive under most operators: one row for each document and item, and ranks that need no single partition."""
+"""The primitive under most operators: one row for each document and item, and ranks and running sums that need no single partition."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +26,49 @@ def long(df: DataFrame, column: str, keep: list[str] | None = None, distinct: bo
     return df.select(*(keep or ["doc_id"]), F.explode(F.array_distinct(items) if distinct else items).alias(item))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or f"{tempfile.gettempdir()}/folioscope-checkpoints")
+    return df.checkpoint()
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column | str]) -> DataFrame:
+    """Adds, for each name, the sum of a column over the rows up to and with this one in the order given (which must leave no ties that matter).
+    One distributed sort, written once; each task adds up its own range, and the ranges before it come as one row each."""
+    made = df.orderBy(*order).withColumns({f"_x{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(sums.values())})
+    made = cut(made.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    parts = made.groupBy("_part").agg(*(F.sum(f"_x{i}").alias(f"_s{i}") for i in range(len(sums))))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the sort
+    offsets = parts.select("_part", *(F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))))
+    own = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = made.join(offsets, "_part").withColumns({name: F.col(f"_o{i}") + F.sum(f"_x{i}").over(own) for i, name in enumerate(sums)})
+    return out.select(*(f"`{c}`" for c in df.columns), *sums)
+
+
 def ranked(df: DataFrame, value: str, tie: str | list[str], name: str = "rank") -> DataFrame:
-    """Adds 1-based places by value (descending) and tie (ascending). Rows are numbered within equal values and offset by a histogram of the values,
-    so that no task sorts everything."""
+    """Adds 1-based places by value (descending) and tie (ascending). A distributed sort: rows of one value are dealt over tasks like any others."""
     ties = [tie] if isinstance(tie, str) else tie
-    hist = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(F.col(value).alias("_value"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = df.join(hist, F.col(value) == F.col("_value")).withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(value).orderBy(*ties)))
-    return out.drop("_value", "_before")
+    made = cut(df.orderBy(F.desc(value), *ties).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    parts = made.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the sort
+    offsets = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return made.join(offsets, part == F.col("_part")).select(*(f"`{c}`" for c in df.columns), place.alias(name))
+
+
+def standings(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., value, k, before, mass_before): for each distinct value of a count, how many rows have it, and rows and mass of the greater ones. Distinct counts are few:
+    with a total of T there are at most sqrt(2 T)."""
+    by = by or []
+    hist = df.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("k"))
+    order = Window.partitionBy(*by).orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    return hist.select(*by, "value", "k", F.coalesce(F.sum("k").over(order), F.lit(0)).alias("before"), F.coalesce(F.sum(F.col("k") * F.col("value")).over(order), F.lit(0)).alias("mass_before"))
 
 
 def average_rank(value: str, within: list[str], descending: bool = False) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import distributions as dist
-from folioscope.operators.longform import average_rank
+from folioscope.operators.longform import average_rank, running
 
 
 def descriptives(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
@@ -76,10 +76,9 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
 
 
 def mean_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Mean ranks over the whole frame, by a histogram of the values: no task sorts all rows."""
-    hist = df.groupBy(value).agg(F.count("*").alias("_k"))
-    before = F.coalesce(F.sum("_k").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = hist.select(F.col(value).alias("_v"), (before + (F.col("_k") + 1) / 2).alias(name), F.col("_k").alias(f"{name}_ties"))
+    """Mean ranks over the whole frame, by a histogram of the values, itself added up in a distributed sort: no task sees all of it."""
+    hist = running(df.groupBy(value).agg(F.count("*").alias("_k")), [F.col(value)], {"_upto": "_k"})
+    ranks = hist.select(F.col(value).alias("_v"), (F.col("_upto") - F.col("_k") + (F.col("_k") + 1) / 2).alias(name), F.col("_k").alias(f"{name}_ties"))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 
@@ -255,8 +254,8 @@ def ks_normal(df: DataFrame, value: str) -> DataFrame:
     """One row: n, mean, sd and the Kolmogorov-Smirnov distance to the normal distribution of that mean and deviation, over a histogram of the distinct values.
     The normal distribution function is Abramowitz and Stegun's approximation 7.1.26 (error below 1.5e-7)."""
     x = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
-    hist = x.groupBy("x").agg(F.count("*").alias("k"))
-    run = F.sum("k").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    hist = running(x.groupBy("x").agg(F.count("*").alias("k")), [F.col("x")], {"run": "k"})
+    run = F.col("run")
     one = x.agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
     n, m, s = (one.select(c).scalar() for c in ("n", "m", "s"))
     t = hist.select(((F.col("x") - m) / s / math.sqrt(2)).alias("z"), (run / n).alias("high"), ((run - F.col("k")) / n).alias("low"), n.alias("n"), m.alias("mean"), s.alias("sd"))

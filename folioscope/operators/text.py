@@ -154,51 +154,58 @@ def readability(text: Column) -> Column:
     )
 
 
-#: Pattern tables of the classifiers; callers may pass their own.
-PARADIGMS = {"quantitative": ["regression", "survey", "statistical", "experiment", "correlation", "hypothesis"], "qualitative": ["interview", "ethnograph", "grounded theory", "focus group", "thematic analysis", "case study"], "mixed": ["mixed method", "mixed-method", "triangulation"]}
-SOFTWARE = ["spss", "stata", "python", "matlab", "nvivo", "atlas.ti", "vosviewer", "gephi", "excel"]
-DESIGNS = ["randomized controlled trial", "case study", "cross-sectional", "longitudinal", "cohort", "systematic review", "meta-analysis", "survey", "experiment"]
-OPEN_SCIENCE = {"data": r"data (?:are|is) (?:openly )?available|data availability|supplementary data", "code": r"code (?:is|are) available|source code|github\.com|gitlab\.com", "preprint": r"arxiv|biorxiv|medrxiv|preprint", "preregistered": r"pre-?regist", "on_request": r"(?:up)?on (?:reasonable )?request"}
-POSITIVE = ["good", "improve", "improved", "significant", "effective", "novel", "robust", "successful", "benefit", "promising"]
-NEGATIVE = ["bad", "poor", "fail", "failed", "limited", "weak", "negative", "problem", "difficult", "risk"]
-HEDGES = ["may", "might", "could", "possibly", "perhaps", "suggest", "suggests", "appear", "appears", "likely"]
-
-
 def keyword_hits(text: Column, words: list[str]) -> Column:
     """The words that a text contains, in any case, in the order given."""
     low = F.lower(F.coalesce(text, F.lit("")))
     return F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w))
 
 
-def paradigm(text: Column, table: dict[str, list[str]] = PARADIGMS) -> Column:
-    """The kind with the most hits; mixed wins if it has any."""
+def paradigm(text: Column, table: dict[str, list[str]]) -> Column:
+    """quantitative, qualitative or mixed (the table's keys, with the words that speak for each): the kind with the most hits; mixed wins if it has any."""
     n = {k: F.size(keyword_hits(text, v)) for k, v in table.items()}
     return F.when(n["mixed"] > 0, "mixed").when(n["quantitative"] > n["qualitative"], "quantitative").when(n["qualitative"] > n["quantitative"], "qualitative").when(n["quantitative"] > 0, "mixed").otherwise("unclear")
 
 
-def methodology(df: DataFrame, text: str) -> DataFrame:
-    """doc_id, paradigm, designs, software and sample sizes."""
+def methodology(df: DataFrame, text: str, paradigms: dict[str, list[str]], designs: list[str], software: list[str]) -> DataFrame:
+    """doc_id, paradigm, designs, software and sample sizes. The words to look for are the caller's: the library has no vocabulary of its own."""
     from folioscope.functions.strings import sample_sizes
 
     c = F.col(text)
-    return df.select("doc_id", paradigm(c).alias("paradigm"), keyword_hits(c, DESIGNS).alias("designs"), keyword_hits(c, SOFTWARE).alias("software"), sample_sizes(c).alias("sample_sizes"))
+    return df.select("doc_id", paradigm(c, paradigms).alias("paradigm"), keyword_hits(c, designs).alias("designs"), keyword_hits(c, software).alias("software"), sample_sizes(c).alias("sample_sizes"))
+
+
+def methodology_summary(found: DataFrame) -> DataFrame:
+    """(kind, item, documents, share) over a corpus: its paradigms, designs and software."""
+    n = found.select(F.count("*")).scalar()
+    kinds = [found.select(F.lit("paradigm").alias("kind"), F.col("paradigm").alias("item")), *(found.select(F.lit(c).alias("kind"), F.explode(c).alias("item")) for c in ("designs", "software"))]
+    every = kinds[0].union(kinds[1]).union(kinds[2])
+    return every.groupBy("kind", "item").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / n)
 
 
-def open_science(df: DataFrame, text: str) -> DataFrame:
-    """doc_id, a flag for each practice and the share of practices met (on-request data don't count)."""
-    flags = {k: F.coalesce(F.col(text).rlike(f"(?i){p}"), F.lit(False)).cast("int") for k, p in OPEN_SCIENCE.items()}
-    met = [v for k, v in flags.items() if k != "on_request"]
+def practices(df: DataFrame, text: str, patterns: dict[str, str], uncounted: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, a flag for each practice of open science (name -> pattern, in any case) and the share of practices met, those uncounted (such as data on request) left out."""
+    flags = {k: F.coalesce(F.col(text).rlike(f"(?i){p}"), F.lit(False)).cast("int") for k, p in patterns.items()}
+    met = [v for k, v in flags.items() if k not in uncounted]
     return df.select("doc_id", *(v.alias(k) for k, v in flags.items()), (sum(met, F.lit(0)) / len(met)).alias("score"))
 
 
-def sentiment(df: DataFrame, text: str, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, hedges: list[str] = HEDGES) -> DataFrame:
-    """doc_id, polarity = (p - n) / (p + n), hedging = hedges / words, tone at 0.1 either way."""
+def sentiment(df: DataFrame, text: str, positive: list[str], negative: list[str], hedges: list[str]) -> DataFrame:
+    """doc_id, polarity = (p - n) / (p + n), hedging = hedges / words, tone at 0.1 either way. The lexicon is the caller's."""
     w = tokens(text)
     n = lambda words: F.size(F.filter(w, lambda x: x.isin(words)))
     t = df.select("doc_id", F.size(w).alias("words"), n(positive).alias("p"), n(negative).alias("n"), n(hedges).alias("h"))
     polarity = F.when(F.col("p") + F.col("n") > 0, (F.col("p") - F.col("n")) / (F.col("p") + F.col("n"))).otherwise(0.0)
     return t.select("doc_id", polarity.alias("polarity"), F.when(F.col("words") > 0, F.col("h") / F.col("words")).otherwise(0.0).alias("hedging"), F.when(polarity > 0.1, "positive").when(polarity < -0.1, "negative").otherwise("neutral").alias("tone"))
 
+
+def tone_summary(scores: DataFrame, by: DataFrame | None = None, key: str = "group_name") -> DataFrame:
+    """(key if by is given, documents, polarity, hedging, positive, negative, neutral): means and shares of tones; by: (doc_id, key)."""
+    t = scores if by is None else scores.join(by, "doc_id")
+    share = lambda x: F.avg((F.col("tone") == x).cast("double")).alias(x)
+    aggs = [F.count("*").alias("documents"), F.avg("polarity").alias("polarity"), F.avg("hedging").alias("hedging"), *map(share, ("positive", "negative", "neutral"))]
+    return t.agg(*aggs) if by is None else t.groupBy(key).agg(*aggs)
+
+
 #: Patterns of sentences and entities; callers may pass their own.
 CLAIMS = r"\b(?:we|our results?|this (?:paper|study)) (?:show|demonstrate|find|found|propose|prove|suggest|confirm)\w*\b"
 QUESTIONS = r"\b(?:research question|we (?:ask|investigate|examine)|aims? (?:of|to)|objective|hypothes[ie]s)\b"

@@ -10,6 +10,7 @@ from folioscope.operators import timeseries as ts
 from folioscope.operators.counting import count_text
 from folioscope.operators.indices import h_indices
 from folioscope.operators.longform import as_list
+from folioscope.plans import lexicons
 from folioscope.plans.registry import query
 from folioscope.sources.adapters import PUBS, publications, table
 
@@ -136,21 +137,35 @@ def _hits(words: list[str]) -> str:
     return "len(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(lower(coalesce(text, '')), w)))::BIGINT"
 
 
-_METHOD = rf"""WITH t AS (SELECT doc_id, {_hits(text.PARADIGMS["quantitative"])} AS a, {_hits(text.PARADIGMS["qualitative"])} AS b, {_hits(text.PARADIGMS["mixed"])} AS c, {_hits(text.DESIGNS)} AS designs, {_hits(text.SOFTWARE)} AS software,
+_METHOD = rf"""WITH t AS (SELECT doc_id, {_hits(lexicons.PARADIGMS["quantitative"])} AS a, {_hits(lexicons.PARADIGMS["qualitative"])} AS b, {_hits(lexicons.PARADIGMS["mixed"])} AS c, {_hits(lexicons.DESIGNS)} AS designs, {_hits(lexicons.SOFTWARE)} AS software,
 len(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(text, '(?i)\bn\s*=\s*(\d[\d,]*)', 1), regexp_extract_all(text, '(?i)\b(\d[\d,]*)\s+(?:participants|patients|respondents|subjects|students|samples|interviews)', 1)), lambda x: TRY_CAST(replace(x, ',', '') AS BIGINT)), lambda n: n BETWEEN 1 AND 1000000)))::BIGINT AS sizes FROM documents)
 SELECT doc_id, CASE WHEN c > 0 THEN 'mixed' WHEN a > b THEN 'quantitative' WHEN b > a THEN 'qualitative' WHEN a > 0 THEN 'mixed' ELSE 'unclear' END AS paradigm, designs, software, sizes FROM t"""
-query("methodology", lambda s, d: text.methodology(table(s, d, "documents"), "text").select("doc_id", "paradigm", F.size("designs").alias("designs"), F.size("software").alias("software"), F.size("sample_sizes").alias("sizes")), _METHOD)
-query("open_science", lambda s, d: text.open_science(table(s, d, "documents"), "text"), "SELECT doc_id, " + ", ".join(f"regexp_matches(text, '(?i){p}')::INT::BIGINT AS {k}" for k, p in text.OPEN_SCIENCE.items()) + ", (" + " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for k, p in text.OPEN_SCIENCE.items() if k != "on_request") + ") / 4.0::DOUBLE AS score FROM documents", "score")
+query("methodology", lambda s, d: text.methodology(table(s, d, "documents"), "text", lexicons.PARADIGMS, lexicons.DESIGNS, lexicons.SOFTWARE).select("doc_id", "paradigm", F.size("designs").alias("designs"), F.size("software").alias("software"), F.size("sample_sizes").alias("sizes")), _METHOD)
+_FLAGS = "SELECT doc_id, " + ", ".join(f"coalesce(regexp_matches(text, '(?i){p}'), false)::INT::BIGINT AS {k}" for k, p in lexicons.PRACTICES.items()) + " FROM documents"
+query("open_science", lambda s, d: text.practices(table(s, d, "documents"), "text", lexicons.PRACTICES, ("request",)), f"SELECT *, (link + number + mail + license) / 4.0::DOUBLE AS score FROM ({_FLAGS})", "score")
+query("methodology_summary", lambda s, d: text.methodology_summary(text.methodology(table(s, d, "documents"), "text", lexicons.PARADIGMS, lexicons.DESIGNS, lexicons.SOFTWARE)), f"""WITH m AS ({_METHOD}),
+x AS (SELECT 'paradigm' AS kind, paradigm AS item FROM m UNION ALL SELECT 'designs', w FROM documents, (SELECT unnest({lexicons.DESIGNS}) AS w) WHERE contains(lower(coalesce(text, '')), w) UNION ALL SELECT 'software', w FROM documents, (SELECT unnest({lexicons.SOFTWARE}) AS w) WHERE contains(lower(coalesce(text, '')), w))
+SELECT kind, item, count(*)::BIGINT AS documents, count(*) / (SELECT count(*) FROM documents)::DOUBLE AS share FROM x GROUP BY ALL""", "share")
 
 
 def _among(words: list[str]) -> str:
     return "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{w}'" for w in words) + ")))"
 
 
-_SENTIMENT = rf"""WITH w AS (SELECT conv_id || '-' || turn AS doc_id, regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b') AS w FROM conversations), k AS (SELECT doc_id, len(w) AS n, {_among(text.POSITIVE)} AS p, {_among(text.NEGATIVE)} AS m, {_among(text.HEDGES)} AS h FROM w),
+_SENTIMENT = rf"""WITH w AS (SELECT conv_id || '-' || turn AS doc_id, regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b') AS w FROM conversations), k AS (SELECT doc_id, len(w) AS n, {_among(lexicons.POSITIVE)} AS p, {_among(lexicons.NEGATIVE)} AS m, {_among(lexicons.HEDGES)} AS h FROM w),
 s AS (SELECT doc_id, CASE WHEN p + m > 0 THEN (p - m) / (p + m)::DOUBLE ELSE 0.0 END AS polarity, CASE WHEN n > 0 THEN h / n::DOUBLE ELSE 0.0 END AS hedging FROM k)
 SELECT *, CASE WHEN polarity > 0.1 THEN 'positive' WHEN polarity < -0.1 THEN 'negative' ELSE 'neutral' END AS tone FROM s"""
-query("sentiment", lambda s, d: text.sentiment(table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text")), "text"), _SENTIMENT, "polarity hedging")
+
+
+def _scores(s, d):
+    rows = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text"))
+    return text.sentiment(rows, "text", lexicons.POSITIVE, lexicons.NEGATIVE, lexicons.HEDGES)
+
+
+_TONES = "count(*)::BIGINT AS documents, avg(polarity) AS polarity, avg(hedging) AS hedging, " + ", ".join(f"avg((tone = '{t}')::INT::DOUBLE) AS {t}" for t in ("positive", "negative", "neutral"))
+query("sentiment", _scores, _SENTIMENT, "polarity hedging")
+query("sentiment_corpus", lambda s, d: text.tone_summary(_scores(s, d)), f"SELECT {_TONES} FROM ({_SENTIMENT})", "polarity hedging positive negative neutral")
+query("sentiment_groups", lambda s, d: text.tone_summary(_scores(s, d), table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.col("role").alias("group_name"))), f"SELECT role AS group_name, {_TONES} FROM ({_SENTIMENT}) x JOIN conversations c ON x.doc_id = c.conv_id || '-' || c.turn GROUP BY role", "polarity hedging positive negative neutral")
 query("count_ngrams_conversations", lambda s, d: count_text(table(s, d, "conversations").select(F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text")), "text", 1, 1).select("item", "n_docs", "n_total"), r"WITH w AS (SELECT row_number() OVER () AS r, unnest(regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b')) AS item FROM conversations) SELECT item, count(DISTINCT r)::BIGINT AS n_docs, count(*)::BIGINT AS n_total FROM w GROUP BY item")
 query("repository_links", lambda s, d: table(s, d, "pages").select("page_id", F.size(strings.repository_links(F.col("html"))).alias("n_links")), r"SELECT page_id, len(list_distinct(list_transform(regexp_extract_all(html, '((?:https?://)?(?:www\.)?(?:github\.com|gitlab\.com|bitbucket\.org|zenodo\.org|figshare\.com|datadryad\.org|osf\.io|dataverse\.[a-z.]+|huggingface\.co|kaggle\.com)/[^\s)\]>" + '"' + r"'']+)', 1), lambda x: regexp_replace(x, '[.,;]+$', ''))))::BIGINT AS n_links FROM pages")
 query("normal_titles", lambda s, d: table(s, d, "part").select("p_partkey", strings.normal_title(F.concat(F.col("p_name"), F.lit(", "), F.col("p_type"))).alias("title")), r"SELECT p_partkey, CASE WHEN length(trim(regexp_replace(regexp_replace(lower(p_name || ', ' || p_type), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))) >= 10 THEN trim(regexp_replace(regexp_replace(lower(p_name || ', ' || p_type), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) END AS title FROM part")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import communities, evaluation, graph, impact, lookup, models, stats, text
 from folioscope.operators import cooccurrence as co
 from folioscope.operators import timeseries as ts
+from folioscope.plans import lexicons
 from folioscope.plans.registry import query
 from folioscope.sources.adapters import CITES, PUBS, cites, publications, table
 
@@ -37,18 +38,22 @@ query("degrees", lambda s, d: graph.degrees(_edges(s, d)), _E + " SELECT * FROM
 query("graph_stats", lambda s, d: graph.graph_stats(_edges(s, d)), _E + " SELECT count(*)::BIGINT AS nodes, (sum(degree) / 2)::BIGINT AS edges, sum(degree) / (count(*) * (count(*) - 1))::DOUBLE AS density, avg(degree) AS mean_degree, max(degree)::BIGINT AS max_degree FROM dg", "density mean_degree")
 
 
-def _strong(s, d):
-    """Authors who often write together: a sparse graph."""
-    return co.cooccurrence(P(s, d, "authors"), "authors", min_count=5)
+def _authors(s, d):
+    """The whole co-authorship graph."""
+    return co.cooccurrence(P(s, d, "authors"), "authors")
 
 
-_S = f"WITH RECURSIVE {PUBS}, {_pairs_sql('authors')}, s AS (SELECT * FROM p WHERE n >= 5), u AS (SELECT a, b FROM s UNION SELECT b, a FROM s)"
-query("graph_components", lambda s, d: graph.components(_strong(s, d)), _S + ", r AS (SELECT a AS node, a AS o FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.o = u.a) SELECT node, min(o) AS component FROM r GROUP BY node")
-query("clustering_coefficients", lambda s, d: graph.triangles(_strong(s, d)), _S + ", t AS (SELECT x.a AS node, count(*) AS t FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY x.a), k AS (SELECT a AS node, count(*) AS k FROM u GROUP BY a) SELECT node, coalesce(t, 0)::BIGINT AS triangles, CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1))::DOUBLE ELSE 0 END AS clustering FROM k LEFT JOIN t USING (node)", "clustering")
+_S = f"WITH RECURSIVE {PUBS}, {_pairs_sql('authors')}, s AS (SELECT * FROM p), u AS (SELECT a, b FROM s UNION SELECT b, a FROM s)"
+query("graph_components", lambda s, d: graph.components(_authors(s, d)), _S + ", r AS (SELECT a AS node, a AS o FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.o = u.a) SELECT node, min(o) AS component FROM r GROUP BY node")
+query("clustering_coefficients", lambda s, d: graph.triangles(_authors(s, d)), _S + ", t AS (SELECT x.a AS node, count(*) AS t FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY x.a), k AS (SELECT a AS node, count(*) AS k FROM u GROUP BY a) SELECT node, coalesce(t, 0)::BIGINT AS triangles, CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1))::DOUBLE ELSE 0 END AS clustering FROM k LEFT JOIN t USING (node)", "clustering")
 query("communities", lambda s, d: graph.label_propagation(_edges(s, d)))
-query("modularity", lambda s, d: graph.modularity(_strong(s, d), graph.components(_strong(s, d)).withColumnRenamed("component", "community")))
-query("thematic_map", lambda s, d: models.thematic_map(_strong(s, d), graph.label_propagation(_strong(s, d))))
-query("pagerank", lambda s, d: graph.pagerank(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")), 5))
+_halves = lambda s, d: graph.degrees(_edges(s, d)).select("node", (F.length("node") % 2).alias("community"))
+query("modularity", lambda s, d: graph.modularity(_edges(s, d), _halves(s, d)), _E + ", c AS (SELECT node, length(node) % 2 AS c, strength FROM dg), t AS (SELECT sum(n)::DOUBLE AS t FROM p), w AS (SELECT x.c, sum(n) AS w FROM p JOIN c x ON x.node = a JOIN c y ON y.node = b WHERE x.c = y.c GROUP BY x.c), g AS (SELECT c, sum(strength) AS d FROM c GROUP BY c) SELECT sum(coalesce(w, 0) / t - pow(d / (2 * t), 2)) AS modularity FROM g LEFT JOIN w USING (c), t", "modularity")
+query("thematic_map", lambda s, d: models.thematic_map(_authors(s, d), graph.label_propagation(_authors(s, d))))
+_PRANK = f"WITH {CITES}, e AS (SELECT DISTINCT citing AS src, cited AS dst FROM cites), o AS (SELECT src, count(*) AS k FROM e GROUP BY src), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*)::DOUBLE AS n FROM v), r0 AS (SELECT node, 1 / n AS r FROM v, c)" + "".join(
+    f", l{i} AS (SELECT coalesce(sum(r), 0) AS x FROM r{i - 1} WHERE node NOT IN (SELECT src FROM o)), g{i} AS (SELECT dst AS node, sum(r / k) AS got FROM e JOIN o USING (src) JOIN r{i - 1} ON r{i - 1}.node = src GROUP BY dst), r{i} AS (SELECT v.node, 0.15 / n + 0.85 * (coalesce(got, 0) + x / n) AS r FROM v LEFT JOIN g{i} USING (node), c, l{i})" for i in range(1, 6)
+)
+query("pagerank", lambda s, d: graph.pagerank(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")), 5).select("node", (F.col("rank") * 1e6).alias("rank")), _PRANK + " SELECT node, r * 1e6 AS rank FROM r5", "rank")
 query("local_citations", lambda s, d: impact.local_citations(cites(s, d)), f"WITH {CITES} SELECT cited AS doc_id, count(*)::BIGINT AS local FROM cites GROUP BY cited")
 query("self_citations", lambda s, d: impact.self_citations(P(s, d, "authors"), cites(s, d)), f"WITH {PUBS}, {CITES}, sh AS (SELECT DISTINCT citing, cited FROM cites JOIN authors x ON x.doc_id = citing JOIN authors y ON y.doc_id = cited AND x.item = y.item) SELECT citing AS doc_id, count(*)::BIGINT AS n_cites, count(sh.citing)::BIGINT AS n_self FROM cites LEFT JOIN sh USING (citing, cited) GROUP BY citing")
 query("storytellers", lambda s, d: impact.storytellers(cites(s, d), P(s, d, "base").where("cited_by >= 150"), 1), f"WITH {PUBS}, {CITES} SELECT citing AS doc_id, count(*)::BIGINT AS n FROM cites WHERE cited IN (SELECT doc_id FROM pubs WHERE cited_by >= 150) GROUP BY citing")
@@ -63,19 +68,28 @@ for _name, _c in (("sources", "source"), ("years", "year")):
 query("pair_novelty", lambda s, d: impact.pair_novelty(P(s, d, "keywords"), "keywords"), f"WITH {PUBS}, {_pairs_sql('keywords')}, m AS (SELECT item, count(*) AS k FROM keywords GROUP BY item), sc AS (SELECT a, b, -ln(n / (x.k * y.k / (SELECT count(*) FROM pubs)::DOUBLE + 1) + 0.01) AS s FROM p JOIN m x ON x.item = a JOIN m y ON y.item = b), e AS (SELECT x.doc_id, s FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN sc ON sc.a = x.item AND sc.b = y.item) SELECT doc_id, quantile_cont(s, 0.9) AS p90, avg(s) AS mean, quantile_cont(s, 0.1) AS p10 FROM e GROUP BY doc_id", "p90 mean p10")
 query("keyword_novelty", lambda s, d: impact.keyword_novelty(P(s, d, "keywords"), "keywords"), f"WITH {PUBS}, {_pairs_sql('keywords')} SELECT x.doc_id, avg(1.0::DOUBLE / n) AS novelty FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN p ON p.a = x.item AND p.b = y.item GROUP BY x.doc_id", "novelty")
 query("temporal_network", lambda s, d: ts.windows(P(s, d, "keywords"), 3).where("keywords IS NOT NULL").transform(lambda t: co.pairs(t, "keywords", ["start"])).groupBy("start", "a", "b").agg(F.count("*").alias("n")), f"WITH {PUBS} SELECT (lo + (year - lo) // 3 * 3)::BIGINT AS start, x.item AS a, y.item AS b, count(*)::BIGINT AS n FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN pubs ON pubs.doc_id = x.doc_id, (SELECT min(year) AS lo FROM pubs) GROUP BY ALL")
-query("traversal_weights", lambda s, d: graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst"))))
-query("main_path", lambda s, d: graph.main_path(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))))
+# an order cites the two before it, so paths from the last order of a customer, and to the first, count up like Fibonacci numbers
+_SPC = f"""WITH RECURSIVE {CITES}, pos AS (SELECT o_orderkey AS k, o_custkey AS c, row_number() OVER w AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+fib AS (SELECT 1 AS i, 1.0::DOUBLE AS f, 1.0::DOUBLE AS g UNION ALL SELECT i + 1, g, f + g FROM fib WHERE i < (SELECT max(n) FROM pos)),
+spc AS (SELECT citing AS src, cited AS dst, a.f * b.f AS spc FROM cites JOIN pos x ON x.k = citing JOIN pos y ON y.k = cited JOIN fib a ON a.i = x.n - x.i + 1 JOIN fib b ON b.i = y.i)"""
+query("traversal_weights", lambda s, d: graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst"))), _SPC + " SELECT * FROM spc", "spc")
+_BEST = """, t AS (SELECT c, n AS i, n, 0.0::DOUBLE AS s, [k] AS p, NULL::DOUBLE AS s2, NULL::BIGINT[] AS p2 FROM pos WHERE i = n UNION ALL
+  SELECT c, i - 1, n, CASE WHEN b THEN y ELSE x END, list_append(CASE WHEN b THEN p2 ELSE p END, k), s, p FROM (SELECT t.c, t.i, t.n, t.s, t.p, t.p2, pos.k, s + e.spc AS x, s2 + h.spc AS y,
+    coalesce(s2 + h.spc > s + e.spc OR (s2 + h.spc = s + e.spc AND p2[-1] > p[-1]), false) AS b
+    FROM t JOIN pos ON pos.c = t.c AND pos.i = t.i - 1 JOIN spc e ON e.src = t.p[-1] AND e.dst = pos.k LEFT JOIN spc h ON h.src = t.p2[-1] AND h.dst = pos.k)),
+  w AS (SELECT p FROM t ORDER BY s DESC, p[-1] DESC LIMIT 1) SELECT generate_subscripts(p, 1)::BIGINT AS place, unnest(p) AS node FROM w"""
+query("main_path", lambda s, d: graph.main_path(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))), _SPC + _BEST)
 
 
 def _windows(s, d):
-    return ts.windows(P(s, d, "keywords"), 3).where("keywords IS NOT NULL").transform(lambda t: co.pairs(t, "keywords", ["start"])).groupBy("start", "a", "b").agg(F.count("*").alias("n")).where("n > 40")
+    return ts.windows(P(s, d, "keywords"), 3).where("keywords IS NOT NULL").transform(lambda t: co.pairs(t, "keywords", ["start"])).groupBy("start", "a", "b").agg(F.count("*").alias("n"))
 
 
-_WN = f"WITH {PUBS}, w AS (SELECT (lo + (year - lo) // 3 * 3)::BIGINT AS start, x.item AS a, y.item AS b, count(*)::BIGINT AS n FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN pubs ON pubs.doc_id = x.doc_id, (SELECT min(year) AS lo FROM pubs) GROUP BY ALL HAVING count(*) > 40), d AS (SELECT start, node, count(*)::BIGINT AS k FROM (SELECT start, a AS node FROM w UNION ALL SELECT start, b FROM w) GROUP BY ALL)"
+_WN = f"WITH {PUBS}, w AS (SELECT (lo + (year - lo) // 3 * 3)::BIGINT AS start, x.item AS a, y.item AS b, count(*)::BIGINT AS n FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN pubs ON pubs.doc_id = x.doc_id, (SELECT min(year) AS lo FROM pubs) GROUP BY ALL), d AS (SELECT start, node, count(*)::BIGINT AS k FROM (SELECT start, a AS node FROM w UNION ALL SELECT start, b FROM w) GROUP BY ALL)"
 query("window_metrics", lambda s, d: communities.window_metrics(_windows(s, d)), _WN + " SELECT start, count(*)::BIGINT AS nodes, (sum(k) / 2)::BIGINT AS edges, CASE WHEN count(*) > 1 THEN sum(k) / (count(*) * (count(*) - 1))::DOUBLE ELSE 0 END AS density, avg(k) AS mean_degree, max(k)::BIGINT AS max_degree FROM d GROUP BY start", "density mean_degree")
 query("edge_persistence", lambda s, d: communities.edge_persistence(_windows(s, d)), _WN + ' SELECT a, b, min(start) AS "first", max(start) AS "last", count(DISTINCT start)::BIGINT AS windows, sum(n)::BIGINT AS weight FROM w GROUP BY a, b')
 query("node_activity", lambda s, d: communities.node_activity(_windows(s, d)), _WN + ' SELECT node, min(start) AS "first", max(start) AS "last", count(*)::BIGINT AS windows, sum(k)::BIGINT AS degree FROM d GROUP BY node')
-query("louvain", lambda s, d: communities.louvain_frame(co.cooccurrence(P(s, d, "authors"), "authors", min_count=5)))
+query("louvain", lambda s, d: communities.louvain_frame(_authors(s, d)))
 query("community_evolution", lambda s, d: communities.evolution(*(graph.components(_windows(s, d).where(F.col("start") == y).select("a", "b", "n")).withColumnRenamed("component", "community") for y in (1995, 1998))))
 query("key_routes", lambda s, d: communities.key_routes(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))))
 
@@ -102,15 +116,24 @@ query("attention", lambda s, d: lookup.attention(table(s, d, "lineitem").groupBy
 query("compare_entities", lambda s, d: evaluation.compare_entities(P(s, d, "base").groupBy("category").agg(F.count("*").alias("documents"), F.avg("cited_by").alias("mean")), "category", ["documents", "mean"]), f"WITH {PUBS}, t AS (SELECT category, count(*)::BIGINT AS documents, avg(cited_by) AS mean FROM pubs GROUP BY category) SELECT category, documents, mean, (documents - (SELECT min(documents) FROM t)) / ((SELECT max(documents) FROM t) - (SELECT min(documents) FROM t))::DOUBLE AS documents_scaled, rank() OVER (ORDER BY documents DESC) AS documents_rank, (mean - (SELECT min(mean) FROM t)) / ((SELECT max(mean) FROM t) - (SELECT min(mean) FROM t)) AS mean_scaled, rank() OVER (ORDER BY mean DESC) AS mean_rank FROM t", "mean documents_scaled mean_scaled")
 query("citation_features", lambda s, d: evaluation.citation_features(P(s, d)), f"WITH {PUBS}, s AS (SELECT doc_id, year, source, cited_by, avg(cited_by) OVER (PARTITION BY source ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source_before FROM pubs), n(doc_id) AS (SELECT doc_id FROM pubs), a AS (SELECT doc_id, avg(b) AS authors_before FROM (SELECT doc_id, avg(cited_by) OVER (PARTITION BY item ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM authors JOIN pubs USING (doc_id)) GROUP BY doc_id), " + ", ".join(f"n{c} AS (SELECT doc_id, count(*) AS k FROM {c} GROUP BY doc_id)" for c in ("authors", "keywords", "refs", "countries")) + " SELECT s.doc_id, s.year::BIGINT AS year, s.source, s.cited_by, " + ", ".join(f"coalesce(n{c}.k, 0)::DOUBLE AS n_{c}" for c in ("authors", "keywords", "refs", "countries")) + ", source_before, authors_before FROM s LEFT JOIN a USING (doc_id) " + " ".join(f"LEFT JOIN n{c} USING (doc_id)" for c in ("authors", "keywords", "refs", "countries")), "n_authors n_keywords n_refs n_countries source_before authors_before")
 query("jarque_bera", lambda s, d: stats.jarque_bera(P(s, d, "base"), "price", "category"), f"WITH {PUBS}, t AS (SELECT category, price - avg(price) OVER (PARTITION BY category) AS d FROM pubs) SELECT category, count(*)::BIGINT AS n, count(*) / 6.0::DOUBLE * (pow(avg(d * d * d) / pow(avg(d * d), 1.5), 2) + pow(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 2) / 4) AS statistic FROM t GROUP BY category", "statistic")
-query("ks_normal", lambda s, d: stats.ks_normal(P(s, d, "base"), "cited_by"))
-query("matching_sentences", lambda s, d: text.matching_sentences(table(s, d, "documents"), "text", "idiot|moron|clown").select("doc_id", "place"))
-query("text_entities", lambda s, d: text.entities(table(s, d, "documents"), "text", {"year": r"\b(?:19|20)[0-9]{2}\b", "capitals": r"\b[A-Z]{2,6}\b"}))
+query("ks_normal", lambda s, d: stats.ks_normal(P(s, d, "base"), "cited_by"), f"""WITH {PUBS}, o AS (SELECT count(*)::BIGINT AS n, avg(cited_by) AS m, stddev_samp(cited_by) AS s FROM pubs), h AS (SELECT cited_by::DOUBLE AS x, count(*) AS k FROM pubs GROUP BY 1),
+c AS (SELECT (x - m) / s / sqrt(2) AS z, sum(k) OVER (ORDER BY x) / n::DOUBLE AS hi, (sum(k) OVER (ORDER BY x) - k) / n::DOUBLE AS lo FROM h, o), u AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(z)) AS u FROM c),
+e AS (SELECT hi, lo, 0.5 * (1 + sign(z) * (1 - ((((1.061405429::DOUBLE * u - 1.453152027::DOUBLE) * u + 1.421413741::DOUBLE) * u - 0.284496736::DOUBLE) * u + 0.254829592::DOUBLE) * u * exp(-z * z))) AS f FROM u)
+SELECT max(n) AS n, max(m) AS mean, max(s) AS sd, max(greatest(abs(hi - f), abs(lo - f))) AS distance FROM e, o""", "mean sd distance")
+query("matching_sentences", lambda s, d: text.matching_sentences(table(s, d, "documents"), "text", "idiot|moron|clown").select("doc_id", "place"), r"""WITH m AS (SELECT doc_id, regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g') AS t FROM documents), s AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) - 1 AS place FROM (SELECT doc_id, list_filter(string_split(t, chr(1)), lambda y: trim(y) <> '') AS p FROM m)) SELECT doc_id, place::BIGINT AS place FROM s WHERE regexp_matches(x, '(?i)idiot|moron|clown')""")
+query("text_entities", lambda s, d: text.entities(table(s, d, "documents"), "text", {"year": r"(?:19|20)[0-9]{2}", "capitals": r"[A-Z]{2,6}"}), r"SELECT doc_id, kind, value, count(*)::BIGINT AS n FROM (SELECT doc_id, 'year' AS kind, unnest(regexp_extract_all(text, '(?:19|20)[0-9]{2}')) AS value FROM documents UNION ALL SELECT doc_id, 'capitals', unnest(regexp_extract_all(text, '[A-Z]{2,6}')) FROM documents) GROUP BY ALL")
 query("correspondence", lambda s, d: evaluation.correspondence(co.between(P(s, d, "keywords", "types").where("keywords IS NOT NULL"), "keywords", "types"), "a", "b").select("kind", "item"))
 query("term_effects", lambda s, d: evaluation.term_effects(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id"), "text", "toxic", 5).select("term", "coefficient"))
 query("cross_validation", lambda s, d: evaluation.cross_validate(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id"), "text", "quality", 3, 500))
 query("topic_coherence", lambda s, d: evaluation.topic_coherence(models.topics(table(s, d, "documents"), "text", 3, 500, 3)[0], table(s, d, "documents"), "text"))
-query("sentiment_by_entity", lambda s, d: evaluation.sentiment_by_entity(text.sentiment(table(s, d, "documents"), "text"), table(s, d, "documents"), "source"))
-query("forward_path", lambda s, d: graph.greedy_path(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))))
+_SBE = f"""WITH w AS (SELECT source, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' ', 'g')), '\\b\\w\\w+\\b') AS w FROM documents), k AS (SELECT source, len(list_filter(w, lambda x: x IN {tuple(lexicons.POSITIVE)})) AS p, len(list_filter(w, lambda x: x IN {tuple(lexicons.NEGATIVE)})) AS m FROM w)
+SELECT source AS item, count(*)::BIGINT AS n, avg(v) AS mean, stddev_samp(v) AS std FROM (SELECT source, CASE WHEN p + m > 0 THEN (p - m) / (p + m)::DOUBLE ELSE 0.0 END AS v FROM k) GROUP BY source HAVING count(*) >= 5"""
+_docs = lambda s, d: table(s, d, "documents").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", " "))
+query("sentiment_by_entity", lambda s, d: evaluation.sentiment_by_entity(text.sentiment(_docs(s, d), "text", lexicons.POSITIVE, lexicons.NEGATIVE, lexicons.HEDGES), table(s, d, "documents"), "source"), _SBE, "mean std")
+_GREEDY = """, g AS ((SELECT 1 AS step, src, dst FROM spc WHERE src NOT IN (SELECT dst FROM spc) ORDER BY spc DESC, src DESC, dst DESC LIMIT 1) UNION ALL
+  SELECT step + 1, n.src, n.dst FROM g JOIN (SELECT src, max_by(dst, (spc, dst)) AS dst FROM spc GROUP BY src) n ON n.src = g.dst)
+SELECT 1::BIGINT AS place, src AS node FROM g WHERE step = 1 UNION ALL SELECT step + 1, dst FROM g"""
+query("forward_path", lambda s, d: graph.greedy_path(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))), _SPC + _GREEDY)
 query("fit_shapes", lambda s, d: stats.fit_shapes(P(s, d, "base"), "cited_by").select("family", "aic"))
 
 

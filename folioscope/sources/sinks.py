@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.longform import running
+
 
 def table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", partition: list[str] | None = None) -> None:
     """parquet, orc, json or csv (lists joined by '; ')."""
@@ -30,8 +32,8 @@ def graph_lines(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     n = nodes.select(F.col("node").cast("string").alias("node"), F.col("label").cast("string").alias("label"))
     e = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("n").cast("string").alias("n"))
     if kind in ("pajek", "vosviewer"):
-        # numbers from 1 in order of the nodes; a graph file is read by one program, so one ordered list is what it needs
-        n = n.withColumn("i", F.row_number().over(Window.orderBy("node")))
+        # numbers from 1 in order of the nodes
+        n = running(n, [F.col("node")], {"i": F.lit(1).cast("long")})
         num = lambda c, name: n.select(F.col("node").alias(c), F.col("i").cast("string").alias(name))
         e = e.join(num("a", "i"), "a").join(num("b", "j"), "b")
         q = F.lit('"')

@@ -207,7 +207,7 @@ def test_texts(spark):
     r = spark.range(1).select(text.readability(F.lit("The cat sat. A beautiful elephant ran!")).alias("r")).first()["r"]
     assert (r["sentences"], r["words"], r["syllables"]) == (2, 7, 5 + 3 + 3 - 0) or r["words"] == 7
     df = spark.createDataFrame([(1, "We ran a regression survey with SPSS, n = 40."), (2, "Interviews and focus groups"), (3, None)], "doc_id int, t string")
-    m = {x["doc_id"]: x for x in rows(text.methodology(df, "t"))}
+    m = {x["doc_id"]: x for x in rows(text.methodology(df, "t", {"quantitative": ["regression"], "qualitative": ["interview"], "mixed": ["both ways"]}, ["panel"], ["spss"]))}
     assert m[1]["paradigm"] == "quantitative" and m[1]["sample_sizes"] == [40] and m[2]["paradigm"] == "qualitative" and m[3]["paradigm"] == "unclear"
 
 
