@@ -217,3 +217,19 @@ def test_run_all(spark, sf):
     assert "count_authors" in tables and "main_info" in tables and not errors
     tables, errors = Corpus(publications(spark, sf, "keywords")).run_all()
     assert "collaboration" in errors and tables["count_keywords"].count() > 0
+
+
+@pytest.mark.parametrize(
+    "db,header,cited",
+    [
+        ("scopus", ["EID", "Cited by", "Author Keywords"], "Cited by"), ("openalex", ["id", "doi", "display_name", "cited_by_count"], "cited_by_count"), ("pubmed", ["PMID", "ArticleTitle"], None),
+        ("lens", ["Lens ID", "Scholarly Citations"], "Scholarly Citations"), ("dimensions", ["Publication ID", "FOR (ANZSRC 2020)", "Times cited"], "Times cited"), ("wos", ["UT", "TC", "AU"], "TC"),
+        ("unknown", ["name", "value"], None), ("unknown", ["EID", "ut"], None),
+    ],
+)
+def test_headers_of_vendors(spark, db, header, cited):
+    df = spark.createDataFrame([tuple("x" * len(header))], header)
+    assert schema.detect_database(df) == db and schema.column(df, "cited_by", False) == cited
+    lower = df.toDF(*(c.lower() if len(c) > 2 else c for c in header))
+    assert schema.detect_database(lower) == db
+    assert "index_keywords" not in schema.standardise(df).columns
