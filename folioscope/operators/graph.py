@@ -57,6 +57,37 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     return rank
 
 
+def eigenvector(edges: DataFrame, weighted: bool = False, tolerance: float = 1e-6, most_rounds: int = 1000, rounds: int | None = None) -> DataFrame:
+    """(node, eigenvector) of length 1: power iteration on the adjacency matrix plus the identity (which keeps two-sided graphs from swinging), until the summed change is
+    below tolerance times the nodes; raises if that takes more than most_rounds. rounds: exactly so many instead."""
+    e = cut(undirected(edges).select("a", "b", (F.col("n").cast("double") if weighted else F.lit(1.0)).alias("w")))
+    x = cut(e.select(F.col("a").alias("node")).distinct())
+    n = x.count()
+    x = x.withColumn("x", F.lit(1.0 / max(n, 1)))
+    for i in range(rounds if rounds is not None else most_rounds):
+        got = e.join(x.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+        step = x.join(got, "node").select("node", F.col("x").alias("old"), (F.col("x") + F.col("y")).alias("y"))
+        new = cut(step.withColumn("x", F.col("y") / F.sqrt(step.select(F.sum(F.col("y") * F.col("y"))).scalar())))
+        x = new.select("node", "x")
+        if rounds is None and (n == 0 or new.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] < n * tolerance):
+            break
+    else:
+        if rounds is None:
+            raise ValueError(f"not settled after {most_rounds} rounds")
+    return x.withColumnRenamed("x", "eigenvector")
+
+
+def centralities(edges: DataFrame, most_edges: int = 50_000) -> DataFrame:
+    """(node, degree, betweenness, closeness, eigenvector). Betweenness and closeness need all shortest paths, so graphs of more than most_edges edges are refused: cut
+    them to their top nodes, or take degrees and eigenvector, which have no limit."""
+    rows = [tuple(r) for r in edges.select("a", "b").limit(most_edges + 1).collect()]
+    if len(rows) > most_edges:
+        raise ValueError(f"more than {most_edges} edges")
+    kind = edges.schema["a"].dataType.simpleString()
+    paths = edges.sparkSession.createDataFrame([(v, m["betweenness"], m["closeness"]) for v, m in betweenness(rows).items()], f"node {kind}, betweenness double, closeness double")
+    return degrees(edges).select("node", "degree").join(paths, "node").join(eigenvector(edges), "node")
+
+
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community): each node takes the label of the most weight among its neighbours, the least of ties. Deterministic, synchronous."""
     both = cut(undirected(edges))

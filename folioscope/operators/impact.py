@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.strings import normal_title
 from folioscope.operators.longform import average_rank, long, pairs
+from folioscope.operators.quality import similar_strings
 
 
 def field_normalized(df: DataFrame, field: str | None = None, method: str = "mean", min_field: int = 5) -> DataFrame:
@@ -173,3 +175,46 @@ def internal_rate(df: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: documents, edges, documents that cite or are cited, and edges a document."""
     touched = edges.select(F.explode(F.array("citing", "cited")).alias("x")).select(F.countDistinct("x")).scalar()
     return df.agg(F.count("*").alias("documents"), F.max(edges.select(F.count("*")).scalar()).alias("edges"), F.max(touched).alias("linked")).withColumn("rate", F.col("edges") / F.col("documents"))
+
+
+def cited_titles(df: DataFrame, references: str, threshold: float = 0.85) -> DataFrame:
+    """(citing, cited): documents whose title, normalised, is that of a reference of another (references: a list of titles) or has a bigram similarity of the threshold or more with it."""
+    own = df.select("doc_id", normal_title(F.col("title")).alias("t")).where("t IS NOT NULL")
+    refs = df.select("doc_id", F.explode(references).alias("r")).select("doc_id", normal_title(F.col("r")).alias("t")).where("t IS NOT NULL").distinct()
+    texts = own.select("t").union(refs.select("t")).distinct()
+    near = similar_strings(texts.withColumn("all", F.lit(1)), "t", "t", ["all"], threshold).select("a", "b")
+    same = texts.select(F.col("t").alias("a"), F.col("t").alias("b"))
+    links = same.union(near).union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    out = refs.select(F.col("doc_id").alias("citing"), F.col("t").alias("a")).join(links, "a").join(own.select(F.col("doc_id").alias("cited"), F.col("t").alias("b")), "b")
+    return out.where("citing <> cited").select("citing", "cited").distinct()
+
+
+def historiograph(df: DataFrame, edges: DataFrame) -> DataFrame:
+    """(citing, cited, citing_year, cited_year, local): the citation graph in layers by year, with how often each cited document is cited in it. Edges to later years are left out."""
+    year = df.select("doc_id", "year")
+    t = edges.join(year.select(F.col("doc_id").alias("citing"), F.col("year").alias("citing_year")), "citing").join(year.select(F.col("doc_id").alias("cited"), F.col("year").alias("cited_year")), "cited")
+    t = t.where("cited_year <= citing_year")
+    return t.join(t.groupBy("cited").agg(F.count("*").alias("local")), "cited").select("citing", "cited", "citing_year", "cited_year", "local")
+
+
+def pattern_from_totals(df: DataFrame, now: int) -> DataFrame:
+    """doc_id, pattern, confidence and counts (year -> citations) where only total citations are known: an assumed course of citations over a paper's age, not a
+    measured one. Years since publication weigh most after two years and fade by a fifth a year after that; a paper of five years or less follows a fixed course."""
+    # fixed values: the weights, the bounds of the classes and their confidence
+    early = F.array(*map(F.lit, (0.15, 0.25, 0.25, 0.20, 0.15)))
+    c, age = F.col("cited_by"), (F.lit(now) - F.col("year")).cast("int")
+    late = F.transform(F.sequence(F.lit(0), F.greatest(age, F.lit(1)) - 1), lambda i: F.greatest(F.lit(0.02), F.when(i <= 2, 0.15 + 0.1 * i).otherwise(0.35 * F.pow(F.lit(0.8), (i - 2).cast("double")))))
+    weights = F.when(age <= 5, F.slice(early, F.lit(1), F.greatest(age, F.lit(1)))).otherwise(late)
+    t = df.where("year IS NOT NULL").select("doc_id", "year", c.alias("c"), age.alias("age"), weights.alias("w"))
+    t = t.withColumn("all", F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).withColumn("part", F.transform("w", lambda x: F.floor(F.col("c") * (x / F.col("all")))))
+    # what rounding down leaves goes to the first of the greatest years
+    rest = F.col("c") - F.aggregate("part", F.lit(0).cast("long"), lambda a, x: a + x)
+    top = F.array_position("part", F.array_max("part"))
+    counts = F.transform("part", lambda x, i: x + F.when(i + 1 == top, rest).otherwise(F.lit(0)))
+    known = (F.col("c") > 0) & (F.col("age") >= 3)
+    rate = F.col("c") / F.col("age")
+    evergreen, flash, late_found = (F.col("age") >= 10) & (rate >= 2), (F.col("age") >= 8) & (rate < 0.5), (F.col("age") >= 10) & (F.col("c") > 50)
+    pattern = F.when(F.col("c") == 0, "uncited").when(F.col("age") < 3, "too_recent").when(evergreen, "evergreen").when(flash, "flash_in_the_pan").when(late_found, "delayed_recognition").otherwise("normal")
+    sure = F.when(F.col("c") == 0, 0.5).when(F.col("age") < 3, 0.3).when(evergreen, 0.4).when(flash, 0.35).when(late_found, 0.3).otherwise(0.5)
+    years = F.transform("part", lambda x, i: F.col("year") + i)
+    return t.select("doc_id", pattern.alias("pattern"), sure.alias("confidence"), F.when(known, F.map_from_arrays(years, counts)).alias("counts"))

@@ -230,3 +230,26 @@ def entities(df: DataFrame, text: str, patterns: dict[str, str] = ENTITIES) -> D
 
 def _tagged(text: str, kind: str, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
+def embedding_drift(df: DataFrame, text: str, terms: list[str], size: int = 5, dimensions: int = 50, least: int = 5, around: int = 10, min_docs: int = 100, seed: int = 1) -> DataFrame:
+    """(term, start, next, shared, drift) of words between one window of years and the next: word vectors are learned for each window by itself, so it is a word's nearest
+    neighbours that are compared; drift is 1 less the Jaccard index of the two sets. Windows of less than min_docs documents are left out."""
+    from pyspark.ml.feature import Word2Vec
+
+    from folioscope.operators.timeseries import windows
+
+    t = windows(df.where(F.col(text).isNotNull()), size).select("start", tokens(text).alias("words"))
+    starts = sorted(r["start"] for r in t.groupBy("start").count().where(F.col("count") >= min_docs).collect())  # a row for each window
+    near: dict[int, dict[str, set[str]]] = {}
+    for start in starts:
+        model = Word2Vec(vectorSize=dimensions, minCount=least, seed=seed, inputCol="words", outputCol="v", numPartitions=1).fit(t.where(F.col("start") == start))
+        known = {r[0] for r in model.getVectors().where(F.col("word").isin(terms)).select("word").collect()}
+        near[start] = {w: {x for x, _ in model.findSynonymsArray(w, around)} for w in terms if w in known}
+    rows = []
+    for a, b in zip(starts, starts[1:], strict=False):
+        for w in terms:
+            if w in near[a] and w in near[b]:
+                both, any_ = near[a][w] & near[b][w], near[a][w] | near[b][w]
+                rows.append((w, a, b, len(both), 1 - len(both) / len(any_)))
+    return df.sparkSession.createDataFrame(rows, "term string, start int, next int, shared int, drift double")

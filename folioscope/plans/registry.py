@@ -24,10 +24,12 @@ def plain(df: DataFrame) -> DataFrame:
 
 def query(name: str, run: Callable, sql: str | None = None, doubles: str = "") -> None:
     """Registers run(spark, sf_dir); sql's columns named in doubles are rounded."""
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered twice")
     QUERIES[name] = lambda spark, sf_dir: plain(run(spark, sf_dir))
     if sql is not None:
         cols = ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in doubles.split())
         ORACLE_SQL[name] = f"SELECT * REPLACE ({cols}) FROM ({sql})" if cols else sql
 
 
-from folioscope.plans import corpus, series, structure  # noqa: E402, F401
+from folioscope.plans import corpus, exchange, series, structure  # noqa: E402, F401

@@ -1,0 +1,11 @@
+"""A made-up web service for the registered queries; apart from them, as tasks import it."""
+
+from __future__ import annotations
+
+
+def works(path: str, parameters: dict) -> dict:
+    """A made-up service of works with pages of two: seven works a year."""
+    year = int(parameters["filter"].split(":")[1])
+    at = 0 if parameters["cursor"] == "*" else int(parameters["cursor"])
+    made = [{"id": f"https://w.example/W{year}{i}", "doi": f"https://doi.org/10.1/{year}.{i}", "display_name": f"Work {i} of {year}", "publication_year": year, "cited_by_count": i * i, "authorships": [{"author": {"id": f"https://w.example/A{i}", "display_name": f"Author {i}"}, "institutions": [{"display_name": "I", "country_code": "SI"}]}] * (i % 3), "abstract_inverted_index": {"two": [1], "one": [0, 2]}} for i in range(7)]
+    return {"meta": {"next_cursor": str(at + 2) if at + 2 < 7 else None}, "results": made[at : at + 2]}

@@ -86,7 +86,11 @@ def _windows(s, d):
 
 
 _WN = f"WITH {PUBS}, w AS (SELECT (lo + (year - lo) // 3 * 3)::BIGINT AS start, x.item AS a, y.item AS b, count(*)::BIGINT AS n FROM keywords x JOIN keywords y ON x.doc_id = y.doc_id AND x.item < y.item JOIN pubs ON pubs.doc_id = x.doc_id, (SELECT min(year) AS lo FROM pubs) GROUP BY ALL), d AS (SELECT start, node, count(*)::BIGINT AS k FROM (SELECT start, a AS node FROM w UNION ALL SELECT start, b FROM w) GROUP BY ALL)"
-query("window_metrics", lambda s, d: communities.window_metrics(_windows(s, d)), _WN + " SELECT start, count(*)::BIGINT AS nodes, (sum(k) / 2)::BIGINT AS edges, CASE WHEN count(*) > 1 THEN sum(k) / (count(*) * (count(*) - 1))::DOUBLE ELSE 0 END AS density, avg(k) AS mean_degree, max(k)::BIGINT AS max_degree FROM d GROUP BY start", "density mean_degree")
+query("window_metrics", lambda s, d: communities.window_metrics(_windows(s, d)), _WN.replace("WITH ", "WITH RECURSIVE ", 1) + """, u AS (SELECT start, a, b FROM w UNION ALL SELECT start, b, a FROM w), r AS (SELECT DISTINCT start, a AS node, a AS o FROM u UNION SELECT r.start, r.node, u.b FROM r JOIN u ON u.start = r.start AND r.o = u.a),
+c AS (SELECT start, c, count(*) AS k FROM (SELECT start, node, min(o) AS c FROM r GROUP BY ALL) GROUP BY ALL), cc AS (SELECT start, count(*)::BIGINT AS components, max(k)::BIGINT AS largest FROM c GROUP BY start),
+t AS (SELECT x.start, x.a AS node, count(*) AS t FROM u x JOIN u y ON x.start = y.start AND x.a = y.a AND x.b < y.b JOIN u z ON z.start = x.start AND z.a = x.b AND z.b = y.b GROUP BY ALL), cl AS (SELECT d.start, avg(CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1))::DOUBLE ELSE 0 END) AS clustering FROM d LEFT JOIN t ON t.start = d.start AND t.node = d.node GROUP BY d.start),
+b AS (SELECT start, count(*)::BIGINT AS nodes, (sum(k) / 2)::BIGINT AS edges, CASE WHEN count(*) > 1 THEN sum(k) / (count(*) * (count(*) - 1))::DOUBLE ELSE 0 END AS density, avg(k) AS mean_degree, max(k)::BIGINT AS max_degree FROM d GROUP BY start)
+SELECT *, largest / nodes::DOUBLE AS largest_share FROM b JOIN cl USING (start) JOIN cc USING (start)""", "density mean_degree clustering largest_share")
 query("edge_persistence", lambda s, d: communities.edge_persistence(_windows(s, d)), _WN + ' SELECT a, b, min(start) AS "first", max(start) AS "last", count(DISTINCT start)::BIGINT AS windows, sum(n)::BIGINT AS weight FROM w GROUP BY a, b')
 query("node_activity", lambda s, d: communities.node_activity(_windows(s, d)), _WN + ' SELECT node, min(start) AS "first", max(start) AS "last", count(*)::BIGINT AS windows, sum(k)::BIGINT AS degree FROM d GROUP BY node')
 query("louvain", lambda s, d: communities.louvain_frame(_authors(s, d)))
@@ -148,3 +152,14 @@ x AS (SELECT doc_id, role, term, k * (ln((1 + (SELECT count(*) FROM conversation
 query("alexander_govern", lambda s, d: stats.alexander_govern(P(s, d, "base"), "price", "category"), f"""WITH {PUBS}, g AS (SELECT count(*) AS n, avg(price) AS m, var_samp(price) / count(*) AS v FROM pubs GROUP BY category), w AS (SELECT sum(m / v) / sum(1 / v) AS mean FROM g),
 t AS (SELECT n - 1 AS nu, n - 1.5::DOUBLE AS a, (m - mean) / sqrt(v) AS t FROM g, w), c AS (SELECT 48 * a * a AS b, sqrt(a * ln(1 + t * t / nu)) AS c FROM t), z AS (SELECT c + (pow(c, 3) + 3 * c) / b - (4 * pow(c, 7) + 33 * pow(c, 5) + 240 * pow(c, 3) + 855 * c) / (10 * b * b + 8 * b * pow(c, 4) + 1000 * b) AS z FROM c)
 SELECT sum(z * z) AS statistic, (count(*) - 1)::BIGINT AS dof FROM z""", "statistic")
+
+_EIG = _E + ", x0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM dg) AS x FROM dg)" + "".join(f", y{i} AS (SELECT v.node, any_value(v.x) + sum(n * o.x) AS y FROM x{i - 1} v JOIN u ON u.a = v.node JOIN x{i - 1} o ON o.node = u.b GROUP BY v.node), x{i} AS (SELECT node, y / sqrt((SELECT sum(y * y) FROM y{i})) AS x FROM y{i})" for i in range(1, 7))
+query("eigenvector", lambda s, d: graph.eigenvector(_edges(s, d), weighted=True, rounds=6), _EIG + " SELECT node, x AS eigenvector FROM x6", "eigenvector")
+query("centralities", lambda s, d: graph.centralities(_edges(s, d)))
+query("historiograph", lambda s, d: impact.historiograph(P(s, d, "base"), cites(s, d)), f"WITH {PUBS}, {CITES}, h AS (SELECT citing, cited, x.year::BIGINT AS citing_year, y.year::BIGINT AS cited_year FROM cites JOIN pubs x ON x.doc_id = citing JOIN pubs y ON y.doc_id = cited WHERE y.year <= x.year) SELECT *, (count(*) OVER (PARTITION BY cited))::BIGINT AS local FROM h")
+query("pattern_from_totals", lambda s, d: impact.pattern_from_totals(P(s, d, "base"), 2003).select("doc_id", "pattern", "confidence", F.array_join(F.map_values("counts"), ",").alias("counts")), f"""WITH {PUBS}, t AS (SELECT doc_id, cited_by AS c, (2003 - year)::INT AS age FROM pubs),
+w AS (SELECT *, CASE WHEN age <= 5 THEN list_slice([0.15::DOUBLE, 0.25, 0.25, 0.2, 0.15], 1, age) ELSE list_transform(range(age), lambda i: greatest(0.02::DOUBLE, CASE WHEN i <= 2 THEN 0.15::DOUBLE + 0.1::DOUBLE * i ELSE 0.35::DOUBLE * pow(0.8::DOUBLE, i - 2) END)) END AS w FROM t),
+p AS (SELECT *, list_transform(w, lambda x: floor(c * (x / list_sum(w)))::BIGINT) AS p FROM w), q AS (SELECT *, list_transform(range(1, len(p) + 1), lambda i: p[i] + CASE WHEN i = list_position(p, list_max(p)) THEN c - list_sum(p) ELSE 0 END) AS q FROM p)
+SELECT doc_id, CASE WHEN c = 0 THEN 'uncited' WHEN age < 3 THEN 'too_recent' WHEN age >= 10 AND c / age >= 2 THEN 'evergreen' WHEN age >= 8 AND c / age < 0.5 THEN 'flash_in_the_pan' WHEN age >= 10 AND c > 50 THEN 'delayed_recognition' ELSE 'normal' END AS pattern,
+CASE WHEN c = 0 THEN 0.5 WHEN age < 3 THEN 0.3 WHEN age >= 10 AND c / age >= 2 THEN 0.4 WHEN age >= 8 AND c / age < 0.5 THEN 0.35 WHEN age >= 10 AND c > 50 THEN 0.3 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN c > 0 AND age >= 3 THEN array_to_string(q, ',') END AS counts FROM q""", "confidence")
+query("embedding_drift", lambda s, d: text.embedding_drift(_conversation_years(s, d), "text", ["the", "que", "der", "and"], 5, 20, 5, 10, 50))

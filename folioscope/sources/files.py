@@ -46,7 +46,7 @@ def numeric(df: DataFrame) -> DataFrame:
 
 def _fields(record: Column, tag: str) -> Column:
     """(tag, value) of a record's lines; a line without a tag goes on with the field before."""
-    joined = F.regexp_replace(record, rf"\r?\n(?!{tag})\s*", " ")
+    joined = F.regexp_replace(record, rf"\r?\n(?!{tag})[ \t]*", " ")
     lines = F.split(joined, r"\r?\n")
     parts = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, f"^({tag})(.*)$", 2).alias("tag"), F.trim(F.regexp_extract(x, f"^{tag}(.*)$", 2)).alias("value")))
     return F.filter(parts, lambda p: p["tag"] != "")

@@ -9,11 +9,11 @@ from folioscope.operators.longform import running
 
 
 def table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", partition: list[str] | None = None) -> None:
-    """parquet, orc, json or csv (lists joined by '; ')."""
+    """parquet, orc, json or csv (lists joined by '; ', quotes doubled, as the reader takes them)."""
     if kind == "csv":
         df = df.select(*((F.array_join(F.col(f"`{c}`"), "; ") if t.startswith("array<") else F.col(f"`{c}`").cast("string")).alias(c) for c, t in df.dtypes))
     writer = df.write.mode(mode).partitionBy(*(partition or []))
-    writer.csv(path, header=True) if kind == "csv" else writer.format(kind).save(path)
+    writer.csv(path, header=True, escape='"') if kind == "csv" else writer.format(kind).save(path)
 
 
 def joined_lists(df: DataFrame, sep: str = "; ") -> DataFrame:
