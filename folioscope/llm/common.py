@@ -24,17 +24,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests on one machine only) a temporary one where it is unset."""
+def _base(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.gettempdir()}/folioscope-shared"
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_scopes: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder in what driver and executors share: spark.checkpoint.dir, or (tests on one machine only) a temporary one where it is unset."""
+    return "/".join([_base(spark), f"folioscope-{spark.sparkContext.applicationId}", *_scopes[-1:]])
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what the operators of this application have written to the shared folder: results must have been written elsewhere by then."""
+    _removed(spark, shared_dir(spark))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators write inside goes to a folder of its own, which is deleted at the end: for steps whose result is written elsewhere within."""
+    _scopes.append(f"scratch-{uuid.uuid4().hex}")
+    path = shared_dir(spark)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        _removed(spark, path)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of queries that run inside are deleted when each has ended: their results are in files of their own."""

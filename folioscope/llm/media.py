@@ -75,16 +75,16 @@ def read_chunks(media: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def unfilter(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
-    """Undoes the row filters 0 to 4; step: bytes a pixel. Rows of 0 to 2 are undone all at once, images with 3 or 4 row by row."""
+    """Undoes the row filters 0 to 4; step: bytes a pixel. Rows of 0 to 2 are undone all at once; where 3 or 4 occur, pixels of one diagonal at a time, as each
+    depends on those to the left, above, and above to the left."""
     if kinds.size and kinds.max() > 4:
         raise ValueError("unknown filter")
-    out = lines.copy()
-    left = kinds == 1
-    if left.any():
-        rows = out[left].reshape(left.sum(), -1, step)
-        out[left] = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(left.sum(), -1)
     if not (kinds > 2).any():
-        up = kinds == 2
+        out = lines.copy()
+        left, up = kinds == 1, kinds == 2
+        if left.any():
+            rows = out[left].reshape(left.sum(), -1, step)
+            out[left] = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(left.sum(), -1)
         if up.any():
             up[0] = False  # nothing stands above the first row
             total = np.cumsum(out, axis=0, dtype=np.uint8)
@@ -92,23 +92,19 @@ def unfilter(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
             before = np.where((first > 0)[:, None], total[first - 1], 0).astype(np.uint8)
             out = total - before
         return out
-    zero = np.zeros(lines.shape[1], np.uint8)
-    for r, kind in enumerate(kinds):
-        above = out[r - 1] if r else zero
-        if kind == 2:
-            out[r] += above
-        elif kind > 2:
-            row = [*(0,) * step, *map(int, lines[r])]
-            over = [*(0,) * step, *map(int, above)]
-            for i in range(step, len(row)):
-                a, b, c = row[i - step], over[i], over[i - step]
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-                row[i] = (row[i] + guess) & 255
-            out[r] = row[step:]
-    return out
+    height, pixels = lines.shape[0], lines.shape[1] // step
+    data = lines.reshape(height, pixels, step).astype(np.int16)
+    out = np.zeros((height + 1, pixels + 1, step), np.int16)
+    for d in range(height + pixels - 1):
+        r = np.arange(max(0, d - pixels + 1), min(height, d + 1))
+        i = d - r
+        a, b, c = out[r + 1, i], out[r, i + 1], out[r, i]
+        to_a, to_b, to_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((to_a <= to_b) & (to_a <= to_c), a, np.where(to_b <= to_c, b, c))
+        kind = kinds[r][:, None]
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [a, b, (a + b) >> 1, nearest], 0)
+        out[r + 1, i + 1] = (data[r, i] + guess) & 255
+    return out[1:, 1:].reshape(height, -1).astype(np.uint8)
 
 
 def decode_png(media: bytes) -> tuple[np.ndarray, int | None]:

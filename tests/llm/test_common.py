@@ -1,3 +1,4 @@
+import glob
 import zlib
 
 import pyarrow as pa
@@ -31,3 +32,21 @@ def test_stored(spark):
     before = spark.conf.get(key)
     df = common.stored(spark, spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
     assert df.count() == 7 and spark.conf.get(key) == before
+
+
+def test_scratch_and_clear(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "_base", lambda spark: f"file://{tmp_path}")
+    with common.scratch(spark):
+        assert common.stored(spark, spark.range(5), "inner").count() == 5
+        assert glob.glob(f"{tmp_path}/*/scratch-*/inner-*")
+    assert not glob.glob(f"{tmp_path}/*/scratch-*")
+    assert common.stored(spark, spark.range(5), "outer").count() == 5
+    common.clear(spark)
+    assert not glob.glob(f"{tmp_path}/*")
+
+
+def test_whole_rows(spark):
+    df = spark.createDataFrame([(i, i % 3, 10) for i in range(20)], "id long, h long, n long")
+    got = sorted((r["h"], r["id"]) for r in common.whole_rows(df, ["h", "id"], "n", 75).collect())
+    assert got == sorted((i % 3, i) for i in range(20))[:7]
+    assert common.whole_rows(df, ["h", "id"], "n", 5).count() == 0
