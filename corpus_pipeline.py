@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import jaccard, mixing, packing, pii, quality_model
-from folioscope.llm.common import crc_mod, shared_dir, table
+from folioscope.llm.common import crc_mod, scratch, shared_dir, table
 from folioscope.llm.tokens import default_path
 
 
@@ -52,9 +52,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each written to the shared folder and read again."""
     docs, last = table(spark, sf_dir, "documents"), STAGES[-1][0]
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != last:
-            path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+        if name == last:
+            return stage(spark, docs, sf_dir)
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):  # what a stage has written for itself goes when its result is there
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
