@@ -32,12 +32,21 @@ def margins(df: DataFrame, column: str) -> DataFrame:
 
 
 def coupling(df: DataFrame, column: str, at_least: int = 1) -> DataFrame:
-    """(a, b, n): documents that share n items, a < b. Items of one document only are dropped before the join."""
+    """(a, b, n): documents that share n items, at_least or more, a < b. Items of one document only are dropped before the join. Documents that share at_least items share
+    one that isn't among the at_least - 1 commonest of either, so these, the popular ones, make no pairs; what is shared is then counted on the lists."""
     rows = long(df, column)
-    shared = rows.groupBy("item").count().where("count > 1").select("item")
-    rows = rows.join(shared, "item", "left_semi")
-    other = rows.select("item", F.col("doc_id").alias("b"))
-    return rows.select("item", F.col("doc_id").alias("a")).join(other, "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    shared = rows.groupBy("item").agg(F.count("*").alias("k")).where("k > 1")
+    rows = rows.join(shared, "item")
+    if at_least < 2:
+        other = rows.select("item", F.col("doc_id").alias("b"))
+        return rows.select("item", F.col("doc_id").alias("a")).join(other, "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    # each document's shared items, the rarest first
+    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "item"))).alias("l")).where(F.size("l") >= at_least)
+    lists = lists.select("doc_id", F.transform("l", lambda x: x["item"]).alias("items"))
+    rare = lists.select("doc_id", F.explode(F.slice("items", F.lit(1), F.size("items") - (at_least - 1))).alias("item"))
+    pairs = rare.select("item", F.col("doc_id").alias("a")).join(rare.select("item", F.col("doc_id").alias("b")), "item").where("a < b").select("a", "b").distinct()
+    both = pairs.join(lists.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(lists.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
+    return both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n")).where(F.col("n") >= at_least)
 
 
 def between(df: DataFrame, left: str, right: str) -> DataFrame:

@@ -15,7 +15,7 @@ from folioscope.operators.counting import tokens
 from folioscope.operators.longform import running
 
 
-def cross_validate(df: DataFrame, text: str, label: str, folds: int = 5, vocabulary: int = 1000) -> DataFrame:
+def cross_validate(df: DataFrame, text: str, label: str, folds: int = 5, vocabulary: int = 1 << 18) -> DataFrame:
     """(fold, n, accuracy, precision, recall, f1) of a logistic regression on TF-IDF; folds by a hash of doc_id."""
     t = df.where(F.col(label).isNotNull()).select("doc_id", tokens(text).alias("words"), F.col(label).cast("double").alias("label")).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)))
     out = None
@@ -31,7 +31,7 @@ def cross_validate(df: DataFrame, text: str, label: str, folds: int = 5, vocabul
 
 def term_effects(df: DataFrame, text: str, label: str, top_n: int = 20) -> DataFrame:
     """(term, coefficient, std_error, p) of a binomial model on the presence of the top terms."""
-    t = df.where(F.col(label).isNotNull()).select(F.array_distinct(tokens(text, r"\b[a-z]{3,}\b")).alias("w"), F.col(label).cast("double").alias("label"))
+    t = df.where(F.col(label).isNotNull()).select(F.array_distinct(tokens(text, r"\p{L}{3,}")).alias("w"), F.col(label).cast("double").alias("label"))
     n = t.count()
     by = t.select(F.explode("w").alias("term")).groupBy("term").count().where((F.col("count") > 0.05 * n) & (F.col("count") < 0.95 * n))
     terms = [r["term"] for r in by.orderBy(F.desc("count"), "term").limit(top_n).collect()]
@@ -70,7 +70,7 @@ def topic_trends(doc_topics: DataFrame, df: DataFrame) -> DataFrame:
 def topic_coherence(terms: DataFrame, df: DataFrame, text: str, top: int = 5) -> DataFrame:
     """(topic, coherence): mean over pairs of a topic's top terms of ln((documents with both + 1) / documents with the first)."""
     t = terms.select("topic", F.posexplode(F.slice("terms", 1, top)).alias("i", "term"))
-    docs = df.select("doc_id", F.explode(F.array_distinct(tokens(text, r"\b[a-z]{3,}\b"))).alias("term")).join(t.select("term").distinct(), "term", "left_semi")
+    docs = df.select("doc_id", F.explode(F.array_distinct(tokens(text, r"\p{L}{3,}"))).alias("term")).join(t.select("term").distinct(), "term", "left_semi")
     have = docs.groupBy("term").agg(F.count("*").alias("k"))
     both = docs.join(docs.select("doc_id", F.col("term").alias("other")), "doc_id").where("term <> other").groupBy("term", "other").agg(F.count("*").alias("b"))
     p = t.join(t.select("topic", F.col("i").alias("j"), F.col("term").alias("other")), "topic").where("i < j").join(both, ["term", "other"], "left").join(have, "term")

@@ -16,20 +16,19 @@ from folioscope.operators.counting import tokens
 from folioscope.operators.longform import long
 
 
-def topics(df: DataFrame, text: str, k: int = 10, vocabulary: int = 5000, rounds: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def topics(df: DataFrame, text: str, k: int = 10, vocabulary: int = 1 << 18, rounds: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(topic, terms) and (doc_id, topic, weight) of latent Dirichlet allocation; topics are numbered from 1, texts without words have none."""
-    words = df.select("doc_id", tokens(text, r"\b[a-z]{3,}\b").alias("words")).where(F.size("words") > 0)
+    words = df.select("doc_id", tokens(text, r"\p{L}{3,}").alias("words")).where(F.size("words") > 0)
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2.0).fit(words)
     model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(counted := counter.transform(words))
-    names = F.array(*map(F.lit, counter.vocabulary))
-    terms = model.describeTopics(10).select((F.col("topic") + 1).alias("topic"), F.transform("termIndices", lambda i: F.element_at(names, i + 1)).alias("terms"))
+    terms = df.sparkSession.createDataFrame([(r["topic"] + 1, [counter.vocabulary[i] for i in r["termIndices"]]) for r in model.describeTopics(10).collect()], "topic int, terms array<string>")  # k rows
     dist = model.transform(counted).select("doc_id", vector_to_array("topicDistribution").alias("d"))
     return terms, dist.select("doc_id", (F.array_position("d", F.array_max("d"))).cast("int").alias("topic"), F.array_max("d").alias("weight"))
 
 
-def cluster_texts(df: DataFrame, text: str, k: int = 5, vocabulary: int = 5000, seed: int = 1) -> DataFrame:
+def cluster_texts(df: DataFrame, text: str, k: int = 5, vocabulary: int = 1 << 18, seed: int = 1) -> DataFrame:
     """(doc_id, cluster) by k-means of TF-IDF rows of length 1."""
-    words = df.select("doc_id", tokens(text, r"\b[a-z]{3,}\b").alias("words"))
+    words = df.select("doc_id", tokens(text, r"\p{L}{3,}").alias("words"))
     stages = [CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), KMeans(k=k, seed=seed, predictionCol="cluster")]
     return Pipeline(stages=stages).fit(words).transform(words).select("doc_id", "cluster")
 
@@ -52,7 +51,7 @@ def components_of(df: DataFrame, vector: str, k: int = 2, key: str = "vec_id") -
     return PCA(k=k, inputCol="features", outputCol="p").fit(t).transform(t).select(key, vector_to_array("p").alias("coordinates"))
 
 
-def classify_texts(df: DataFrame, text: str, label: str, vocabulary: int = 5000) -> DataFrame:
+def classify_texts(df: DataFrame, text: str, label: str, vocabulary: int = 1 << 18) -> DataFrame:
     """(doc_id, prediction, probability) of a logistic regression on TF-IDF, fitted on rows with a label, applied to all."""
     t = df.select("doc_id", tokens(text).alias("words"), F.col(label).cast("double").alias("label"))
     stages = [CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=30, regParam=0.01)]
@@ -113,20 +112,18 @@ def thematic_map(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return size.join(inside, "community", "left").join(out, "community", "left").select("community", "size", F.coalesce("centrality", F.lit(0)).alias("centrality"), (100.0 * F.coalesce("w", F.lit(0)) / F.col("size")).alias("density"))
 
 
-def sequential_topics(df: DataFrame, text: str, k: int = 5, size: int = 5, vocabulary: int = 2000, rounds: int = 10, seed: int = 1) -> DataFrame:
+def sequential_topics(df: DataFrame, text: str, k: int = 5, size: int = 5, vocabulary: int = 1 << 18, rounds: int = 10, seed: int = 1) -> DataFrame:
     """(start, topic, term, weight) of topics fitted in each window of years; one vocabulary for all windows, so topics can be compared."""
     from folioscope.operators.timeseries import windows
 
-    t = windows(df.select("doc_id", "year", text), size).select("doc_id", "start", tokens(text, r"\b[a-z]{3,}\b").alias("words")).where(F.size("words") > 0)
+    t = windows(df.select("doc_id", "year", text), size).select("doc_id", "start", tokens(text, r"\p{L}{3,}").alias("words")).where(F.size("words") > 0)
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2.0).fit(t)
-    names = F.array(*map(F.lit, counter.vocabulary))
-    out = None
+    rows = []
     for start in sorted(r["start"] for r in t.select("start").distinct().collect()):  # a model for each window
         model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(counter.transform(t.where(F.col("start") == start)))
-        d = model.describeTopics(20).select(F.lit(start).alias("start"), (F.col("topic") + 1).alias("topic"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("x"))
-        one = d.select("start", "topic", F.element_at(names, F.col("x.termIndices") + 1).alias("term"), F.col("x.termWeights").alias("weight"))
-        out = one if out is None else out.union(one)
-    return out
+        for r in model.describeTopics(20).collect():  # k rows
+            rows += [(start, r["topic"] + 1, counter.vocabulary[i], w) for i, w in zip(r["termIndices"], r["termWeights"], strict=True)]
+    return df.sparkSession.createDataFrame(rows, "start int, topic int, term string, weight double")
 
 
 def aligned_topics(topics_: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -30,7 +30,7 @@ for _name, _c in (("sources", "source"), ("document_types", "category"), ("ca_co
     query(f"count_{_name}", lambda s, d, c=_c: counting.count_single(P(s, d, "base"), c), _count_sql(f"SELECT {_c} AS item FROM pubs WHERE trim({_c}) <> ''", False), "proportion percentage percent_rank")
 
 _DOC = "documents"
-_GRAMS = r"""g AS (SELECT r, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS item FROM (SELECT row_number() OVER () AS r, regexp_extract_all(lower(coalesce(p_name, '')), '\b\w\w+\b') AS w FROM part))"""
+_GRAMS = r"""g AS (SELECT r, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS item FROM (SELECT row_number() OVER () AS r, regexp_extract_all(lower(coalesce(p_name, '')), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}') AS w FROM part))"""
 query(
     "count_ngrams_title", lambda s, d: counting.count_text(table(s, d, "part"), "p_name", 1, 2),
     f"""WITH {_GRAMS}, c AS (SELECT item, count(DISTINCT r)::BIGINT AS n_docs, count(*)::BIGINT AS n_total FROM g GROUP BY item)

@@ -167,7 +167,7 @@ def _addresses(s, d):
 query("correspondence_parts", lambda s, d: _addresses(s, d).select("doc_id", strings.ca_country(F.col("a")).alias("country"), strings.mail_domain(F.col("a")).alias("domain")), f"WITH {PUBS} SELECT doc_id, lower(ca_country) AS country, CASE doc_id % 4 WHEN 0 THEN 'si' WHEN 2 THEN 'org' END AS domain FROM pubs")
 query("normal_dois", lambda s, d: publications(s, d, "base").select("doc_id", strings.normal_doi(F.concat(F.element_at(F.array(F.lit(" https://doi.org/"), F.lit("http://dx.doi.org/"), F.lit("DOI: "), F.lit("x")), (F.col("doc_id") % 4).cast("int") + 1), F.lit("10.5/AbC"), "doc_id", F.lit(" "))).alias("doi")), f"WITH {PUBS} SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN '10.5/abc' || doc_id END AS doi FROM pubs")
 query("clean_keywords", lambda s, d: publications(s, d, "keywords", "types").where("keywords IS NOT NULL").select("doc_id", F.array_join(strings.keywords(F.concat("keywords", F.transform("types", lambda x: F.concat(F.lit("Type-_"), x))), {"brand2": "first brand", "type economy": "cheap"}, ["brand3", "type small"]), "|").alias("k")), f"WITH {PUBS}, x AS (SELECT doc_id, replace(lower(item), '#', '') AS k FROM keywords UNION SELECT doc_id, 'type ' || lower(item) FROM types) SELECT doc_id, coalesce(string_agg(DISTINCT CASE k WHEN 'brand2' THEN 'first brand' WHEN 'type economy' THEN 'cheap' ELSE k END, '|' ORDER BY CASE k WHEN 'brand2' THEN 'first brand' WHEN 'type economy' THEN 'cheap' ELSE k END) FILTER (k NOT IN ('brand3', 'type small')), '') AS k FROM x GROUP BY doc_id")
-query("clean_texts", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(strings.clean_text(F.regexp_replace("text", "[^a-zA-Z ]", "."), ["the", "and", "of"])).alias("h")), "SELECT doc_id, md5(array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'of')), ' ')) AS h FROM documents")
+query("clean_texts", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(strings.clean_text(F.col("text"), ["the", "and", "of"])).alias("h")), r"SELECT doc_id, md5(array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'of')), ' ')) AS h FROM documents")
 query("links_in_texts", lambda s, d: _people(s, d).select("id", F.array_join(strings.repository_links(F.concat(F.lit("see https://github.com/"), F.col("last"), F.lit("/x, and (zenodo.org/record/"), F.col("id"), F.lit("). Not example.org/a; https://github.com/"), F.col("last"), F.lit("/x"))), " ").alias("links")), _PPL + " SELECT id, 'https://github.com/' || last || '/x zenodo.org/record/' || id AS links FROM ppl")
 query("combined_texts", lambda s, d: _records(s, d).select("doc_id", F.concat_ws(" ", "title", "source", F.nullif("keywords", F.lit(""))).alias("text")), f"{_REC} SELECT doc_id, concat_ws(' ', title, source, author_keywords) AS text FROM rec")
 

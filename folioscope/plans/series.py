@@ -102,15 +102,15 @@ _G = rf"""WITH g0 AS (SELECT doc_id, ({_word("the")} AND ({_word("was")} OR {_wo
 query("goal_flags", lambda s, d: _goals(s, d).drop("text"), _G + " SELECT * FROM g")
 query("goal_cooccurrence", lambda s, d: _goals(s, d).select(F.explode(F.expr("filter(flatten(transform(array('goal_1','goal_2','goal_3','goal_4'), x -> transform(array('goal_1','goal_2','goal_3','goal_4'), y -> if(x < y AND element_at(map('goal_1', goal_1, 'goal_2', goal_2, 'goal_3', goal_3, 'goal_4', goal_4), x) = 1 AND element_at(map('goal_1', goal_1, 'goal_2', goal_2, 'goal_3', goal_3, 'goal_4', goal_4), y) = 1, struct(x AS a, y AS b), NULL)))), z -> z IS NOT NULL)")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")), _G + ", u AS (SELECT doc_id, name, v FROM g UNPIVOT (v FOR name IN (goal_1, goal_2, goal_3, goal_4)) WHERE v = 1) SELECT x.name AS a, y.name AS b, count(*)::BIGINT AS n FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.name < y.name GROUP BY ALL")
 query("bridge_scores", lambda s, d: _goals(s, d).select("doc_id", text.bridge_score(list(GOALS), VIEWS).alias("score")), _G + ", p AS (SELECT *, goal_1 + goal_2 + goal_3 + goal_4 AS n, list_filter([CASE WHEN goal_1 = 1 THEN 0 END, CASE WHEN goal_2 = 1 THEN 1 END, CASE WHEN goal_3 = 1 THEN 2 END, CASE WHEN goal_4 = 1 THEN 3 END], lambda x: x IS NOT NULL) AS l FROM g) SELECT doc_id, 0.3 * least(n / 5.0::DOUBLE, 1) + 0.4 * (perspective_english + perspective_other) / 2 + 0.3 * CASE WHEN n > 1 THEN (list_max(l) - list_min(l)) / 3.0::DOUBLE ELSE 0 END AS score FROM p", "score")
-_TOK = r"w AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '\b\w\w+\b') AS w FROM documents)"
+_TOK = r"w AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}') AS w FROM documents)"
 _ASC = r"[a-z]{2,}"
-query("term_counts", lambda s, d: text.term_counts(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "role", F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text")), "text", ["role"]), r"WITH w AS (SELECT conv_id AS doc_id, role, unnest(regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b')) AS term FROM conversations) SELECT role, term, count(*)::BIGINT AS tf, count(DISTINCT doc_id)::BIGINT AS df FROM w GROUP BY ALL")
-_TF = r"""WITH w AS (SELECT conv_id * 100 + turn AS doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b')) AS term FROM conversations), k AS (SELECT doc_id, term, count(*) AS k FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM k GROUP BY term HAVING count(*) >= 5),
+query("term_counts", lambda s, d: text.term_counts(table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "role", "text"), "text", ["role"]), r"WITH w AS (SELECT conv_id AS doc_id, role, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}')) AS term FROM conversations) SELECT role, term, count(*)::BIGINT AS tf, count(DISTINCT doc_id)::BIGINT AS df FROM w GROUP BY ALL")
+_TF = r"""WITH w AS (SELECT conv_id * 100 + turn AS doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}')) AS term FROM conversations), k AS (SELECT doc_id, term, count(*) AS k FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM k GROUP BY term HAVING count(*) >= 5),
 x AS (SELECT doc_id, term, k * (ln((1 + (SELECT count(*) FROM conversations)) / (1 + df)::DOUBLE) + 1) AS w FROM k JOIN f USING (term)), t AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM x)"""
 
 
 def _tfidf(s, d):
-    c = table(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text"))
+    c = table(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
     return text.tfidf(c, "text", min_df=5)
 
 
@@ -120,11 +120,11 @@ query("cosine_search", lambda s, d: text.cosine_to(_tfidf(s, d), {"the": 1.0, "t
 
 def _profiles(s, d):
     """Context profiles of one word in two halves of the conversations."""
-    c = table(s, d, "conversations").select("conv_id", F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text"), (F.col("conv_id") % 2).alias("half"))
+    c = table(s, d, "conversations").select("conv_id", "text", (F.col("conv_id") % 2).alias("half"))
     return [text.context_profile(c.where(F.col("half") == h), "text", "tion", 3) for h in (0, 1)]
 
 
-_PR = r"""WITH w AS (SELECT row_number() OVER () AS r, conv_id % 2 AS half, regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b') AS w FROM conversations), p AS (SELECT r, half, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w),
+_PR = r"""WITH w AS (SELECT row_number() OVER () AS r, conv_id % 2 AS half, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}') AS w FROM conversations), p AS (SELECT r, half, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w),
 n AS (SELECT a.half, b.term FROM p a JOIN p b ON a.r = b.r AND abs(a.i - b.i) <= 3 WHERE contains(a.term, 'tion') AND NOT contains(b.term, 'tion')), c AS (SELECT half, term, count(*)::BIGINT AS n FROM n GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY half)::DOUBLE AS share FROM c),
 j AS (SELECT coalesce(a.term, b.term) AS term, coalesce(a.share, 0.0)::DOUBLE AS o, coalesce(b.share, 0.0)::DOUBLE AS n FROM (SELECT * FROM s WHERE half = 0) a FULL JOIN (SELECT * FROM s WHERE half = 1) b ON a.term = b.term)"""
 query("context_profile", lambda s, d: _profiles(s, d)[0], _PR + " SELECT term, n, share FROM s WHERE half = 0", "share")
@@ -152,13 +152,13 @@ def _among(words: list[str]) -> str:
     return "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{w}'" for w in words) + ")))"
 
 
-_SENTIMENT = rf"""WITH w AS (SELECT conv_id || '-' || turn AS doc_id, regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b') AS w FROM conversations), k AS (SELECT doc_id, len(w) AS n, {_among(lexicons.POSITIVE)} AS p, {_among(lexicons.NEGATIVE)} AS m, {_among(lexicons.HEDGES)} AS h FROM w),
+_SENTIMENT = rf"""WITH w AS (SELECT conv_id || '-' || turn AS doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]{{2,}}') AS w FROM conversations), k AS (SELECT doc_id, len(w) AS n, {_among(lexicons.POSITIVE)} AS p, {_among(lexicons.NEGATIVE)} AS m, {_among(lexicons.HEDGES)} AS h FROM w),
 s AS (SELECT doc_id, CASE WHEN p + m > 0 THEN (p - m) / (p + m)::DOUBLE ELSE 0.0 END AS polarity, CASE WHEN n > 0 THEN h / n::DOUBLE ELSE 0.0 END AS hedging FROM k)
 SELECT *, CASE WHEN polarity > 0.1 THEN 'positive' WHEN polarity < -0.1 THEN 'negative' ELSE 'neutral' END AS tone FROM s"""
 
 
 def _scores(s, d):
-    rows = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text"))
+    rows = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
     return text.sentiment(rows, "text", lexicons.POSITIVE, lexicons.NEGATIVE, lexicons.HEDGES)
 
 
@@ -166,7 +166,7 @@ _TONES = "count(*)::BIGINT AS documents, avg(polarity) AS polarity, avg(hedging)
 query("sentiment", _scores, _SENTIMENT, "polarity hedging")
 query("sentiment_corpus", lambda s, d: text.tone_summary(_scores(s, d)), f"SELECT {_TONES} FROM ({_SENTIMENT})", "polarity hedging positive negative neutral")
 query("sentiment_groups", lambda s, d: text.tone_summary(_scores(s, d), table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.col("role").alias("group_name"))), f"SELECT role AS group_name, {_TONES} FROM ({_SENTIMENT}) x JOIN conversations c ON x.doc_id = c.conv_id || '-' || c.turn GROUP BY role", "polarity hedging positive negative neutral")
-query("count_ngrams_conversations", lambda s, d: count_text(table(s, d, "conversations").select(F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text")), "text", 1, 1).select("item", "n_docs", "n_total"), r"WITH w AS (SELECT row_number() OVER () AS r, unnest(regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b')) AS item FROM conversations) SELECT item, count(DISTINCT r)::BIGINT AS n_docs, count(*)::BIGINT AS n_total FROM w GROUP BY item")
+query("count_ngrams_conversations", lambda s, d: count_text(table(s, d, "conversations").select("text"), "text", 1, 1).select("item", "n_docs", "n_total"), r"WITH w AS (SELECT row_number() OVER () AS r, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}')) AS item FROM conversations) SELECT item, count(DISTINCT r)::BIGINT AS n_docs, count(*)::BIGINT AS n_total FROM w GROUP BY item")
 query("repository_links", lambda s, d: table(s, d, "pages").select("page_id", F.size(strings.repository_links(F.col("html"))).alias("n_links")), r"SELECT page_id, len(list_distinct(list_transform(regexp_extract_all(html, '((?:https?://)?(?:www\.)?(?:github\.com|gitlab\.com|bitbucket\.org|zenodo\.org|figshare\.com|datadryad\.org|osf\.io|dataverse\.[a-z.]+|huggingface\.co|kaggle\.com)/[^\s)\]>" + '"' + r"'']+)', 1), lambda x: regexp_replace(x, '[.,;]+$', ''))))::BIGINT AS n_links FROM pages")
 query("normal_titles", lambda s, d: table(s, d, "part").select("p_partkey", strings.normal_title(F.concat(F.col("p_name"), F.lit(", "), F.col("p_type"))).alias("title")), r"SELECT p_partkey, CASE WHEN length(trim(regexp_replace(regexp_replace(lower(p_name || ', ' || p_type), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))) >= 10 THEN trim(regexp_replace(regexp_replace(lower(p_name || ', ' || p_type), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) END AS title FROM part")
 query("split_lists", lambda s, d: table(s, d, "part").select("p_partkey", F.size(as_list(F.concat_ws("; ", "p_name", "p_brand", "p_type"))).alias("n")), "SELECT p_partkey, len(list_filter(list_transform(string_split(concat_ws('; ', p_name, p_brand, p_type), ';'), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS n FROM part")
@@ -174,9 +174,9 @@ query("h_index_by_year", lambda s, d: h_indices(P(s, d, "base"), "year"), f"WITH
 
 # models -------------------------------------------------------------------------------------------------------------
 
-query("topics", lambda s, d: models.topics(table(s, d, "documents"), "text", 4, 1000, 5)[1])
-query("cluster_texts", lambda s, d: models.cluster_texts(table(s, d, "documents"), "text", 4, 1000))
+query("topics", lambda s, d: models.topics(table(s, d, "documents"), "text", 4, rounds=5)[1])
+query("cluster_texts", lambda s, d: models.cluster_texts(table(s, d, "documents"), "text", 4))
 query("cluster_vectors", lambda s, d: models.cluster_vectors(table(s, d, "embeddings"), "embedding", [4, 8]))
 query("principal_components", lambda s, d: models.components_of(table(s, d, "embeddings"), "embedding").select("vec_id", F.size("coordinates").alias("k")), "SELECT vec_id, 2::BIGINT AS k FROM embeddings")
-query("classify_texts", lambda s, d: models.classify_texts(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left"), "text", "quality", 1000))
+query("classify_texts", lambda s, d: models.classify_texts(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left"), "text", "quality"))
 query("predict_citations", lambda s, d: models.predict_citations(P(s, d, "authors").withColumn("n_authors", F.size(F.coalesce("authors", F.array()))), ["year", "n_authors", "price"]))

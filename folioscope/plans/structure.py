@@ -46,10 +46,13 @@ def _authors(s, d):
 _S = f"WITH RECURSIVE {PUBS}, {_pairs_sql('authors')}, s AS (SELECT * FROM p), u AS (SELECT a, b FROM s UNION SELECT b, a FROM s)"
 query("graph_components", lambda s, d: graph.components(_authors(s, d)), _S + ", r AS (SELECT a AS node, a AS o FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.o = u.a) SELECT node, min(o) AS component FROM r GROUP BY node")
 query("clustering_coefficients", lambda s, d: graph.triangles(_authors(s, d)), _S + ", t AS (SELECT x.a AS node, count(*) AS t FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY x.a), k AS (SELECT a AS node, count(*) AS k FROM u GROUP BY a) SELECT node, coalesce(t, 0)::BIGINT AS triangles, CASE WHEN k > 1 THEN 2 * coalesce(t, 0) / (k * (k - 1))::DOUBLE ELSE 0 END AS clustering FROM k LEFT JOIN t USING (node)", "clustering")
-query("communities", lambda s, d: graph.label_propagation(_edges(s, d)))
+_LP = _E + ", c0 AS (SELECT node, node AS community FROM dg)" + "".join(
+    f", c{i} AS (SELECT node, arg_min(community, (-w, community)) AS community FROM (SELECT node, community, sum(w) AS w FROM (SELECT u.a AS node, c.community, u.n::DOUBLE AS w FROM u JOIN c{i - 1} c ON c.node = u.b UNION ALL SELECT node, community, 0.5 FROM c{i - 1}) GROUP BY ALL) GROUP BY node)" for i in range(1, 11)
+)
+query("communities", lambda s, d: graph.label_propagation(_edges(s, d)), _LP + " SELECT * FROM c10")
 _halves = lambda s, d: graph.degrees(_edges(s, d)).select("node", (F.length("node") % 2).alias("community"))
 query("modularity", lambda s, d: graph.modularity(_edges(s, d), _halves(s, d)), _E + ", c AS (SELECT node, length(node) % 2 AS c, strength FROM dg), t AS (SELECT sum(n)::DOUBLE AS t FROM p), w AS (SELECT x.c, sum(n) AS w FROM p JOIN c x ON x.node = a JOIN c y ON y.node = b WHERE x.c = y.c GROUP BY x.c), g AS (SELECT c, sum(strength) AS d FROM c GROUP BY c) SELECT sum(coalesce(w, 0) / t - pow(d / (2 * t), 2)) AS modularity FROM g LEFT JOIN w USING (c), t", "modularity")
-query("thematic_map", lambda s, d: models.thematic_map(_authors(s, d), graph.label_propagation(_authors(s, d))))
+query("thematic_map", lambda s, d: models.thematic_map(_edges(s, d), _halves(s, d)), _E + ", c AS (SELECT node, length(node) % 2 AS c FROM dg), e AS (SELECT x.c AS ca, y.c AS cb, n FROM p JOIN c x ON x.node = a JOIN c y ON y.node = b), i AS (SELECT ca AS c, sum(n) AS w FROM e WHERE ca = cb GROUP BY ca), o AS (SELECT c, sum(n) AS w FROM (SELECT ca AS c, n FROM e WHERE ca <> cb UNION ALL SELECT cb, n FROM e WHERE ca <> cb) GROUP BY c), z AS (SELECT c, count(*)::BIGINT AS size FROM c GROUP BY c) SELECT z.c AS community, size, coalesce(o.w, 0)::BIGINT AS centrality, 100.0 * coalesce(i.w, 0) / size::DOUBLE AS density FROM z LEFT JOIN i USING (c) LEFT JOIN o USING (c)", "density")
 _PRANK = f"WITH {CITES}, e AS (SELECT DISTINCT citing AS src, cited AS dst FROM cites), o AS (SELECT src, count(*) AS k FROM e GROUP BY src), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*)::DOUBLE AS n FROM v), r0 AS (SELECT node, 1 / n AS r FROM v, c)" + "".join(
     f", l{i} AS (SELECT coalesce(sum(r), 0) AS x FROM r{i - 1} WHERE node NOT IN (SELECT src FROM o)), g{i} AS (SELECT dst AS node, sum(r / k) AS got FROM e JOIN o USING (src) JOIN r{i - 1} ON r{i - 1}.node = src GROUP BY dst), r{i} AS (SELECT v.node, 0.15 / n + 0.85 * (coalesce(got, 0) + x / n) AS r FROM v LEFT JOIN g{i} USING (node), c, l{i})" for i in range(1, 6)
 )
@@ -94,6 +97,16 @@ SELECT *, largest / nodes::DOUBLE AS largest_share FROM b JOIN cl USING (start)
 query("edge_persistence", lambda s, d: communities.edge_persistence(_windows(s, d)), _WN + ' SELECT a, b, min(start) AS "first", max(start) AS "last", count(DISTINCT start)::BIGINT AS windows, sum(n)::BIGINT AS weight FROM w GROUP BY a, b')
 query("node_activity", lambda s, d: communities.node_activity(_windows(s, d)), _WN + ' SELECT node, min(start) AS "first", max(start) AS "last", count(*)::BIGINT AS windows, sum(k)::BIGINT AS degree FROM d GROUP BY node')
 query("louvain", lambda s, d: communities.louvain_frame(_authors(s, d)))
+def _grouped(s, d, start, by):
+    """Keywords of a window, put together by a remainder of their names' numbers."""
+    t = _windows(s, d).where(F.col("start") == start).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return t.select("node", (F.substring_index("node", "#", -1).cast("long") % by).alias("community"))
+
+
+_GRP = "SELECT DISTINCT node, split_part(node, '#', 2)::BIGINT % {1} AS c FROM (SELECT start, a AS node FROM w UNION ALL SELECT start, b FROM w) WHERE start = {0}"
+_EVO = _WN + f", o AS ({_GRP.format(1995, 5)}), n AS ({_GRP.format(1998, 10)}), so AS (SELECT c, count(*) AS k FROM o GROUP BY c), sn AS (SELECT c, count(*) AS k FROM n GROUP BY c), h AS (SELECT o.c AS o, n.c AS n, count(*) AS s FROM o JOIN n USING (node) GROUP BY ALL)"
+query("matched_communities", lambda s, d: communities.matched(_grouped(s, d, 1995, 5), _grouped(s, d, 1998, 10), 0.2), _EVO + ", j AS (SELECT o, n, s, s / (so.k + sn.k - s)::DOUBLE AS j FROM h JOIN so ON so.c = o JOIN sn ON sn.c = n), f AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY j DESC, n) AS i FROM j) SELECT o AS \"old\", n AS \"new\", s AS shared, j AS jaccard FROM f WHERE i = 1 AND j >= 0.2", "jaccard")
+query("split_communities", lambda s, d: communities.splits(_grouped(s, d, 1995, 5), _grouped(s, d, 1998, 10)).select("old", F.array_join("parts", ",").alias("parts")), _EVO + " SELECT o AS \"old\", string_agg(n::VARCHAR, ',' ORDER BY n) AS parts FROM h JOIN so ON so.c = o WHERE s >= 0.3 * so.k GROUP BY o HAVING count(*) > 1")
 query("community_evolution", lambda s, d: communities.evolution(*(graph.components(_windows(s, d).where(F.col("start") == y).select("a", "b", "n")).withColumnRenamed("component", "community") for y in (1995, 1998))))
 query("key_routes", lambda s, d: communities.key_routes(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))))
 
@@ -128,11 +141,11 @@ query("matching_sentences", lambda s, d: text.matching_sentences(table(s, d, "do
 query("text_entities", lambda s, d: text.entities(table(s, d, "documents"), "text", {"year": r"(?:19|20)[0-9]{2}", "capitals": r"[A-Z]{2,6}"}), r"SELECT doc_id, kind, value, count(*)::BIGINT AS n FROM (SELECT doc_id, 'year' AS kind, unnest(regexp_extract_all(text, '(?:19|20)[0-9]{2}')) AS value FROM documents UNION ALL SELECT doc_id, 'capitals', unnest(regexp_extract_all(text, '[A-Z]{2,6}')) FROM documents) GROUP BY ALL")
 query("correspondence", lambda s, d: evaluation.correspondence(co.between(P(s, d, "keywords", "types").where("keywords IS NOT NULL"), "keywords", "types"), "a", "b").select("kind", "item"))
 query("term_effects", lambda s, d: evaluation.term_effects(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id"), "text", "toxic", 5).select("term", "coefficient"))
-query("cross_validation", lambda s, d: evaluation.cross_validate(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id"), "text", "quality", 3, 500))
-query("topic_coherence", lambda s, d: evaluation.topic_coherence(models.topics(table(s, d, "documents"), "text", 3, 500, 3)[0], table(s, d, "documents"), "text"))
-_SBE = f"""WITH w AS (SELECT source, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', ' ', 'g')), '\\b\\w\\w+\\b') AS w FROM documents), k AS (SELECT source, len(list_filter(w, lambda x: x IN {tuple(lexicons.POSITIVE)})) AS p, len(list_filter(w, lambda x: x IN {tuple(lexicons.NEGATIVE)})) AS m FROM w)
+query("cross_validation", lambda s, d: evaluation.cross_validate(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id"), "text", "quality", 3))
+query("topic_coherence", lambda s, d: evaluation.topic_coherence(models.topics(table(s, d, "documents"), "text", 3, rounds=3)[0], table(s, d, "documents"), "text"))
+_SBE = f"""WITH w AS (SELECT source, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{2,}}') AS w FROM documents), k AS (SELECT source, len(list_filter(w, lambda x: x IN {tuple(lexicons.POSITIVE)})) AS p, len(list_filter(w, lambda x: x IN {tuple(lexicons.NEGATIVE)})) AS m FROM w)
 SELECT source AS item, count(*)::BIGINT AS n, avg(v) AS mean, stddev_samp(v) AS std FROM (SELECT source, CASE WHEN p + m > 0 THEN (p - m) / (p + m)::DOUBLE ELSE 0.0 END AS v FROM k) GROUP BY source HAVING count(*) >= 5"""
-_docs = lambda s, d: table(s, d, "documents").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", " "))
+_docs = lambda s, d: table(s, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
 query("sentiment_by_entity", lambda s, d: evaluation.sentiment_by_entity(text.sentiment(_docs(s, d), "text", lexicons.POSITIVE, lexicons.NEGATIVE, lexicons.HEDGES), table(s, d, "documents"), "source"), _SBE, "mean std")
 _GREEDY = """, g AS ((SELECT 1 AS step, src, dst FROM spc WHERE src NOT IN (SELECT dst FROM spc) ORDER BY spc DESC, src DESC, dst DESC LIMIT 1) UNION ALL
   SELECT step + 1, n.src, n.dst FROM g JOIN (SELECT src, max_by(dst, (spc, dst)) AS dst FROM spc GROUP BY src) n ON n.src = g.dst)
@@ -143,11 +156,11 @@ query("fit_shapes", lambda s, d: stats.fit_shapes(P(s, d, "base"), "cited_by").s
 
 def _conversation_years(s, d):
     """Conversations in ten made-up years."""
-    return table(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), (2000 + F.col("conv_id") % 10).cast("int").alias("year"), F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("text"), "role")
+    return table(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), (2000 + F.col("conv_id") % 10).cast("int").alias("year"), "text", "role")
 
 
-query("sequential_topics", lambda s, d: models.aligned_topics(models.sequential_topics(_conversation_years(s, d), "text", 3, 5, 500, 3)))
-query("semantic_dispersion", lambda s, d: models.semantic_dispersion(text.tfidf(_conversation_years(s, d), "text", 5), _conversation_years(s, d).select("doc_id", F.col("role").alias("group_name"))), r"""WITH w AS (SELECT conv_id * 100 + turn AS doc_id, role, unnest(regexp_extract_all(lower(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g')), '\b\w\w+\b')) AS term FROM conversations), k AS (SELECT doc_id, role, term, count(*) AS k FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM k GROUP BY term HAVING count(*) >= 5),
+query("sequential_topics", lambda s, d: models.aligned_topics(models.sequential_topics(_conversation_years(s, d), "text", 3, 5, rounds=3)))
+query("semantic_dispersion", lambda s, d: models.semantic_dispersion(text.tfidf(_conversation_years(s, d), "text", 5), _conversation_years(s, d).select("doc_id", F.col("role").alias("group_name"))), r"""WITH w AS (SELECT conv_id * 100 + turn AS doc_id, role, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}')) AS term FROM conversations), k AS (SELECT doc_id, role, term, count(*) AS k FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM k GROUP BY term HAVING count(*) >= 5),
 x AS (SELECT doc_id, role, term, k * (ln((1 + (SELECT count(*) FROM conversations)) / (1 + df)::DOUBLE) + 1) AS w FROM k JOIN f USING (term)), t AS (SELECT role, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM x), n AS (SELECT role, count(*)::BIGINT AS n FROM conversations GROUP BY role), m AS (SELECT role, term, sum(weight) AS s FROM t GROUP BY ALL) SELECT role AS group_name, n, 1 - sqrt(sum(pow(s / n, 2))) AS dispersion FROM m JOIN n USING (role) GROUP BY role, n""", "dispersion")
 query("alexander_govern", lambda s, d: stats.alexander_govern(P(s, d, "base"), "price", "category"), f"""WITH {PUBS}, g AS (SELECT count(*) AS n, avg(price) AS m, var_samp(price) / count(*) AS v FROM pubs GROUP BY category), w AS (SELECT sum(m / v) / sum(1 / v) AS mean FROM g),
 t AS (SELECT n - 1 AS nu, n - 1.5::DOUBLE AS a, (m - mean) / sqrt(v) AS t FROM g, w), c AS (SELECT 48 * a * a AS b, sqrt(a * ln(1 + t * t / nu)) AS c FROM t), z AS (SELECT c + (pow(c, 3) + 3 * c) / b - (4 * pow(c, 7) + 33 * pow(c, 5) + 240 * pow(c, 3) + 855 * c) / (10 * b * b + 8 * b * pow(c, 4) + 1000 * b) AS z FROM c)
