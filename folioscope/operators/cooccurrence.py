@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.longform import long, pairs
 
+#: Documents of an item beyond which coupling tries to do without its pairs.
+POPULAR = 1000
+
 
 def cooccurrence(df: DataFrame, column: str, top_n: int | None = None, min_count: int = 1) -> DataFrame:
     """(a, b, n) of distinct items of a document, a < b; among the top_n items if given."""
@@ -33,13 +36,22 @@ def margins(df: DataFrame, column: str) -> DataFrame:
 
 def coupling(df: DataFrame, column: str, at_least: int = 1) -> DataFrame:
     """(a, b, n): documents that share n items, at_least or more, a < b. Items of one document only are dropped before the join. Documents that share at_least items share
-    one that isn't among the at_least - 1 commonest of either, so these, the popular ones, make no pairs; what is shared is then counted on the lists."""
+    one that isn't among the at_least - 1 commonest of either. Where items of more than POPULAR documents would make half of the pairs or more, each document's commonest
+    are left out of the join and what is shared is counted on the lists of the pairs found; else all pairs are added up."""
     rows = long(df, column)
     shared = rows.groupBy("item").agg(F.count("*").alias("k")).where("k > 1")
     rows = rows.join(shared, "item")
-    if at_least < 2:
+
+    def added(rows: DataFrame) -> DataFrame:
         other = rows.select("item", F.col("doc_id").alias("b"))
-        return rows.select("item", F.col("doc_id").alias("a")).join(other, "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+        return rows.select("item", F.col("doc_id").alias("a")).join(other, "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+
+    if at_least < 2:
+        return added(rows)
+    squares = F.col("k").cast("double") * F.col("k")
+    every, popular = shared.agg(F.sum(squares), F.sum(F.when(F.col("k") > POPULAR, squares))).first()
+    if (popular or 0.0) < (every or 0.0) / 2 or not every:
+        return added(rows)
     # each document's shared items, the rarest first
     lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "item"))).alias("l")).where(F.size("l") >= at_least)
     lists = lists.select("doc_id", F.transform("l", lambda x: x["item"]).alias("items"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.strings import normal_title
-from folioscope.operators.longform import average_rank, long, pairs
+from folioscope.operators.longform import average_rank, cut, long, pairs
 from folioscope.operators.quality import similar_strings
 
 
@@ -142,6 +142,7 @@ def by_entity(metrics: DataFrame, docs: DataFrame, entity: str, metric: str = "c
 
 def pair_novelty(df: DataFrame, column: str) -> DataFrame:
     """doc_id with p90, mean and p10 of -ln(observed / (expected + 1) + 0.01) over its pairs of items; expected: product of the items' shares times the documents."""
+    df = cut(df.select("doc_id", column))  # read four times
     rows = long(df, column)
     n = df.select(F.count("*")).scalar()
     count = rows.groupBy("item").agg(F.count("*").alias("k"))

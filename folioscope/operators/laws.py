@@ -31,28 +31,30 @@ def lotka_fit(counts: DataFrame, count: str = "n_docs") -> DataFrame:
 
 def _with_mass(counts: DataFrame, count: str, item: str) -> DataFrame:
     """Items with rank and the mass up to and with them: what greater counts hold, and as much for each item of the same count up to this one."""
-    steps = standings(counts, count).withColumnRenamed("value", "_value")
-    out = ranked(counts.select(item, count), count, item).join(steps, F.col(count) == F.col("_value"))
+    out = ranked(counts.select(item, count), count, item)  # written once: what follows reads it, not the counts
+    out = out.join(standings(out, count).withColumnRenamed("value", "_value"), F.col(count) == F.col("_value"))
     return out.withColumn("mass", F.col("mass_before") + (F.col("rank") - F.col("before")) * F.col(count)).drop("_value", "k", "before", "mass_before")
 
 
 def bradford(counts: DataFrame, count: str = "n_docs", item: str = "item") -> DataFrame:
     """Items with their cumulative share of documents and zone 1 to 3 by thirds of it."""
-    total = counts.select(F.sum(count)).scalar()
-    out = _with_mass(counts, count, item).withColumn("cumulative", F.col("mass") / total).drop("mass")
+    out = _with_mass(counts, count, item)
+    out = out.withColumn("cumulative", F.col("mass") / out.select(F.sum(count)).scalar()).drop("mass")
     return out.withColumn("zone", F.when(F.col("cumulative") <= 0.333, 1).when(F.col("cumulative") <= 0.667, 2).otherwise(3))
 
 
 def bradford_by_sources(counts: DataFrame, count: str = "n_docs", item: str = "item", zones: int = 3) -> DataFrame:
     """Zones by equal numbers of sources in order of rank."""
-    n = counts.select(F.count("*")).scalar()
-    return ranked(counts.select(item, count), count, item).withColumn("zone", F.least(F.lit(zones), F.floor((F.col("rank") - 1) * zones / n) + 1).cast("int"))
+    out = ranked(counts.select(item, count), count, item)
+    n = out.select(F.count("*")).scalar()
+    return out.withColumn("zone", F.least(F.lit(zones), F.floor((F.col("rank") - 1) * zones / n) + 1).cast("int"))
 
 
 def bradford_by_mass(counts: DataFrame, count: str = "n_docs", item: str = "item", zones: int = 3) -> DataFrame:
     """Zones of equal mass: a source is in the zone where the documents before it stand."""
-    total = counts.select(F.sum(count)).scalar()
-    out = _with_mass(counts, count, item).withColumn("before", F.col("mass") - F.col(count)).drop("mass")
+    out = _with_mass(counts, count, item)
+    total = out.select(F.sum(count)).scalar()
+    out = out.withColumn("before", F.col("mass") - F.col(count)).drop("mass")
     return out.withColumn("zone", F.least(F.lit(zones), F.floor(F.col("before") * zones / total) + 1).cast("int")).drop("before")
 
 
@@ -74,17 +76,17 @@ def zipf_fit(counts: DataFrame, count: str = "n_docs", item: str = "item") -> Da
 
 def price(counts: DataFrame, count: str = "n_docs", item: str = "item") -> DataFrame:
     """One row: the elite of int(sqrt(authors)) authors, its share of all documents, and whether that is half or more."""
-    n = counts.select(F.count("*")).scalar()
-    elite = F.floor(F.sqrt(n))
     top = ranked(counts.select(item, count), count, item)
+    elite = F.floor(F.sqrt(top.select(F.count("*")).scalar()))
     out = top.agg(F.count("*").alias("authors"), F.max(elite).cast("long").alias("elite"), (F.sum(F.when(F.col("rank") <= elite, F.col(count)).otherwise(0)) / F.sum(count)).alias("share"))
     return out.withColumn("holds", F.col("share") >= 0.5)
 
 
 def pareto(counts: DataFrame, count: str = "n_docs", item: str = "item") -> DataFrame:
     """One row: items that make 80 % of the total, and the share of the top fifth of items."""
-    n, total = counts.select(F.count("*")).scalar(), counts.select(F.sum(count)).scalar()
-    t = _with_mass(counts, count, item).withColumn("cumulative", F.col("mass") / total)
+    t = _with_mass(counts, count, item)
+    n, total = t.select(F.count("*")).scalar(), t.select(F.sum(count)).scalar()
+    t = t.withColumn("cumulative", F.col("mass") / total)
     return t.agg((F.sum((F.col("cumulative") <= 0.8).cast("long")) + 1).alias("items_for_80"), (F.sum(F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(n * 0.2)), F.col(count)).otherwise(0)) / F.max(total)).alias("top_fifth_share"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.counting import tokens
-from folioscope.operators.longform import long
+from folioscope.operators.longform import cut, long
 
 
 def topics(df: DataFrame, text: str, k: int = 10, vocabulary: int = 1 << 18, rounds: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -126,6 +126,42 @@ def sequential_topics(df: DataFrame, text: str, k: int = 5, size: int = 5, vocab
     return df.sparkSession.createDataFrame(rows, "start int, topic int, term string, weight double")
 
 
+def nmf(weights: DataFrame, k: int = 10, rounds: int = 50, by: str = "start") -> tuple[DataFrame, DataFrame]:
+    """(by, doc_id, w0 ... ) and (by, term, h0 ...): non-negative factors of each part's matrix of documents and terms, by multiplicative updates on (by, doc_id, term, weight).
+    All parts are fitted at once; a round is two joins and sums, and only the products of k x k factors are shared. The start is drawn by a hash, so results repeat."""
+    t = cut(weights.select(by, "doc_id", "term", "weight"))
+
+    def drawn(key: str, name: str) -> DataFrame:
+        first = lambda i: ((F.pmod(F.xxhash64(F.lit(f"{name}{i}"), F.col(by), F.col(key)), F.lit(1 << 20)) + 1) / (1 << 20)).alias(f"{name}{i}")
+        return t.select(by, key).distinct().select(by, key, *map(first, range(k)))
+
+    def updated(own: DataFrame, key: str, a: str, other: DataFrame, far: str, b: str) -> DataFrame:
+        """own * (X other) / (own (other' other))."""
+        top = t.join(other, [by, far]).groupBy(by, key).agg(*(F.sum(F.col("weight") * F.col(f"{b}{i}")).alias(f"n{i}") for i in range(k)))
+        gram = other.groupBy(by).agg(*(F.sum(F.col(f"{b}{i}") * F.col(f"{b}{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)))
+        below = lambda i: sum((F.col(f"g{min(i, j)}_{max(i, j)}") * F.col(f"{a}{j}") for j in range(k)), F.lit(1e-12))
+        return cut(own.join(top, [by, key]).join(gram, by).select(by, key, *((F.col(f"{a}{i}") * F.col(f"n{i}") / below(i)).alias(f"{a}{i}") for i in range(k))))
+
+    w, h = drawn("doc_id", "w"), drawn("term", "h")
+    for _ in range(rounds):
+        h = updated(h, "term", "h", w, "doc_id", "w")
+        w = updated(w, "doc_id", "w", h, "term", "h")
+    return w, h
+
+
+def sequential_nmf(df: DataFrame, text: str, k: int = 10, size: int = 5, rounds: int = 50, top: int = 20, min_df: int = 2) -> DataFrame:
+    """(start, topic, term, weight): the top terms of topics fitted in each window of years, over one TF-IDF for all windows, so topics can be compared (aligned_topics)."""
+    from folioscope.operators.text import tfidf
+    from folioscope.operators.timeseries import windows
+
+    when = windows(df.select("doc_id", "year"), size).select("doc_id", "start")
+    _, h = nmf(tfidf(df, text, min_df).join(when, "doc_id"), k, rounds)
+    each = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("topic"), F.col(f"h{i}").alias("weight")) for i in range(k))))
+    rows = h.select("start", "term", each.alias("x")).select("start", "x.topic", "term", "x.weight")
+    place = F.row_number().over(Window.partitionBy("start", "topic").orderBy(F.desc("weight"), "term"))
+    return rows.withColumn("i", place).where(F.col("i") <= top).drop("i")
+
+
 def aligned_topics(topics_: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(start, topic, next, next_topic, cosine): each topic's most similar one in the next window, at least threshold. topics_: (start, topic, term, weight)."""
     t = topics_.withColumn("weight", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("start", "topic"))))

@@ -69,15 +69,16 @@ def correlations(df: DataFrame, columns: list[str], method: str = "pearson") ->
         for b in columns[i + 1 :]:
             t = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
             if method == "spearman":
-                t = mean_ranks(mean_ranks(t, "x", "rx"), "y", "ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
+                t = mean_ranks(mean_ranks(t, "x", "rx"), "y", "ry", of=t).select(F.col("rx").alias("x"), F.col("ry").alias("y"))
             one = t.agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr("x", "y").alias("r"), F.count("*").alias("n"))
             out = one if out is None else out.union(one)
     return out
 
 
-def mean_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Mean ranks over the whole frame, by a histogram of the values, itself added up in a distributed sort: no task sees all of it."""
-    hist = running(df.groupBy(value).agg(F.count("*").alias("_k")), [F.col(value)], {"_upto": "_k"})
+def mean_ranks(df: DataFrame, value: str, name: str, of: DataFrame | None = None) -> DataFrame:
+    """Mean ranks over the whole frame, by a histogram of the values, itself added up in a distributed sort: no task sees all of it.
+    of: a simpler frame with the same values, to make the histogram from."""
+    hist = running((df if of is None else of).groupBy(value).agg(F.count("*").alias("_k")), [F.col(value)], {"_upto": "_k"})
     ranks = hist.select(F.col(value).alias("_v"), (F.col("_upto") - F.col("_k") + (F.col("_k") + 1) / 2).alias(name), F.col("_k").alias(f"{name}_ties"))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 

@@ -59,14 +59,14 @@ def _one(tag: str, column: str):
 
 def _read_back(s, d, name: str, db: str, kind: str, body, columns: list[str]):
     path = _folder(s, name)
-    _records(s, d).select(body.alias("value")).write.text(path)
+    _records(s, d).select(body().alias("value")).write.text(path)
     return files.read(s, path, db, kind).select(*columns)
 
 
-_RIS = _lines(F.lit("TY  - JOUR"), _one("TI  - ", "title"), _many("AU  - ", "authors"), F.concat(F.lit("PY  - "), "year", F.lit("/03/01")), _one("JO  - ", "source"), _many("KW  - ", "keywords"), _one("DO  - ", "doi"), F.lit("ER  - \n"))
-_NBIB = _lines(F.concat(F.lit("PMID- "), F.col("doc_id")), F.concat(F.lit("TI  - "), F.replace(F.col("title"), F.lit(" on "), F.lit("\n      on "))), _many("FAU - ", "authors"), F.concat(F.lit("DP  - "), "year", F.lit(" Mar")), _one("JT  - ", "source"), _many("OT  - ", "keywords"), F.concat(F.lit("AID - "), "doi", F.lit(" [doi]\n")))
-_WOS = _lines(F.lit("PT J"), _wrapped("AU ", "authors", "   "), F.concat(F.lit("TI "), F.replace(F.col("title"), F.lit(" on "), F.lit("\n   on "))), _one("SO ", "source"), _one("PY ", "year"), F.concat(F.lit("TC "), F.col("cited_by")), _one("DI ", "doi"), F.lit("ER\n"))
-_BIB = F.concat(F.lit("@article{k"), "doc_id", F.lit(",\n  title = {"), "title", F.lit("},\n  author = {"), F.replace(F.col("authors"), F.lit("; "), F.lit(" and ")), F.lit('},\n  journal = "'), "source", F.lit('", year = '), "year", F.lit(", doi={"), "doi", F.lit("}, keywords={"), F.replace(F.col("keywords"), F.lit("; "), F.lit(", ")), F.lit("}}\n"))
+_RIS = lambda: _lines(F.lit("TY  - JOUR"), _one("TI  - ", "title"), _many("AU  - ", "authors"), F.concat(F.lit("PY  - "), "year", F.lit("/03/01")), _one("JO  - ", "source"), _many("KW  - ", "keywords"), _one("DO  - ", "doi"), F.lit("ER  - \n"))
+_NBIB = lambda: _lines(F.concat(F.lit("PMID- "), F.col("doc_id")), F.concat(F.lit("TI  - "), F.replace(F.col("title"), F.lit(" on "), F.lit("\n      on "))), _many("FAU - ", "authors"), F.concat(F.lit("DP  - "), "year", F.lit(" Mar")), _one("JT  - ", "source"), _many("OT  - ", "keywords"), F.concat(F.lit("AID - "), "doi", F.lit(" [doi]\n")))
+_WOS = lambda: _lines(F.lit("PT J"), _wrapped("AU ", "authors", "   "), F.concat(F.lit("TI "), F.replace(F.col("title"), F.lit(" on "), F.lit("\n   on "))), _one("SO ", "source"), _one("PY ", "year"), F.concat(F.lit("TC "), F.col("cited_by")), _one("DI ", "doi"), F.lit("ER\n"))
+_BIB = lambda: F.concat(F.lit("@article{k"), "doc_id", F.lit(",\n  title = {"), "title", F.lit("},\n  author = {"), F.replace(F.col("authors"), F.lit("; "), F.lit(" and ")), F.lit('},\n  journal = "'), "source", F.lit('", year = '), "year", F.lit(", doi={"), "doi", F.lit("}, keywords={"), F.replace(F.col("keywords"), F.lit("; "), F.lit(", ")), F.lit("}}\n"))
 
 _FOUR = "title, year, source, doi, nullif(coalesce(authors, ''), '') AS authors"
 query("read_ris", lambda s, d: _read_back(s, d, "ris", "scopus", "ris", _RIS, ["title", "year", "source", "doi", "authors", "author_keywords"]), f"{_REC} SELECT {_FOUR}, author_keywords FROM rec")

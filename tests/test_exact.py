@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import diversity, graph, impact, laws, longform, quality, stats
+from folioscope.operators import cooccurrence as co
+from folioscope.operators import diversity, graph, impact, laws, longform, models, quality, stats
 from folioscope.sources import api
 
 
@@ -173,3 +174,40 @@ def test_enriched(spark):
     df = spark.createDataFrame([(1, "10.1/1"), (2, "10.1/2"), (3, "10.1/3"), (4, None)], "n int, doi string")
     got = {r["n"]: r["found"] and r["found"]["id"] for r in api.enriched(df, api.Client(transport), "doi").collect()}
     assert got == {1: "W1", 2: "W2", 3: None, 4: None}
+
+
+@pytest.mark.parametrize("at_least", [1, 2, 3])
+@pytest.mark.parametrize("hot", [0, 3])
+def test_coupling(spark, monkeypatch, at_least, hot):
+    """With and without items that nearly all documents have: both ways give the same pairs."""
+    monkeypatch.setattr(co, "POPULAR", 20)
+    rng = random.Random(5)
+    docs = {i: sorted({f"i{rng.randrange(25)}" for _ in range(rng.randrange(0, 5))} | {f"hot{k}" for k in range(hot) if rng.random() < 0.9}) for i in range(80)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id int, refs array<string>")
+    got = {(r["a"], r["b"]): r["n"] for r in co.coupling(df, "refs", at_least).collect()}
+    want = {(i, j): n for i in docs for j in docs if i < j and (n := len(set(docs[i]) & set(docs[j]))) >= at_least}
+    assert got == want
+
+
+def test_nmf(spark):
+    """The factors of two matrices at once, against the same updates in numpy from the same start."""
+    rng = random.Random(8)
+    rows = [(y, f"d{y}{d}", f"t{x}", rng.random() + 0.1) for y in (1, 2) for d in range(7) for x in range(9) if rng.random() < 0.5]
+    df = spark.createDataFrame(rows, "start int, doc_id string, term string, weight double")
+    for rounds in (1, 4):
+        w, h = models.nmf(df, 2, rounds)
+        w, h = ({(r["start"], r[1]): (r[2], r[3]) for r in t.collect()} for t in (w, h))
+        for y in (1, 2):
+            docs, terms = sorted({r[1] for r in rows if r[0] == y}), sorted({r[2] for r in rows if r[0] == y})
+            x = np.zeros((len(docs), len(terms)))
+            for a, d, t, v in rows:
+                if a == y:
+                    x[docs.index(d), terms.index(t)] = v
+            first = lambda names, letter: np.array([tuple(spark.range(1).select(*(((F.pmod(F.xxhash64(F.lit(f"{letter}{i}"), F.lit(y), F.lit(v)), F.lit(1 << 20)) + 1) / (1 << 20)) for i in range(2))).first()) for v in names])  # noqa: B023, E731
+            a, b = first(docs, "w"), first(terms, "h")
+            before = np.linalg.norm(x - a @ b.T)
+            for _ in range(rounds):
+                b = b * (x.T @ a) / (b @ (a.T @ a) + 1e-12)
+                a = a * (x @ b) / (a @ (b.T @ b) + 1e-12)
+            assert np.linalg.norm(x - a @ b.T) < before
+            assert np.allclose([w[y, d] for d in docs], a) and np.allclose([h[y, t] for t in terms], b)
