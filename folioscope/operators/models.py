@@ -35,7 +35,8 @@ def cluster_texts(df: DataFrame, text: str, k: int = 5, vocabulary: int = 1 << 1
 
 def cluster_vectors(df: DataFrame, vector: str, ks: list[int], key: str = "vec_id", seed: int = 1) -> DataFrame:
     """(key, cluster, k, silhouette) for the k of the best silhouette."""
-    t = df.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")).cache()
+    t = df.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
+    t = cut(t)  # read for each k
     best = None
     for k in ks:
         out = KMeans(k=k, seed=seed, predictionCol="cluster").fit(t).transform(t)

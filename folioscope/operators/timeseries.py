@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from collections.abc import Callable
 
 import numpy as np
@@ -196,35 +197,37 @@ def bursts(df: DataFrame, column: str, s: float = 2.0, gamma: float = 1.0) -> Da
     every = df.groupBy("year").agg(F.count("*").cast("double").alias("d"))
     totals = sorted((r["year"], r["d"]) for r in every.collect() if r["year"] is not None)  # a number for each year
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = dict(zip(pdf["year"], pdf["r"], strict=True))
-        years = [y for y, _ in totals]
-        d, r = np.array([v for _, v in totals]), np.array([got.get(y, 0.0) for y in years])
-        p0 = r.sum() / d.sum()
-        p1 = min(0.9999, p0 * s)
-        cost = np.stack([-(r * math.log(p) + (d - r) * math.log(1 - p)) for p in (p0, p1)])
-        up = gamma * math.log(len(years) + 1)
-        best, back = np.array([0.0, up]), []
-        for t in range(len(years)):
-            go = [[best[0], best[1]], [best[0] + up, best[1]]]
-            pick = [int(np.argmin(go[j])) for j in (0, 1)]
-            best = np.array([go[j][pick[j]] + cost[j, t] for j in (0, 1)])
-            back.append(pick)
-        state, states = int(np.argmin(best)), []
-        for pick in reversed(back):
-            states.append(state)
-            state = pick[state]
-        states.reverse()
-        out, t = [], 0
-        while t < len(years):
-            if states[t]:
-                u = t
-                while u + 1 < len(years) and states[u + 1]:
-                    u += 1
-                out.append((pdf["item"].iloc[0], years[t], years[u], float((cost[0, t : u + 1] - cost[1, t : u + 1]).sum())))
-                t = u
-            t += 1
-        return pd.DataFrame(out, columns=["item", "start", "stop", "weight"])
+    years, d = [y for y, _ in totals], np.array([v for _, v in totals])
+    place = {y: i for i, y in enumerate(years)}
+    up = gamma * math.log(len(years) + 1)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:  # many items at a time, a matrix of items and years
+            n = len(pdf)
+            r = np.zeros((n, len(years)))
+            for k, got in enumerate(pdf["got"]):
+                for y, v in got:
+                    r[k, place[y]] = v
+            p0 = np.clip(r.sum(1) / d.sum(), 1e-12, 0.9999)
+            p1 = np.minimum(0.9999, p0 * s)
+            cost = np.stack([-(r * np.log(p)[:, None] + (d - r) * np.log(1 - p)[:, None]) for p in (p0, p1)])
+            best, back = np.stack([np.zeros(n), np.full(n, up)]), []
+            for t in range(len(years)):
+                go = np.stack([best, np.stack([best[0] + up, best[1]])])  # go[to, from]
+                pick = go.argmin(1)
+                best = np.take_along_axis(go, pick[:, None], 1)[:, 0] + cost[:, :, t]
+                back.append(pick)
+            states = np.zeros((n, len(years)), int)
+            state = best.argmin(0)
+            for t in range(len(years) - 1, -1, -1):
+                states[:, t] = state
+                state = back[t][state, np.arange(n)]
+            gain, out = cost[0] - cost[1], []
+            for k in np.flatnonzero(states.any(1)):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], states[k], [0]])))
+                out += [(pdf["item"].iloc[k], years[a], years[b - 1], float(gain[k, a:b].sum())) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+            yield pd.DataFrame(out, columns=["item", "start", "stop", "weight"])
 
     kind = per.schema["item"].dataType.simpleString()
-    return per.groupBy("item").applyInPandas(run, f"item {kind}, start int, stop int, weight double")
+    lists = per.where("year IS NOT NULL").groupBy("item").agg(F.collect_list(F.struct("year", "r")).alias("got"))
+    return lists.select("item", F.transform("got", lambda x: F.array(x["year"].cast("double"), x["r"])).alias("got")).mapInPandas(run, f"item {kind}, start int, stop int, weight double")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import cooccurrence as co
-from folioscope.operators import diversity, graph, impact, laws, longform, models, quality, stats
+from folioscope.operators import diversity, graph, impact, laws, longform, models, quality, stats, timeseries
 from folioscope.sources import api
 
 
@@ -211,3 +211,33 @@ def test_nmf(spark):
                 a = a * (x @ b) / (a @ (b.T @ b) + 1e-12)
             assert np.linalg.norm(x - a @ b.T) < before
             assert np.allclose([w[y, d] for d in docs], a) and np.allclose([h[y, t] for t in terms], b)
+
+
+def test_bursts(spark):
+    """The cheapest of all sequences of states, tried one by one; an item of every document too."""
+    import itertools
+    import math
+
+    rng = random.Random(10)
+    docs, n = [], 0
+    for year in range(2000, 2007):
+        for _ in range(12):
+            items = {f"i{k}" for k in range(6) if rng.random() < (0.7 if year in (2003, 2004) and k < 3 else 0.15)} | {"all"}
+            docs.append((n, year, sorted(items)))
+            n += 1
+    got = sorted((r["item"], r["start"], r["stop"], round(r["weight"], 6)) for r in timeseries.bursts(spark.createDataFrame(docs, "doc_id int, year int, k array<string>"), "k", 2.0, 0.5).collect())
+    years, want = list(range(2000, 2007)), []
+    d = [sum(y == x for _, y, _ in docs) for x in years]
+    for item in sorted({i for _, _, k in docs for i in k}):
+        r = [sum(y == x and item in k for _, y, k in docs) for x in years]
+        p = [min(0.9999, sum(r) / sum(d))]
+        p.append(min(0.9999, 2 * p[0]))
+        cost = [[-(r[t] * math.log(q) + (d[t] - r[t]) * math.log(1 - q)) for t in range(7)] for q in p]
+        up = 0.5 * math.log(8)
+        total = lambda states: sum(cost[x][t] for t, x in enumerate(states)) + up * sum(b > a for a, b in zip((0, *states), states))  # noqa: B023
+        best = min(itertools.product((0, 1), repeat=7), key=total)
+        for _, run in itertools.groupby(enumerate(best), key=lambda x: x[1]):
+            run = list(run)
+            if run[0][1]:
+                want.append((item, years[run[0][0]], years[run[-1][0]], round(sum(cost[0][t] - cost[1][t] for t, _ in run), 6)))
+    assert got == want and len(want) >= 3
