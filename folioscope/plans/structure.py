@@ -177,3 +177,4 @@ SELECT doc_id, CASE WHEN c = 0 THEN 'uncited' WHEN age < 3 THEN 'too_recent' WHE
 CASE WHEN c = 0 THEN 0.5 WHEN age < 3 THEN 0.3 WHEN age >= 10 AND c / age >= 2 THEN 0.4 WHEN age >= 8 AND c / age < 0.5 THEN 0.35 WHEN age >= 10 AND c > 50 THEN 0.3 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN c > 0 AND age >= 3 THEN array_to_string(q, ',') END AS counts FROM q""", "confidence")
 query("embedding_drift", lambda s, d: text.embedding_drift(_conversation_years(s, d), "text", ["the", "que", "der", "and"], 5, 20, 5, 10, 50))
 query("sequential_nmf", lambda s, d: models.sequential_nmf(_conversation_years(s, d), "text", 3, 5, 5, 10))
+query("greedy_modularity", lambda s, d: communities.greedy_frame(_edges(s, d)))

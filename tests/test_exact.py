@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import cooccurrence as co
-from folioscope.operators import diversity, graph, impact, laws, longform, models, quality, stats, timeseries
+from folioscope.operators import communities, diversity, graph, impact, laws, longform, models, quality, stats, timeseries
 from folioscope.sources import api
 
 
@@ -241,3 +241,30 @@ def test_bursts(spark):
             if run[0][1]:
                 want.append((item, years[run[0][0]], years[run[-1][0]], round(sum(cost[0][t] - cost[1][t] for t, _ in run), 6)))
     assert got == want and len(want) >= 3
+
+
+def test_greedy_modularity():
+    """Each merge is the best of all linked pairs, by modularity computed anew."""
+    rng = random.Random(11)
+    for _ in range(20):
+        names = [f"n{k}" for k in range(9)]
+        edges = [(a, b, rng.randrange(1, 4) + rng.random()) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < (0.8 if (i < 4) == (int(b[1]) < 4) else 0.15)]
+        nodes = sorted({x for e in edges for x in e[:2]})
+        m = sum(w for _, _, w in edges)
+
+        def q(parts):
+            own = {v: i for i, p in enumerate(parts) for v in p}
+            inside = sum(w for a, b, w in edges if own[a] == own[b]) / m  # noqa: B023
+            degree = [sum(w * ((a in p) + (b in p)) for a, b, w in edges) / (2 * m) for p in parts]  # noqa: B023
+            return inside - sum(x * x for x in degree)
+
+        parts = [{v} for v in nodes]
+        while True:
+            linked = [(i, j) for i in range(len(parts)) for j in range(i + 1, len(parts)) if any((a in parts[i] and b in parts[j]) or (a in parts[j] and b in parts[i]) for a, b, _ in edges)]
+            tried = [(q([p for k, p in enumerate(parts) if k not in (i, j)] + [parts[i] | parts[j]]), i, j) for i, j in linked]
+            if not tried or max(tried)[0] <= q(parts) + 1e-12:
+                break
+            _, i, j = max(tried)
+            parts = [p for k, p in enumerate(parts) if k not in (i, j)] + [parts[i] | parts[j]]
+        got = communities.greedy_modularity(edges)
+        assert sorted(sorted(p) for p in parts) == sorted(sorted(v for v in got if got[v] == c) for c in set(got.values()))
