@@ -101,6 +101,76 @@ for _kind in ("parquet", "orc"):
 
     query(f"export_{_kind}", _columnar, f"{_REC} SELECT doc_id, year::BIGINT AS year, authors, cited_by FROM rec")
 
+
+
+def _written(s, d, name: str, db: str, kind: str, value, columns: list[str], by: str | None = None):
+    """Publications written as text, a row for each record (or, with by, one file for each value, its records put together by value), and read back."""
+    path = _folder(s, name)
+    t = _records(s, d).where("authors <> ''")
+    if by is None:
+        t.select(value.alias("value")).write.text(path)
+    else:
+        t.groupBy(by).agg(F.array_join(F.collect_list(value), "," if kind == "json" else "").alias("x")).select(by, "x").transform(lambda g: g.select(by, _wrap(name).alias("value"))).write.partitionBy(by).text(path)
+    return files.read(s, path, db, kind).select(*columns)
+
+
+def _wrap(name: str):
+    """The records of a file, with what stands around them."""
+    opening, closing = {"crossref": ('{"message": {"items": [', "]}}"), "orcid": ('{"group": [', "]}"), "endnote": ("<xml><records>", "</records></xml>"), "dblp": ("<dblp>", "</dblp>"), "zotero": ('<rdf:RDF xmlns:rdf="r" xmlns:bib="b" xmlns:dc="d" xmlns:dcterms="t" xmlns:foaf="f">', "</rdf:RDF>")}[name]
+    return F.concat(F.lit(opening), "x", F.lit(closing))
+
+
+def _tagged(tag: str, column):
+    return F.concat(F.lit(f"<{tag}>"), column, F.lit(f"</{tag}>"))
+
+
+def _each(tag: str, column: str):
+    return F.array_join(F.transform(F.split(column, "; "), lambda x: F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>"))), "")
+
+
+def _endnote():
+    """A record with styled text in the title."""
+    inner = [_tagged("titles", F.concat(_tagged("title", F.concat(F.lit("<![CDATA[<style>"), "title", F.lit("</style>]]>"))), _tagged("secondary-title", F.col("source")))), _tagged("contributors", _tagged("authors", _each("author", "authors"))), _tagged("dates", _tagged("year", F.col("year"))), _tagged("keywords", _each("keyword", "keywords")), _tagged("electronic-resource-num", F.col("doi"))]
+    return _tagged("record", F.concat(*inner))
+
+
+def _dblp():
+    kind = F.when(F.col("doc_id") % 2 == 0, "article").otherwise("inproceedings")
+    where = F.when(F.col("doc_id") % 2 == 0, _tagged("journal", F.col("source"))).otherwise(_tagged("booktitle", F.col("source")))
+    return F.concat(F.lit("<"), kind, F.lit(">"), _each("author", "authors"), _tagged("title", F.col("title")), _tagged("year", F.col("year")), where, _tagged("ee", F.concat(F.lit("https://doi.org/"), "doi")), F.lit("</"), kind, F.lit(">"))
+
+
+def _crossref():
+    people = F.transform(F.split("authors", "; "), lambda x: F.struct(F.substring_index(x, "#", -1).alias("given"), F.substring_index(x, "#", 1).alias("family")))
+    date = F.array(F.array(F.col("year").cast("int"), F.lit(3)))
+    return F.to_json(F.struct(F.col("doi").alias("DOI"), F.array("title").alias("title"), people.alias("author"), F.struct(date.alias("date-parts")).alias("issued"), F.array("source").alias("container-title"), F.col("cited_by").cast("long").alias("is-referenced-by-count"), F.lit("journal-article").alias("type")))
+
+
+def _orcid():
+    ids = F.array(F.struct(F.lit("issn").alias("external-id-type"), F.lit("1234").alias("external-id-value")), F.struct(F.lit("doi").alias("external-id-type"), F.col("doi").alias("external-id-value")))
+    value = lambda c: F.struct(c.alias("value"))
+    work = F.struct(F.struct(value(F.col("title")).alias("title")).alias("title"), F.struct(value(F.col("year")).alias("year")).alias("publication-date"), value(F.col("source")).alias("journal-title"), F.lit("journal-article").alias("type"), F.struct(ids.alias("external-id")).alias("external-ids"))
+    return F.to_json(F.struct(F.array(work).alias("work-summary")))
+
+
+def _zotero():
+    people = F.array_join(F.transform(F.split("authors", "; "), lambda x: F.concat(F.lit("<rdf:li><foaf:Person><foaf:surname>"), F.substring_index(x, "#", 1), F.lit("</foaf:surname><foaf:givenName>"), F.substring_index(x, "#", -1), F.lit("</foaf:givenName></foaf:Person></rdf:li>"))), "")
+    return _tagged("bib:Article", F.concat(_tagged("dc:title", F.col("title")), _tagged("dc:date", F.concat(F.lit("3 March "), "year")), _tagged("dcterms:abstract", F.col("source")), _tagged("bib:authors", _tagged("rdf:Seq", people))))
+
+
+def _summary():
+    return F.concat("doc_id", F.lit(": "), F.replace(F.col("authors"), F.lit("; "), F.lit(", ")), F.lit(". "), F.replace("title", F.lit(", part"), F.lit("\npart")), F.lit(". "), "source", F.lit(". "), "year", F.lit(" Mar;3(1):5. doi: "), "doi", F.lit(". PMID: "), "doc_id", F.lit("\n"))
+
+
+_SOME = "FROM rec WHERE authors IS NOT NULL"
+query("read_endnote_xml", lambda s, d: _written(s, d, "endnote", "endnote", "xml", _endnote(), ["title", "source", "authors", "year", "author_keywords", "doi"], "source"), f"{_REC} SELECT title, source, authors, year, author_keywords, doi {_SOME}")
+query("read_dblp_xml", lambda s, d: _written(s, d, "dblp", "dblp", "xml", _dblp(), ["title", "source", "authors", "year", "doi", "document_type"], "source"), f"{_REC} SELECT title, source, authors, year, doi, CASE WHEN doc_id % 2 = 0 THEN 'article' ELSE 'inproceedings' END AS document_type {_SOME}")
+query("read_crossref", lambda s, d: _written(s, d, "crossref", "crossref", "json", _crossref(), ["doi", "title", "authors", "year", "source", "cited_by", "document_type"], "year"), f"{_REC} SELECT doi, title, replace(authors, '#', ', ') AS authors, year::BIGINT AS year, source, cited_by, 'journal-article' AS document_type {_SOME}")
+query("read_orcid", lambda s, d: _written(s, d, "orcid", "orcid", "json", _orcid(), ["title", "year", "source", "document_type", "doi"], "year"), f"{_REC} SELECT title, year, source, 'journal-article' AS document_type, doi {_SOME}")
+query("read_zotero_rdf", lambda s, d: _written(s, d, "zotero", "zotero", "rdf", _zotero(), ["title", "authors", "year", "abstract"], "source"), f"{_REC} SELECT title, replace(authors, '#', ', ') AS authors, year, source AS abstract {_SOME}")
+query("read_pubmed_summary", lambda s, d: _written(s, d, "summary", "pubmed", "summary", _summary(), ["title", "authors", "source", "year", "pmid", "doi"]), f"{_REC} SELECT replace(title, ', part', ' part') AS title, authors, source, year, doc_id::VARCHAR AS pmid, doi {_SOME}")
+query("read_id_list", lambda s, d: _written(s, d, "ids", "pubmed", "ids", F.concat(F.lit(" "), "doc_id", F.lit(" ")), ["pmid"]), f"{_REC} SELECT doc_id::VARCHAR AS pmid {_SOME}")
+
 # graphs as files ------------------------------------------------------------------------------------------------------
 
 

@@ -107,6 +107,9 @@ _GRP = "SELECT DISTINCT node, split_part(node, '#', 2)::BIGINT % {1} AS c FROM (
 _EVO = _WN + f", o AS ({_GRP.format(1995, 5)}), n AS ({_GRP.format(1998, 10)}), so AS (SELECT c, count(*) AS k FROM o GROUP BY c), sn AS (SELECT c, count(*) AS k FROM n GROUP BY c), h AS (SELECT o.c AS o, n.c AS n, count(*) AS s FROM o JOIN n USING (node) GROUP BY ALL)"
 query("matched_communities", lambda s, d: communities.matched(_grouped(s, d, 1995, 5), _grouped(s, d, 1998, 10), 0.2), _EVO + ", j AS (SELECT o, n, s, s / (so.k + sn.k - s)::DOUBLE AS j FROM h JOIN so ON so.c = o JOIN sn ON sn.c = n), f AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY j DESC, n) AS i FROM j) SELECT o AS \"old\", n AS \"new\", s AS shared, j AS jaccard FROM f WHERE i = 1 AND j >= 0.2", "jaccard")
 query("split_communities", lambda s, d: communities.splits(_grouped(s, d, 1995, 5), _grouped(s, d, 1998, 10)).select("old", F.array_join("parts", ",").alias("parts")), _EVO + " SELECT o AS \"old\", string_agg(n::VARCHAR, ',' ORDER BY n) AS parts FROM h JOIN so ON so.c = o WHERE s >= 0.3 * so.k GROUP BY o HAVING count(*) > 1")
+query("group_evolution", lambda s, d: communities.evolution(_grouped(s, d, 1995, 5), _grouped(s, d, 1998, 10), 0.2), _EVO + """, j AS (SELECT o, n, s / (so.k + sn.k - s)::DOUBLE AS j FROM h JOIN so ON so.c = o JOIN sn ON sn.c = n), f AS (SELECT o, n FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY j DESC, n) AS i FROM j) WHERE i = 1 AND j >= 0.2),
+t AS (SELECT a.c AS o, b.c AS n, a.k AS ko, b.k AS kn, count(a.c) OVER (PARTITION BY b.c) AS many FROM so a LEFT JOIN f ON f.o = a.c FULL JOIN sn b ON b.c = f.n)
+SELECT o AS "old", n AS "new", CASE WHEN o IS NULL THEN 'birth' WHEN n IS NULL THEN 'death' WHEN many > 1 THEN 'merge' WHEN kn / ko > 1.5 THEN 'growth' WHEN kn / ko < 0.67 THEN 'shrinkage' ELSE 'stable' END AS event FROM t""")
 query("community_evolution", lambda s, d: communities.evolution(*(graph.components(_windows(s, d).where(F.col("start") == y).select("a", "b", "n")).withColumnRenamed("component", "community") for y in (1995, 1998))))
 query("key_routes", lambda s, d: communities.key_routes(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))))
 
