@@ -69,7 +69,7 @@ class EliasFano:
         return cls(n, width, data[at : at + low], data[at + low : at + low + high]), at + low + high
 
     def index(self) -> tuple[np.ndarray, np.ndarray]:
-        """The high bits as 64-bit words and the ones before each: the only thing made when a sequence is opened, about two bits a number."""
+        """The high bits as 64-bit words and the ones before each: the only thing made when a sequence is opened, about four bits a number."""
         if not hasattr(self, "_index"):
             words = np.zeros(max(1, -(-len(self.high) // 8)), np.uint64)
             words.view(np.uint8)[: len(self.high)] = self.high
