@@ -49,19 +49,14 @@ def test_equals_plain(spark):
 
 
 def test_drawn_rows(spark):
-    rows, targets = texts()
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 40, ["river", "stone", "green"] if i % 4 == 0 else None)) for i in range(400)]
+    targets = [prose(rng, 40, ["river", "stone", "green"]) for _ in range(20)]
     df = spark.createDataFrame([(i, t, i % 5) for i, t in rows], "doc_id long, text string, __score int").repartition(3)
-    target = spark.createDataFrame([(x,) for x in targets], "text string")
-    try:
-        got = importance.drawn(df, target)
-    except ValueError:
-        raise AssertionError("a clashing column") from None
-    assert got.columns == df.columns
+    got = importance.drawn(df, spark.createDataFrame([(x,) for x in targets], "text string"))
     want = {r[0] for r in plain(rows, targets) if r[4]}
-    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
-    # the draw leans to the target
-    near = lambda ids: sum(sum(w.strip(".").lower() in ("river", "stone", "green") for w in t.split()) / len(t.split()) for i, t in rows if i in ids) / len(ids)
-    assert near(want) > near({i for i, _ in rows})
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(want) and len(want) == 100
+    assert sum(i % 4 == 0 for i in want) > 45  # 25 of them without weights
 
 
 def test_ties_at_the_cut(spark):
