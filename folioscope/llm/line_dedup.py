@@ -7,7 +7,7 @@
 3. Keys found in enough documents are dropped everywhere but in the largest id that holds them. Up to BROADCAST_KEYS of them are sent to all tasks, which then drop lines as
    they read the texts again; more are joined to the suspects of each text.
 
-The filters take BITS_PER_BYTE bits for each byte of input, 128 MB each at most (MOST_SEGMENTS, 64 GB of input): beyond it they fill up, more lines are suspects
+The filters take BITS_PER_BYTE bits for each byte of text, 128 MB each at most (MOST_SEGMENTS, 64 GB of text): beyond it they fill up, more lines are suspects
 and are counted, and results stay the same.
 
 A line's key is the line without white space (space, \\t to \\r) at both ends, A-Z in small letters. Documents are told apart by their id: rows of one id count as one document
@@ -144,7 +144,7 @@ def _partials(rows: DataFrame, n_segments: int, n_salts: int, min_chars: int) ->
     return rows.select("text").mapInArrow(run, _PARTIAL)
 
 
-def _merged(partials: DataFrame, n: int, by: list[str]) -> DataFrame:
+def _merged(partials: DataFrame, by: list[str]) -> DataFrame:
     """One row for each key: what its partial filters make together. An owner holds one segment at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,20 +163,20 @@ def _merged(partials: DataFrame, n: int, by: list[str]) -> DataFrame:
         if at is not None:
             yield _batch([(*at, None, None, _packed(pair.once), _packed(pair.twice))])
 
-    return partials.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, _PARTIAL)
+    return partials.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, _PARTIAL)
 
 
 def twice_filter(df: DataFrame, text_col: str = "text", min_chars: int = Rule.min_chars, n_segments: int | None = None) -> np.ndarray:
     """The twice-seen filter of all line keys, packed, a row a segment: a hash that occurs in two documents is in it. At most 128 MB come to the driver."""
-    n_segments = n_segments or segments_for(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     rows = df.select(F.col(text_col).cast("binary").alias("text"))
+    n_segments = n_segments or segments_for(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     arrow_limits(df.sparkSession)
     salts = 1 + n_segments // 64  # of a large input, no owner takes a segment from all tasks
     parts = _partials(rows, n_segments, salts, min_chars)
     if salts > 1:
-        parts = _merged(parts, n_segments * salts, ["segment", "salt"])
+        parts = _merged(parts, ["segment", "salt"])
     out = np.zeros((n_segments, SEGMENT // 8), np.uint8)
-    for r in stored(df.sparkSession, _merged(parts, n_segments, ["segment"]).select("segment", "twice"), "line-filter").toLocalIterator():
+    for r in stored(df.sparkSession, _merged(parts, ["segment"]).select("segment", "twice"), "line-filter").toLocalIterator():
         out[r["segment"]] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
     return out
 
