@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.longform import cut
+from folioscope.operators.longform import cut, kept
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -77,17 +75,6 @@ def eigenvector(edges: DataFrame, weighted: bool = False, tolerance: float = 1e-
     return x.withColumnRenamed("x", "eigenvector")
 
 
-def centralities(edges: DataFrame, most_edges: int = 50_000) -> DataFrame:
-    """(node, degree, betweenness, closeness, eigenvector). Betweenness and closeness need all shortest paths, so graphs of more than most_edges edges are refused: cut
-    them to their top nodes, or take degrees and eigenvector, which have no limit."""
-    rows = [tuple(r) for r in edges.select("a", "b").limit(most_edges + 1).collect()]
-    if len(rows) > most_edges:
-        raise ValueError(f"more than {most_edges} edges")
-    kind = edges.schema["a"].dataType.simpleString()
-    paths = edges.sparkSession.createDataFrame([(v, m["betweenness"], m["closeness"]) for v, m in betweenness(rows).items()], f"node {kind}, betweenness double, closeness double")
-    return degrees(edges).select("node", "degree").join(paths, "node").join(eigenvector(edges), "node")
-
-
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community): each node takes the label of the most weight among its neighbours, the least of ties. Deterministic, synchronous."""
     both = cut(undirected(edges))
@@ -130,21 +117,39 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def in_order(edges: DataFrame, first, sent, merged) -> DataFrame:
     """(node, value) of an acyclic graph (src, dst and more), a round for each level: a node's value is final, and sent on, when all nodes before it have sent theirs.
-    first: the value of sources; sent: aggregate of `value` and the edge's columns by dst; merged: of `value` (null at first) and `got`. Raises on a cycle."""
-    e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
+    first: the value of sources; sent: aggregate of `value` and the edge's columns by dst, or a function that makes (node, k, got) of such rows, k being their number;
+    merged: of `value` (null at first) and `got`. Raises on a cycle."""
+    e = kept(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     need = nodes.join(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")), "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need"))
-    state = cut(need.select("node", "need", F.when(F.col("need") == 0, first).alias("value"), (F.col("need") == 0).alias("fresh")))
+    state = kept(need.select("node", "need", F.when(F.col("need") == 0, first).alias("value"), (F.col("need") == 0).alias("fresh")))
     while not state.where("fresh").isEmpty():
-        new = e.join(state.where("fresh").select(F.col("node").alias("src"), "value"), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"), sent.alias("got"))
+        rows = e.join(state.where("fresh").select(F.col("node").alias("src"), "value"), "src")
+        new = sent(rows) if callable(sent) else rows.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"), sent.alias("got"))
         left = F.col("need") - F.coalesce("k", F.lit(0))
         value = F.when(F.col("k").isNull(), F.col("value")).otherwise(merged)
-        state = cut(state.join(new, "node", "left").select("node", left.alias("need"), value.alias("value"), ((F.col("need") > 0) & (left == 0)).alias("fresh")))
+        state = kept(state.join(new, "node", "left").select("node", left.alias("need"), value.alias("value"), ((F.col("need") > 0) & (left == 0)).alias("fresh")))
     if not state.where("need > 0").isEmpty():
         raise ValueError("the graph has a cycle")
     return state.select("node", "value")
 
 
+def followed(pointers: DataFrame, starts: DataFrame) -> DataFrame:
+    """(route, step, key): the keys that each start (route, key) leads to along pointers (key, next; null at an end), from step 0 on. By doubling: the table of 2^i steps at once is made
+    of that of half as many, so a way of L keys takes log2 L rounds. Raises where pointers run in a circle."""
+    jump = kept(pointers.where("next IS NOT NULL").select("key", "next"))
+    most, jumps = jump.count(), []
+    while not jump.isEmpty():
+        if 2 ** len(jumps) > most:
+            raise ValueError("the graph has a cycle")
+        jumps.append(jump)
+        jump = kept(jump.join(jump.select(F.col("key").alias("next"), F.col("next").alias("over")), "next").select("key", F.col("over").alias("next")))
+    path = starts.select("route", F.lit(0).alias("step"), "key")
+    for i in range(len(jumps) - 1, -1, -1):
+        path = path.union(path.join(jumps[i], "key").select("route", F.col("step") + 2**i, F.col("next").alias("key")))
+    return path
+
+
 def path_counts(edges: DataFrame, source: bool = True) -> DataFrame:
     """(node, paths): paths from the sources of an acyclic graph (src, dst) to each node, or from each node to the sinks."""
     e = edges.select("src", "dst").distinct()
@@ -165,67 +170,21 @@ def main_path(weights: DataFrame) -> DataFrame:
     e = weights.select("src", "dst", "spc")
     start = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast(e.schema["src"].dataType).alias("prev"))
     step = F.max(F.struct((F.col("value.score") + F.col("spc")).alias("score"), F.col("src").alias("prev")))
-    best = in_order(e, start, step, F.greatest("value", "got")).select("node", "value.score", "value.prev")
-    # the path is at most as long as the longest chain; it is followed backwards on the driver, one lookup a step
-    last = best.orderBy(F.desc("score"), F.desc("node")).limit(1).first()
-    path = []
-    while last is not None:
-        path.append(last["node"])
-        last = None if last["prev"] is None else best.where(F.col("node") == last["prev"]).first()
-    kind = e.schema["src"].dataType.simpleString()
-    return weights.sparkSession.createDataFrame(list(enumerate(reversed(path), 1)), f"place int, node {kind}")
-
-
-def betweenness(edges: list[tuple]) -> dict:
-    """Brandes' betweenness and closeness of a small graph given as pairs: for graphs already cut to their top nodes."""
-    near = defaultdict(set)
-    for a, b in edges:
-        near[a].add(b)
-        near[b].add(a)
-    between = dict.fromkeys(near, 0.0)
-    close = {}
-    for s in near:
-        stack, queue = [], [s]
-        before, paths, dist = defaultdict(list), defaultdict(float, {s: 1.0}), {s: 0}
-        for v in queue:
-            stack.append(v)
-            for w in sorted(near[v]):
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        reached = len(dist) - 1
-        far = sum(dist.values())
-        close[s] = reached / far * reached / (len(near) - 1) if far else 0.0
-        depend = defaultdict(float)
-        for w in reversed(stack):
-            for v in before[w]:
-                depend[v] += paths[v] / paths[w] * (1 + depend[w])
-            if w != s:
-                between[w] += depend[w]
-    n = len(near)
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return {v: {"betweenness": between[v] * scale, "closeness": close[v]} for v in near}
+    best = cut(in_order(e, start, step, F.greatest("value", "got")).select("node", "value.score", "value.prev"))
+    last = best.orderBy(F.desc("score"), F.desc("node")).limit(1).select(F.lit(1).alias("route"), F.col("node").alias("key"))
+    path = cut(followed(best.select(F.col("node").alias("key"), F.col("prev").alias("next")), last))
+    return path.select((path.select(F.max("step")).scalar() - F.col("step") + 1).cast("int").alias("place"), F.col("key").alias("node"))
 
 
 def greedy_path(weights: DataFrame, forward: bool = True) -> DataFrame:
     """(place, node): from the heaviest edge out of a source always along the heaviest edge on (backward: from the heaviest edge into a sink, back).
-    Ties go to the greater node. One lookup a step; the path is as long as the longest chain at most. Raises on a cycle."""
+    Ties go to the greater node. Raises on a cycle."""
     near, far = ("src", "dst") if forward else ("dst", "src")
     e = cut(weights.select(F.col(near).alias("near"), F.col(far).alias("far"), "spc"))
     ends = e.join(e.select(F.col("far").alias("near")).distinct(), "near", "left_anti")
-    step = ends.orderBy(F.desc("spc"), F.desc("near"), F.desc("far")).limit(1).first()
-    path = [] if step is None else [step["near"], step["far"]]
-    best = cut(e.groupBy("near").agg(F.max(F.struct("spc", "far")).alias("x")).select("near", "x.far"))
-    met = set(path)
-    while step is not None:
-        step = best.where(F.col("near") == path[-1]).first()
-        if step is not None:
-            if step["far"] in met:
-                raise ValueError("the graph has a cycle")
-            path.append(step["far"])
-            met.add(step["far"])
-    kind = e.schema["near"].dataType.simpleString()
-    return weights.sparkSession.createDataFrame(list(enumerate(path if forward else path[::-1], 1)), f"place int, node {kind}")
+    # the heaviest edge out of the start's node is the start
+    start = ends.orderBy(F.desc("spc"), F.desc("near"), F.desc("far")).limit(1).select(F.lit(1).alias("route"), F.col("near").alias("key"))
+    best = e.groupBy(F.col("near").alias("key")).agg(F.max(F.struct("spc", "far")).alias("x")).select("key", F.col("x.far").alias("next"))
+    path = cut(followed(best, start))
+    place = F.col("step") + 1 if forward else path.select(F.max("step")).scalar() - F.col("step") + 1
+    return path.select(place.cast("int").alias("place"), F.col("key").alias("node"))

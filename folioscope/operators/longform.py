@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,17 +27,30 @@ def long(df: DataFrame, column: str, keep: list[str] | None = None, distinct: bo
     return df.select(*(keep or ["doc_id"]), F.explode(F.array_distinct(items) if distinct else items).alias(item))
 
 
+def _shared(df: DataFrame) -> str:
+    """The folder that driver and executors share; a temporary one where none is set, on one machine only."""
+    path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not path and not df.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return path or f"file://{tempfile.gettempdir()}/folioscope-checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or f"{tempfile.gettempdir()}/folioscope-checkpoints")
+        sc.setCheckpointDir(_shared(df))
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read again: for iterations, as a checkpoint makes its rows twice and keeps all that the planner knows of earlier rounds,
+    which grows with each of them; a table's size is known, too."""
+    path = f"{_shared(df).rstrip('/')}/folioscope-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column | str]) -> DataFrame:
     """Adds, for each name, the sum of a column over the rows up to and with this one in the order given (which must leave no ties that matter).
     One distributed sort, written once; each task adds up its own range, and the ranges before it come as one row each."""

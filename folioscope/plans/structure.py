@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import communities, evaluation, graph, impact, lookup, models, stats, text
+from folioscope.operators import communities, evaluation, graph, impact, lookup, models, network, stats, text
 from folioscope.operators import cooccurrence as co
 from folioscope.operators import timeseries as ts
 from folioscope.plans import lexicons
@@ -96,7 +96,7 @@ b AS (SELECT start, count(*)::BIGINT AS nodes, (sum(k) / 2)::BIGINT AS edges, CA
 SELECT *, largest / nodes::DOUBLE AS largest_share FROM b JOIN cl USING (start) JOIN cc USING (start)""", "density mean_degree clustering largest_share")
 query("edge_persistence", lambda s, d: communities.edge_persistence(_windows(s, d)), _WN + ' SELECT a, b, min(start) AS "first", max(start) AS "last", count(DISTINCT start)::BIGINT AS windows, sum(n)::BIGINT AS weight FROM w GROUP BY a, b')
 query("node_activity", lambda s, d: communities.node_activity(_windows(s, d)), _WN + ' SELECT node, min(start) AS "first", max(start) AS "last", count(*)::BIGINT AS windows, sum(k)::BIGINT AS degree FROM d GROUP BY node')
-query("louvain", lambda s, d: communities.louvain_frame(_authors(s, d)))
+query("louvain", lambda s, d: network.modularity_communities(_authors(s, d)))
 def _grouped(s, d, start, by):
     """Keywords of a window, put together by a remainder of their names' numbers."""
     t = _windows(s, d).where(F.col("start") == start).select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -111,7 +111,6 @@ query("group_evolution", lambda s, d: communities.evolution(_grouped(s, d, 1995,
 t AS (SELECT a.c AS o, b.c AS n, a.k AS ko, b.k AS kn, count(a.c) OVER (PARTITION BY b.c) AS many FROM so a LEFT JOIN f ON f.o = a.c FULL JOIN sn b ON b.c = f.n)
 SELECT o AS "old", n AS "new", CASE WHEN o IS NULL THEN 'birth' WHEN n IS NULL THEN 'death' WHEN many > 1 THEN 'merge' WHEN kn / ko > 1.5 THEN 'growth' WHEN kn / ko < 0.67 THEN 'shrinkage' ELSE 'stable' END AS event FROM t""")
 query("community_evolution", lambda s, d: communities.evolution(*(graph.components(_windows(s, d).where(F.col("start") == y).select("a", "b", "n")).withColumnRenamed("component", "community") for y in (1995, 1998))))
-query("key_routes", lambda s, d: communities.key_routes(graph.traversal_weights(cites(s, d).select(F.col("citing").alias("src"), F.col("cited").alias("dst")))))
 
 # lookups, gaps, evaluation ------------------------------------------------------------------------------------------
 
@@ -134,7 +133,7 @@ _EN = lambda c: f"(SELECT doc_id, count(*)::BIGINT AS {c}s, CASE WHEN count(*) >
 query("reference_diversity", lambda s, d: lookup.reference_diversity(P(s, d, "refs"), "refs", _details(s, d), 2001), f"WITH {PUBS}, r AS (SELECT doc_id, p_brand AS source, p_type AS field, 1950 + p_size AS year FROM refs JOIN part ON item = p_partkey) SELECT * FROM (SELECT doc_id, count(*)::BIGINT AS \"references\", avg(2001 - year) AS mean_age, quantile_cont((2001 - year)::DOUBLE, 0.5) AS median_age FROM r GROUP BY doc_id) JOIN {_EN('source')} USING (doc_id) JOIN {_EN('field')} USING (doc_id)", "mean_age median_age source_entropy field_entropy")
 query("attention", lambda s, d: lookup.attention(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sum("l_quantity").alias("mentions"), F.count("*").alias("news")), {"mentions": 0.5, "news": 3.0}), "WITH t AS (SELECT l_orderkey AS doc_id, sum(l_quantity) * 0.5::DOUBLE + count(*) * 3 AS score FROM lineitem GROUP BY 1) SELECT doc_id, score, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE) / (SELECT count(*) FROM t) * 100 AS percentile FROM t", "score percentile")
 query("compare_entities", lambda s, d: evaluation.compare_entities(P(s, d, "base").groupBy("category").agg(F.count("*").alias("documents"), F.avg("cited_by").alias("mean")), "category", ["documents", "mean"]), f"WITH {PUBS}, t AS (SELECT category, count(*)::BIGINT AS documents, avg(cited_by) AS mean FROM pubs GROUP BY category) SELECT category, documents, mean, (documents - (SELECT min(documents) FROM t)) / ((SELECT max(documents) FROM t) - (SELECT min(documents) FROM t))::DOUBLE AS documents_scaled, rank() OVER (ORDER BY documents DESC) AS documents_rank, (mean - (SELECT min(mean) FROM t)) / ((SELECT max(mean) FROM t) - (SELECT min(mean) FROM t)) AS mean_scaled, rank() OVER (ORDER BY mean DESC) AS mean_rank FROM t", "mean documents_scaled mean_scaled")
-query("citation_features", lambda s, d: evaluation.citation_features(P(s, d)), f"WITH {PUBS}, s AS (SELECT doc_id, year, source, cited_by, avg(cited_by) OVER (PARTITION BY source ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source_before FROM pubs), n(doc_id) AS (SELECT doc_id FROM pubs), a AS (SELECT doc_id, avg(b) AS authors_before FROM (SELECT doc_id, avg(cited_by) OVER (PARTITION BY item ORDER BY year RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM authors JOIN pubs USING (doc_id)) GROUP BY doc_id), " + ", ".join(f"n{c} AS (SELECT doc_id, count(*) AS k FROM {c} GROUP BY doc_id)" for c in ("authors", "keywords", "refs", "countries")) + " SELECT s.doc_id, s.year::BIGINT AS year, s.source, s.cited_by, " + ", ".join(f"coalesce(n{c}.k, 0)::DOUBLE AS n_{c}" for c in ("authors", "keywords", "refs", "countries")) + ", source_before, authors_before FROM s LEFT JOIN a USING (doc_id) " + " ".join(f"LEFT JOIN n{c} USING (doc_id)" for c in ("authors", "keywords", "refs", "countries")), "n_authors n_keywords n_refs n_countries source_before authors_before")
+query("citation_features", lambda s, d: evaluation.citation_features(P(s, d)), f"WITH {PUBS}, s AS (SELECT doc_id, year, source, cited_by, source_before FROM pubs LEFT JOIN (SELECT source, year, sum(t) OVER w / sum(k) OVER w AS source_before FROM (SELECT source, year, sum(cited_by)::DOUBLE AS t, count(*) AS k FROM pubs GROUP BY source, year) WINDOW w AS (PARTITION BY source ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) USING (source, year)), n(doc_id) AS (SELECT doc_id FROM pubs), a AS (SELECT doc_id, avg(b) AS authors_before FROM (SELECT doc_id, b FROM authors JOIN pubs USING (doc_id) LEFT JOIN (SELECT item, year, sum(t) OVER w / sum(k) OVER w AS b FROM (SELECT item, year, sum(cited_by)::DOUBLE AS t, count(*) AS k FROM authors JOIN pubs USING (doc_id) GROUP BY item, year) WINDOW w AS (PARTITION BY item ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) USING (item, year)) GROUP BY doc_id), " + ", ".join(f"n{c} AS (SELECT doc_id, count(*) AS k FROM {c} GROUP BY doc_id)" for c in ("authors", "keywords", "refs", "countries")) + " SELECT s.doc_id, s.year::BIGINT AS year, s.source, s.cited_by, " + ", ".join(f"coalesce(n{c}.k, 0)::DOUBLE AS n_{c}" for c in ("authors", "keywords", "refs", "countries")) + ", source_before, authors_before FROM s LEFT JOIN a USING (doc_id) " + " ".join(f"LEFT JOIN n{c} USING (doc_id)" for c in ("authors", "keywords", "refs", "countries")), "n_authors n_keywords n_refs n_countries source_before authors_before")
 query("jarque_bera", lambda s, d: stats.jarque_bera(P(s, d, "base"), "price", "category"), f"WITH {PUBS}, t AS (SELECT category, price - avg(price) OVER (PARTITION BY category) AS d FROM pubs) SELECT category, count(*)::BIGINT AS n, count(*) / 6.0::DOUBLE * (pow(avg(d * d * d) / pow(avg(d * d), 1.5), 2) + pow(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 2) / 4) AS statistic FROM t GROUP BY category", "statistic")
 query("ks_normal", lambda s, d: stats.ks_normal(P(s, d, "base"), "cited_by"), f"""WITH {PUBS}, o AS (SELECT count(*)::BIGINT AS n, avg(cited_by) AS m, stddev_samp(cited_by) AS s FROM pubs), h AS (SELECT cited_by::DOUBLE AS x, count(*) AS k FROM pubs GROUP BY 1),
 c AS (SELECT (x - m) / s / sqrt(2) AS z, sum(k) OVER (ORDER BY x) / n::DOUBLE AS hi, (sum(k) OVER (ORDER BY x) - k) / n::DOUBLE AS lo FROM h, o), u AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(z)) AS u FROM c),
@@ -171,7 +170,7 @@ SELECT sum(z * z) AS statistic, (count(*) - 1)::BIGINT AS dof FROM z""", "statis
 
 _EIG = _E + ", x0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM dg) AS x FROM dg)" + "".join(f", y{i} AS (SELECT v.node, any_value(v.x) + sum(n * o.x) AS y FROM x{i - 1} v JOIN u ON u.a = v.node JOIN x{i - 1} o ON o.node = u.b GROUP BY v.node), x{i} AS (SELECT node, y / sqrt((SELECT sum(y * y) FROM y{i})) AS x FROM y{i})" for i in range(1, 7))
 query("eigenvector", lambda s, d: graph.eigenvector(_edges(s, d), weighted=True, rounds=6), _EIG + " SELECT node, x AS eigenvector FROM x6", "eigenvector")
-query("centralities", lambda s, d: graph.centralities(_edges(s, d)))
+query("centralities", lambda s, d: network.centralities(_edges(s, d)))
 query("historiograph", lambda s, d: impact.historiograph(P(s, d, "base"), cites(s, d)), f"WITH {PUBS}, {CITES}, h AS (SELECT citing, cited, x.year::BIGINT AS citing_year, y.year::BIGINT AS cited_year FROM cites JOIN pubs x ON x.doc_id = citing JOIN pubs y ON y.doc_id = cited WHERE y.year <= x.year) SELECT *, (count(*) OVER (PARTITION BY cited))::BIGINT AS local FROM h")
 query("pattern_from_totals", lambda s, d: impact.pattern_from_totals(P(s, d, "base"), 2003).select("doc_id", "pattern", "confidence", F.array_join(F.map_values("counts"), ",").alias("counts")), f"""WITH {PUBS}, t AS (SELECT doc_id, cited_by AS c, (2003 - year)::INT AS age FROM pubs),
 w AS (SELECT *, CASE WHEN age <= 5 THEN list_slice([0.15::DOUBLE, 0.25, 0.25, 0.2, 0.15], 1, age) ELSE list_transform(range(age), lambda i: greatest(0.02::DOUBLE, CASE WHEN i <= 2 THEN 0.15::DOUBLE + 0.1::DOUBLE * i ELSE 0.35::DOUBLE * pow(0.8::DOUBLE, i - 2) END)) END AS w FROM t),
