@@ -129,14 +129,19 @@ def sample_ids(df: DataFrame, id_col: str, most: int) -> DataFrame:
     return df.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
 
 
-def whole_rows(df: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
-    """The first rows of a training sample (a number and the order's columns of each come to the driver) whose sizes sum up to `most` at most."""
-    total, last = 0, None
-    for r in df.select(*order, size).orderBy(*order).collect():
-        total += r[size]
-        if total > most:
-            break
-        last = r
-    if last is None:
-        return df.limit(0)
-    return df.where(F.struct(*order) <= F.struct(*(F.lit(last[c]).cast(df.schema[c].dataType).alias(c) for c in order)))
+def whole_rows(df: DataFrame, order: list[str], size: str, most: int, by: str) -> DataFrame:
+    """Rows of a training sample whose sizes sum up to `most` at most: the smallest of each class (`by`), then all that still fit, in the order given; one that doesn't fit is
+    passed over, not the end. A class whose rows are all larger than what is left for it has none. The order's columns, size and class of each row come to the driver."""
+    rows = df.select(*order, size, by).orderBy(*order).collect()
+    first: dict = {}
+    for i, r in enumerate(rows):
+        if r[by] not in first or r[size] < rows[first[r[by]]][size]:
+            first[r[by]] = i
+    total, taken = 0, []
+    lead = sorted(first.values())
+    for i in [*lead, *sorted(set(range(len(rows))) - set(lead))]:
+        if total + rows[i][size] <= most:
+            total += rows[i][size]
+            taken.append(tuple(rows[i][c] for c in order))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order)
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(taken, kinds)), order, "left_semi")

@@ -143,10 +143,10 @@ def train(texts: list[str], labels: list[str], dims: int = 8, per_width: int = 8
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> ByteNet:
-    """Trains on whole texts of at most train_rows of the rows given, shared out evenly among all labels, in an order by a hash of the id and as long as they have
-    train_bytes together; rows without text or label count nothing. With more labels than train_rows, each label has one row."""
+    """Trains on whole texts of at most train_rows of the rows given, shared out evenly among all labels, in an order by a hash of the id and while they have
+    train_bytes together (one that is too long for what is left is passed over, the shortest of each label comes first); rows without text or label count nothing. With more labels than train_rows, each label has one row."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("id IS NOT NULL AND label IS NOT NULL AND length(text) > 0")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where(f"id IS NOT NULL AND label IS NOT NULL AND length(text) > 0 AND octet_length(text) <= {train_bytes}")
     counts = stored(spark, rows.groupBy("label").agg(F.count("*").alias("n")), "language-labels")
     n_labels = counts.count()
     if not n_labels:
@@ -161,7 +161,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     few = F.broadcast if n_chosen <= 10 * train_rows else (lambda x: x)
     texts = rows.join(few(chosen), ["id", "label"]).groupBy("label", "place", "h", "id").agg(F.min("text").alias("text"))
     texts = stored(spark, texts.withColumn("n", F.octet_length("text")), "language-texts")
-    got = whole_rows(texts, ["place", "h", "label"], "n", train_bytes).select("id", "label", "text").collect()
+    got = whole_rows(texts, ["place", "h", "label", "id"], "n", train_bytes, "label").select("id", "label", "text").collect()
     got.sort(key=lambda r: (str(r[0]), r[1]))
     return train([r[2] for r in got], [r[1] for r in got])
 

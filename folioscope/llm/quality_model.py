@@ -184,8 +184,8 @@ def train(x: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: int = 32, gat
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, train_passages: int = TRAIN_PASSAGES) -> Attention:
-    """Trains on whole texts of labelled rows of df: the first of them by a hash of the id, at most train_rows and as many as have train_passages passages together.
-    Of several labels of an id the least counts."""
+    """Trains on whole texts of labelled rows of df: the first of them by a hash of the id, at most train_rows and as many as have train_passages passages together;
+    one that is too long for what is left is passed over, and the shortest of each class comes first. Of several labels of an id the least counts."""
     spark = df.sparkSession
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     ids = sample_ids(df.select(F.col(id_col).alias("id")).join(marked, "id", "left_semi"), "id", train_rows)
@@ -199,9 +199,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     arrow_limits(spark)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= train_passages * PASSAGE)  # no features of a text that can't be taken
     # an id that stands for several rows is learned once, from the text whose features come first
     bags = stored(spark, rows.mapInArrow(run, f"id {kind}, label int, n long, bag binary").groupBy("id").agg(F.min_by(F.struct("label", "n", "bag"), "bag").alias("x")).select("id", "x.*"), "quality-bags")
-    got = whole_rows(bags.withColumn("h", F.xxhash64("id")), ["h", "id"], "n", train_passages).select("id", "label", "bag").collect()
+    got = whole_rows(bags.withColumn("h", F.xxhash64("id")), ["h", "id"], "n", train_passages, "label").select("id", "label", "bag").collect()
     got.sort(key=lambda r: str(r[0]))
     found = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in got]
     x = np.concatenate(found) if found else np.zeros((0, N_FEATURES), np.float32)

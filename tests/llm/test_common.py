@@ -46,7 +46,13 @@ def test_scratch_and_clear(spark, tmp_path, monkeypatch):
 
 
 def test_whole_rows(spark):
-    df = spark.createDataFrame([(i, i % 3, 10) for i in range(20)], "id long, h long, n long")
-    got = sorted((r["h"], r["id"]) for r in common.whole_rows(df, ["h", "id"], "n", 75).collect())
+    df = spark.createDataFrame([(i, i % 3, 10, 0) for i in range(20)], "id long, h long, n long, c int")
+    got = sorted((r["h"], r["id"]) for r in common.whole_rows(df, ["h", "id"], "n", 75, "c").collect())
     assert got == sorted((i % 3, i) for i in range(20))[:7]
-    assert common.whole_rows(df, ["h", "id"], "n", 5).count() == 0
+    sizes = lambda rows, most: sorted(r["id"] for r in common.whole_rows(spark.createDataFrame(rows, "id long, n long, c int"), ["id"], "n", most, "c").collect())
+    # a row that is too large first, in the middle, alone
+    assert sizes([(0, 200_000, 1), (1, 5, 1), (2, 5, 0)], 100_000) == [1, 2]
+    assert sizes([(0, 5, 1), (1, 200_000, 1), (2, 5, 0)], 100_000) == [0, 2]
+    assert sizes([(0, 200_000, 1)], 100_000) == [] and sizes([], 5) == []
+    # each class has its smallest row, whatever stands before it
+    assert sizes([(0, 40, 1), (1, 40, 1), (2, 30, 1), (3, 50, 0)], 90) == [2, 3]
