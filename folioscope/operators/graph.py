@@ -119,16 +119,16 @@ def in_order(edges: DataFrame, first, sent, merged) -> DataFrame:
     """(node, value) of an acyclic graph (src, dst and more), a round for each level: a node's value is final, and sent on, when all nodes before it have sent theirs.
     first: the value of sources; sent: aggregate of `value` and the edge's columns by dst, or a function that makes (node, k, got) of such rows, k being their number;
     merged: of `value` (null at first) and `got`. Raises on a cycle."""
-    e = kept(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
+    e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     need = nodes.join(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("need")), "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need"))
-    state = kept(need.select("node", "need", F.when(F.col("need") == 0, first).alias("value"), (F.col("need") == 0).alias("fresh")))
+    state = cut(need.select("node", "need", F.when(F.col("need") == 0, first).alias("value"), (F.col("need") == 0).alias("fresh")))
     while not state.where("fresh").isEmpty():
         rows = e.join(state.where("fresh").select(F.col("node").alias("src"), "value"), "src")
         new = sent(rows) if callable(sent) else rows.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"), sent.alias("got"))
         left = F.col("need") - F.coalesce("k", F.lit(0))
         value = F.when(F.col("k").isNull(), F.col("value")).otherwise(merged)
-        state = kept(state.join(new, "node", "left").select("node", left.alias("need"), value.alias("value"), ((F.col("need") > 0) & (left == 0)).alias("fresh")))
+        state = cut(state.join(new, "node", "left").select("node", left.alias("need"), value.alias("value"), ((F.col("need") > 0) & (left == 0)).alias("fresh")))
     if not state.where("need > 0").isEmpty():
         raise ValueError("the graph has a cycle")
     return state.select("node", "value")
@@ -137,13 +137,13 @@ def in_order(edges: DataFrame, first, sent, merged) -> DataFrame:
 def followed(pointers: DataFrame, starts: DataFrame) -> DataFrame:
     """(route, step, key): the keys that each start (route, key) leads to along pointers (key, next; null at an end), from step 0 on. By doubling: the table of 2^i steps at once is made
     of that of half as many, so a way of L keys takes log2 L rounds. Raises where pointers run in a circle."""
-    jump = kept(pointers.where("next IS NOT NULL").select("key", "next"))
+    jump = cut(pointers.where("next IS NOT NULL").select("key", "next"))
     most, jumps = jump.count(), []
     while not jump.isEmpty():
         if 2 ** len(jumps) > most:
             raise ValueError("the graph has a cycle")
         jumps.append(jump)
-        jump = kept(jump.join(jump.select(F.col("key").alias("next"), F.col("next").alias("over")), "next").select("key", F.col("over").alias("next")))
+        jump = cut(jump.join(jump.select(F.col("key").alias("next"), F.col("next").alias("over")), "next").select("key", F.col("over").alias("next")))
     path = starts.select("route", F.lit(0).alias("step"), "key")
     for i in range(len(jumps) - 1, -1, -1):
         path = path.union(path.join(jumps[i], "key").select("route", F.col("step") + 2**i, F.col("next").alias("key")))

@@ -144,7 +144,7 @@ def _moved(adj: DataFrame, label: DataFrame, resolution: float, tolerance: float
     raise AssertionError
 
 
-def modularity_communities(edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-7) -> DataFrame:
+def modularity_communities(edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-5) -> DataFrame:
     """(node, community) by local moves and merging (a, b, n), each community under its least node. Levels: nodes move, communities become the nodes of the next graph; when that gains
     nothing more, single nodes may move once more in the whole graph, and all begins anew while that helps. Deterministic, whatever the partitions."""
     whole = kept(_adjacency(edges.where("a IS NOT NULL AND b IS NOT NULL")))
