@@ -32,4 +32,4 @@ def query(name: str, run: Callable, sql: str | None = None, doubles: str = "") -
         ORACLE_SQL[name] = f"SELECT * REPLACE ({cols}) FROM ({sql})" if cols else sql
 
 
-from folioscope.plans import corpus, exchange, networks, series, structure  # noqa: E402, F401
+from folioscope.plans import corpus, exchange, networks, references, series, structure  # noqa: E402, F401
