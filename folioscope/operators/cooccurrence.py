@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators.longform import long, pairs
+from folioscope.operators.longform import cut, long, pairs
 
 #: Documents of an item beyond which coupling tries to do without its pairs.
 POPULAR = 1000
@@ -83,3 +83,37 @@ def expected_gaps(df: DataFrame, column: str, min_items: int = 5, gap: float = 0
     seen = cooccurrence(df, column)
     out = every.join(seen, ["a", "b"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "expected": F.col("ka") * F.col("kb") / n})
     return out.withColumn("gap", (F.col("expected") - F.col("n")) / F.col("expected")).where((F.col("expected") > 1) & (F.col("gap") > gap) & (F.col("n") < below)).select("a", "b", "n", "expected", "gap")
+
+
+def combination_gaps(df: DataFrame, column: str, size: int = 3, min_expected: float = 5.0, gap: float = 2.0, top_n: int = 200, prior: DataFrame | None = None, usual: float = 0.3) -> DataFrame:
+    """(items, n, expected, gap): sets of 2 to size items, in order, that fewer documents hold than expected: expected / max(n, 1) is gap or more. Expected is what independence
+    gives, times 1 + the mean prior of the set's pairs (prior: a, b, prior with a < b, not negative; `usual` for others), and at least min_expected; among the top_n items.
+
+    A set is expected no more often than its parts are, so sets grow level by level from pairs that can still be expected often enough; documents' sets are counted
+    only where they are among these, and grow by joins within the document on the last item. Sets never seen are there, with n = 0. Null and empty lists hold no set."""
+    m = margins(df, column).orderBy(F.desc("k"), "item").limit(top_n)
+    n = df.select(F.count("*")).scalar()
+    most = F.lit(usual) if prior is None else F.greatest(F.lit(usual), F.coalesce(prior.select(F.max("prior")).scalar(), F.lit(usual)))
+    often = lambda t: t.where(F.col("expected") * (1 + most) >= min_expected - 1e-9)
+    a, b = m.select(F.col("item").alias("a"), F.col("k").alias("ka")), m.select(F.col("item").alias("b"), F.col("k").alias("kb"))
+    # top_n ** 2 / 2 pairs at most
+    two = cut(often(a.join(b, F.col("a") < F.col("b")).withColumn("expected", F.col("ka") * F.col("kb") / n)).select("a", "b", "kb", "expected"))
+    sets = two.select(F.array("a", "b").alias("items"), F.col("b").alias("last"), "expected")
+    held = pairs(df, column).join(F.broadcast(two.select("a", "b")), ["a", "b"], "left_semi") if top_n <= 1000 else pairs(df, column).join(two.select("a", "b"), ["a", "b"], "left_semi")
+    rows = held.select("doc_id", F.array("a", "b").alias("items"), F.col("b").alias("last"))
+    every, seen = sets, rows.groupBy("items").agg(F.count("*").alias("n"))
+    for _ in range(size - 2):
+        grown = sets.join(two.select(F.col("a").alias("last"), F.col("b").alias("next"), "kb"), "last")
+        sets = cut(often(grown.select(F.concat("items", F.array("next")).alias("items"), F.col("next").alias("last"), (F.col("expected") * F.col("kb") / n).alias("expected"))))
+        more = held.select("doc_id", F.col("a").alias("last"), F.col("b").alias("next"))
+        rows = rows.join(more, ["doc_id", "last"]).select("doc_id", F.concat("items", F.array("next")).alias("items"), F.col("next").alias("last")).join(sets.select("items"), "items", "left_semi")
+        every, seen = every.union(sets), seen.union(rows.groupBy("items").agg(F.count("*").alias("n")))
+    out = every.select("items", "expected").join(seen, "items", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if prior is None:
+        out = out.withColumn("expected", F.col("expected") * (1 + usual))
+    else:
+        both = pairs(out.select("items"), "items", ["items"]).join(prior.select("a", "b", "prior"), ["a", "b"], "left")
+        mean = both.groupBy("items").agg(F.avg(F.coalesce("prior", F.lit(usual))).alias("_p"))
+        out = out.join(mean, "items").withColumn("expected", F.col("expected") * (1 + F.col("_p"))).drop("_p")
+    out = out.withColumn("gap", F.col("expected") / F.greatest("n", F.lit(1)))
+    return out.where((F.col("expected") >= min_expected - 1e-9) & (F.col("gap") >= gap - 1e-9)).select("items", "n", "expected", "gap")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators import references, similarity
+from folioscope.operators import cooccurrence, references, similarity
 from folioscope.plans.registry import query
-from folioscope.sources.adapters import table
+from folioscope.sources.adapters import PUBS, publications, table
 
 _RATIO = "1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}))::DOUBLE"
 
@@ -64,3 +64,20 @@ h AS (SELECT w.d, w.r, a.n FROM w JOIN a ON a.d = w.d AND ((split_part(w.r, ' ',
 s AS (SELECT d, string_agg(DISTINCT n, '; ' ORDER BY n) AS self_authors FROM h GROUP BY d), c AS (SELECT d, count(*) AS n_refs, count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.d = l.d AND h.r = l.r)) AS n_self FROM l GROUP BY d)
 SELECT o_orderkey AS doc_id, coalesce(n_refs, 0)::BIGINT AS n_refs, coalesce(n_self, 0)::BIGINT AS n_self, coalesce(n_self, 0)::BIGINT AS n_self_refs, coalesce(round(100 * n_self / n_refs, 1), 0.0)::DOUBLE AS rate, coalesce(self_authors, '') AS self_authors
 FROM orders LEFT JOIN c ON c.d = o_orderkey LEFT JOIN s ON s.d = o_orderkey""", "rate")
+
+
+def _gaps(s, d) -> DataFrame:
+    """Combinations of brands; brands of one first digit are expected together more often."""
+    brands = table(s, d, "part").select(F.col("p_brand").alias("a")).distinct()
+    near = brands.join(brands.withColumnRenamed("a", "b"), F.substring("a", 7, 1) == F.substring("b", 7, 1)).where("a < b").select("a", "b", F.lit(0.9).alias("prior"))
+    return cooccurrence.combination_gaps(publications(s, d, "keywords"), "keywords", prior=near).withColumn("items", F.array_join("items", "|"))
+
+
+query("combination_gaps", _gaps, f"""
+WITH {PUBS}, t AS (SELECT count(*)::DOUBLE AS total FROM pubs), m AS (SELECT item, count(*) AS k FROM keywords GROUP BY item),
+q AS (SELECT [a.item, b.item] AS s, a.k * b.k / total AS e FROM m a JOIN m b ON a.item < b.item, t UNION ALL SELECT [a.item, b.item, c.item], a.k * b.k / total * c.k / total FROM m a JOIN m b ON a.item < b.item JOIN m c ON b.item < c.item, t),
+o AS (SELECT [a.item, b.item] AS s, count(*) AS n FROM keywords a JOIN keywords b ON a.doc_id = b.doc_id AND a.item < b.item GROUP BY ALL
+  UNION ALL SELECT [a.item, b.item, c.item], count(*) FROM keywords a JOIN keywords b ON a.doc_id = b.doc_id AND a.item < b.item JOIN keywords c ON c.doc_id = a.doc_id AND b.item < c.item GROUP BY ALL),
+x AS (SELECT s, coalesce(n, 0)::BIGINT AS n, e * (1 + CASE len(s) WHEN 2 THEN CASE WHEN s[1][7] = s[2][7] THEN 0.9 ELSE 0.3 END
+  ELSE (CASE WHEN s[1][7] = s[2][7] THEN 0.9 ELSE 0.3 END + CASE WHEN s[1][7] = s[3][7] THEN 0.9 ELSE 0.3 END + CASE WHEN s[2][7] = s[3][7] THEN 0.9 ELSE 0.3 END) / 3.0::DOUBLE END) AS expected FROM q LEFT JOIN o USING (s))
+SELECT array_to_string(s, '|') AS items, n, expected::DOUBLE AS expected, (expected / greatest(n, 1))::DOUBLE AS gap FROM x WHERE expected >= 5 - 1e-9 AND expected / greatest(n, 1) >= 2 - 1e-9""", "expected gap")

@@ -122,3 +122,31 @@ def test_linked_references(spark):
     assert got == {(2, 1): 1.0, (3, 1): round(plain_indel("spark plans of citation graphs", "spark plans for citation graphs"), 6)}
     near = {(r.citing, r.cited) for r in references.linked_references(df, years=0).collect()}
     assert near == {(2, 1), (3, 2)}
+
+
+@pytest.mark.parametrize("size", [2, 3, 4])
+def test_combination_gaps(spark, size):
+    """Against all sets of a small corpus, with and without a prior, sets never seen among them."""
+    from itertools import combinations
+
+    from folioscope.operators.cooccurrence import combination_gaps
+
+    rng = random.Random(5)
+    docs = [(i, sorted(rng.sample("abcde", rng.randint(1, 3))) + (["z"] if i % 3 == 0 else [])) for i in range(60)]
+    docs = [(i, [x for x in items if not ("a" in items and x == "b")]) for i, items in docs] + [(90, None), (91, [])]
+    df = spark.createDataFrame(docs, "doc_id int, keywords array<string>")
+    k = {x: sum(x in (items or []) for _, items in docs) for x in "abcdez"}
+    prior = spark.createDataFrame([("a", "b", 1.5), ("c", "z", 0.0)], "a string, b string, prior double")
+    for frame, known in ((None, {}), (prior, {("a", "b"): 1.5, ("c", "z"): 0.0})):
+        want = {}
+        for m in range(2, size + 1):
+            for s in combinations(sorted(k), m):
+                p = [known.get(x, 0.3) for x in combinations(s, 2)]
+                e = len(docs) * (1 + sum(p) / len(p))
+                for x in s:
+                    e *= k[x] / len(docs)
+                n = sum(set(s) <= set(items or []) for _, items in docs)
+                if e >= 2 and e / max(n, 1) >= 1.2:
+                    want[s] = (n, round(e, 6))
+        got = {tuple(r["items"]): (r.n, round(r.expected, 6)) for r in combination_gaps(df, "keywords", size, 2.0, 1.2, prior=frame).collect()}
+        assert got == want and any(n == 0 for n, _ in want.values())
