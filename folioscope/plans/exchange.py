@@ -250,12 +250,24 @@ def _mapping(s, d):
 
 query("mapped_names", lambda s, d: lookup.mapped(publications(s, d, "countries").where("countries IS NOT NULL"), "countries", _mapping(s, d)).select("doc_id", F.array_join(F.array_sort("countries"), "; ").alias("regions")), f"WITH {PUBS} SELECT doc_id, string_agg(DISTINCT 'region ' || n_regionkey, '; ' ORDER BY 'region ' || n_regionkey) AS regions FROM countries JOIN nation ON n_name = item GROUP BY doc_id")
 query("standard_columns", lambda s, d: standardise(publications(s, d, "base").select(F.col("doc_id").alias("EID"), F.col("source").alias("SOURCE TITLE"), F.col("cited_by").alias("cited BY"), F.col("year").alias("Year"))).select("EID", "source", "cited_by", "year"), f'WITH {PUBS} SELECT doc_id AS "EID", source, cited_by, year::BIGINT AS year FROM pubs')
-query("detected_databases", lambda s, d: _detected(s), "SELECT * FROM (VALUES ('scopus', 1), ('openalex', 2), ('pubmed', 3), ('lens', 4), ('dimensions', 5), ('wos', 6), ('unknown', 7)) AS t(db, i)")
+_EXPORTS = {
+    "scopus": ("orders", ["EID", "Cited by", "Author Keywords"]), "openalex": ("part", ["id", "doi", "display_name"]), "pubmed": ("customer", ["PMID", "ArticleTitle"]), "lens": ("supplier", ["Lens ID", "Scholarly Citations"]),
+    "dimensions": ("nation", ["Publication ID", "FOR (ANZSRC 2020)"]), "wos": ("lineitem", ["UT", "TC"]), "unknown": ("region", ["a", "b"]),
+}
 
 
-def _detected(s):
-    headers = [["EID", "Cited by", "Author Keywords"], ["id", "doi", "display_name"], ["PMID", "ArticleTitle"], ["Lens ID", "Scholarly Citations"], ["Publication ID", "FOR (ANZSRC 2020)"], ["UT", "TC"], ["a", "b"]]
-    return s.createDataFrame([(detect_database(s.createDataFrame([], ", ".join(f"`{c}` string" for c in h))), i) for i, h in enumerate(headers, 1)], "db string, i int")
+def _detected(s, d):
+    """Records of each table under an export's column names, by the database that these names show."""
+    out = None
+    for name, header in _EXPORTS.values():
+        t = table(s, d, name)
+        t = t.select(*(F.col(c).alias(x) for c, x in zip(t.columns, header, strict=False)))
+        one = t.agg(F.count("*").alias("n")).select(F.lit(detect_database(t)).alias("db"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+query("detected_databases", _detected, " UNION ALL ".join(f"SELECT '{db}' AS db, count(*)::BIGINT AS n FROM {name}" for db, (name, _) in _EXPORTS.items()))
 
 
 # sources and variants -------------------------------------------------------------------------------------------------
