@@ -86,7 +86,7 @@ def slice_bytes(n_ranges: int) -> int:
 
 def scan_sets(df: DataFrame, sim: Similarity, n_ranges: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of two sorts: one for each document (slice, place, id, key: the text's hash, n, digest) and one for each slice and hash range that it meets (slice, range,
-    the remainders there and, as steps, the places of the documents that they are of): a few bytes a shingle, however many ranges there are."""
+    the remainders there and, as steps, the places of the documents that those met once in the slice, which come first, are of): a few bytes a shingle, however many ranges there are."""
     kind = df.schema[id_col].dataType.simpleString()
     names = ["slice", "place", "id", "key", "n", "digest", "range", "owners", "remainders"]
     id_type = to_arrow_type(df.schema[id_col].dataType)
@@ -102,18 +102,25 @@ def scan_sets(df: DataFrame, sim: Similarity, n_ranges: int, id_col: str, text_c
             every = np.concatenate(held)
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
             which = ((every >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(which, kind="stable")
-            which, owner, rest = which[order], owner[order], every[order].astype(np.uint32)
-            cuts = _cuts(which)
-            steps = np.diff(owner, prepend=np.uint32(0))
-            steps[cuts[:-1]] = owner[cuts[:-1]]
-            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            rest = every.astype(np.uint32)
+            # a remainder met twice in this slice is sent once, after the others and without places: a shingle of all documents costs a range a few bytes a slice
+            code = which.astype(np.uint64) << np.uint64(32) | rest
+            order = np.argsort(code)
+            runs = _cuts(code[order])
+            begins, size = runs[:-1], np.diff(runs)
+            lone, again = np.sort(order[begins[size == 1]]), order[begins[size > 1]]
+            lone = lone[np.argsort(which[lone], kind="stable")]  # by range, then document
+            found = np.unique(which)
+            a, b = (np.searchsorted(which[lone], found, side) for side in ("left", "right"))
+            c, d = (np.searchsorted(which[again], found, side) for side in ("left", "right"))
+            own, lone, again = owner[lone], rest[lone], rest[again]
+            spans = list(zip(found.tolist(), a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True))
             for i in range(0, len(spans), 4096):
                 some = spans[i : i + 4096]
                 none = lambda t: pa.nulls(len(some), t)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part + number] * len(some), pa.int64()), none(pa.int32()), none(id_type), none(pa.int64()), none(pa.int32()), none(pa.binary()), pa.array(which[[a for a, _ in some]], pa.int32()),
-                     pa.array([_squeezed(steps[a:b]) for a, b in some], pa.binary()), pa.array([rest[a:b].tobytes() for a, b in some], pa.binary())],
+                    [pa.array([part + number] * len(some), pa.int64()), none(pa.int32()), none(id_type), none(pa.int64()), none(pa.int32()), none(pa.binary()), pa.array([r for r, *_ in some], pa.int32()),
+                     pa.array([_squeezed(np.diff(own[a:b], prepend=np.uint32(0))) for _, a, b, _, _ in some], pa.binary()), pa.array([lone[a:b].tobytes() + again[c:d].tobytes() for _, a, b, c, d in some], pa.binary())],
                     names,
                 )
 
@@ -139,16 +146,17 @@ def scan_sets(df: DataFrame, sim: Similarity, n_ranges: int, id_col: str, text_c
 def _once(part: pa.Table) -> pa.Table:
     """For one hash range: the documents, by slice, with remainders met once in all its blobs, and how many of them."""
     owners = [np.cumsum(_restored(x), dtype=np.uint32) for x in part.column("owners").to_pylist()]
-    values = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("remainders").to_pylist()])
+    sent = [np.frombuffer(x, np.uint32) for x in part.column("remainders").to_pylist()]
+    values = np.concatenate(sent)
     order = np.argsort(values)
     ranked = values[order]
     same = ranked[1:] == ranked[:-1]
     single = np.zeros(len(values), bool)
     single[order] = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
     out, at = [], 0
-    for name, own in zip(part.column("slice").to_pylist(), owners, strict=True):
-        places = own[single[at : at + len(own)]]  # ascending
-        at += len(own)
+    for name, own, here in zip(part.column("slice").to_pylist(), owners, sent, strict=True):
+        places = own[single[at : at + len(own)]]  # ascending; those beyond were met twice in the slice
+        at += len(here)
         cuts = _cuts(places)
         if len(places):
             out.append((name, _squeezed(np.diff(places[cuts[:-1]], prepend=np.uint32(0))), _squeezed(np.diff(cuts).astype(np.uint32))))
@@ -297,7 +305,7 @@ def classes(df: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id
     """(id, key: xxhash64 of the text, n_shingles, digest, component, component_id) for every row: component names the class, component_id is the least id in it."""
     spark = df.sparkSession
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n_ranges = int(max(64, estimate // RANGE_BYTES))
+    n_ranges = min(max(64, estimate // RANGE_BYTES), (1 << 31) - 1)  # numbers of ranges are 32-bit; Spark may know no size
     scanned = stored(spark, scan_sets(df, sim, n_ranges, id_col, text_col), "jaccard-scan")
     docs = scanned.where("range IS NULL").select("slice", "place", "id", "key", "n", "digest")
     once = scanned.where("range IS NOT NULL").select("slice", "range", "owners", "remainders").groupBy("range").applyInArrow(_once, "slice long, places binary, counts binary")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import jaccard
 from folioscope.llm.jaccard import Similarity
@@ -121,3 +122,17 @@ def test_scan_is_linear(spark, sf):
         rows = jaccard.scan_sets(docs, Similarity(), n, "doc_id", "text").where("range IS NOT NULL").selectExpr("sum(length(owners) + length(remainders) + 16) AS n", "sum(length(remainders)) / 4 AS shingles").first()
         sizes[n] = rows["n"] / rows["shingles"]
     assert sizes[64] < 6 and sizes[6400] < 8, sizes
+
+
+def test_shingle_of_all_documents(spark):
+    """A line that all documents share isn't sent once a document: no range is larger than the others."""
+    largest = {}
+    for n in (2000, 8000):
+        df = spark.range(n).selectExpr("id AS doc_id", "concat('one line of many words that they all share ', array_join(transform(sequence(1, 12), i -> hash(id, i)), ' ')) AS text")
+        by = jaccard.scan_sets(df.coalesce(1), Similarity(), 64, "doc_id", "text").where("range IS NOT NULL").groupBy("range").agg(F.sum(F.expr("length(owners) + length(remainders)")).alias("n"))
+        r = by.agg(F.max("n").alias("most"), F.median("n").alias("middle")).first()
+        largest[n] = r["most"] / r["middle"]
+    assert max(largest.values()) < 1.5, largest
+    texts = ["one line of many words that they all share"] * 3 + [f"one line of many words that they all share {i} {i} {i + 1}" for i in range(40)]
+    for sim in (Similarity(3, 60, 100), Similarity()):
+        assert classes_of(spark, texts, sim) == dict(enumerate(plain_classes(texts, sim)))
