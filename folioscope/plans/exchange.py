@@ -12,9 +12,8 @@ from folioscope.functions import strings
 from folioscope.operators import lookup, quality
 from folioscope.operators import cooccurrence as co
 from folioscope.plans.registry import query
-from folioscope.plans.service import works
 from folioscope.schema import detect_database, standardise
-from folioscope.sources import api, files, sinks
+from folioscope.sources import connector, files, sinks
 from folioscope.sources.adapters import PUBS, publications, table
 
 
@@ -316,4 +315,60 @@ query("filtered_by_bradford", lambda s, d: Corpus(publications(s, d, "base")).br
 query("labels_of_documents", lambda s, d: Corpus(publications(s, d, "authors")).labels().select("doc_id", "short"), f"WITH {PUBS} SELECT doc_id, coalesce((SELECT min(item) FROM authors a WHERE a.doc_id = pubs.doc_id), 'Anonymous') || ' (' || year || ')' AS short FROM pubs")
 
 
-query("search_works", lambda s, d: api.search(s, api.Client(works), "works", [{"publication_year": y} for y in range(1990, 2020)]).select("id", "doi", "title", "year", "cited_by", F.array_join("authors", "; ").alias("authors"), F.array_join("countries", "; ").alias("countries"), "abstract"), "SELECT 'W' || y || i AS id, '10.1/' || y || '.' || i AS doi, 'Work ' || i || ' of ' || y AS title, y AS year, i * i AS cited_by, array_to_string(list_transform(range(i % 3), lambda k: 'Author ' || i), '; ') AS authors, CASE WHEN i % 3 > 0 THEN 'SI' ELSE '' END AS countries, 'one two one' AS abstract FROM (SELECT unnest(range(1990, 2020)) AS y), (SELECT unnest(range(7)) AS i)")
+
+
+def _kept(s, d, path: str, records, part: str, values: list):
+    """The records written as a service's pages, and the service over them."""
+    folder = _folder(s, "pages")
+    connector.keep_pages(records, part, folder, path)
+    return connector.connect(s, connector.kept(folder), next(e for e in (connector.WORKS, connector.AUTHORS, connector.INSTITUTIONS) if e.path == path), values)
+
+
+def _works(s, d):
+    """Publications as a service's works, from 1994 on, of two types."""
+    one = lambda name, value: F.struct(value.alias(name))
+    person = lambda a: F.struct(F.struct(F.concat(F.lit("https://w.example/A"), F.replace(a, F.lit("#"), F.lit(""))).alias("id"), a.alias("display_name")).alias("author"), F.array(F.struct(F.col("source").alias("display_name"), F.col("ca_country").alias("country_code"))).alias("institutions"))
+    record = F.struct(
+        F.concat(F.lit("https://w.example/W"), "doc_id").alias("id"), F.concat(F.lit("https://doi.org/10.1/X"), "doc_id").alias("doi"), F.concat(F.lit("Work "), "doc_id").alias("display_name"), F.col("year").alias("publication_year"), F.col("cited_by").alias("cited_by_count"),
+        F.lower("category").alias("type"), F.transform("authors", person).alias("authorships"), F.transform("keywords", lambda k: one("display_name", k)).alias("keywords"), F.create_map(F.lit("two"), F.array(F.lit(1)), F.lit("one"), F.array(F.lit(0), F.lit(2))).alias("abstract_inverted_index"),
+    )
+    rows = publications(s, d, "authors", "keywords").where("year IS NOT NULL").select("year", record.alias("record"))
+    first, last = rows.agg(F.min("year"), F.max("year")).first()
+    found = _kept(s, d, "works", rows, "year", list(range(first or 0, (last or -1) + 1)))
+    return found.where("year >= 1994 AND document_type IN ('1-urgent', '5-low')").select(
+        "id", "doi", "title", "year", "cited_by", "document_type", F.array_join("authors", "; ").alias("authors"), F.array_join("author_ids", "; ").alias("author_ids"), F.array_join("institutions", "; ").alias("institutions"), F.array_join("countries", "; ").alias("countries"), F.array_join("keywords", "; ").alias("keywords"), "abstract"
+    )
+
+
+query("search_works", _works, f"""WITH {PUBS}, a AS (SELECT doc_id, string_agg(item, '; ' ORDER BY item) AS x FROM authors GROUP BY 1), k AS (SELECT doc_id, string_agg(item, '; ' ORDER BY item) AS x FROM keywords GROUP BY 1)
+SELECT 'W' || doc_id AS id, '10.1/x' || doc_id AS doi, 'Work ' || doc_id AS title, year, cited_by, lower(category) AS document_type, coalesce(a.x, '') AS authors, coalesce('A' || replace(replace(a.x, '#', ''), '; ', '; A'), '') AS author_ids, CASE WHEN a.x IS NULL THEN '' ELSE source END AS institutions, CASE WHEN a.x IS NULL THEN '' ELSE ca_country END AS countries, coalesce(k.x, '') AS keywords, 'one two one' AS abstract
+FROM pubs LEFT JOIN a USING (doc_id) LEFT JOIN k USING (doc_id) WHERE year >= 1994 AND lower(category) IN ('1-urgent', '5-low')""")
+
+
+def _nations(s, d) -> list[str]:
+    """Names of the table of nations: as few as there are countries."""
+    return [r[0] for r in table(s, d, "nation").select("n_name").distinct().orderBy("n_name").collect()]
+
+
+def _authors(s, d):
+    """Customers as a service's authors, with the number and prices of their orders."""
+    orders = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("works_count"), F.floor(F.max("o_totalprice")).cast("int").alias("cited_by_count"))
+    rows = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(orders, "c_custkey", "left")
+    place = F.array(F.struct(F.col("c_mktsegment").alias("display_name"), F.col("n_name").alias("country_code")))
+    record = F.struct(F.concat(F.lit("https://w.example/A"), "c_custkey").alias("id"), F.concat(F.lit("https://o.example/"), "c_custkey").alias("orcid"), F.col("c_name").alias("display_name"), "works_count", "cited_by_count", place.alias("last_known_institutions"))
+    return _kept(s, d, "authors", rows.select("n_name", record.alias("record")), "n_name", _nations(s, d)).select("id", "orcid", "name", "works", "cited_by", F.array_join("institutions", "; ").alias("institutions"), F.array_join("countries", "; ").alias("countries"))
+
+
+query("search_authors", _authors, "SELECT 'A' || c_custkey AS id, c_custkey::VARCHAR AS orcid, c_name AS name, n AS works, p AS cited_by, c_mktsegment AS institutions, n_name AS countries FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n, floor(max(o_totalprice))::BIGINT AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+
+
+def _institutions(s, d):
+    """Suppliers as a service's institutions, those of nations from J on."""
+    lines = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.countDistinct("l_orderkey").alias("works_count"), F.sum("l_quantity").cast("long").alias("cited_by_count"))
+    rows = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(lines, "s_suppkey", "left")
+    kind = F.when(F.col("s_suppkey") % 2 == 0, "education").otherwise("company")
+    record = F.struct(F.concat(F.lit("https://w.example/I"), "s_suppkey").alias("id"), F.concat(F.lit("https://r.example/"), "s_suppkey").alias("ror"), F.col("s_name").alias("display_name"), F.col("n_name").alias("country_code"), kind.alias("type"), "works_count", "cited_by_count")
+    return _kept(s, d, "institutions", rows.select("n_name", record.alias("record")), "n_name", _nations(s, d)).where("country >= 'J' AND type = 'education'")
+
+
+query("search_institutions", _institutions, "SELECT 'I' || s_suppkey AS id, s_suppkey::VARCHAR AS ror, s_name AS name, n_name AS country, 'education' AS type, n AS works, q AS cited_by FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey WHERE n_name >= 'J' AND s_suppkey % 2 = 0")
