@@ -42,23 +42,41 @@ def term_effects(df: DataFrame, text: str, label: str, top_n: int = 20) -> DataF
 
 
 def correspondence(cells: DataFrame, row: str, col: str, n: str = "n", axes: int = 2, most: int = 1000) -> DataFrame:
-    """(kind, item, coordinates, inertia) of rows and columns of a contingency table of at most `most` rows and columns."""
-    data = cells.select(F.col(row).cast("string"), F.col(col).cast("string"), F.col(n).cast("double")).collect()
-    rows, cols = sorted({r[0] for r in data}), sorted({r[1] for r in data})
-    if len(rows) > most or len(cols) > most:
-        raise ValueError(f"more than {most} rows or columns: take the top items first")
-    m = np.zeros((len(rows), len(cols)))
-    for r in data:
-        m[rows.index(r[0]), cols.index(r[1])] += r[2]
-    p = m / m.sum()
-    r, c = p.sum(1), p.sum(0)
-    u, s, vt = np.linalg.svd((p - np.outer(r, c)) / np.sqrt(np.outer(r, c)), full_matrices=False)
-    k = min(axes, len(s))
-    sign = np.sign(u[np.abs(u).argmax(0), np.arange(len(s))])
-    x, y = u * sign * s / np.sqrt(r)[:, None], vt.T * sign * s / np.sqrt(c)[:, None]
-    share = [float(v) for v in (s**2 / max((s**2).sum(), 1e-300))[:k]]
-    out = [("row", a, [float(v) for v in x[i, :k]], share) for i, a in enumerate(rows)] + [("column", a, [float(v) for v in y[i, :k]], share) for i, a in enumerate(cols)]
-    return cells.sparkSession.createDataFrame(out, "kind string, item string, coordinates array<double>, inertia array<double>")
+    """(kind, item, coordinates, inertia) of rows and columns of a contingency table of any number of rows and at most `most` columns. Only the columns' products, summed over
+    the rows in the engine, come to the driver (most x most numbers, checked first); rows get their coordinates from the columns'. Each axis points to its largest column entry."""
+    spark = cells.sparkSession
+    t = cells.groupBy(F.col(row).cast("string").alias("r"), F.col(col).cast("string").alias("c")).agg(F.sum(F.col(n).cast("double")).alias("n")).where("n > 0 AND r IS NOT NULL AND c IS NOT NULL")
+    sums = t.groupBy("c").agg(F.sum("n").alias("s")).limit(most + 1).collect()
+    if len(sums) > most:
+        raise ValueError(f"more than {most} columns: take the top items first")
+    place = {c: i for i, c in enumerate(sorted(x["c"] for x in sums))}
+    shape = "kind string, item string, coordinates array<double>, inertia array<double>"
+    if not place:
+        return spark.createDataFrame([], shape)
+    mass = np.zeros(len(place))
+    for x in sums:
+        mass[place[x["c"]]] = x["s"]
+    total = mass.sum()
+    root = np.sqrt(mass / total)
+    whole = t.groupBy(F.col("r").alias("_r")).agg(F.sum("n").alias("m"))
+    left, right = t.select("r", F.col("c").alias("a"), F.col("n").alias("x")), t.select(F.col("r").alias("r2"), F.col("c").alias("b"), F.col("n").alias("y"))
+    products = left.join(whole, F.col("r") == F.col("_r")).join(right, (F.col("r") == F.col("r2")) & (F.col("a") <= F.col("b"))).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y") / F.col("m")).alias("g"))
+    g = np.zeros((len(place), len(place)))
+    for x in products.collect():  # most * (most + 1) / 2 rows at most
+        g[place[x["a"]], place[x["b"]]] = g[place[x["b"]], place[x["a"]]] = x["g"]
+    values, v = np.linalg.eigh(g / total / np.outer(root, root) - np.outer(root, root))
+    order = np.argsort(-values)
+    values, v = np.clip(values[order], 0, None), v[:, order]
+    k = min(axes, len(values))
+    v = (v * np.sign(v[np.abs(v).argmax(0), np.arange(len(values))]))[:, :k]
+    share = [float(x) for x in values[:k] / max(values.sum(), 1e-300)]
+    standard, shift = v / root[:, None], root @ v
+    inertia = F.array(*(F.lit(x) for x in share))
+    columns = spark.createDataFrame([(c, [float(x) for x in standard[i]], [float(x) for x in standard[i] * np.sqrt(values[:k])]) for c, i in place.items()], "_c string, standard array<double>, own array<double>")
+    at = [(F.sum(F.col("n") * F.col("standard")[a]) / F.sum("n") - F.lit(float(shift[a]))).alias(f"x{a}") for a in range(k)]
+    rows = t.join(F.broadcast(columns), F.col("c") == F.col("_c")).groupBy("r").agg(*at)
+    of_rows = rows.select(F.lit("row").alias("kind"), F.col("r").alias("item"), F.array(*(f"x{a}" for a in range(k))).alias("coordinates"), inertia.alias("inertia"))
+    return of_rows.union(columns.select(F.lit("column"), "_c", "own", inertia))
 
 
 def topic_trends(doc_topics: DataFrame, df: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ e AS (SELECT hi, lo, 0.5 * (1 + sign(z) * (1 - ((((1.061405429::DOUBLE * u - 1.4
 SELECT max(n) AS n, max(m) AS mean, max(s) AS sd, max(greatest(abs(hi - f), abs(lo - f))) AS distance FROM e, o""", "mean sd distance")
 query("matching_sentences", lambda s, d: text.matching_sentences(table(s, d, "documents"), "text", "idiot|moron|clown").select("doc_id", "place"), r"""WITH m AS (SELECT doc_id, regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g') AS t FROM documents), s AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) - 1 AS place FROM (SELECT doc_id, list_filter(string_split(t, chr(1)), lambda y: trim(y) <> '') AS p FROM m)) SELECT doc_id, place::BIGINT AS place FROM s WHERE regexp_matches(x, '(?i)idiot|moron|clown')""")
 query("text_entities", lambda s, d: text.entities(table(s, d, "documents"), "text", {"year": r"(?:19|20)[0-9]{2}", "capitals": r"[A-Z]{2,6}"}), r"SELECT doc_id, kind, value, count(*)::BIGINT AS n FROM (SELECT doc_id, 'year' AS kind, unnest(regexp_extract_all(text, '(?:19|20)[0-9]{2}')) AS value FROM documents UNION ALL SELECT doc_id, 'capitals', unnest(regexp_extract_all(text, '[A-Z]{2,6}')) FROM documents) GROUP BY ALL")
-query("correspondence", lambda s, d: evaluation.correspondence(co.between(P(s, d, "keywords", "types").where("keywords IS NOT NULL"), "keywords", "types"), "a", "b").select("kind", "item"))
+query("correspondence", lambda s, d: evaluation.correspondence(co.between(P(s, d, "keywords", "types").where("keywords IS NOT NULL"), "keywords", "types"), "a", "b"))
 query("term_effects", lambda s, d: evaluation.term_effects(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id"), "text", "toxic", 5).select("term", "coefficient"))
 query("cross_validation", lambda s, d: evaluation.cross_validate(table(s, d, "documents").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id"), "text", "quality", 3))
 query("topic_coherence", lambda s, d: evaluation.topic_coherence(models.topics(table(s, d, "documents"), "text", 3, rounds=3)[0], table(s, d, "documents"), "text"))
