@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioscope.corpus import Corpus
@@ -102,21 +104,42 @@ for _kind in ("parquet", "orc"):
 
 
 
-def _written(s, d, name: str, db: str, kind: str, value, columns: list[str], by: str | None = None):
-    """Publications written as text, a row for each record (or, with by, one file for each value, its records put together by value), and read back."""
+#: What stands before and after the records of a file, and between them.
+_AROUND = {"crossref": ('{"message": {"items": [', "]}}"), "orcid": ('{"group": [', "]}"), "endnote": ("<xml><records>", "</records></xml>"), "dblp": ("<dblp>", "</dblp>"), "zotero": ('<rdf:RDF xmlns:rdf="r" xmlns:bib="b" xmlns:dc="d" xmlns:dcterms="t" xmlns:foaf="f">', "</rdf:RDF>")}
+#: Records of a JSON message: the services answer with pages of a thousand at most.
+_PAGE = 1000
+
+
+def _written(s, d, name: str, db: str, kind: str, value, columns: list[str]):
+    """Publications written as text and read back: a row for each record, XML with its opening and closing tags in each task's file, JSON in messages of a thousand records, one a line."""
     path = _folder(s, name)
-    t = _records(s, d).where("authors <> ''")
-    if by is None:
-        t.select(value.alias("value")).write.text(path)
-    else:
-        t.groupBy(by).agg(F.array_join(F.collect_list(value), "," if kind == "json" else "").alias("x")).select(by, "x").transform(lambda g: g.select(by, _wrap(name).alias("value"))).write.partitionBy(by).text(path)
-    return files.read(s, path, db, kind).select(*columns)
+    lines = _records(s, d).where("authors <> ''").select(value.alias("value"))
+    if name in _AROUND:
+        lines = lines.mapInArrow(_pages(*_AROUND[name]) if kind == "json" else _document(*_AROUND[name]), "value string")
+    lines.write.text(path)
+    return files.read(s, path, db, kind, **({"lines": True} if kind == "json" else {})).select(*columns)
+
+
+def _document(opening: str, closing: str):
+    """A task's records as they come, between what opens and closes a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch({"value": [opening]})
+        yield from batches
+        yield pa.record_batch({"value": [closing]})
+
+    return run
+
+
+def _pages(opening: str, closing: str):
+    """A task's records in messages of _PAGE at most."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _PAGE):
+                yield pa.record_batch({"value": [opening + ",".join(batch["value"].slice(at, _PAGE).to_pylist()) + closing]})
 
-def _wrap(name: str):
-    """The records of a file, with what stands around them."""
-    opening, closing = {"crossref": ('{"message": {"items": [', "]}}"), "orcid": ('{"group": [', "]}"), "endnote": ("<xml><records>", "</records></xml>"), "dblp": ("<dblp>", "</dblp>"), "zotero": ('<rdf:RDF xmlns:rdf="r" xmlns:bib="b" xmlns:dc="d" xmlns:dcterms="t" xmlns:foaf="f">', "</rdf:RDF>")}[name]
-    return F.concat(F.lit(opening), "x", F.lit(closing))
+    return run
 
 
 def _tagged(tag: str, column):
@@ -162,11 +185,11 @@ def _summary():
 
 
 _SOME = "FROM rec WHERE authors IS NOT NULL"
-query("read_endnote_xml", lambda s, d: _written(s, d, "endnote", "endnote", "xml", _endnote(), ["title", "source", "authors", "year", "author_keywords", "doi"], "source"), f"{_REC} SELECT title, source, authors, year, author_keywords, doi {_SOME}")
-query("read_dblp_xml", lambda s, d: _written(s, d, "dblp", "dblp", "xml", _dblp(), ["title", "source", "authors", "year", "doi", "document_type"], "source"), f"{_REC} SELECT title, source, authors, year, doi, CASE WHEN doc_id % 2 = 0 THEN 'article' ELSE 'inproceedings' END AS document_type {_SOME}")
-query("read_crossref", lambda s, d: _written(s, d, "crossref", "crossref", "json", _crossref(), ["doi", "title", "authors", "year", "source", "cited_by", "document_type"], "year"), f"{_REC} SELECT doi, title, replace(authors, '#', ', ') AS authors, year::BIGINT AS year, source, cited_by, 'journal-article' AS document_type {_SOME}")
-query("read_orcid", lambda s, d: _written(s, d, "orcid", "orcid", "json", _orcid(), ["title", "year", "source", "document_type", "doi"], "year"), f"{_REC} SELECT title, year, source, 'journal-article' AS document_type, doi {_SOME}")
-query("read_zotero_rdf", lambda s, d: _written(s, d, "zotero", "zotero", "rdf", _zotero(), ["title", "authors", "year", "abstract"], "source"), f"{_REC} SELECT title, replace(authors, '#', ', ') AS authors, year, source AS abstract {_SOME}")
+query("read_endnote_xml", lambda s, d: _written(s, d, "endnote", "endnote", "xml", _endnote(), ["title", "source", "authors", "year", "author_keywords", "doi"]), f"{_REC} SELECT title, source, authors, year, author_keywords, doi {_SOME}")
+query("read_dblp_xml", lambda s, d: _written(s, d, "dblp", "dblp", "xml", _dblp(), ["title", "source", "authors", "year", "doi", "document_type"]), f"{_REC} SELECT title, source, authors, year, doi, CASE WHEN doc_id % 2 = 0 THEN 'article' ELSE 'inproceedings' END AS document_type {_SOME}")
+query("read_crossref", lambda s, d: _written(s, d, "crossref", "crossref", "json", _crossref(), ["doi", "title", "authors", "year", "source", "cited_by", "document_type"]), f"{_REC} SELECT doi, title, replace(authors, '#', ', ') AS authors, year::BIGINT AS year, source, cited_by, 'journal-article' AS document_type {_SOME}")
+query("read_orcid", lambda s, d: _written(s, d, "orcid", "orcid", "json", _orcid(), ["title", "year", "source", "document_type", "doi"]), f"{_REC} SELECT title, year, source, 'journal-article' AS document_type, doi {_SOME}")
+query("read_zotero_rdf", lambda s, d: _written(s, d, "zotero", "zotero", "rdf", _zotero(), ["title", "authors", "year", "abstract"]), f"{_REC} SELECT title, replace(authors, '#', ', ') AS authors, year, source AS abstract {_SOME}")
 query("read_pubmed_summary", lambda s, d: _written(s, d, "summary", "pubmed", "summary", _summary(), ["title", "authors", "source", "year", "pmid", "doi"]), f"{_REC} SELECT replace(title, ', part', ' part') AS title, authors, source, year, doc_id::VARCHAR AS pmid, doi {_SOME}")
 query("read_id_list", lambda s, d: _written(s, d, "ids", "pubmed", "ids", F.concat(F.lit(" "), "doc_id", F.lit(" ")), ["pmid"]), f"{_REC} SELECT doc_id::VARCHAR AS pmid {_SOME}")
 

@@ -153,20 +153,20 @@ def flattened(df: DataFrame, name: str) -> Column:
     return c
 
 
-def crossref(spark: SparkSession, path: str) -> DataFrame:
-    """CrossRef messages: items with authors and issued date parts."""
+def crossref(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """CrossRef messages: items with authors and issued date parts. A message is held whole, so files should hold a message (a page of the service, a thousand items at most) each, or with lines one on each line."""
     schema = "message struct<items: array<struct<DOI: string, title: array<string>, author: array<struct<given: string, family: string>>, issued: struct<`date-parts`: array<array<int>>>, `container-title`: array<string>, `is-referenced-by-count`: bigint, type: string>>>"
-    x = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("message.items").alias("x"))
+    x = spark.read.schema(schema).json(path, multiLine=not lines).select(F.explode("message.items").alias("x"))
     return x.select(
         F.col("x.DOI").alias("doi"), F.col("x.title")[0].alias("title"), F.array_join(F.transform("x.author", lambda a: F.concat_ws(", ", a["family"], a["given"])), "; ").alias("authors"),
         F.col("x.issued")["date-parts"][0][0].alias("year"), F.col("x.container-title")[0].alias("source"), F.col("x.is-referenced-by-count").alias("cited_by"), F.col("x.type").alias("document_type"),
     )
 
 
-def orcid(spark: SparkSession, path: str) -> DataFrame:
-    """ORCID works: title, year, source, type and DOI of each work summary."""
+def orcid(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """ORCID works: title, year, source, type and DOI of each work summary. One person's works are held whole: a file for each, or with lines one on each line."""
     schema = "group array<struct<`work-summary`: array<struct<title: struct<title: struct<value: string>>, `publication-date`: struct<year: struct<value: string>>, `journal-title`: struct<value: string>, type: string, `external-ids`: struct<`external-id`: array<struct<`external-id-type`: string, `external-id-value`: string>>>>>>>"
-    x = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("group").alias("g")).select(F.col("g.work-summary")[0].alias("x"))
+    x = spark.read.schema(schema).json(path, multiLine=not lines).select(F.explode("group").alias("g")).select(F.col("g.work-summary")[0].alias("x"))
     ids = F.filter(F.col("x.external-ids.external-id"), lambda i: i["external-id-type"] == "doi")
     return x.select(F.col("x.title.title.value").alias("title"), F.col("x.publication-date.year.value").alias("year"), F.col("x.journal-title.value").alias("source"), F.col("x.type").alias("document_type"), F.try_element_at(ids, F.lit(1))["external-id-value"].alias("doi"))
 
