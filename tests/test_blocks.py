@@ -95,3 +95,21 @@ def test_few_jobs_for_far_nodes(spark):
     chain = spark.createDataFrame([(i, i + 1, 1) for i in range(60)], "a long, b long, n int")
     got, n = jobs(spark, lambda: network.path_stats(chain).collect())
     assert [tuple(r)[:4] for r in got] == [(0, 61, 60, 30)] and n < 40
+
+
+def test_triangles_without_pairs_of_edges(spark, monkeypatch):
+    from itertools import combinations
+
+    rng = random.Random(3)
+    pairs = [p for p in combinations(range(60), 2) if rng.random() < 0.6]
+    near = {frozenset(p) for p in pairs}
+    want = dict.fromkeys(range(60), 0)
+    for three in combinations(range(60), 3):
+        if all(frozenset(p) in near for p in combinations(three, 2)):
+            for v in three:
+                want[v] += 1
+    monkeypatch.setattr(blocks, "GROUP_EDGES", 300)
+    monkeypatch.setattr(blocks, "STEP", 1000)
+    assert blocks.groups(len(pairs)) > 4
+    e = spark.createDataFrame([(f"n{a}", f"n{b}", 1) for a, b in pairs], "a string, b string, n int")
+    assert {int(r["node"][1:]): r["triangles"] for r in graph.triangles(e).collect()} == want
