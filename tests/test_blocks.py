@@ -113,3 +113,12 @@ def test_triangles_without_pairs_of_edges(spark, monkeypatch):
     assert blocks.groups(len(pairs)) > 4
     e = spark.createDataFrame([(f"n{a}", f"n{b}", 1) for a, b in pairs], "a string, b string, n int")
     assert {int(r["node"][1:]): r["triangles"] for r in graph.triangles(e).collect()} == want
+
+
+def test_pagerank_rounds_are_not_made_again(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (1, 3)], "src long, dst long")
+    out = graph.pagerank(e, 6)
+    ranks = {r["node"]: r["rank"] for r in out.collect()}
+    assert abs(sum(ranks.values()) - 1) < 1e-9 and ranks[3] > ranks[2] > ranks[1]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # the last round is read, not joined anew
+    assert graph.pagerank(e.limit(0), 2).collect() == []
