@@ -21,7 +21,7 @@ def citation_indices(rows: DataFrame, entity: str, cites: str = "cited_by", year
     up = Window.partitionBy(entity).orderBy(cites)
     all_ = Window.partitionBy(entity)
     c, i = F.col("c"), F.col("i")
-    cols = [F.col(entity).alias("entity"), F.col(cites).cast("double").alias("c"), F.row_number().over(down).alias("i"), F.sum(F.col(cites).cast("double")).over(run).alias("s"), F.row_number().over(up).alias("up"), F.count("*").over(all_).alias("n")]
+    cols = [F.col(entity).alias("entity"), F.col(cites).cast("double").alias("c"), F.row_number().over(down).cast("long").alias("i"), F.sum(F.col(cites).cast("double")).over(run).alias("s"), F.row_number().over(up).alias("up"), F.count("*").over(all_).alias("n")]
     if year:
         cols.append(F.col(year).alias("year"))
     if authors:
