@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans
@@ -12,8 +15,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators import blocks
 from folioscope.operators.counting import tokens
-from folioscope.operators.longform import cut, long
+from folioscope.operators.longform import cut, kept, long
 
 
 def topics(df: DataFrame, text: str, k: int = 10, vocabulary: int = 1 << 18, rounds: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -68,19 +72,55 @@ def predict_citations(df: DataFrame, features: list[str], seed: int = 1) -> Data
 
 
 def similar_authors(df: DataFrame, top_n: int = 10, exclude_coauthors: bool = True) -> DataFrame:
-    """(a, b, cosine): for each author the top_n others by cosine of keyword counts, those of common documents left out.
-    Authors meet at keywords; both lists are aggregated to one row for each author and keyword before the join."""
+    """(a, b, cosine, rank): for each author the top_n others by cosine of keyword counts, those of common documents left out.
+    Authors are dealt into groups, and a task multiplies the rows of two groups: only the top_n of an author in a group leave it, so no pair of authors is a row before that."""
     t = df.select("doc_id", "authors", "keywords").withColumn("a", F.explode("authors"))
     k = t.select("a", F.explode("keywords").alias("k")).groupBy("a", "k").agg(F.count("*").cast("double").alias("n"))
-    k = k.withColumn("n", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("a"))))
-    pairs = k.join(k.select(F.col("a").alias("b"), "k", F.col("n").alias("m")), "k").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("cosine"))
+    k = k.withColumn("n", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("a")))).where("a IS NOT NULL AND k IS NOT NULL")
+    rows = kept(k.groupBy("a").agg(F.collect_list(F.struct("k", "n")).alias("x")).select("a", F.col("x.k").alias("ks"), F.col("x.n").alias("ns")))
+    n, most = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("ks")), F.lit(0))).first()
+    g = max(n // blocks.TASK_ROWS, most // blocks.TASK_ITEMS) + 1
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long")))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(g)).cast("long")
+    none = F.lit(None).cast(rows.schema["a"].dataType).alias("b")
+    sent = rows.select(group("a").alias("i"), every.alias("j"), F.lit(0).alias("side"), "a", none, "ks", "ns")
+    sent = sent.union(rows.select(every.alias("i"), group("a").alias("j"), F.lit(1), "a", none, "ks", "ns"))
     if exclude_coauthors:
         met = t.select("a", F.explode("authors").alias("b")).where("a <> b").distinct()
-        pairs = pairs.join(met, ["a", "b"], "left_anti")
+        sent = sent.union(met.select(group("a"), group("b"), F.lit(2), "a", "b", F.lit(None).cast(rows.schema["ks"].dataType), F.lit(None).cast("array<double>")))
+    kind = rows.schema["a"].dataType.simpleString()
+    pairs = sent.repartition(g * g, "i", "j").groupBy("i", "j").applyInArrow(lambda x: _nearest(x, top_n), f"a {kind}, b {kind}, cosine double")
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= top_n)
 
 
+def _nearest(t: pa.Table, top_n: int) -> pa.Table:
+    """(a, b, cosine): the top_n of side 1 for each row of side 0, of equal ones the least; pairs of side 2 and an author itself are left out."""
+    side = t["side"].to_numpy()
+    left, right, met = (t.filter(pa.array(side == i)) for i in range(3))
+    mine = left["a"].combine_chunks()
+    names, (at,) = blocks.coded(right["a"])
+    (lk, lr), (rk, rr) = blocks.items(left["ks"]), blocks.items(right["ks"])
+    words, (lk, rk) = blocks.coded(lk, rk)
+    lv, rv = (blocks.items(x["ns"])[0].to_numpy() for x in (left, right))
+    n, top = len(names), min(top_n, len(names))
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    where = lambda x, among: pc.fill_null(pc.index_in(x, value_set=among), -1).to_numpy().astype(np.int64)
+    no_a, no_b = np.append(np.arange(len(left)), where(met["a"], mine)), np.append(where(left["a"], names), where(met["b"], names))
+    no_a, no_b = no_a[no_b >= 0], no_b[no_b >= 0]
+    for first, x in blocks.products((lr, lk, lv), (at[rr], rk, rv), len(left), n, len(words)) if top else ():
+        no = (no_a >= first) & (no_a < first + len(x))
+        x[no_a[no] - first, no_b[no]] = 0.0
+        # nine digits, then the names' order, in one number
+        key = np.rint(x * 1e9) * n + np.arange(n - 1, -1, -1)
+        key[x <= 0] = -1
+        best = np.argpartition(key, n - top, axis=1)[:, n - top :]
+        i, j = np.nonzero(np.take_along_axis(key, best, 1) >= 0)
+        out.append((i + first, best[i, j], x[i, best[i, j]]))
+    a, b, cosine = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.table({"a": mine.take(pa.array(a)), "b": names.take(pa.array(b)), "cosine": cosine})
+
+
 def experts(df: DataFrame, topics_: list[str], now: int, min_docs: int = 2) -> DataFrame:
     """(item, matches, documents, citations, recent) of authors with documents on the topics, with min_docs documents in all."""
     t = df.select("doc_id", "year", "cited_by", "keywords", F.explode("authors").alias("item"))
