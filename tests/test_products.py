@@ -3,11 +3,12 @@
 import math
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 
-from folioscope.operators import blocks, models
+from folioscope.operators import blocks, models, quality
 
 
 @pytest.fixture
@@ -51,3 +52,24 @@ def test_similar_authors(spark, small_tasks, exclude):
     got = models.similar_authors(spark.createDataFrame(docs, "doc_id int, authors array<string>, keywords array<string>").repartition(3), 4, exclude)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["a"], r["rank"]): (r["b"], pytest.approx(r["cosine"], abs=1e-9)) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("within", [["y"], []])
+def test_similar_strings_that_meet_often(spark, small_tasks, monkeypatch, within):
+    """As all pairs, by tasks of two groups: pairs that share a rare bigram are never rows. Copies, one letter, null groups."""
+    monkeypatch.setattr(quality, "MOST_MEETINGS", 0)
+    rng = random.Random(5)
+    rows = [(i, i % 2, "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))) for i in range(90)] + [(900, 0, None), (901, 1, ""), (902, None, "abcabc"), (903, 0, "ab"), (904, 0, "ab")]
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)} or {t}
+    least, want = {}, {}
+    for i, y, t in rows:
+        if t and (y is not None or not within):
+            least.setdefault((y if within else 0, t), i)
+    for ((y, t), i), ((z, u), j) in combinations(least.items(), 2):
+        share = len(grams(t) & grams(u)) / len(grams(t) | grams(u))
+        if y == z and share >= 0.6:
+            want[i, j] = share
+    want |= {(first, i): 1.0 for i, y, t in rows if (first := least.get((y if within else 0, t), i)) != i}
+    out = quality.similar_strings(spark.createDataFrame(rows, "k int, y int, t string"), "k", "t", within, 0.6)
+    assert {(r["a"], r["b"]): r["similarity"] for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2  # copies, and the number of parts
