@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import communities, graph, network
+from folioscope.operators import blocks, communities, graph, network
 
 
 def reach(pairs):
@@ -134,3 +134,18 @@ def test_weights_of_cycles(spark):
         network.condensed_weights(e, "other")
     path = graph.main_path(network.condensed_weights(e))
     assert [r["node"] for r in path.orderBy(F.col("place")).collect()] == ["x", "b", "e"]
+
+
+def test_communities_in_tasks(spark, monkeypatch):
+    """Components that fit a task take no rounds, loops and several components included, with a modularity as good as by rounds of frames; larger ones go by these."""
+    rng = random.Random(6)
+    pairs = [(100 * g + a, 100 * g + b, float(rng.randrange(1, 4))) for g in range(3) for a, b in combinations(range(24), 2) if rng.random() < (0.6 if a // 8 == b // 8 else 0.05)] + [(3, 3, 2.0), (900, 900, 1.0)]
+    df = spark.createDataFrame(pairs, "a long, b long, n double")
+    want = {r["node"]: r["community"] for r in network._communities(network._adjacency(df), 2 * sum(w for *_, w in pairs), 1.0, 1e-5).collect()}
+    monkeypatch.setattr(network, "_moved", lambda *_: pytest.fail("a round of frames"))
+    got = {r["node"]: r["community"] for r in network.modularity_communities(df).collect()}
+    assert got.keys() == want.keys() and all(got[c] == c and c <= v for v, c in got.items())
+    assert modularity(pairs, got) >= max(modularity(pairs, want), modularity(pairs, communities.louvain(pairs))) - 1e-3
+    monkeypatch.undo()
+    monkeypatch.setattr(blocks, "TASK_EDGES", 80)
+    assert {r["node"]: r["community"] for r in network.modularity_communities(df).collect()}.keys() == want.keys()
