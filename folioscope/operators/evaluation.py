@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.counting import tokens
-from folioscope.operators.longform import running
+from folioscope.operators.longform import kept, running
 
 
 def cross_validate(df: DataFrame, text: str, label: str, folds: int = 5, vocabulary: int = 1 << 18) -> DataFrame:
@@ -88,9 +88,12 @@ def topic_trends(doc_topics: DataFrame, df: DataFrame) -> DataFrame:
 def topic_coherence(terms: DataFrame, df: DataFrame, text: str, top: int = 5) -> DataFrame:
     """(topic, coherence): mean over pairs of a topic's top terms of ln((documents with both + 1) / documents with the first)."""
     t = terms.select("topic", F.posexplode(F.slice("terms", 1, top)).alias("i", "term"))
-    docs = df.select("doc_id", F.explode(F.array_distinct(tokens(text, r"\p{L}{3,}"))).alias("term")).join(t.select("term").distinct(), "term", "left_semi")
-    have = docs.groupBy("term").agg(F.count("*").alias("k"))
-    both = docs.join(docs.select("doc_id", F.col("term").alias("other")), "doc_id").where("term <> other").groupBy("term", "other").agg(F.count("*").alias("b"))
+    # texts are taken apart once, and only the topics' terms stay; pairs of them are made inside the row
+    named = t.select(F.coalesce(F.collect_set("term"), F.array().cast("array<string>"))).scalar()
+    docs = kept(df.select("doc_id", F.array_intersect(tokens(text, r"\p{L}{3,}"), named).alias("found")).where(F.size("found") > 0))
+    have = docs.select(F.explode("found").alias("term")).groupBy("term").agg(F.count("*").alias("k"))
+    two = docs.select(F.col("found").alias("others"), F.explode("found").alias("term")).select("term", F.explode("others").alias("other")).where("term <> other")
+    both = two.groupBy("term", "other").agg(F.count("*").alias("b"))
     p = t.join(t.select("topic", F.col("i").alias("j"), F.col("term").alias("other")), "topic").where("i < j").join(both, ["term", "other"], "left").join(have, "term")
     return p.groupBy("topic").agg(F.avg(F.log((F.coalesce("b", F.lit(0)) + 1) / F.col("k"))).alias("coherence"))
 

@@ -22,9 +22,10 @@ from folioscope.operators.longform import cut, kept, long
 
 def topics(df: DataFrame, text: str, k: int = 10, vocabulary: int = 1 << 18, rounds: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(topic, terms) and (doc_id, topic, weight) of latent Dirichlet allocation; topics are numbered from 1, texts without words have none."""
-    words = df.select("doc_id", tokens(text, r"\p{L}{3,}").alias("words")).where(F.size("words") > 0)
+    words = kept(df.select("doc_id", tokens(text, r"\p{L}{3,}").alias("words")).where(F.size("words") > 0))  # texts are taken apart once
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2.0).fit(words)
-    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(counted := counter.transform(words))
+    counted = kept(counter.transform(words).select("doc_id", "features"))  # read in every round
+    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(counted)
     terms = df.sparkSession.createDataFrame([(r["topic"] + 1, [counter.vocabulary[i] for i in r["termIndices"]]) for r in model.describeTopics(10).collect()], "topic int, terms array<string>")  # k rows
     dist = model.transform(counted).select("doc_id", vector_to_array("topicDistribution").alias("d"))
     return terms, dist.select("doc_id", (F.array_position("d", F.array_max("d"))).cast("int").alias("topic"), F.array_max("d").alias("weight"))
@@ -32,9 +33,10 @@ def topics(df: DataFrame, text: str, k: int = 10, vocabulary: int = 1 << 18, rou
 
 def cluster_texts(df: DataFrame, text: str, k: int = 5, vocabulary: int = 1 << 18, seed: int = 1) -> DataFrame:
     """(doc_id, cluster) by k-means of TF-IDF rows of length 1."""
-    words = df.select("doc_id", tokens(text, r"\p{L}{3,}").alias("words"))
-    stages = [CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), KMeans(k=k, seed=seed, predictionCol="cluster")]
-    return Pipeline(stages=stages).fit(words).transform(words).select("doc_id", "cluster")
+    words = kept(df.select("doc_id", tokens(text, r"\p{L}{3,}").alias("words")))  # texts are taken apart once
+    counted = kept(CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocabulary).fit(words).transform(words).select("doc_id", "tf"))
+    stages = [IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"), KMeans(k=k, seed=seed, predictionCol="cluster")]
+    return Pipeline(stages=stages).fit(counted).transform(counted).select("doc_id", "cluster")
 
 
 def cluster_vectors(df: DataFrame, vector: str, ks: list[int], key: str = "vec_id", seed: int = 1) -> DataFrame:
