@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from folioscope.operators import blocks, graph, network
@@ -122,3 +123,10 @@ def test_pagerank_rounds_are_not_made_again(spark):
     assert abs(sum(ranks.values()) - 1) < 1e-9 and ranks[3] > ranks[2] > ranks[1]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # the last round is read, not joined anew
     assert graph.pagerank(e.limit(0), 2).collect() == []
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+def test_communities_of_no_weight():
+    """Nodes whose edges weigh nothing stay alone, and it ends."""
+    assert blocks.communities(np.array([0, 1]), np.array([1, 2]), np.zeros(2), 3, 0.0, 1.0, 1e-5).tolist() == [0, 1, 2]
+    assert blocks.communities(np.array([0, 1, 3]), np.array([1, 2, 4]), np.array([1.0, 1.0, 0.0]), 5, 4.0, 1.0, 1e-5).tolist() == [0, 0, 0, 3, 4]
