@@ -187,6 +187,21 @@ def test_coupling(spark, monkeypatch, at_least, hot):
     assert got == want
 
 
+@pytest.mark.parametrize("at_least", [2, 3])
+def test_coupling_meets_on_pairs(spark, at_least):
+    """Short lists meet on two items at once, so no join is on one item of many documents; with long lists they meet on single ones. The pairs are the same."""
+    rng = random.Random(6)
+    docs = {i: [f"i{k}" for k in sorted(rng.sample(range(12), rng.randrange(0, 5)))] for i in range(120)} | {900: None, 901: ["i1", None, "i1", "i2", "i3"]}
+    sets = {i: set(x or []) - {None} for i, x in docs.items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id int, refs array<string>")
+    out = co.coupling(df, "refs", at_least)
+    assert {(r["a"], r["b"]): r["n"] for r in out.collect()} == {(i, j): n for i in sets for j in sets if i < j and (n := len(sets[i] & sets[j])) >= at_least}
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert any(x.count("=") == 2 for x in joins)
+    long_lists = spark.createDataFrame([(1, [f"i{k}" for k in range(50)]), (2, [f"i{k}" for k in range(3, 60)])], "doc_id int, refs array<string>")
+    assert [tuple(r) for r in co.coupling(long_lists, "refs", at_least).collect()] == [(1, 2, 47)]
+
+
 def test_nmf(spark):
     """The factors of two matrices at once, against the same updates in numpy from the same start."""
     rng = random.Random(8)
