@@ -72,12 +72,17 @@ def linked_references(docs: DataFrame, references: str = "references", threshold
     there = (docs if cited is None else cited).select("doc_id", normal_title(F.col("title")).alias("t"), "year").where("t IS NOT NULL")
     # of one title and year the two least ids can be cited: the second where the first is the citing document
     there = there.withColumn("i", F.row_number().over(Window.partitionBy("t", "year").orderBy("doc_id"))).where("i <= 2").drop("i")
-    refs = docs.select("doc_id", F.explode(F.array_distinct(list_column(docs, references, sep))).alias("ref"))
-    refs = refs.withColumn("p", reference_parts(F.col("ref"))).select(F.col("doc_id").alias("citing"), "ref", normal_title(F.col("p.title")).alias("t"), F.col("p.year").alias("y")).where("t IS NOT NULL")
-    titles = refs.select("t").distinct().withColumn("k", F.col("t"))
+    refs = docs.select(F.col("doc_id").alias("citing"), F.explode(F.array_distinct(list_column(docs, references, sep))).alias("ref")).where("ref IS NOT NULL")
+    # a reference is taken apart and looked up once, however many documents have it: by way of its count, as a filter on parts of the text itself would be moved to all rows
+    once = refs.groupBy("ref").agg(F.count("*").alias("_n"))
+    parts = once.withColumn("p", reference_parts(F.when(F.col("_n") > 0, F.col("ref")))).select("ref", normal_title(F.col("p.title")).alias("t"), F.col("p.year").alias("y")).where("t IS NOT NULL")
+    titles = parts.select("t").distinct().withColumn("k", F.col("t"))
     near = ratio_matches(titles, there.select(F.col("t").alias("k"), "t").distinct(), "k", "t", threshold, None, measure)
-    found = refs.join(near.select(F.col("a").alias("t"), F.col("b").alias("_b"), "similarity"), "t").join(there.select(F.col("t").alias("_b"), F.col("doc_id").alias("cited"), F.col("year").alias("_y")), "_b").where("citing <> cited")
+    found = parts.join(near.select(F.col("a").alias("t"), F.col("b").alias("_b"), "similarity"), "t").join(there.select(F.col("t").alias("_b"), F.col("doc_id").alias("cited"), F.col("year").alias("_y")), "_b")
     if years is not None:
         found = found.where(F.abs(F.col("y") - F.col("_y")) <= years)
-    best = found.groupBy("citing", "ref").agg(F.min_by(F.struct("cited", "similarity"), F.struct(-F.col("similarity"), "cited")).alias("m"))
+    # of a reference the two best can be cited: the second where the first is the citing document
+    found = found.groupBy("ref", "cited").agg(F.max("similarity").alias("similarity")).withColumn("i", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("similarity"), "cited"))).where("i <= 2")
+    two = found.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("i", "cited", "similarity"))).alias("two"))
+    best = refs.join(two, "ref").select("citing", F.try_element_at(F.filter("two", lambda m: m["cited"] != F.col("citing")), F.lit(1)).alias("m")).where("m IS NOT NULL")
     return best.groupBy("citing", F.col("m.cited").alias("cited")).agg(F.max("m.similarity").alias("similarity"))

@@ -124,6 +124,25 @@ def test_linked_references(spark):
     assert near == {(2, 1), (3, 2)}
 
 
+def test_references_are_taken_apart_once(spark, monkeypatch):
+    """A reference of many documents is taken apart once (twice, if a plan's parts don't share it), and a document that it means cites the next best one."""
+    from pyspark.sql import functions as F
+
+    taken = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        taken.add(1)
+        return x
+
+    whole = references.reference_parts
+    monkeypatch.setattr(references, "reference_parts", lambda c: whole(F.udf(count)(c)))
+    refs = ["Doe, J. (2000). Spark plans for citation graphs. J", "Roe (2005). Another title altogether. J"]
+    docs = [(i, 2000, ("Spark plans for citation graphs", "Spark plans of citation graphs", "Another title altogether")[i] if i < 3 else None, refs) for i in range(200)]
+    got = {(r.citing, r.cited) for r in references.linked_references(spark.createDataFrame(docs, "doc_id int, year int, title string, references array<string>")).collect()}
+    assert got == {(i, 0) for i in range(1, 200)} | {(i, 2) for i in range(200) if i != 2} | {(0, 1)}
+    assert taken.value <= 40
+
+
 @pytest.mark.parametrize("size", [2, 3, 4])
 def test_combination_gaps(spark, size):
     """Against all sets of a small corpus, with and without a prior, sets never seen among them."""
