@@ -5,11 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Share below which a text may have no part that its partner must hold, by measure.
 LEAST = {"indel": 2 / 3, "levenshtein": 1 / 2}
-_EPS = 1e-9
+EPS = 1e-9
 
 
 def common_length(a: str, b: str) -> int:
@@ -33,24 +33,35 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def indel_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """A row for each text of the first list with its `indel_ratio` to each text of the second; no text is null or empty."""
+    return pd.Series([[[2 * common_length(s, t) / (len(s) + len(t)) for t in y] for s in x] for x, y in zip(a, b, strict=True)], dtype=object)
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """1 - (insertions, deletions and replacements) / (the greater length); 1 for two empty texts."""
     most = F.greatest(F.length(a), F.length(b))
     return F.when(most == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / most)
 
 
-def _bounds(threshold: float, measure: str):
-    """Functions of lengths (short, long): the longest partner of a short text, the shortest of a long one, and the most edits between two."""
+def check_bounds(threshold: float, measure: str) -> None:
+    """Refuses unknown measures, and thresholds that a measure can't be searched with."""
     if measure not in LEAST:
         raise ValueError(f"measure is one of {sorted(LEAST)}")
     if not LEAST[measure] < threshold <= 1:
         raise ValueError(f"the threshold of {measure} is above {LEAST[measure]:.3f} and at most 1")
+
+
+def _bounds(threshold: float, measure: str):
+    """Functions of lengths (short, long): the longest partner of a short text, the shortest of a long one, and the most edits between two."""
+    check_bounds(threshold, measure)
     r = threshold
     if measure == "indel":
-        grow, edits = (2 - r) / r, lambda s, t: F.floor((1 - r) * (s + t) + _EPS).cast("int")
+        grow, edits = (2 - r) / r, lambda s, t: F.floor((1 - r) * (s + t) + EPS).cast("int")
     else:
-        grow, edits = 1 / r, lambda s, t: F.floor((1 - r) * t + _EPS).cast("int")
-    return lambda s: F.floor(s * grow + _EPS).cast("int"), lambda t: F.ceil(t / grow - _EPS).cast("int"), edits
+        grow, edits = 1 / r, lambda s, t: F.floor((1 - r) * t + EPS).cast("int")
+    return lambda s: F.floor(s * grow + EPS).cast("int"), lambda t: F.ceil(t / grow - EPS).cast("int"), edits
 
 
 def _places(rows: DataFrame) -> DataFrame:
@@ -84,7 +95,7 @@ def _near(short: DataFrame, long: DataFrame, within: list[str], threshold: float
 
 def _checked(near: DataFrame, threshold: float, measure: str) -> DataFrame:
     ratio = indel_ratio("_s", "_t") if measure == "indel" else levenshtein_ratio(F.col("_s"), F.col("_t"))
-    return near.withColumn("similarity", ratio).where(F.col("similarity") >= threshold - _EPS)
+    return near.withColumn("similarity", ratio).where(F.col("similarity") >= threshold - EPS)
 
 
 def _texts(df: DataFrame, key: str, text: str, within: list[str]) -> DataFrame:

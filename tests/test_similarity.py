@@ -110,6 +110,23 @@ def test_own_references(spark):
     assert got[5] == (1, 2, 1, 200.0, ["Novak, Anja"])  # one by ratio only, one by both
 
 
+@pytest.mark.parametrize("measure", ["indel", "levenshtein"])
+def test_own_references_in_rows_and_by_joins(spark, monkeypatch, measure):
+    """Documents done in their rows, by joins, and some by each: the same rows; in rows nothing is joined or shuffled."""
+    rng = random.Random(8)
+    names = ["Müller, Karl", "Muller K", "Novák, Ana", "Nowak Ana", "Li, Po", "ΣΑΣ Σ", "Øre-Sund, P", "Smith, John", "Smyth, John", "", " "]
+    docs = [(i, "; ".join(rng.choices(names, k=rng.randrange(5))), "; ".join(f"{rng.choice(names)} & {rng.choice(names).lower()} (2001). T{i}. J" for _ in range(rng.randrange(5)))) for i in range(60)] + [(90, None, None), (91, "Li, Po", None), (92, None, "Li Po. 2001")]
+    df = spark.createDataFrame(docs, "doc_id int, authors string, references string")
+    got = {}
+    for most in (0, 5, 5000):
+        monkeypatch.setattr(references, "IN_ROW", most, raising=False)
+        out = references.own_references(df, measure=measure)
+        got[most] = sorted(map(tuple, out.collect()))
+    assert got[0] == got[5] == got[5000] and len(got[0]) == len(docs) and sum(r[2] > 0 for r in got[0]) > 10
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_linked_references(spark):
     docs = [
         (1, 2000, "Spark plans for citation graphs", None),
