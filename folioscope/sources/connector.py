@@ -112,10 +112,28 @@ def connect(spark: SparkSession, client: Client, endpoint: Endpoint, values: lis
     return spark.read.format(Source.name()).load()
 
 
+#: (file, place, reader) of the page that this process read last.
+_LAST: list[tuple[str, int, io.BufferedReader]] = []
+
+
+def _at(fs: FileSystem, path: str, place: int) -> io.BufferedReader:
+    """A file's text from a place on: the reader that stands there, or a new one, as compressed text has no other way."""
+    while _LAST:
+        before, stands, f = _LAST.pop()
+        if (before, stands) == (path, place):
+            return f
+        f.close()
+    f = io.BufferedReader(fs.open_input_stream(path), 1 << 20)
+    while place and (got := len(f.read(min(place, 1 << 20)))):
+        place -= got
+    return f
+
+
 @dataclass(frozen=True)
 class Pages:
     """A service's answers kept as files, to be read again without the service: a folder for each path and part (path/part=value, with values that stand in a folder's name as they are), a page in a line as {"results": [...]}.
-    Other filters (a|b is either) are compared with the records' own fields. A cursor is a file's number and a place in it."""
+    Other filters (a|b is either) are compared with the records' own fields. A cursor is a file's number and a place in its text. Files may be compressed, as their ending says; the one
+    read last stays open, so the pages that follow each other are unpacked once."""
 
     folder: str
     parts: dict[str, str]
@@ -129,9 +147,12 @@ class Pages:
             files += sorted(i.path for i in fs.get_file_info(FileSelector(f"{root}/{path}/part={value}", allow_not_found=True)) if i.is_file and not i.base_name.startswith(("_", ".")))
         at, place = (0, 0) if parameters["cursor"] == "*" else map(int, parameters["cursor"].split(":"))
         while at < len(files):
-            with fs.open_input_file(files[at]) as f:
-                f.seek(place)
-                line = io.BufferedReader(f).readline()
+            f = _at(fs, files[at], place)
+            line = f.readline()
+            if line:
+                _LAST.append((files[at], place + len(line), f))
+            else:
+                f.close()
             at, place = (at, place + len(line)) if line else (at + 1, 0)
             results = [r for r in json.loads(line)["results"] if all(str(r.get(k)).lower() in [v.lower() for v in vs] for k, vs in wanted.items())] if line else []
             if results:  # a page without what was asked for is passed over
@@ -140,11 +161,11 @@ class Pages:
 
 
 def keep_pages(records: DataFrame, part: str, folder: str, path: str, per_page: int = 200) -> None:
-    """Writes records, a struct column `record` and the value of its part, as Pages reads them: about per_page in a page, however many a part has."""
+    """Writes records, a struct column `record` and the value of its part, as Pages reads them, compressed: about per_page in a page, however many a part has."""
     many = records.groupBy(part).count().selectExpr(part, f"int(ceil(count / {per_page})) AS _pages")
     dealt = records.join(many, part).selectExpr(part, "record", "pmod(xxhash64(record.id), _pages) AS _page")
     pages = dealt.groupBy(part, "_page").agg({"record": "collect_list"}).toDF("part", "_page", "results").selectExpr("part", "to_json(struct(results)) AS value")
-    pages.write.partitionBy("part").text(f"{folder}/{path}")
+    pages.write.partitionBy("part").option("compression", "gzip").text(f"{folder}/{path}")
 
 
 def kept(folder: str, per_page: int = 200) -> Client:

@@ -59,6 +59,25 @@ def test_keep_pages(spark, tmp_path):
     assert connector.connect(spark, connector.kept(folder), connector.WORKS, [2000, 2001]).select("id").distinct().count() == 3000
 
 
+def test_pages_are_compressed(spark, tmp_path):
+    """Kept pages take a fraction of their text; a cursor works from its place on, whoever read before."""
+    rows = spark.range(2000).selectExpr("2000 AS year", "named_struct('id', concat('w/W', id), 'display_name', repeat('on plans ', 20), 'publication_year', 2000) AS record")
+    folder = f"file://{tmp_path}/kept"
+    connector.keep_pages(rows, "year", folder, "works", 100)
+    text = sum(len(r["value"]) for r in spark.read.text(f"{folder}/works").collect())
+    assert sum(f.stat().st_size for f in (tmp_path / "kept").rglob("part-*")) < text / 5
+    ask, asked = connector.kept(folder).transport, {"filter": "publication_year:2000", "cursor": "*"}
+    seen, cursors = [], []
+    while asked["cursor"]:
+        cursors.append(asked["cursor"])
+        got = ask("works", asked)
+        seen.append([r["id"] for r in got["results"]])
+        asked = asked | {"cursor": got["meta"]["next_cursor"]}
+    assert len({i for x in seen for i in x}) == sum(map(len, seen)) == 2000
+    for k in (3, 1, 7):
+        assert [r["id"] for r in ask("works", asked | {"cursor": cursors[k]})["results"]] == seen[k]
+
+
 def test_rows_of_empty_records():
     assert connector.author_row({}) == {"id": None, "orcid": None, "name": None, "works": None, "cited_by": None, "h_index": None, "institutions": [], "countries": []}
     assert set(connector.institution_row({}).values()) == {None}
