@@ -130,3 +130,28 @@ def test_communities_of_no_weight():
     """Nodes whose edges weigh nothing stay alone, and it ends."""
     assert blocks.communities(np.array([0, 1]), np.array([1, 2]), np.zeros(2), 3, 0.0, 1.0, 1e-5).tolist() == [0, 1, 2]
     assert blocks.communities(np.array([0, 1, 3]), np.array([1, 2, 4]), np.array([1.0, 1.0, 0.0]), 5, 4.0, 1.0, 1e-5).tolist() == [0, 0, 0, 3, 4]
+
+
+@pytest.fixture
+def apart(spark):
+    """Partitions stay as many as there are, however small."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("name", ["hop_closeness", "path_stats"])
+def test_customers_stay_together(spark, sf, monkeypatch, apart, name):
+    """A customer's edges come in one partition, so that components are found there, without rounds over all edges."""
+    from folioscope.plans import registry
+
+    monkeypatch.setattr(graph, "_least_reachable", lambda *_: pytest.fail("a round of frames"))
+    assert registry.QUERIES[name](spark, sf).count() > 0
+
+
+def test_equal_edges_count_once(spark, monkeypatch):
+    both = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (2, 3, 1), (3, 3, 1), (2, 3, 1)], "a long, b long, n int").repartition(3)
+    for most in (4_000_000, 8):
+        monkeypatch.setattr(blocks, "TASK_PAIRS", most)
+        assert [tuple(r) for r in network.path_stats(both).collect()] == [(1, 3, 2, 1, 4 / 3)]
+        assert [(r["node"], r["reached"], r["eccentricity"]) for r in rows(network.hop_closeness(both))] == [(1, 3, 2), (2, 3, 1), (3, 3, 2)]
