@@ -140,7 +140,7 @@ def apart(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("name", ["hop_closeness", "path_stats"])
+@pytest.mark.parametrize("name", ["hop_closeness", "path_stats", "strong_components", "condensed_citations", "cyclic_weights_by_path", "cyclic_weights_by_pair"])
 def test_customers_stay_together(spark, sf, monkeypatch, apart, name):
     """A customer's edges come in one partition, so that components are found there, without rounds over all edges."""
     from folioscope.plans import registry
@@ -150,8 +150,29 @@ def test_customers_stay_together(spark, sf, monkeypatch, apart, name):
 
 
 def test_equal_edges_count_once(spark, monkeypatch):
+    e = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 2), (3, 4), (3, 4), (2, 4)], "src long, dst long").repartition(3)
+    for most in (500_000, 2):
+        monkeypatch.setattr(blocks, "TASK_EDGES", most)
+        assert rows(network.condensed(e, once=True)) == [(1, 2, 1), (2, 4, 2)]
+        assert rows(network.condensed(e)) == [(1, 2, 2), (2, 4, 3)]
     both = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (2, 3, 1), (3, 3, 1), (2, 3, 1)], "a long, b long, n int").repartition(3)
     for most in (4_000_000, 8):
         monkeypatch.setattr(blocks, "TASK_PAIRS", most)
         assert [tuple(r) for r in network.path_stats(both).collect()] == [(1, 3, 2, 1, 4 / 3)]
         assert [(r["node"], r["reached"], r["eccentricity"]) for r in rows(network.hop_closeness(both))] == [(1, 3, 2), (2, 3, 1), (3, 3, 2)]
+
+
+def test_answers_of_odd_orders(spark, tmp_path):
+    """Citations and answers where keys repeat with other priorities, or priorities and customers are null."""
+    from folioscope.plans import networks
+
+    orders = [(1, 5, "2020-01-01", "a"), (2, 5, "2020-01-02", "a"), (3, 5, "2020-01-03", "b"), (3, 6, "2020-01-03", "a"), (4, 6, "2020-01-04", "a"), (5, None, "2020-01-01", None), (6, None, "2020-01-02", None), (7, 5, "2020-01-05", "a"), (7, 5, "2020-01-05", "a"), (None, 6, "2020-01-06", "a"), (8, 6, "2020-01-07", "a")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    cites = {(r["src"], r["dst"]) for r in networks._cites(spark, str(tmp_path)).collect()}
+    kinds = {}
+    for key, _, _, kind in orders:
+        kinds.setdefault(key, set()).update({kind} - {None})
+    want = cites | {(b, a) for a, b in cites if a and b and kinds[a] & kinds[b]}
+    got = {(r["src"], r["dst"]) for r in networks._mutual(spark, str(tmp_path)).collect()}
+    assert (2, 3) in want and (5, 6) not in want
+    assert {x for x in got if None not in x} == {x for x in want if None not in x}
