@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from folioscope.operators import blocks, graph, network
+from folioscope.operators import blocks, communities, graph, network
 
 
 def jobs(spark, run):
@@ -176,3 +177,18 @@ def test_answers_of_odd_orders(spark, tmp_path):
     got = {(r["src"], r["dst"]) for r in networks._mutual(spark, str(tmp_path)).collect()}
     assert (2, 3) in want and (5, 6) not in want
     assert {x for x in got if None not in x} == {x for x in want if None not in x}
+
+
+def test_coded_structs(spark):
+    """Structs as nodes: sorted by their fields, nulls first, also within structs; components and windows take them."""
+    rows = [{"start": s, "node": n} for s, n in ((2, "a"), (1, "b"), (None, "b"), (2, "a"), (1, None), (1, "a"))] + [None]
+    kind = pa.struct([("start", pa.int32()), ("node", pa.string())])
+    values, (one, two) = blocks.coded(pa.chunked_array([pa.array(rows[:3], kind)]), pa.chunked_array([pa.array(rows[3:5], kind), pa.array(rows[5:], kind)]))
+    want = [None, {"start": None, "node": "b"}, {"start": 1, "node": None}, {"start": 1, "node": "a"}, {"start": 1, "node": "b"}, {"start": 2, "node": "a"}]
+    assert values.to_pylist() == want and [want[i] for i in [*one, *two]] == rows
+    deep = pa.array([{"key": r} for r in rows], pa.struct([("key", kind)]))
+    assert blocks.coded(pa.chunked_array([deep]))[0].to_pylist() == [{"key": r} for r in want]
+    assert len(blocks.coded(pa.chunked_array([deep[:0]]))[0]) == 0
+    edges = spark.createDataFrame([(1, "a", "b", 1), (1, "b", "c", 1), (2, "a", "b", 1), (2, "c", "d", 1), (1, "a", "c", 1)], "start int, a string, b string, n long")
+    got = {r["start"]: (r["nodes"], r["edges"], r["components"], r["largest"], r["clustering"]) for r in communities.window_metrics(edges).collect()}
+    assert got == {1: (3, 3, 1, 3, 1.0), 2: (4, 2, 2, 2, 0.0)}
