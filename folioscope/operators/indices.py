@@ -30,8 +30,8 @@ def citation_indices(rows: DataFrame, entity: str, cites: str = "cited_by", year
     by = Window.partitionBy("entity")
     t = t.withColumn("h", F.sum((c >= i).cast("long")).over(by))
     if authors:
-        # the effective rank counts up to the first failure
-        failed = F.max((F.col("eff") > c).cast("int")).over(Window.partitionBy("entity").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+        # the effective rank counts up to the first failure; a sum of fractions that equals the citations is none, however its rounding falls
+        failed = F.max((F.col("eff") - c > 1e-9 * F.greatest(F.lit(1.0), c)).cast("int")).over(Window.partitionBy("entity").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
         t = t.withColumn("frac", F.when(failed == 0, F.col("eff")))
     core = i <= F.col("h")
     most = lambda ok: F.coalesce(F.max(F.when(ok, i)), F.lit(0)).cast("long")

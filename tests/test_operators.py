@@ -55,6 +55,13 @@ def test_indices(spark):
         assert (r["h"], r["g"]) == (h, g) and r["a"] == pytest.approx(a) and r["h"] <= r["n_docs"] and 0 <= r["gini"] < 1 and r["tapered_h"] == h
 
 
+def test_fractional_index_of_equal_sums(spark):
+    """5 x 1/5 and 6 x 1/6 are 2, which 2 citations allow, though their sum of doubles is greater."""
+    data = [("a", 2, 2000, n) for n in [5] * 5 + [6] * 6 + [7]]
+    got = rows(indices.citation_indices(spark.createDataFrame(data, "item string, cited_by int, year int, n int"), "item", year="year", authors="n", now=2002))
+    assert got[0]["h_frac"] == pytest.approx(2)
+
+
 def test_distributions():
     # values from printed tables
     assert dist.chi2_sf(3.841459, 1) == pytest.approx(0.05, abs=1e-6) and dist.chi2_sf(18.307038, 10) == pytest.approx(0.05, abs=1e-6)
