@@ -192,3 +192,25 @@ def test_coded_structs(spark):
     edges = spark.createDataFrame([(1, "a", "b", 1), (1, "b", "c", 1), (2, "a", "b", 1), (2, "c", "d", 1), (1, "a", "c", 1)], "start int, a string, b string, n long")
     got = {r["start"]: (r["nodes"], r["edges"], r["components"], r["largest"], r["clustering"]) for r in communities.window_metrics(edges).collect()}
     assert got == {1: (3, 3, 1, 3, 1.0), 2: (4, 2, 2, 2, 0.0)}
+
+
+def test_pagerank_settles(spark, monkeypatch):
+    """As many rounds of all nodes; in tasks and by rounds of frames, with and without cycles, equal edges once."""
+    rng = random.Random(6)
+    pairs = [(rng.randrange(20) + c, rng.randrange(20) + c) for c in (0, 100) for _ in range(50)] + [(200, 201), (201, 202), (200, 201)]
+    nodes = sorted({x for p in pairs for x in p})
+    out = {v: {b for a, b in pairs if a == v} for v in nodes}
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(400):
+        loose = sum(want[v] for v in nodes if not out[v])
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * loose) / len(nodes))
+        for v in nodes:
+            for u in out[v]:
+                new[u] += 0.85 * want[v] / len(out[v])
+        want = new
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    for most in (blocks.TASK_EDGES, 10):
+        monkeypatch.setattr(blocks, "TASK_EDGES", most)
+        got = {r["node"]: r["rank"] for r in graph.pagerank(e).collect()}
+        assert got == {v: pytest.approx(x, rel=1e-7) for v, x in want.items()}
+    assert graph.pagerank(e.limit(0)).collect() == []
