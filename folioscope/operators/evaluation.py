@@ -85,7 +85,7 @@ def topic_trends(doc_topics: DataFrame, df: DataFrame) -> DataFrame:
     return t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("year")))
 
 
-def topic_coherence(terms: DataFrame, df: DataFrame, text: str, top: int = 5) -> DataFrame:
+def topic_coherence(terms: DataFrame, df: DataFrame, text: str, top: int = 10) -> DataFrame:
     """(topic, coherence): mean over pairs of a topic's top terms of ln((documents with both + 1) / documents with the first)."""
     t = terms.select("topic", F.posexplode(F.slice("terms", 1, top)).alias("i", "term"))
     # texts are taken apart once, and only the topics' terms stay; pairs of them are made inside the row

@@ -20,12 +20,12 @@ from folioscope.operators.counting import tokens
 from folioscope.operators.longform import cut, kept, long
 
 
-def topics(df: DataFrame, text: str, k: int = 10, vocabulary: int = 1 << 18, rounds: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(topic, terms) and (doc_id, topic, weight) of latent Dirichlet allocation; topics are numbered from 1, texts without words have none."""
+def topics(df: DataFrame, text: str, k: int = 10, vocabulary: int = 1 << 18, rounds: int = 20, seed: int = 1, share: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(topic, terms) and (doc_id, topic, weight) of latent Dirichlet allocation; topics are numbered from 1, texts without words have none. share: of the texts, that a round learns from."""
     words = kept(df.select("doc_id", tokens(text, r"\p{L}{3,}").alias("words")).where(F.size("words") > 0))  # texts are taken apart once
     counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2.0).fit(words)
     counted = kept(counter.transform(words).select("doc_id", "features"))  # read in every round
-    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(counted)
+    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=share).fit(counted)
     terms = df.sparkSession.createDataFrame([(r["topic"] + 1, [counter.vocabulary[i] for i in r["termIndices"]]) for r in model.describeTopics(10).collect()], "topic int, terms array<string>")  # k rows
     dist = model.transform(counted).select("doc_id", vector_to_array("topicDistribution").alias("d"))
     return terms, dist.select("doc_id", (F.array_position("d", F.array_max("d"))).cast("int").alias("topic"), F.array_max("d").alias("weight"))

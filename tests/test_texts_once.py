@@ -46,3 +46,17 @@ def test_topic_coherence(spark, read):
     for topic, words in top.items():
         each = [math.log((holds(a, b) + 1) / holds(a)) for i, a in enumerate(words) for b in words[i + 1 :]]
         assert got[topic] == pytest.approx(sum(each) / len(each))
+
+
+def test_topic_coherence_of_whole_topics(spark, sf, monkeypatch):
+    """The query's topics are the whole fit's, over all texts in each of its rounds, and all ten terms count."""
+    from folioscope.plans import registry
+
+    asked, fit = [], models.LDA
+    monkeypatch.setattr(models, "LDA", lambda **how: asked.append(how) or fit(**how | {"maxIter": 1}))
+    assert registry.QUERIES["topic_coherence"](spark, sf).count() == 10
+    assert [(a["k"], a["maxIter"], a["subsamplingRate"]) for a in asked] == [(10, 20, 1.0)]
+    words = ["red", "green", "blue", "stone", "iron", "copper"]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, "red green blue stone iron")], "doc_id int, text string")
+    got = evaluation.topic_coherence(spark.createDataFrame([(1, words)], "topic int, terms array<string>"), df, "text").first()["coherence"]
+    assert got == pytest.approx((10 * math.log(3 / 2) + 5 * math.log(2 / 2)) / 15)
