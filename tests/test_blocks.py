@@ -214,3 +214,25 @@ def test_pagerank_settles(spark, monkeypatch):
         got = {r["node"]: r["rank"] for r in graph.pagerank(e).collect()}
         assert got == {v: pytest.approx(x, rel=1e-7) for v, x in want.items()}
     assert graph.pagerank(e.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("most", [7, 16, 8192])
+def test_dense_triangles_go_packed(spark, monkeypatch, most):
+    """As all threes of nodes; groups of bits or, with too few nodes to a group, rows; loops and edges in both directions."""
+    from itertools import combinations
+
+    rng = random.Random(8)
+    pairs = [p for p in combinations(range(50), 2) if rng.random() < 0.5]
+    near = {frozenset(p) for p in pairs}
+    want = dict.fromkeys(range(50), 0)
+    for three in combinations(range(50), 3):
+        if all(frozenset(p) in near for p in combinations(three, 2)):
+            for v in three:
+                want[v] += 1
+    monkeypatch.setattr(blocks, "GROUP_EDGES", 300)
+    monkeypatch.setattr(blocks, "GROUP_NODES", most)
+    monkeypatch.setattr(blocks, "CHUNK", 100)
+    turned = [(b, a) for a, b in pairs[:30]] + [(3, 3)]
+    out = graph.triangles(spark.createDataFrame([(f"n{a}", f"n{b}", 1) for a, b in pairs + turned], "a string, b string, n int"))
+    assert {int(r["node"][1:]): r["triangles"] for r in out.collect()} == want
+    assert ("packed" in out._jdf.queryExecution().optimizedPlan().toString()) == (most > 7)
